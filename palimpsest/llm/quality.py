@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 Indicators of word n-grams (here words, marks and their pairs, hashed) are
-scaled by the classes' log-count ratio; a linear hinge-loss model is fitted to
+scaled by the log-count ratio of the classes; a linear hinge-loss model is fitted to
 them by dual coordinate descent, and a sigmoid turns its margin into a score.
 
 The model is fitted on at most ``max_rows`` labelled documents (those with the
@@ -53,8 +53,13 @@ def features(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int32)
     one = np.array([_IDS[t] for t in tokens], dtype=np.uint64)
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    runs = []  # a token that repeats itself twice to five times makes the n-gram "same token", whatever token it is
+    again = one[:-1] == one[1:]
+    while len(runs) < 4 and again.any():
+        runs.append((len(runs) + 1) * 0x9E6C63D0676A9A99 & 0xFFFFFFFFFFFFFFFF)
+        again = again[:-1] & again[1:]
     one = one * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((np.concatenate([one, two]) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.unique((np.concatenate([one, two, np.array(runs, dtype=np.uint64)]) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 @dataclass
