@@ -142,3 +142,15 @@ def mix(
     return placed.select(
         "doc_id", F.when(F.col("has_source"), F.col("source")).alias("source"), "size", F.col("source_size"), F.col("target"), taken.cast("long").alias("taken")
     )
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, each as many times as its taken words make up its size, rounded.
+
+    Documents of which less than half is taken, or that have no word, are left out. Rows that repeat an id
+    count together.
+    """
+    plan = mix(docs, **parameters).filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).filter(word_count(F.col("text")) > 0)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from palimpsest.llm.common import long_lists, slices
 
 SPACE = "▁"
-_MEMORY = 300_000
+_UNIT = re.compile("▁+[^▁]*")
+_MEMORY = 350_000
 
 
 class PieceModel:
@@ -50,88 +51,124 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         # No piece but runs of spaces has a space after another character: then units are independent.
         self.parts = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self._pair: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        lone = [c for p in self.ids for c in p if c not in self.ids]
+        if lone:
+            raise ValueError(f"pieces hold characters that are no pieces: {lone[:5]}")
+        self.length = list(map(len, self.names))
+        # A tree by character over the pieces that merging their own text gives back; a node is (id or -1, children).
+        self.tree: dict[str, tuple] = {}
+        for p, i in self.ids.items():
+            if self.merge(p) == [p]:
+                node = self.tree
+                for c in p[:-1]:
+                    node = node.setdefault(c, (-1, {}))[1]
+                node[p[-1]] = (i, node[p[-1]][1] if p[-1] in node else {})
+        # Neighbouring characters of some piece; between any others no piece and no merge reaches.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self._pair: dict[int, bool] = {}
         self._units: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging by score, the leftmost first of equal ones. For short strings only."""
-        s, score = list(text), self.scores
-        while len(s) > 1:
-            best, at = None, -1
-            for k in range(len(s) - 1):
-                x = score.get(s[k] + s[k + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, k
-            if best is None:
-                break
+        score, lowest = self.scores, float("-inf")
+        s = list(text)
+        x = [score.get(s[k] + s[k + 1], lowest) for k in range(len(s) - 1)]
+        while x and (best := max(x)) > lowest:
+            at = x.index(best)
             s[at : at + 2] = [s[at] + s[at + 1]]
+            del x[at]
+            if at < len(x):
+                x[at] = score.get(s[at] + s[at + 1], lowest)
+            if at:
+                x[at - 1] = score.get(s[at - 1] + s[at], lowest)
         return s
 
-    def compatible(self, a: str, b: str) -> bool:
-        found = self._pair.get((a, b))
-        if found is None:
-            if len(self._pair) > 4 * _MEMORY:
-                self._pair.clear()
-            found = self._pair[a, b] = self.merge(a + b) == [a, b]
-        return found
-
-    def whole(self, piece: str) -> bool:
-        found = self._whole.get(piece)
-        if found is None:
-            found = self._whole[piece] = self.merge(piece) == [piece]
+    def compatible(self, a: int, b: int) -> bool:
+        if len(self._pair) > 4 * _MEMORY:
+            self._pair.clear()
+        left, right = self.names[a], self.names[b]
+        found = self._pair[a << 20 | b] = self.merge(left + right) == [left, right]
         return found
 
     def viterbi(self, text: str) -> tuple[list[int], int]:
         """(ids, the most positions held at once) of a text with spaces already marked."""
-        ids, known, out, widest = self.ids, self.scores, [], 0
-        longest, n = self.longest, len(text)
-        last: dict[int, str] = {}  # position: the last piece of the text up to it
-        low = 0  # everything before it is committed
-        before = ""  # last committed piece, if it can still take part in a check
-        since = 0
-        for end in range(1, n + 1):
-            for length in range(min(longest, end - low), 0, -1):
-                piece = text[end - length : end]
-                if piece not in known:
-                    if length > 1:
-                        continue
-                    last[end] = piece  # bytes: merges with nothing
-                    break
-                start = end - length
-                previous = before if start == low else last.get(start)
-                if start != low and previous is None:
-                    continue
-                if not self.whole(piece):
-                    continue
-                if not previous or previous not in known or self.compatible(previous, piece):
-                    last[end] = piece
-                    break
-            since += 1
-            if since >= 2 * longest or end == n:
-                # Live positions: those of the window that a later piece can start at. Where do their paths meet?
-                live = [p for p in range(max(low, end - longest + 1), end + 1) if p in last or p == low] if end < n else [n]
-                while len(live) > 1:
+        tree, pair, length, longest = self.tree, self._pair, self.length, self.longest
+        n, out, widest = len(text), [], 0
+        low, before = 0, None  # all up to low is committed; before is the last committed piece
+        back: list = [None] * (min(n, 3 * longest) + 1)  # back[k]: last piece of text[: low + k]; below -1: a character as bytes
+        check = 2 * longest
+        for start in range(n):
+            previous = back[start - low] if start > low else before
+            if start == check:
+                # Live positions: those that a later piece can start at. Where do their paths meet?
+                live = {start - k for k in range(longest) if start - k > low and back[start - k - low] is not None}
+                while len(live) > 1 and min(live) > low:
                     top = max(live)
-                    if top == low:
-                        break
-                    live = sorted({*(p for p in live if p != top), top - len(last[top])})
-                meet = live[0]
-                if meet > low:
-                    at, path = meet, []
-                    while at > low:
-                        path.append(last[at])
-                        at -= len(path[-1])
-                    for piece in reversed(path):
-                        if piece in ids:
-                            out.append(ids[piece])
-                        else:
-                            out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-                    before, low = path[0], meet
-                    for p in [p for p in last if p <= low]:
-                        del last[p]
-                widest, since = max(widest, len(last)), 0
-        return out, widest
+                    live.remove(top)
+                    i = back[top - low]
+                    live.add(top - (length[i] if i >= 0 else 1))
+                if (meet := min(live, default=low)) > low:
+                    out += self._path(text, back, low, meet)
+                    before = back[meet - low]
+                    widest, back, low = max(widest, start - low), back[meet - low :], meet
+                    back[0] = None
+                check = start + longest
+                back += [None] * (2 * longest + start - low + 1 - len(back))
+            if previous is None and start > 0:
+                continue
+            kids, at = tree, start - low
+            for c in text[start : start + longest]:
+                at += 1
+                node = kids.get(c)
+                if node is None:
+                    if at == start - low + 1:
+                        back[at] = -2 - ord(c)
+                    break
+                i, kids = node
+                if i >= 0 and back[at] is None:
+                    if previous is None or previous < 0:
+                        back[at] = i
+                    else:
+                        fits = pair.get(previous << 20 | i)
+                        if self.compatible(previous, i) if fits is None else fits:
+                            back[at] = i
+        if n > low:
+            out += self._path(text, back, low, n)
+        return out, max(widest, n - low)
+
+    def _path(self, text: str, back: list, low: int, at: int) -> list[int]:
+        """Ids of the path that leads from ``low`` to ``at``."""
+        ids: list[int] = []
+        while at > low:
+            i = back[at - low]
+            if i >= 0:
+                ids.append(i)
+                at -= self.length[i]
+            else:
+                at -= 1
+                ids += [self.byte_ids[b] for b in reversed(text[at].encode("utf-8", "surrogatepass"))]
+        return ids[::-1]
+
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        """Ids of a unit that is not in the newer memory; parts that no merge links are looked up apart."""
+        got = self._older.get(unit)
+        if got is None:
+            inner, at, parts = self.inner, 0, []
+            for k in range(1, len(unit)):
+                if unit[k - 1 : k + 1] not in inner:
+                    parts.append(unit[at:k])
+                    at = k
+            if parts:
+                parts.append(unit[at:])
+                got = tuple(chain.from_iterable(self._units.get(x) or self._unit(x) for x in parts))
+            else:
+                got = tuple(self.viterbi(unit)[0])
+        if len(unit) <= 64:
+            if len(self._units) >= _MEMORY:
+                self._older, self._units = self._units, {}
+            self._units[unit] = got
+        return got
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
@@ -140,16 +177,7 @@ class PieceModel:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.parts:
             return np.array(self.viterbi(marked)[0], dtype=np.int32)
-        memory, found = self._units, []
-        for unit in re.findall("▁+[^▁]*", marked):
-            got = memory.get(unit)
-            if got is None:
-                got = tuple(self.viterbi(unit)[0])
-                if len(unit) <= 64:
-                    if len(memory) > _MEMORY:
-                        memory.clear()
-                    memory[unit] = got
-            found.append(got)
+        found = [self._units.get(u) or self._unit(u) for u in _UNIT.findall(marked)]
         return np.fromiter(chain.from_iterable(found), dtype=np.int32)
 
     def decode(self, ids) -> str:

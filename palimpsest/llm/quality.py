@@ -177,3 +177,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             )
 
     return docs.select("doc_id", (fold() == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    small = Model(model.weights.astype(np.float32), model.bias, model.slope, model.offset)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array([small.score(features(t)) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
