@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, mixing, pieces, pii, quality
+from palimpsest.llm import html, jaccard, langid, media, mixing, pieces, pii, quality, topk, urlfilter
 
 #: Where the vocabulary file of the pieces lies; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,32 +15,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no fetch time; a date of 2024 by page_id stands in for it."""
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").withColumn("fetched_at", day.cast("timestamp"))
+    return urlfilter.judge(captures, urlfilter.entries_table(spark))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_topk": op3_topk,
     "op4_pii": op4_pii,
+    "op5_media": op5_media,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_html": op7_html,
     "op8_mixing": op8_mixing,
+    "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_CAPTURES = r"""
+  SELECT page_id, url, coalesce(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS TIMESTAMP) AS fetched_at
+  FROM pages"""
+
+ORACLE_SQL: dict[str, str] = {
+    # The k-th score from the full join: a brute-force restatement.
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_urlfilter": f"""
+WITH entries(list, kind, key, action, since) AS (VALUES {", ".join(f"('{a}','{b}','{c}','{d}',TIMESTAMP '{e} 00:00:00')" for a, b, c, d, e in urlfilter.ENTRIES)}),
+dated AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, key ORDER BY since) AS valid_to FROM entries),
+valid AS (SELECT list, kind, key, action = 'allow' AS allows, since AS valid_from, valid_to FROM dated WHERE action <> 'remove'),
+captures AS ({_CAPTURES}),
+labels AS (SELECT *, string_split(host, '.') AS l FROM captures),
+asked AS (
+  SELECT DISTINCT host, fetched_at, 'host' AS kind, array_to_string(l[k:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS k FROM labels)
+  UNION SELECT DISTINCT host, fetched_at, 'label', unnest(l) FROM labels),
+active AS (SELECT a.host, a.fetched_at, v.list, v.allows, (a.kind = 'host') AS h, length(a.key) AS n
+           FROM asked a JOIN valid v ON a.kind = v.kind AND a.key = v.key AND a.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR a.fetched_at < v.valid_to)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY host, fetched_at ORDER BY h DESC, n DESC, allows) AS place FROM active),
+found AS (SELECT host, fetched_at, count(*) AS n_active, bool_or(NOT allows AND place = 1) AS blocked,
+                 coalesce(string_agg(DISTINCT list, ',' ORDER BY list) FILTER (WHERE NOT allows), '') AS lists FROM ranked GROUP BY ALL)
+SELECT page_id, url, host, fetched_at, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, coalesce(blocked, false) AS blocked
+FROM captures LEFT JOIN found USING (host, fetched_at)""",
+}

@@ -117,9 +117,9 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
         both = np.frombuffer(packed, dtype=np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
-    step, state = -(-(2 * limit + 1) // BINS), None
+    span, step, state = 2 * limit + 1, -(-(2 * limit + 1) // BINS), None
     while True:
-        wide = step
+        wide, within = step, span
 
         def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
             schema = pa.schema([("qb", pa.int32()), ("query_id", pa.int64()), ("low", pa.int64()), ("need", pa.int64()), ("h", pa.list_(pa.int64()))])
@@ -127,8 +127,9 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
                 return schema.empty_table()
             ids, _, s, counts = _scores(left, right, width, kind, exact)
             low, need = of(left, -limit)
-            at = (s - low[:, None]).view(np.uint64) // np.uint64(wide)
-            inside = counts & (at < BINS)
+            off = (s - low[:, None]).view(np.uint64)
+            inside = counts & (off < np.uint64(within))  # what is above the range has been counted before
+            at = off // np.uint64(wide)
             place = (np.arange(len(ids), dtype=np.int64)[:, None] * BINS + at.astype(np.int64))[inside]
             h = np.bincount(place, minlength=len(ids) * BINS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) + 1, BINS, dtype=np.int32)), pa.array(h, pa.int64()))
@@ -152,7 +153,7 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
         state = checkpoint(summed.mapInArrow(narrow, "qb int, query_id long, low long, need long"))
         if step == 1:
             break
-        step = -(-step // BINS)
+        span, step = step, -(-step // BINS)
 
     def take(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
