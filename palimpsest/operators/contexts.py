@@ -81,7 +81,7 @@ def cell_contexts(cells: DataFrame) -> DataFrame:
 
 def rate_windows(requests: DataFrame, key: list[str], seconds: int = 60, most_requests: int = 450, most_tokens: int = 81_000) -> DataFrame:
     """For (key, ts, id, tokens): requests and tokens of the last minute before each, and whether a limit is reached."""
-    at = F.col("ts").cast("double")
+    at = F.col("ts").cast("timestamp").cast("double")
     span = W.partitionBy(*key).orderBy(at).rangeBetween(-seconds, 0)
     edge = W.partitionBy(*key, "ts").orderBy("id").rowsBetween(0, W.unboundedFollowing)
     old = W.partitionBy(*key).orderBy(at).rangeBetween(-seconds, -seconds)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from palimpsest.functions.text import normal_text
 
@@ -35,6 +36,10 @@ def prompt_for_context(template: str, fields: dict[str, Column], source: Column,
     return F.replace(out, F.lit("{source_text}"), F.substring(source, 1, most))
 
 
+def _with(rows: DataFrame, *names: str) -> StructType:
+    return StructType([*rows.schema.fields, *[StructField(n, StringType()) for n in names]])
+
+
 def ask(prompts: DataFrame, client: Client = silent) -> DataFrame:
     """Adds ``reply`` and ``error`` to rows with a ``prompt``; a failing call is an error of its row."""
     names = prompts.columns
@@ -51,7 +56,7 @@ def ask(prompts: DataFrame, client: Client = silent) -> DataFrame:
                     errors.append(str(e))
             yield pa.record_batch([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, "reply", "error"])
 
-    return prompts.mapInArrow(run, prompts.schema.add("reply", "string").add("error", "string"))
+    return prompts.mapInArrow(run, _with(prompts, "reply", "error"))
 
 
 def reply_json(reply: Column) -> Column:
@@ -112,7 +117,7 @@ def contents(replies: DataFrame) -> DataFrame:
             got = [extracted_content(r) for r in b.column(names.index("reply")).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(got, pa.string())], names=[*names, "content"])
 
-    return replies.mapInArrow(run, replies.schema.add("content", "string")).withColumn("content", normal_text(F.col("content")))
+    return replies.mapInArrow(run, _with(replies, "content")).withColumn("content", normal_text(F.col("content")))
 
 
 def resolve_parsed(parsed: Column) -> Column:

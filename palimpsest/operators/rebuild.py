@@ -12,6 +12,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Parts whose paragraphs may be matched as a sequence.
 SEQUENCES = ("body", "cell", "header_cell")
@@ -127,4 +128,5 @@ def rebuild_documents(paragraphs: DataFrame, replacements: DataFrame) -> DataFra
             }
         )
 
+    replacements = replacements.select(*[F.col(c).alias(c) for c in ("doc_id", "ord", "original", "placeholder")])  # both may come from one table
     return paragraphs.groupBy("doc_id").cogroup(replacements.groupBy("doc_id")).applyInArrow(run, schema)
