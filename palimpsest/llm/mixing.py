@@ -151,6 +151,6 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     count together.
     """
     plan = mix(docs, **parameters).filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).filter(word_count(F.col("text")) > 0)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = plan.select(F.col("doc_id").alias("_mixed_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_mixed_times")).filter("_mixed_times > 0")
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mixed_id"])).filter(word_count(F.col("text")) > 0)
+    return joined.withColumn("_mixed_copy", F.explode(F.sequence(F.lit(1), F.col("_mixed_times")))).select(*docs.columns)
