@@ -212,13 +212,13 @@ def full_text(spark, sf_dir):
     return turns(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("full_text"), F.count("*").alias("paragraphs"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, CAST(value AS BIGINT) AS tokens FROM events),
+@query("""WITH e AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS tokens FROM events),
 w AS (SELECT *, epoch_us(ts) / 1e6 AS s FROM e)
 SELECT a.user_id, a.event_id, a.ts, a.tokens, CAST(count(b.event_id) AS BIGINT) AS requests_before, CAST(coalesce(sum(b.tokens), 0) AS BIGINT) AS tokens_before, (count(b.event_id) >= 2) OR (coalesce(sum(b.tokens), 0) + a.tokens >= 100) AS limited
 FROM w a LEFT JOIN w b ON a.user_id = b.user_id AND (b.s < a.s OR (b.s = a.s AND b.event_id < a.event_id)) AND b.s > a.s - 86400 GROUP BY a.user_id, a.event_id, a.ts, a.tokens""")
 def rate_windows(spark, sf_dir):
     """W8, A12, F12, M8, over a day instead of a minute, as the events are sparse."""
-    own = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", F.col("value").cast("long").alias("tokens"))
+    own = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", F.floor("value").cast("long").alias("tokens"))
     return contexts.rate_windows(own, ["user_id"], 86400, 2, 100).select("user_id", F.col("id").alias("event_id"), "ts", "tokens", F.col("requests_before").cast("long"), F.coalesce("tokens_before", F.lit(0)).cast("long").alias("tokens_before"), "limited")
 
 
