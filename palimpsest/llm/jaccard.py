@@ -38,7 +38,7 @@ from palimpsest.llm.common import checkpoint, long_lists, slices
 from palimpsest.llm.components import components
 
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
+_CACHE = 100_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 

@@ -31,7 +31,7 @@ from palimpsest.llm.common import long_lists, slices
 
 SPACE = "▁"
 _UNIT = re.compile("▁+[^▁]*")
-_MEMORY = 350_000
+_MEMORY = 250_000
 
 
 class PieceModel:
@@ -85,7 +85,7 @@ class PieceModel:
         return s
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self._pair) > 4 * _MEMORY:
+        if len(self._pair) > 2 * _MEMORY:
             self._pair.clear()
         left, right = self.names[a], self.names[b]
         found = self._pair[a << 20 | b] = self.merge(left + right) == [left, right]

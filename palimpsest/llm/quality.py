@@ -28,7 +28,7 @@ from palimpsest.llm.common import fold, long_lists, slices
 
 BITS = 18
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CACHE = 400_000
+_CACHE = 120_000
 
 
 class _Ids(dict):
