@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpoint, slices
 
 COLUMNS = 192
-LEAST, MOST, MASK_BITS = 1024, 8192, 11
-SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 112_640, 12
+LEAST, MOST, MASK_BITS = 1024, 16384, 12
+SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 112_640, 19
 #: Bytes of an image's SHA-256 that serve as its key in joins.
 KEY = 16
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
