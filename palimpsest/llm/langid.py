@@ -40,7 +40,7 @@ class Tables:
     """Languages in order; for each known word (order 0) and n-gram the costs by language."""
 
     languages: list[str]
-    costs: dict[int, dict[str, np.ndarray]]
+    costs: dict[int, dict[str, list[float]]]
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -48,26 +48,32 @@ def ngrams(word: str, order: int) -> list[str]:
     return [s[k : k + order] for k in range(len(s) - order + 1)] if order > 1 else list(word)
 
 
-class Scorer:
-    """Costs of words, kept in a bounded table of rows."""
+class Scorer(dict):
+    """Rows of the cost matrix by word: first those of the known words, then, bounded, those of unseen ones."""
 
     def __init__(self, tables: Tables, penalty: float):
         self.tables, self.penalty = tables, penalty
-        self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((4096, len(tables.languages)), dtype=np.float32)
-
-    def cost(self, word: str) -> np.ndarray:
-        known = self.tables.costs[0].get(word)
-        if known is not None:
-            return known
+        self.reset()
+        self.matrix = np.zeros((len(self) + _CACHE + 1, len(tables.languages)), dtype=np.float32)
+        if self:
+            self.matrix[: len(self)] = list(tables.costs[0].values())
+
+    def reset(self) -> None:
+        """Forget the unseen words."""
+        self.clear()
+        self.update(zip(self.tables.costs[0], range(len(self.tables.costs[0]))))
+
+    def cost(self, word: str) -> list[float]:
+        """Costs of a word that is not known."""
         for order in ORDERS:
-            found = [c for g in ngrams(word, order) if (c := self.tables.costs[order].get(g)) is not None]
+            get = self.tables.costs[order].get
+            found = [c for g in ngrams(word, order) if (c := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.full(len(self.tables.languages), self.penalty, dtype=np.float32)
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [self.penalty] * len(self.tables.languages)
 
-    def row(self, word: str) -> int:
-        at = self.rows[word] = len(self.rows)
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
         if at == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
         self.matrix[at] = self.cost(word)
@@ -77,10 +83,9 @@ class Scorer:
         words = _WORD.findall((text or "").lower())
         if not words or not self.tables.languages:
             return "und", 0.0
-        if len(self.rows) > _CACHE:
-            self.rows.clear()
-        rows = self.rows
-        at = [i if (i := rows.get(w)) is not None else self.row(w) for w in words]
+        if len(self) > len(self.tables.costs[0]) + _CACHE:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
         mean = self.matrix[at].mean(axis=0, dtype=np.float64)
         best = int(mean.argmin())
         odds = np.exp((mean[best] - mean) * np.log(10) * min(len(words), 50) ** 0.5)
@@ -127,10 +132,10 @@ def train(docs: DataFrame, per_language: int = 1500, words: int = 20_000, grams:
     found = kept.toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     place = {lang: k for k, lang in enumerate(languages)}
-    costs: dict[int, dict[str, np.ndarray]] = {o: {} for o in (0, *ORDERS)}
+    costs: dict[int, dict[str, list[float]]] = {o: {} for o in (0, *ORDERS)}
     for lang, order, gram, cost in zip(*(found.column(c).to_pylist() for c in ("lang", "order", "gram", "cost"))):
         if gram not in costs[order]:
-            costs[order][gram] = np.full(len(languages), penalty, dtype=np.float32)
+            costs[order][gram] = [penalty] * len(languages)
         costs[order][gram][place[lang]] = cost
     return Tables(languages, costs)
 
