@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_MEMORY: dict = {}
+
+
+def memory(owner: object, make: Callable):
+    """The owner's memory in this worker, made when first asked for.
+
+    Workers live on from one stage to the next; another operator's memory goes
+    then, so a worker holds one at a time.
+    """
+    if owner not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[owner] = make()
+    return _MEMORY[owner]
+
+
 def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; 0 is held out. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds, F.lit(0))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpoint, long_lists, slices
+from palimpsest.llm.common import checkpoint, long_lists, memory, slices
 from palimpsest.llm.components import components
 
 _WORD = re.compile(r"\w+")
@@ -61,9 +61,6 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -74,10 +71,11 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The sorted set of 64-bit shingle hashes of a whole text."""
     if not text:
         return np.zeros(0, dtype=np.uint64)
+    known = memory(_Hashes, _Hashes)
     found = _WORD.findall(text.lower())
     if not found:
-        return np.array([_HASHES["\x00" + text]] if len(text) < 1000 else [int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")], dtype=np.uint64)
-    h = np.array([_HASHES[w] for w in found], dtype=np.uint64)
+        return np.array([known["\x00" + text]] if len(text) < 1000 else [int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")], dtype=np.uint64)
+    h = np.array([known[w] for w in found], dtype=np.uint64)
     n = min(words, len(h))
     total = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):

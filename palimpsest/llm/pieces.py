@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import long_lists, slices
+from palimpsest.llm.common import long_lists, memory, slices
 
 SPACE = "▁"
 _UNIT = re.compile("▁+[^▁]*")
@@ -198,14 +198,9 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
-    """The model, loaded once in each worker."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    """The model, loaded once in each worker that encodes."""
+    return memory((PieceModel, path), lambda: PieceModel(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, long_lists, slices
+from palimpsest.llm.common import fold, long_lists, memory, slices
 
 BITS = 18
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -43,15 +43,13 @@ class _Ids(dict):
         return found
 
 
-_IDS = _Ids()
-
-
 def features(text: str | None) -> np.ndarray:
     """Sorted hashes of the tokens and token pairs of a whole text."""
     tokens = _TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(0, dtype=np.int32)
-    one = np.array([_IDS[t] for t in tokens], dtype=np.uint64)
+    known = memory(_Ids, _Ids)
+    one = np.array([known[t] for t in tokens], dtype=np.uint64)
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     runs = []  # a token that repeats itself twice to five times makes the n-gram "same token", whatever token it is
     again = one[:-1] == one[1:]
