@@ -7,7 +7,8 @@ child signatures, repeats in a row once) it takes there, and which contents
 (blocks of text) stand below it. Importance follows from entropy: a node with
 one style on many pages carries no presentation information; content that the
 pages of the host share carries no content information. A composite of both
-ranks the node, and branches below ``threshold`` are removed from each page.
+ranks each content of a node, and contents below ``threshold`` are removed from
+each page: a branch goes only when all that stands below it goes.
 
 Structure that says by itself what it is comes first: navigation, headers,
 footers, asides, forms, scripts, styles and elements named as adverts, notices,
@@ -16,7 +17,7 @@ main, role=main), what stands outside goes and the paragraphs inside stay. On
 pages without such a mark the style tree decides alone.
 
 Statistics are counts by (host, node, style or content): a host with any share
-of the pages meets in one place only as counts. Of the tree, only the nodes to
+of the pages meets in one place only as counts. Of the tree, only the contents to
 remove travel back, a set whose size is checked before it is broadcast.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import checkpoint, slices
 
 # Fixed values of HTML: elements that make blocks, that have no end, whose content is no markup, that end an open p.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -154,31 +155,30 @@ def _key(path: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def blocks(node: Node, removed: frozenset | set, out: list[str]) -> None:
-    """Texts of the blocks below a node, in order, without noise and removed branches."""
-    stack, text = [iter(node.items)], []
+def blocks(root: Node) -> list[tuple[Node, str]]:
+    """Blocks of text outside noise, in order, each with the element that holds it."""
+    out, stack, text = [], [(root, iter(root.items))], []
 
     def flush() -> None:
         s = _BLANK.sub(" ", entities.unescape("".join(text))).strip() if text else ""
         text.clear()
         if s:
-            out.append(s)
+            out.append((stack[-1][0], s))
 
     while stack:
-        item = next(stack[-1], None)
+        item = next(stack[-1][1], None)
         if item is None:
-            stack.pop()
             flush()
+            stack.pop()
         elif isinstance(item, str):
             text.append(item)
         elif item.noise:
             if item.tag in BLOCKS:
                 flush()
-        elif removed and item.key in removed:
-            flush()
         else:
             flush()
-            stack.append(iter(item.items))
+            stack.append((item, iter(item.items)))
+    return out
 
 
 def _landmarks(root: Node) -> list[Node]:
@@ -206,29 +206,53 @@ def _below(node: Node, top: Node) -> bool:
     return False
 
 
+def _largest(found: list[tuple[Node, str]]) -> list[str]:
+    """The texts of the narrowest branch with more than half of the text; elements of one path count as one branch."""
+    chains = []
+    for node, text in found:
+        chain, up = [], node.up
+        while up:
+            chain.append(up.key)
+            up = up.up
+        chains.append((chain[::-1], text))
+    depth = 0
+    while True:
+        sizes: Counter = Counter()
+        for chain, text in chains:
+            if len(chain) > depth:
+                sizes[chain[depth]] += len(text)
+        best = max(sizes, key=lambda k: sizes[k], default=None)
+        if best is None or 2 * sizes[best] <= sum(len(t) for _, t in chains):
+            return [t for _, t in chains]
+        chains = [(c, t) for c, t in chains if len(c) > depth and c[depth] == best]
+        depth += 1
+
+
 def extract(html: str | None, removed: set[int] | frozenset = frozenset()) -> str:
-    """The main text of a page, given the keys of its host's low-importance nodes."""
+    """The main text of a page, given the keys of its host's low-importance contents."""
     if not html:
         return ""
-    root, out = parse(html), []
-    marks = _landmarks(root)
+    root = parse(html)
+    found = blocks(root)
+    marks = set(_landmarks(root))
     if marks:
-        for node in marks:
-            blocks(node, frozenset(), out)
+        out = [t for n, t in found if _within(n, marks)]
         if out:
             return "\n\n".join(out)
-    gone = {p for p in _paths(root) if _key(p) in removed} if removed else frozenset()
-    blocks(root, gone, out)
-    if not out and gone:
-        best: list[str] = []
-        for node in _nodes(root):
-            if node.key in gone:
-                own: list[str] = []
-                blocks(node, frozenset(), own)
-                if sum(map(len, own)) > sum(map(len, best)):
-                    best = own
-        out = best
-    return "\n\n".join(out)
+    kept = [t for n, t in found if not removed or _content(n, t) not in removed]
+    return "\n\n".join(kept or _largest(found))
+
+
+def _within(node: Node | None, marks: set[Node]) -> bool:
+    while node:
+        if node in marks:
+            return True
+        node = node.up
+    return False
+
+
+def _content(node: Node, text: str) -> int:
+    return _key(node.key + "\0" + text)
 
 
 def _nodes(root: Node):
@@ -239,30 +263,21 @@ def _nodes(root: Node):
         todo += [x for x in node.items if not isinstance(x, str) and not x.noise]
 
 
-def _paths(root: Node) -> set[str]:
-    return {n.key for n in _nodes(root)}
-
-
 def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
-    """What a page adds to its host's tree: (node, 0, style) and (node, 1, content) for nodes outside noise."""
+    """What a page adds to its host's tree: (node, 0, style) for nodes outside noise, (node, 1, content) for their own blocks of text."""
     out: set[tuple[int, int, int]] = set()
     if not html:
         return out
-    for node in _nodes(parse(html)):
+    root = parse(html)
+    for node in _nodes(root):
         signs: list[str] = []
         for x in node.items:
             sign = "#text" if isinstance(x, str) else x.sign
             if (not isinstance(x, str) or x.strip()) and (not signs or signs[-1] != sign):
                 signs.append(sign)
-        key = _key(node.key)
-        out.add((key, 0, _key(" ".join(signs))))
-        if node.article:
-            continue
-        if text := _BLANK.sub(" ", " ".join(x for x in node.items if isinstance(x, str))).strip():
-            content, up = _key(text), node
-            while up and up.up:  # the content of a node is what stands anywhere below it
-                out.add((_key(up.key), 1, content))
-                up = up.up
+        out.add((_key(node.key), 0, _key(" ".join(signs))))
+    for node, text in blocks(root):
+        out.add((_key(node.key), 1, _content(node, text)))
     return out
 
 
@@ -270,14 +285,14 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def low_nodes(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, gamma: float = 0.9) -> DataFrame:
-    """(host, node) of the style trees' nodes whose composite importance is below ``threshold``.
+def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, gamma: float = 0.9) -> DataFrame:
+    """(host, what) of the contents of the style trees' nodes whose composite importance is below ``threshold``.
 
     Node importance is the entropy of its styles to the base of its number of
-    pages; content importance is 1 less the mean entropy of its contents, each
-    content spread evenly over the pages that have it. The composite weighs the
-    first by 1 - gamma ** styles and the second by the rest. Nodes on fewer than
-    ``least_pages`` pages count as important.
+    pages; content importance is 1 less the entropy of the content, spread evenly
+    over the pages that have it in this node. The composite weighs the first by
+    1 - gamma ** styles and the second by the rest. Contents of one page only, and
+    those of nodes on fewer than ``least_pages`` pages, count as important.
     """
 
     def run(batches):
@@ -292,28 +307,26 @@ def low_nodes(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, g
 
     entries = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node long, kind int, what long, n long")
     counted = entries.groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
+    # Both parts below read the counts; contents of one page are important anyway.
+    counted = checkpoint(counted.filter("kind <> 1 or n > 1"))
     # Entropies from sums: -sum(p log p) = log(m) - sum(n log n) / m.
-    nodes = counted.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
-        F.count_if(F.col("kind") == 0).alias("styles"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("spread"),
-        F.count_if(F.col("kind") == 1).alias("contents"),
-        F.sum(F.when(F.col("kind") == 1, F.log("n") * F.col("n"))).alias("shared"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("uses"),
+    nodes = (
+        counted.filter("kind = 0")
+        .groupBy("host", "node")
+        .agg(F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("spread"))
+        .filter(F.col("m") >= least_pages)
     )
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
     style = (base - F.col("spread") / F.col("m")) / base
-    content = F.when(F.col("uses") > 0, 1 - (F.col("shared") / F.col("uses")) / base)
+    content = 1 - F.log("n") / base
     weight = F.pow(F.lit(gamma), F.col("styles"))
-    composite = F.when(content.isNull(), F.lit(1.0)).otherwise((1 - weight) * style + weight * content)
-    return nodes.filter((F.col("m") >= least_pages) & (composite < threshold)).select("host", "node")
+    composite = (1 - weight) * style + weight * content
+    return counted.filter("kind = 1").join(nodes, ["host", "node"]).filter(composite < threshold).select("host", "what")
 
 
 def main_text(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, broadcast_hosts: int = 20_000, broadcast_nodes: int = 200_000) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    by_host = low_nodes(pages, threshold, least_pages).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("removed"), F.count("*").alias("n"))
-    from palimpsest.llm.common import checkpoint
-
+    by_host = low_contents(pages, threshold, least_pages).groupBy("host").agg(F.sort_array(F.collect_list("what")).alias("removed"), F.count("*").alias("n"))
     by_host = checkpoint(by_host)
     hosts, nodes = by_host.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_host = by_host.select(F.col("host").alias("_host"), "removed")

@@ -135,3 +135,11 @@ def test_url_lists(spark):
     entries = (("l", "host", "bad.example", "add", "2024-02-01"), ("l", "host", "ok.bad.example", "allow", "2024-02-01"), ("l", "host", "bad.example", "remove", "2024-05-01"), ("m", "label", "a", "add", "2024-01-15"))
     got = {r.page_id: (r.blocked, r.n_active, r.lists) for r in urlfilter.judge(captures, urlfilter.entries_table(spark, entries)).collect()}
     assert got == {1: (False, 0, ""), 2: (True, 2, "l,m"), 3: (False, 2, "l"), 4: (False, 0, ""), 5: (False, 0, ""), 6: (True, 1, "m")}
+
+
+def test_branches_with_several_shared_blocks(spark):
+    shared = "".join(f"<p>Shared line {j} of every page</p>" for j in range(5))
+    rows = [(k, "http://h.example/x", f"<html><body><div>{shared}</div><div class='b'><p>Story {k}</p></div></body></html>") for k in range(8)]
+    rows += [(100 + k, "http://i.example/x", f"<html><body><div>{shared}<p>Tale {k}</p></div></body></html>") for k in range(8)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k}" for k in range(8)} | {100 + k: f"Tale {k}" for k in range(8)}
