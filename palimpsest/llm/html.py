@@ -12,9 +12,10 @@ each page: a branch goes only when all that stands below it goes.
 
 Structure that says by itself what it is comes first: navigation, headers,
 footers, asides, forms, scripts, styles and elements named as adverts, notices,
-menus or comments go on any host, and where a page marks its article (article,
-main, role=main), what stands outside goes and the paragraphs inside stay. On
-pages without such a mark the style tree decides alone.
+menus or comments go on any host. Article marks (article, main, role=main) are
+evidence in the importance: contents inside one go only if nearly all pages of
+the host share them; contents outside the marks of a page stay only if the tree
+has seen their node often enough and they are clearly the page's own.
 
 Statistics are counts by (host, node, style or content): a host with any share
 of the pages meets in one place only as counts. Of the tree, only the contents to
@@ -152,7 +153,8 @@ def _inside_article(node: Node | None) -> bool:
 
 
 def _key(path: str) -> int:
-    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    """A number for a path or text; its last two bits are free."""
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & ~3
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:
@@ -228,19 +230,37 @@ def _largest(found: list[tuple[Node, str]]) -> list[str]:
         depth += 1
 
 
+#: What an article mark says: inside, it adds this share of what an importance lacks; outside, it leaves this share of the importance.
+INSIDE, OUTSIDE = 0.3, 0.5
+#: What is known of a key, in its last two bits: the content is low even inside a mark, low, low where the mark speaks against it; the node was seen often enough.
+_LOW_INSIDE, _LOW, _LOW_OUTSIDE, _SEEN = range(4)
+
+
+def _stays(key: int, node_key: int, removed: set[int] | frozenset, inside: bool, doubtful: bool) -> bool:
+    """Whether a content stays; a doubtful one only if its node was seen often enough to show that it is no boilerplate."""
+    if doubtful:
+        return node_key | _SEEN in removed and not any(key | level in removed for level in (_LOW_INSIDE, _LOW, _LOW_OUTSIDE))
+    return key | _LOW_INSIDE not in removed and (inside or key | _LOW not in removed)
+
+
+def _judged(root: Node) -> list[tuple[Node, str, bool, bool]]:
+    """The blocks of a page, each with whether it is inside an article mark, and whether the page's marks speak against it."""
+    found = blocks(root)
+    marks = set(_landmarks(root))
+    inside = [_within(n, marks) for n, _ in found] if marks else [False] * len(found)
+    marked = any(inside)
+    return [(n, t, i, marked and not i) for (n, t), i in zip(found, inside)]
+
+
 def extract(html: str | None, removed: set[int] | frozenset = frozenset()) -> str:
-    """The main text of a page, given the keys of its host's low-importance contents."""
+    """The main text of a page, given what its host's tree says (``low_contents``)."""
     if not html:
         return ""
-    root = parse(html)
-    found = blocks(root)
-    marks = set(_landmarks(root))
-    if marks:
-        out = [t for n, t in found if _within(n, marks)]
-        if out:
-            return "\n\n".join(out)
-    kept = [t for n, t in found if not removed or _content(n, t) not in removed]
-    return "\n\n".join(kept or _largest(found))
+    found = _judged(parse(html))
+    kept = [t for n, t, inside, doubtful in found if _stays(_content(n, t), _key(n.key), removed, inside, doubtful)]
+    if not kept:
+        kept = [t for _, t, inside, _ in found if inside] or _largest([(n, t) for n, t, *_ in found])
+    return "\n\n".join(kept)
 
 
 def _within(node: Node | None, marks: set[Node]) -> bool:
@@ -264,7 +284,11 @@ def _nodes(root: Node):
 
 
 def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
-    """What a page adds to its host's tree: (node, 0, style) for nodes outside noise, (node, 1, content) for their own blocks of text."""
+    """What a page adds to its host's tree.
+
+    (node, 0, style) for nodes outside noise, (node, 1, content) for their own
+    blocks of text, (node, 2, node) for those with blocks that marks speak against.
+    """
     out: set[tuple[int, int, int]] = set()
     if not html:
         return out
@@ -276,8 +300,11 @@ def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
             if (not isinstance(x, str) or x.strip()) and (not signs or signs[-1] != sign):
                 signs.append(sign)
         out.add((_key(node.key), 0, _key(" ".join(signs))))
-    for node, text in blocks(root):
-        out.add((_key(node.key), 1, _content(node, text)))
+    for node, text, _, doubtful in _judged(root):
+        key = _key(node.key)
+        out.add((key, 1, _content(node, text)))
+        if doubtful:
+            out.add((key, 2, key))
     return out
 
 
@@ -293,6 +320,10 @@ def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4
     over the pages that have it in this node. The composite weighs the first by
     1 - gamma ** styles and the second by the rest. Contents of one page only, and
     those of nodes on fewer than ``least_pages`` pages, count as important.
+
+    Article marks are evidence in the importance (INSIDE, OUTSIDE): the last two
+    bits of ``what`` say in which place the content is low; a node that marks
+    speak against and that has ``least_pages`` pages is listed as seen.
     """
 
     def run(batches):
@@ -310,10 +341,11 @@ def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4
     # Both parts below read the counts; contents of one page are important anyway.
     counted = checkpoint(counted.filter("kind <> 1 or n > 1"))
     # Entropies from sums: -sum(p log p) = log(m) - sum(n log n) / m.
+    n = F.when(F.col("kind") == 0, F.col("n"))
     nodes = (
-        counted.filter("kind = 0")
+        counted.filter("kind <> 1")
         .groupBy("host", "node")
-        .agg(F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("spread"))
+        .agg(F.sum(n).alias("m"), F.count(n).alias("styles"), F.sum(n * F.log(n)).alias("spread"), F.max(F.col("kind") == 2).alias("doubtful"))
         .filter(F.col("m") >= least_pages)
     )
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
@@ -321,7 +353,14 @@ def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4
     content = 1 - F.log("n") / base
     weight = F.pow(F.lit(gamma), F.col("styles"))
     composite = (1 - weight) * style + weight * content
-    return counted.filter("kind = 1").join(nodes, ["host", "node"]).filter(composite < threshold).select("host", "what")
+    level = (
+        F.when(composite + INSIDE * (1 - composite) < threshold, _LOW_INSIDE)
+        .when(composite < threshold, _LOW)
+        .when(F.col("doubtful") & (composite * OUTSIDE < threshold), _LOW_OUTSIDE)
+    )
+    low = counted.filter("kind = 1").join(nodes, ["host", "node"]).select("host", "what", level.alias("level"))
+    seen = nodes.filter("doubtful").select("host", F.col("node").alias("what"), F.lit(_SEEN).alias("level"))
+    return low.unionByName(seen).filter("level is not null").select("host", (F.col("what") + F.col("level")).alias("what"))
 
 
 def main_text(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, broadcast_hosts: int = 20_000, broadcast_nodes: int = 200_000) -> DataFrame:

@@ -143,3 +143,12 @@ def test_branches_with_several_shared_blocks(spark):
     rows += [(100 + k, "http://i.example/x", f"<html><body><div>{shared}<p>Tale {k}</p></div></body></html>") for k in range(8)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Story {k}" for k in range(8)} | {100 + k: f"Tale {k}" for k in range(8)}
+
+
+def test_the_tree_decides_on_marked_pages_too(spark):
+    page = lambda k: f"<html><body><div>All rights and links</div><article><h1>Title {k}</h1><p>Story {k}</p><p>Written by the staff</p></article><div class='more'><p>Body outside {k}</p></div></body></html>"
+    rows = [(k, "http://h.example/x", page(k)) for k in range(8)] + [(100, "http://one.example/", page(1))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\n\nStory {k}\n\nBody outside {k}" for k in range(8)} | {100: "Title 1\n\nStory 1\n\nWritten by the staff"}
+    same = [(k, "http://h.example/x", page(1)) for k in range(8)]
+    assert {r.text for r in html.main_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"Title 1\n\nStory 1\n\nWritten by the staff"}
