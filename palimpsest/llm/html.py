@@ -11,8 +11,10 @@ ranks each content of a node, and contents below ``threshold`` are removed from
 each page: a branch goes only when all that stands below it goes.
 
 Structure that says by itself what it is comes first: navigation, headers,
-footers, asides, forms, scripts, styles and elements named as adverts, notices,
-menus or comments go on any host. Article marks (article, main, role=main) are
+footers, asides, forms, scripts, styles and elements named just as adverts or
+comments go on any host. Other names of boilerplate (notices, menus, widgets) are
+evidence: contents below them stay only if the tree has seen their node often
+enough and they are clearly the page's own. Article marks (article, main, role=main) are
 evidence in the importance: contents inside one go only if nearly all pages of
 the host share them; contents outside the marks of a page stay only if the tree
 has seen their node often enough and they are clearly the page's own.
@@ -52,6 +54,8 @@ _NOISE = re.compile(
     r"footers?|site-header|page-header|masthead|comments?|commentlist|respond|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|related|recommended|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names, on their own, of what differs from page to page and still is no main text: here no importance counts.
+_NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist comment-list respond disqus disqus_thread replies".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+|[^>]*+)>|([^<]++|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _BLANK = re.compile(r"\s+")
@@ -61,16 +65,16 @@ _NUMBER = re.compile(r"\d+")
 class Node:
     """An element: its signature, its path's key, its children and texts in order."""
 
-    __slots__ = ("tag", "sign", "key", "items", "noise", "article", "up")
+    __slots__ = ("tag", "sign", "key", "items", "noise", "article", "named", "up")
 
-    def __init__(self, tag: str, sign: str, up: Node | None, noise: bool, article: bool):
-        self.tag, self.sign, self.up, self.noise, self.article = tag, sign, up, noise, article
+    def __init__(self, tag: str, sign: str, up: Node | None, noise: bool, article: bool, named: bool = False):
+        self.tag, self.sign, self.up, self.noise, self.article, self.named = tag, sign, up, noise, article, named
         self.key = (up.key if up else "") + "/" + sign
         self.items: list = []
 
 
 def parse(html: str) -> Node:
-    """The tree of a page. Inline elements are no nodes unless they are named as noise."""
+    """The tree of a page. Inline elements are no nodes unless they are noise or named as boilerplate."""
     root = top = Node("#root", "", None, False, False)
     at, n = 0, len(html)
     while at < n:
@@ -121,14 +125,17 @@ def parse(html: str) -> Node:
                     names += " " + value
                 elif name == "role":
                     role = value.lower()
-        noise = tag in HIDDEN or tag in BOILERPLATE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert") or bool(names and tag not in ("body", "html", "article", "main") and _NOISE.search(names))
-        if not block and not noise:
+        noise = tag in HIDDEN or tag in BOILERPLATE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        named = not noise and bool(names and tag not in ("body", "html", "article", "main") and _NOISE.search(names))
+        if named and not _NEVER.isdisjoint(names.lower().split()):
+            noise, named = True, False
+        if not block and not noise and not named:
             continue
         sign = tag + "".join("." + _NUMBER.sub("#", x) for x in sorted(names.split())) + (f"[{role}]" if role else "")
         article = tag in ("article", "main") or role == "main"
         if tag == "header" and not _inside_article(top):
             noise = True
-        node = Node(tag, sign, top, noise, article)
+        node = Node(tag, sign, top, noise, article, named)
         top.items.append(node)
         if m[3].endswith("/") and not block:
             continue
@@ -157,39 +164,53 @@ def _key(path: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & ~3
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """Blocks of text outside noise, in order, each with the element that holds it."""
-    out, stack, text = [], [(root, iter(root.items))], []
+def blocks(root: Node) -> list[tuple[Node, str, int]]:
+    """Texts outside noise, in order, each with the element that holds it and the number of its block.
 
-    def flush() -> None:
-        s = _BLANK.sub(" ", entities.unescape("".join(text))).strip() if text else ""
+    A block has several texts only where elements in its line are nodes; blanks between these stay.
+    """
+    out, stack, text, line = [], [(root, iter(root.items))], [], 0
+
+    def flush(ends: bool) -> None:
+        nonlocal line
+        s = _BLANK.sub(" ", entities.unescape("".join(text))) if text else ""
         text.clear()
-        if s:
-            out.append((stack[-1][0], s))
+        if s.strip():
+            out.append((stack[-1][0], s, line))
+        elif s and out and out[-1][2] == line:
+            out[-1] = (out[-1][0], out[-1][1] + " ", line)
+        line += ends
 
     while stack:
         item = next(stack[-1][1], None)
         if item is None:
-            flush()
+            flush(stack[-1][0].tag in BLOCKS)
             stack.pop()
         elif isinstance(item, str):
             text.append(item)
         elif item.noise:
             if item.tag in BLOCKS:
-                flush()
+                flush(True)
         else:
-            flush()
+            flush(item.tag in BLOCKS)
             stack.append((item, iter(item.items)))
     return out
 
 
-def _landmarks(root: Node) -> list[Node]:
-    """Outermost article marks outside noise."""
+def _joined(texts: list[tuple[str, int]]) -> str:
+    lines: dict[int, str] = {}
+    for text, line in texts:
+        lines[line] = lines.get(line, "") + text
+    return "\n\n".join(_BLANK.sub(" ", x).strip() for x in lines.values())
+
+
+def _landmarks(root: Node, named: bool = False) -> list[Node]:
+    """Outermost article marks outside noise, and unless ``named`` also outside elements named as boilerplate."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
         for item in reversed(node.items):
-            if not isinstance(item, str) and not item.noise:
+            if not isinstance(item, str) and not item.noise and (named or not item.named):
                 todo.append(item)
         if node.article:
             while todo and _below(todo[-1], node):
@@ -208,31 +229,31 @@ def _below(node: Node, top: Node) -> bool:
     return False
 
 
-def _largest(found: list[tuple[Node, str]]) -> list[str]:
+def _largest(found: list[tuple[Node, str, int]]) -> list[tuple[str, int]]:
     """The texts of the narrowest branch with more than half of the text; elements of one path count as one branch."""
     chains = []
-    for node, text in found:
+    for node, text, line in found:
         chain, up = [], node.up
         while up:
             chain.append(up.key)
             up = up.up
-        chains.append((chain[::-1], text))
+        chains.append((chain[::-1], text, line))
     depth = 0
     while True:
         sizes: Counter = Counter()
-        for chain, text in chains:
+        for chain, text, _ in chains:
             if len(chain) > depth:
                 sizes[chain[depth]] += len(text)
         best = max(sizes, key=lambda k: sizes[k], default=None)
-        if best is None or 2 * sizes[best] <= sum(len(t) for _, t in chains):
-            return [t for _, t in chains]
-        chains = [(c, t) for c, t in chains if len(c) > depth and c[depth] == best]
+        if best is None or 2 * sizes[best] <= sum(len(t) for _, t, _ in chains):
+            return [(t, line) for _, t, line in chains]
+        chains = [(c, t, line) for c, t, line in chains if len(c) > depth and c[depth] == best]
         depth += 1
 
 
-#: What an article mark says: inside, it adds this share of what an importance lacks; outside, it leaves this share of the importance.
+#: What an article mark says: inside, it adds this share of what an importance lacks; outside, as below a name of boilerplate, it leaves this share.
 INSIDE, OUTSIDE = 0.3, 0.5
-#: What is known of a key, in its last two bits: the content is low even inside a mark, low, low where the mark speaks against it; the node was seen often enough.
+#: What is known of a key, in its last two bits: the content is low even inside a mark, low, low where a mark or name speaks against it; the node was seen often enough.
 _LOW_INSIDE, _LOW, _LOW_OUTSIDE, _SEEN = range(4)
 
 
@@ -243,13 +264,19 @@ def _stays(key: int, node_key: int, removed: set[int] | frozenset, inside: bool,
     return key | _LOW_INSIDE not in removed and (inside or key | _LOW not in removed)
 
 
-def _judged(root: Node) -> list[tuple[Node, str, bool, bool]]:
-    """The blocks of a page, each with whether it is inside an article mark, and whether the page's marks speak against it."""
+def _judged(root: Node) -> list[tuple[Node, str, int, bool, bool]]:
+    """The blocks of a page, each with whether it is inside an article mark, and whether marks or names speak against it.
+
+    Marks below names count only where there are no others; then the names above them don't.
+    """
     found = blocks(root)
-    marks = set(_landmarks(root))
-    inside = [_within(n, marks) for n, _ in found] if marks else [False] * len(found)
+    for named in (False, True):
+        marks = set(_landmarks(root, named))
+        inside = [_within(n, marks) for n, *_ in found] if marks else [False] * len(found)
+        if any(inside):
+            break
     marked = any(inside)
-    return [(n, t, i, marked and not i) for (n, t), i in zip(found, inside)]
+    return [(n, t, line, i, (marked and not i) or _named(n, marks)) for (n, t, line), i in zip(found, inside)]
 
 
 def extract(html: str | None, removed: set[int] | frozenset = frozenset()) -> str:
@@ -257,10 +284,11 @@ def extract(html: str | None, removed: set[int] | frozenset = frozenset()) -> st
     if not html:
         return ""
     found = _judged(parse(html))
-    kept = [t for n, t, inside, doubtful in found if _stays(_content(n, t), _key(n.key), removed, inside, doubtful)]
+    kept = [(t, line) for n, t, line, inside, doubtful in found if _stays(_content(n, t), _key(n.key), removed, inside, doubtful)]
     if not kept:
-        kept = [t for _, t, inside, _ in found if inside] or _largest([(n, t) for n, t, *_ in found])
-    return "\n\n".join(kept)
+        marked = [x for x in found if x[3]]
+        kept = [(t, line) for _, t, line, _, doubtful in marked if not doubtful] or _largest([x[:3] for x in marked or found])
+    return _joined(kept)
 
 
 def _within(node: Node | None, marks: set[Node]) -> bool:
@@ -271,8 +299,17 @@ def _within(node: Node | None, marks: set[Node]) -> bool:
     return False
 
 
+def _named(node: Node | None, marks: set[Node]) -> bool:
+    """Whether an element or one above it, up to the article mark, has a name of boilerplate."""
+    while node and node not in marks:
+        if node.named:
+            return True
+        node = node.up
+    return False
+
+
 def _content(node: Node, text: str) -> int:
-    return _key(node.key + "\0" + text)
+    return _key(node.key + "\0" + text.strip())
 
 
 def _nodes(root: Node):
@@ -287,7 +324,7 @@ def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
     """What a page adds to its host's tree.
 
     (node, 0, style) for nodes outside noise, (node, 1, content) for their own
-    blocks of text, (node, 2, node) for those with blocks that marks speak against.
+    blocks of text, (node, 2, node) for those with blocks that marks or names speak against.
     """
     out: set[tuple[int, int, int]] = set()
     if not html:
@@ -300,7 +337,7 @@ def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
             if (not isinstance(x, str) or x.strip()) and (not signs or signs[-1] != sign):
                 signs.append(sign)
         out.add((_key(node.key), 0, _key(" ".join(signs))))
-    for node, text, _, doubtful in _judged(root):
+    for node, text, _, _, doubtful in _judged(root):
         key = _key(node.key)
         out.add((key, 1, _content(node, text)))
         if doubtful:
@@ -321,9 +358,9 @@ def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4
     1 - gamma ** styles and the second by the rest. Contents of one page only, and
     those of nodes on fewer than ``least_pages`` pages, count as important.
 
-    Article marks are evidence in the importance (INSIDE, OUTSIDE): the last two
-    bits of ``what`` say in which place the content is low; a node that marks
-    speak against and that has ``least_pages`` pages is listed as seen.
+    Article marks and names are evidence in the importance (INSIDE, OUTSIDE): the last two
+    bits of ``what`` say in which place the content is low; a node that marks or
+    names speak against and that has ``least_pages`` pages is listed as seen.
     """
 
     def run(batches):

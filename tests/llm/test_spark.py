@@ -152,3 +152,14 @@ def test_the_tree_decides_on_marked_pages_too(spark):
     assert got == {k: f"Title {k}\n\nStory {k}\n\nBody outside {k}" for k in range(8)} | {100: "Title 1\n\nStory 1\n\nWritten by the staff"}
     same = [(k, "http://h.example/x", page(1)) for k in range(8)]
     assert {r.text for r in html.main_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"Title 1\n\nStory 1\n\nWritten by the staff"}
+
+
+def test_names_are_evidence_only(spark):
+    widget = lambda text: f"<div class='elementor-widget elementor-widget-text-editor'><p>{text}</p></div>"
+    assert html.extract("<body>" + widget("One long paragraph") + widget("Another one") + "</body>") == "One long paragraph\n\nAnother one"
+    assert html.extract("<article>" + widget("All of it") + "</article>") == "All of it"
+    assert html.extract("<p>Long story</p><div class='cookie-notice'>We use cookies</div><p>The <span class='share-it'>s</span> end</p>") == "Long story\n\nThe end"
+    page = lambda k: f"<article><h1>T {k}</h1><div id='social-history'><p>Own {k}</p></div><div class='share-line'>Share this</div><div class='comments'><p>me {k}</p></div></article>"
+    rows = [(k, "http://h.example/x", page(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"T {k}\n\nOwn {k}" for k in range(8)}
