@@ -74,3 +74,27 @@ def test_text_expressions(spark):
     d = spark.createDataFrame([("  a\r\n\r\n\r\nb\r ",)], "x string")
     r = d.select(T.normal_text(F.col("x")).alias("n"), T.splice(F.lit("abcdef"), F.lit(2), F.lit(4), F.lit("--")).alias("s"), T.fold_alnum(F.lit("A-b é!")).alias("f"), T.has_extension(F.lit("x.PDF")).alias("e")).first()
     assert (r.n, r.s, r.f, r.e) == ("a\n\nb", "ab--ef", "abé", True)
+
+
+def test_all_patterns_over_documents(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    import __spark_entry__
+    from palimpsest.functions.catalog import PATTERNS
+
+    rows = [(1, "Call +44 20 7946 0958 or 555-123-4567 by 3/4/2024; fee $1,200.50, 3.5% to a@b.com"), (2, "Mr Alan Marsh paid EUR 30 on January 5, 2024, or 2024-01-05"), (3, "tel 555-123-4567 2024"), (4, None), (5, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n, docs = Counter(), {}
+    for doc, text in rows:
+        best = {}
+        for category, _, pattern in PATTERNS:
+            for m in re.finditer(pattern, text or "", re.IGNORECASE):
+                best.setdefault(m[0].strip().lower(), (m[0], category))
+        for original, category in best.values():
+            if not any(original in o and original != o for o, _ in best.values()):
+                n[category] += 1
+                docs.setdefault(category, set()).add(doc)
+    want = {c: (n[c], len(docs[c])) for c in n}
+    got = {r.category: (r.n, r.docs) for r in __spark_entry__.queries()["all_entity_counts"](spark, str(tmp_path)).collect()}
+    assert got == want and {"PHONE", "CURRENCY", "DATE", "EMAIL"} <= set(got)
