@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,17 @@ from palimpsest.functions.text import normal_placeholder, strip
 #: Unicode classes, case ignored: as the patterns are meant.
 FLAGS = "(?iU)"
 _STRIDE = 1_000_000_000
+PATTERN_CONFIDENCE, PATTERN_REASON = 0.8, "Detected by pattern matching"
+
+
+def hits_in(text: Column, patterns=PATTERNS) -> Column:
+    """Every hit of every pattern in a text, as a list of (seq, original, placeholder, category)."""
+
+    def hits(k: int, category: str, placeholder: str, pattern: str):
+        found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
+        return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE) + i).alias("seq"), m.alias("original"), F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category")))
+
+    return F.concat(*[hits(k, c, p, x) for k, (c, p, x) in enumerate(patterns)])
 
 
 def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
@@ -20,15 +31,9 @@ def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
     ``seq`` orders hits by category, pattern and place. All patterns are applied
     in one projection and one explode, with no Python and no shuffle.
     """
-
-    def hits(k: int, category: str, placeholder: str, pattern: str):
-        found = F.regexp_extract_all(F.col("text"), F.lit(FLAGS + pattern), F.lit(0))
-        return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE) + i).alias("seq"), m.alias("original"), F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category")))
-
-    every = F.concat(*[hits(k, c, p, x) for k, (c, p, x) in enumerate(patterns)])
     return (
-        docs.select("doc_id", F.explode(every).alias("hit"))
-        .select("doc_id", "hit.*", F.lit(0.8).alias("confidence"), F.lit("Detected by pattern matching").alias("reason"))
+        docs.select("doc_id", F.explode(hits_in(F.col("text"), patterns)).alias("hit"))
+        .select("doc_id", "hit.*", F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
         .filter((F.col("original") != "") & ~F.startswith("original", F.lit("{{")))
     )
 

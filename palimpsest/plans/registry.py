@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.catalog import CATEGORIES, PATTERNS
-from palimpsest.operators import chunking, contexts, entities, matching, model, rebuild
+from palimpsest.operators import chunking, classify, contexts, entities, matching, model, rebuild
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,7 +87,7 @@ def all_entity_counts(spark, sf_dir):
 
 @query(f"WITH {_DUCK_LETTERS}, {_duck_hits('letters')} SELECT doc_id, seq, original, placeholder, category FROM hits")
 def letter_entities(spark, sf_dir):
-    """E with all nineteen patterns, U1."""
+    """E with all nineteen patterns."""
     return entities.detect(letters(spark, sf_dir)).select("doc_id", "seq", "original", "placeholder", "category")
 
 
@@ -274,11 +274,18 @@ def model_replies(spark, sf_dir):
 
 @query()
 def model_answers(spark, sf_dir):
-    """M1, M4, M5, P5: chunks sent to the default client, its reply parsed."""
+    """M1, P5: chunks sent to the default client, its reply parsed."""
     chunks_ = chunking.chunk_documents(table(spark, sf_dir, "documents"), "max").withColumn("prompt", model.prompt_for_chunk('Reply as {{"replacements": []}}. Text: {text_chunk}', F.col("text")))
     return model.ask(chunks_, model.silent).select("doc_id", "chunk_index", F.size(model.replacements_in(F.col("reply"))).alias("found"), "error")
 
 
+@query()
+def classified_documents(spark, sf_dir):
+    """Detections of patterns and of the default client over documents, reconciled."""
+    found = classify.classify(table(spark, sf_dir, "documents"), 'Reply as {{"replacements": []}}. Text: {text_chunk}')
+    return found.select("doc_id", "original", "placeholder", "category", "confidence", "ord")
+
+
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN text || chr(10) || chr(10) || lang ELSE '' END AS resolved FROM documents WHERE text IS NOT NULL AND text <> '' AND lang IS NOT NULL""")
 def resolved_texts(spark, sf_dir):
     """Parsed documents under several keys."""

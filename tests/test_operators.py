@@ -98,3 +98,27 @@ def test_all_patterns_over_documents(spark, tmp_path):
     want = {c: (n[c], len(docs[c])) for c in n}
     got = {r.category: (r.n, r.docs) for r in __spark_entry__.queries()["all_entity_counts"](spark, str(tmp_path)).collect()}
     assert got == want and {"PHONE", "CURRENCY", "DATE", "EMAIL"} <= set(got)
+
+
+def test_model_and_pattern_detections_are_united(spark):
+    from palimpsest.operators import classify
+
+    def client(prompt):
+        if "fails" in prompt:
+            raise OSError("no answer")
+        if "errs" in prompt:
+            return '{"error": "limit", "replacements": []}'
+        if "Bob" in prompt:
+            return '```json\n{"replacements": [{"original": "Bob", "placeholder": "NAME", "category": "CUSTOMER_NAME"}, {"original": "Zoe"}, {"original": "A@b.com", "placeholder": "{{X}}", "category": "X", "confidence": 0.95}]}\n```'
+        return "no json"
+
+    rows = [(1, "Bob has A@b.com and 3%"), (2, "fails for c@d.com"), (3, "errs for 4%"), (4, "else 5%"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.original, r.placeholder, r.category, r.confidence) for r in classify.classify(docs, "{text_chunk}", client).collect()}
+    assert got == {
+        (1, "Bob", "{{CUSTOMER_NAME}}", "CUSTOMER_NAME", 0.9), (1, "A@b.com", "{{X}}", "X", 0.95), (1, "3%", "{{PERCENTAGE}}", "PERCENTAGE", 0.8),
+        (2, "c@d.com", "{{EMAIL}}", "EMAIL", 0.8), (3, "4%", "{{PERCENTAGE}}", "PERCENTAGE", 0.8), (4, "5%", "{{PERCENTAGE}}", "PERCENTAGE", 0.8),
+    }
+    chunks = docs.filter("text is not null").withColumn("chunk_index", F.lit(0))
+    by_chunk = {(r.doc_id, r.original) for r in classify.chunk_detections(chunks, "{text_chunk}", client).collect()}
+    assert by_chunk == {(1, "Bob"), (1, "A@b.com"), (2, "c@d.com"), (3, "4%"), (4, "5%")}
