@@ -3,10 +3,12 @@
 Every document has a size in words. Sources get target sizes by weight, none
 above ``epochs`` times its own size (what is cut off is shared again among the
 rest). The mix is dealt out in blocks of ``block`` words: highest quotients
-v / (2k + 1) give each source an integer number of blocks, and in each source
-each shard. A shard lists its documents in a seeded order; its blocks are cut
-from that list, read again from its start where the quota asks for more than one
-pass, and the first blocks up to the quota are taken.
+v / (2k + 1) give each source an integer number of blocks, the last one partial
+where the source has no more, and in each source each shard an integer number of
+their words: blocks span shards, so a source's total doesn't depend on how many
+shards there are. A shard lists its documents in a seeded order; the first words
+of that list up to the quota are taken, read again from its start where the quota
+asks for more than one pass.
 
 Shards are made by hash of the id, so a source with any share of the rows is
 spread evenly; only sums by shard and by source meet in one place.
@@ -124,12 +126,14 @@ def mix(
     aims = (
         aims.withColumn("_all", F.lit(0))
         .withColumn("_blocks", F.floor(F.sum("target").over(W.partitionBy("_all")) / block))
-        .withColumn("_cap", F.floor(F.col("source_size") * epochs / block))
+        .withColumn("_cap", F.ceil(F.col("source_size") * epochs / block))
     )
-    quotas = sainte_lague(aims, ["_all"], key, "target", "_blocks", "_cap").select(*key, "source_size", "target", F.col("quota").alias("_seats"))
-    parts = by_shard.join(quotas, key).withColumn("_cap", F.floor(F.col("shard_size") * epochs / block))
+    # The last block of a source may be partial, and blocks span shards: so words, not blocks, go to shards.
+    seats = F.least(F.col("quota") * block, F.col("source_size") * epochs)
+    quotas = sainte_lague(aims, ["_all"], key, "target", "_blocks", "_cap").select(*key, "source_size", "target", seats.alias("_seats"))
+    parts = by_shard.join(quotas, key).withColumn("_cap", F.col("shard_size") * epochs)
     parts = sainte_lague(parts, key, ["_shard"], "shard_size", "_seats", "_cap").select(
-        *key, "_shard", "source_size", "target", "shard_size", (F.col("quota") * block).alias("_words")
+        *key, "_shard", "source_size", "target", "shard_size", F.col("quota").alias("_words")
     )
 
     line = W.partitionBy(*key, "_shard").orderBy("_draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)

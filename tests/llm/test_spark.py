@@ -163,3 +163,14 @@ def test_names_are_evidence_only(spark):
     rows = [(k, "http://h.example/x", page(k)) for k in range(8)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"T {k}\n\nOwn {k}" for k in range(8)}
+
+
+def test_the_mix_does_not_depend_on_the_number_of_shards(spark):
+    rows = [(k, "word " * 40, "a" if k < 20 else "b") for k in range(220)] + [(900, "word " * 30, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = []
+    for shard_rows in (4096, 2):
+        got = mixing.mix(docs, weights=(5, 1, 5), shard_rows=shard_rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert all(abs(r.taken - r.target) < 2 * 64 for r in got)
+        totals.append({r.source: r.taken for r in got})
+    assert totals[0] == totals[1] and totals[0]["a"] == 1600 and totals[0]["c"] == 60
