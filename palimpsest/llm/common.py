@@ -14,13 +14,17 @@ SLICE = 256
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names.
+    """The shared folder that ``spark.checkpoint.dir`` names, or that was set on the context.
 
-    Only where it is unset, as in tests on one machine, a temporary folder stands in for it.
+    A local session without one, as in tests, gets a temporary folder; anywhere
+    else a machine's own disk would not do, so its lack is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
     return sc.getCheckpointDir()
 
 

@@ -6,26 +6,36 @@ holds in how many pages it stands, which presentation styles (the sequences of
 child signatures, repeats in a row once) it takes there, and which contents
 (blocks of text) stand below it. Importance follows from entropy: a node with
 one style on many pages carries no presentation information; content that the
-pages of the host share carries no content information. A composite of both
-ranks each content of a node, and contents below ``threshold`` are removed from
-each page: a branch goes only when all that stands below it goes.
-
-Structure that says by itself what it is comes first: navigation, headers,
-footers, asides, forms, scripts, styles and elements named just as adverts or
-comments go on any host. Other names of boilerplate (notices, menus, widgets) are
-evidence: contents below them stay only if the tree has seen their node often
-enough and they are clearly the page's own. Article marks (article, main, role=main) are
-evidence in the importance: contents inside one go only if nearly all pages of
-the host share them; contents outside the marks of a page stay only if the tree
-has seen their node often enough and they are clearly the page's own.
+pages of the host share carries no content information. The composite of both
+(``composites``) is a number from 0 to 1 for each content of a node.
 
-Statistics are counts by (host, node, style or content): a host with any share
-of the pages meets in one place only as counts. Of the tree, only the contents to
-remove travel back, a set whose size is checked before it is broadcast.
+What a page itself says of a place is evidence that scales the composite to the
+content's importance (``importance``):
+
+- inside an article mark (article, main, role=main) it lacks less of 1;
+- outside the marks of a page that has some, or below a name of boilerplate
+  (notices, menus, widgets), it counts half, and where the tree has not seen the
+  node often enough to tell, it is held to be shared;
+- below structure of boilerplate (navigation, headers, footers, asides, forms,
+  elements named just as adverts or comments) it counts 0.3. A form that holds
+  an article mark or most of a page's text is the page, and no evidence.
+
+Contents of less importance than ``threshold`` are removed from each page: a
+branch goes only when all that stands below it goes. Scripts, styles and what no
+reader sees are no content at all.
 
-Defined cases: a null or empty html gives an empty text; a null url is a host of
-its own; a page of which everything would go gives its largest branch; repeated
-rows give repeated rows; other columns are ignored.
+Statistics are counts by (host, node, style or content): a host with any share
+of the pages meets in one place only as counts. Of the tree, only composites that
+some evidence can take below the threshold travel back. Up to ``broadcast_rows`` of
+them are broadcast; more are sent once to each of ``spread`` parts of a host's pages.
+
+Defined cases: a null or empty html gives an empty text, with its page_id and
+url; a null url is a host of its own; a page of which everything would go gives
+its largest branch, the one without evidence against it if there is any; ties
+of branches go to the first; tags without an end are text; nesting of any depth
+and very long pages take time and memory in proportion to their length; repeated
+rows give repeated rows; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +43,15 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpoint, slices
+from palimpsest.llm.common import checkpoint, memory, slices
 
 # Fixed values of HTML: elements that make blocks, that have no end, whose content is no markup, that end an open p.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -58,6 +70,9 @@ _NOISE = re.compile(
 _NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist comment-list respond disqus disqus_thread replies".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+|[^>]*+)>|([^<]++|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 _BLANK = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+")
 
@@ -65,21 +80,34 @@ _NUMBER = re.compile(r"\d+")
 class Node:
     """An element: its signature, its path's key, its children and texts in order."""
 
-    __slots__ = ("tag", "sign", "key", "items", "noise", "article", "named", "up")
+    __slots__ = ("tag", "sign", "key", "items", "hidden", "structure", "article", "named", "up")
 
-    def __init__(self, tag: str, sign: str, up: Node | None, noise: bool, article: bool, named: bool = False):
-        self.tag, self.sign, self.up, self.noise, self.article, self.named = tag, sign, up, noise, article, named
-        self.key = (up.key if up else "") + "/" + sign
+    def __init__(self, tag: str, sign: str, up: Node | None, hidden: bool = False, structure: bool = False, article: bool = False, named: bool = False):
+        self.tag, self.sign, self.up = tag, sign, up
+        self.hidden, self.structure, self.article, self.named = hidden, structure, article, named
+        self.key = _key(f"{up.key if up else 0}/{sign}")
         self.items: list = []
 
 
 def parse(html: str) -> Node:
-    """The tree of a page. Inline elements are no nodes unless they are noise or named as boilerplate."""
-    root = top = Node("#root", "", None, False, False)
-    at, n = 0, len(html)
+    """The tree of a page. Inline elements are no nodes unless there is evidence against them.
+
+    Open elements are counted by tag, so that an end tag that closes nothing costs nothing.
+    """
+    root = top = Node("#root", "", None)
+    at, n, open_, marks = 0, len(html), Counter(), 0
+    last = html.rfind(">")  # behind it no tag ends
+    endless: set[str] = set()  # raw elements whose end tag doesn't come any more
+
+    def left(node: Node) -> Node:
+        nonlocal marks
+        open_[node.tag] -= 1
+        marks -= node.article
+        return node.up
+
     while at < n:
-        m = _TOKEN.match(html, at)
-        if m is None:  # a tag without an end
+        m = _TOKEN.match(html, at) if at <= last else None
+        if m is None:  # tags without an end
             top.items.append(html[at:])
             break
         at = m.end()
@@ -90,24 +118,21 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag == "p":
-                if tag == "p" and not _has(top, "p"):
-                    continue
-                if tag == "br":
-                    top.items.append(" ")
-                    continue
-            node = top
-            while node.up and node.tag != tag:
-                node = node.up
-            if node.up:
-                top = node.up
+            if tag == "br":
+                top.items.append(" ")
+            elif open_[tag] > 0:
+                while top.tag != tag:
+                    top = left(top)
+                top = left(top)
             continue
         block = tag in BLOCKS
         if block:
-            while top.up and (top.tag == "p" or top.tag in _SIBLINGS.get(tag, ()) or (tag[0] == "h" and top.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and top.tag[1:].isdigit() and tag[1:].isdigit())):
-                top = top.up
+            while top.up and (top.tag == "p" or top.tag in _SIBLINGS.get(tag, ()) or (tag in _HEADINGS and top.tag in _HEADINGS)):
+                top = left(top)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+            end = _RAW_ENDS[tag].search(html, at) if tag not in endless else None
+            if not end:
+                endless.add(tag)
             at = end.start() if end else n
             if end:
                 close = html.find(">", at)
@@ -115,7 +140,7 @@ def parse(html: str) -> Node:
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                top.items.append(" " if tag == "br" else Node("hr", "hr", top, False, False))
+                top.items.append(" " if tag == "br" else Node("hr", "hr", top))
             continue
         names, role = "", ""
         if m[3] and "=" in m[3]:
@@ -125,47 +150,32 @@ def parse(html: str) -> Node:
                     names += " " + value
                 elif name == "role":
                     role = value.lower()
-        noise = tag in HIDDEN or tag in BOILERPLATE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        named = not noise and bool(names and tag not in ("body", "html", "article", "main") and _NOISE.search(names))
+        hidden = tag in HIDDEN
+        structure = not hidden and (tag in BOILERPLATE or role in _ROLES or (tag == "header" and not marks))
+        named = not hidden and not structure and bool(names and tag not in ("body", "html", "article", "main") and _NOISE.search(names))
         if named and not _NEVER.isdisjoint(names.lower().split()):
-            noise, named = True, False
-        if not block and not noise and not named:
+            structure, named = True, False
+        if not block and not hidden and not structure and not named:
             continue
         sign = tag + "".join("." + _NUMBER.sub("#", x) for x in sorted(names.split())) + (f"[{role}]" if role else "")
         article = tag in ("article", "main") or role == "main"
-        if tag == "header" and not _inside_article(top):
-            noise = True
-        node = Node(tag, sign, top, noise, article, named)
+        node = Node(tag, sign, top, hidden, structure, article, named)
         top.items.append(node)
         if m[3].endswith("/") and not block:
             continue
         top = node
+        open_[tag] += 1
+        marks += article
     return root
 
 
-def _has(node: Node, tag: str) -> bool:
-    while node.up:
-        if node.tag == tag:
-            return True
-        node = node.up
-    return False
-
-
-def _inside_article(node: Node | None) -> bool:
-    while node:
-        if node.article:
-            return True
-        node = node.up
-    return False
-
-
 def _key(path: str) -> int:
-    """A number for a path or text; its last two bits are free."""
-    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & ~3
+    """A number for a path or text; its last seven bits are free for a composite."""
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & ~_STEPS
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
-    """Texts outside noise, in order, each with the element that holds it and the number of its block.
+    """Texts that a reader sees, in order, each with the element that holds it and the number of its block.
 
     A block has several texts only where elements in its line are nodes; blanks between these stay.
     """
@@ -188,7 +198,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
             stack.pop()
         elif isinstance(item, str):
             text.append(item)
-        elif item.noise:
+        elif item.hidden:
             if item.tag in BLOCKS:
                 flush(True)
         else:
@@ -204,112 +214,121 @@ def _joined(texts: list[tuple[str, int]]) -> str:
     return "\n\n".join(_BLANK.sub(" ", x).strip() for x in lines.values())
 
 
-def _landmarks(root: Node, named: bool = False) -> list[Node]:
-    """Outermost article marks outside noise, and unless ``named`` also outside elements named as boilerplate."""
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        for item in reversed(node.items):
-            if not isinstance(item, str) and not item.noise and (named or not item.named):
-                todo.append(item)
-        if node.article:
-            while todo and _below(todo[-1], node):
-                todo.pop()
-            found.append(node)
-    # main around articles: the articles, if main has any text in them
-    return found
-
-
-def _below(node: Node, top: Node) -> bool:
-    up: Node | None = node
-    while up:
-        if up is top:
-            return True
-        up = up.up
-    return False
-
-
 def _largest(found: list[tuple[Node, str, int]]) -> list[tuple[str, int]]:
     """The texts of the narrowest branch with more than half of the text; elements of one path count as one branch."""
-    chains = []
-    for node, text, line in found:
-        chain, up = [], node.up
-        while up:
-            chain.append(up.key)
+    sizes: Counter = Counter()
+    for node, text, _ in found:
+        sizes[node] += len(text)
+    # Sums from the leaves up; nodes are met before those below them, so in reverse all below are done.
+    every = _below_root(found)
+    for node in reversed(every):
+        if node.up:
+            sizes[node.up] += sizes[node]
+    by_path: Counter = Counter()
+    for node in every:
+        by_path[node.key] += sizes[node]
+    half, best = sum(len(t) for _, t, _ in found), None
+    for node in every:  # paths with more than half of the text form one line down
+        if 2 * by_path[node.key] > half:
+            best = node.key
+    marked: set[Node] = set()
+    for node in every:
+        if node.key == best or node.up in marked:
+            marked.add(node)
+    return [(t, line) for node, t, line in found if best is None or node in marked]
+
+
+def _below_root(found: list[tuple[Node, str, int]]) -> list[Node]:
+    """The elements that hold the texts and all above them, each after the one above."""
+    every: dict[Node, None] = {}
+    for node, _, _ in found:
+        line, up = [], node
+        while up and up not in every:
+            line.append(up)
             up = up.up
-        chains.append((chain[::-1], text, line))
-    depth = 0
-    while True:
-        sizes: Counter = Counter()
-        for chain, text, _ in chains:
-            if len(chain) > depth:
-                sizes[chain[depth]] += len(text)
-        best = max(sizes, key=lambda k: sizes[k], default=None)
-        if best is None or 2 * sizes[best] <= sum(len(t) for _, t, _ in chains):
-            return [(t, line) for _, t, line in chains]
-        chains = [(c, t, line) for c, t, line in chains if len(c) > depth and c[depth] == best]
-        depth += 1
+        every.update(dict.fromkeys(reversed(line)))
+    return list(every)
 
 
-#: What an article mark says: inside, it adds this share of what an importance lacks; outside, as below a name of boilerplate, it leaves this share.
-INSIDE, OUTSIDE = 0.3, 0.5
-#: What is known of a key, in its last two bits: the content is low even inside a mark, low, low where a mark or name speaks against it; the node was seen often enough.
-_LOW_INSIDE, _LOW, _LOW_OUTSIDE, _SEEN = range(4)
+#: Places of a content: inside an article mark, where nothing speaks for or against it, where marks or names speak against it, below structure of boilerplate.
+INSIDE, PLAIN, DOUBTFUL, STRUCTURE = range(4)
+#: Steps of a composite as it travels: in a key's last seven bits.
+_STEPS = 127
+#: Composite that is assumed of doubtful contents whose node the tree hasn't seen often enough.
+_UNKNOWN = 0.5
 
 
-def _stays(key: int, node_key: int, removed: set[int] | frozenset, inside: bool, doubtful: bool) -> bool:
-    """Whether a content stays; a doubtful one only if its node was seen often enough to show that it is no boilerplate."""
-    if doubtful:
-        return node_key | _SEEN in removed and not any(key | level in removed for level in (_LOW_INSIDE, _LOW, _LOW_OUTSIDE))
-    return key | _LOW_INSIDE not in removed and (inside or key | _LOW not in removed)
+def importance(composite: float, place: int) -> float:
+    """The composite scaled by what the page says of the place."""
+    if place == INSIDE:
+        return composite + 0.3 * (1 - composite)
+    return composite * (1.0, 1.0, 0.5, 0.3)[place]
 
 
-def _judged(root: Node) -> list[tuple[Node, str, int, bool, bool]]:
-    """The blocks of a page, each with whether it is inside an article mark, and whether marks or names speak against it.
+def judged(root: Node) -> list[tuple[Node, str, int, int]]:
+    """The blocks of a page, each with its place.
 
-    Marks below names count only where there are no others; then the names above them don't.
+    The nearest structure wins over marks below it, the nearest mark over names above it. Marks below names count
+    only where there are no others.
     """
     found = blocks(root)
-    for named in (False, True):
-        marks = set(_landmarks(root, named))
-        inside = [_within(n, marks) for n, *_ in found] if marks else [False] * len(found)
-        if any(inside):
+    whole, sizes, marked = sum(len(t) for _, t, _ in found), Counter(), set()
+    every = _below_root(found)
+    for node, text, _ in found:
+        sizes[node] += len(text)
+    for node in reversed(every):
+        if node.article:
+            marked.add(node)
+        if node.up:
+            sizes[node.up] += sizes[node]
+            if node in marked:
+                marked.add(node.up)
+    for strict in (True, False):
+        state: dict[Node, tuple[bool, bool, bool]] = {}  # structure, inside, named
+        for node in every:
+            structure, inside, named = state[node.up] if node.up else (False, False, False)
+            if node.structure and not (node.tag == "form" and (node in marked or 2 * sizes[node] > whole)):
+                structure = True
+            if node.article and not (strict and named):
+                inside, named = True, False
+            named = named or node.named
+            state[node] = structure, inside and not structure, named
+        any_inside = any(state[n][1] for n, *_ in found)
+        if any_inside:
             break
-    marked = any(inside)
-    return [(n, t, line, i, (marked and not i) or _named(n, marks)) for (n, t, line), i in zip(found, inside)]
+    out = []
+    for n, t, line in found:
+        structure, inside, named = state[n]
+        place = STRUCTURE if structure else DOUBTFUL if named or (any_inside and not inside) else INSIDE if inside else PLAIN
+        out.append((n, t, line, place))
+    return out
 
 
-def extract(html: str | None, removed: set[int] | frozenset = frozenset()) -> str:
-    """The main text of a page, given what its host's tree says (``low_contents``)."""
+def extract(html: str | None, low: dict[int, int] | None = None, threshold: float = 0.35) -> str:
+    """The main text of a page, given what its host's tree says: composites, in steps, by content, and _STEPS by doubtful node seen often enough.
+
+    Contents that the tree doesn't list are the page's own, of composite 1.
+    """
     if not html:
         return ""
-    found = _judged(parse(html))
-    kept = [(t, line) for n, t, line, inside, doubtful in found if _stays(_content(n, t), _key(n.key), removed, inside, doubtful)]
+    low = low or {}
+    found, kept = judged(parse(html)), []
+    for n, t, line, place in found:
+        composite = low.get(_content(n, t), _STEPS) / _STEPS
+        if place == DOUBTFUL and n.key not in low:
+            composite = min(composite, _UNKNOWN)
+        if importance(composite, place) >= threshold:
+            kept.append((t, line))
     if not kept:
-        marked = [x for x in found if x[3]]
-        kept = [(t, line) for _, t, line, _, doubtful in marked if not doubtful] or _largest([x[:3] for x in marked or found])
+        for places in ((INSIDE,), (INSIDE, PLAIN), (INSIDE, PLAIN, DOUBTFUL), tuple(range(4))):
+            if rest := [x[:3] for x in found if x[3] in places]:
+                kept = [(t, line) for _, t, line in rest] if places == (INSIDE,) else _largest(rest)
+                break
     return _joined(kept)
 
 
-def _within(node: Node | None, marks: set[Node]) -> bool:
-    while node:
-        if node in marks:
-            return True
-        node = node.up
-    return False
-
-
-def _named(node: Node | None, marks: set[Node]) -> bool:
-    """Whether an element or one above it, up to the article mark, has a name of boilerplate."""
-    while node and node not in marks:
-        if node.named:
-            return True
-        node = node.up
-    return False
-
-
 def _content(node: Node, text: str) -> int:
-    return _key(node.key + "\0" + text.strip())
+    return _key(f"{node.key}\0{text.strip()}")
 
 
 def _nodes(root: Node):
@@ -317,14 +336,15 @@ def _nodes(root: Node):
     while todo:
         node = todo.pop()
         yield node
-        todo += [x for x in node.items if not isinstance(x, str) and not x.noise]
+        todo += [x for x in node.items if not isinstance(x, str) and not x.hidden]
 
 
 def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
     """What a page adds to its host's tree.
 
-    (node, 0, style) for nodes outside noise, (node, 1, content) for their own
-    blocks of text, (node, 2, node) for those with blocks that marks or names speak against.
+    (node, 0, style) for nodes, (node, 1, content) for their own blocks of text,
+    (node, 2, node) for those with doubtful blocks. Contents below structure of boilerplate
+    are of too little importance whatever the tree says of them, so it holds only their nodes.
     """
     out: set[tuple[int, int, int]] = set()
     if not html:
@@ -336,12 +356,12 @@ def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
             sign = "#text" if isinstance(x, str) else x.sign
             if (not isinstance(x, str) or x.strip()) and (not signs or signs[-1] != sign):
                 signs.append(sign)
-        out.add((_key(node.key), 0, _key(" ".join(signs))))
-    for node, text, _, _, doubtful in _judged(root):
-        key = _key(node.key)
-        out.add((key, 1, _content(node, text)))
-        if doubtful:
-            out.add((key, 2, key))
+        out.add((node.key, 0, _key(" ".join(signs))))
+    for node, text, _, place in judged(root):
+        if place != STRUCTURE:
+            out.add((node.key, 1, _content(node, text)))
+        if place == DOUBTFUL:
+            out.add((node.key, 2, node.key))
     return out
 
 
@@ -349,18 +369,14 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, gamma: float = 0.9) -> DataFrame:
-    """(host, what) of the contents of the style trees' nodes whose composite importance is below ``threshold``.
+def composites(pages: DataFrame, least_pages: int = 4, gamma: float = 0.9) -> DataFrame:
+    """(host, what, composite) of the contents that several pages share, and of doubtful nodes (composite 1), on ``least_pages`` pages or more.
 
     Node importance is the entropy of its styles to the base of its number of
     pages; content importance is 1 less the entropy of the content, spread evenly
     over the pages that have it in this node. The composite weighs the first by
     1 - gamma ** styles and the second by the rest. Contents of one page only, and
-    those of nodes on fewer than ``least_pages`` pages, count as important.
-
-    Article marks and names are evidence in the importance (INSIDE, OUTSIDE): the last two
-    bits of ``what`` say in which place the content is low; a node that marks or
-    names speak against and that has ``least_pages`` pages is listed as seen.
+    those of nodes on fewer pages, count as important.
     """
 
     def run(batches):
@@ -389,30 +405,71 @@ def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4
     style = (base - F.col("spread") / F.col("m")) / base
     content = 1 - F.log("n") / base
     weight = F.pow(F.lit(gamma), F.col("styles"))
-    composite = (1 - weight) * style + weight * content
-    level = (
-        F.when(composite + INSIDE * (1 - composite) < threshold, _LOW_INSIDE)
-        .when(composite < threshold, _LOW)
-        .when(F.col("doubtful") & (composite * OUTSIDE < threshold), _LOW_OUTSIDE)
-    )
-    low = counted.filter("kind = 1").join(nodes, ["host", "node"]).select("host", "what", level.alias("level"))
-    seen = nodes.filter("doubtful").select("host", F.col("node").alias("what"), F.lit(_SEEN).alias("level"))
-    return low.unionByName(seen).filter("level is not null").select("host", (F.col("what") + F.col("level")).alias("what"))
+    composite = ((1 - weight) * style + weight * content).alias("composite")
+    shared = counted.filter("kind = 1").join(nodes, ["host", "node"]).select("host", "what", composite)
+    return shared.unionByName(nodes.filter("doubtful").select("host", F.col("node").alias("what"), F.lit(1.0).alias("composite")))
 
 
-def main_text(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, broadcast_hosts: int = 20_000, broadcast_nodes: int = 200_000) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
-    by_host = low_contents(pages, threshold, least_pages).groupBy("host").agg(F.sort_array(F.collect_list("what")).alias("removed"), F.count("*").alias("n"))
-    by_host = checkpoint(by_host)
-    hosts, nodes = by_host.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    by_host = by_host.select(F.col("host").alias("_host"), "removed")
-    if hosts <= broadcast_hosts and nodes <= broadcast_nodes:
-        by_host = F.broadcast(by_host)
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(by_host, "_host", "left").select("page_id", "url", "html", "removed")
+def low_contents(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4) -> DataFrame:
+    """(host, what): contents whose importance is below the threshold in some place, and doubtful nodes seen often enough; the last bits of ``what`` are the composite in steps."""
+    seen = composites(pages, least_pages).filter((F.col("composite") * 0.5 < threshold) | (F.col("composite") == 1))
+    steps = F.least(F.greatest(F.round(F.col("composite") * _STEPS), F.lit(0)), F.lit(_STEPS)).cast("long")
+    return seen.select("host", (F.col("what") + steps).alias("what"))
 
-    def run(batches):
-        for b in slices(batches):
-            texts = [extract(h, frozenset(r) if r else frozenset()) for h, r in zip(b.column("html").to_pylist(), b.column("removed").to_pylist())]
-            yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def _table(what) -> dict[int, int]:
+    return {x & ~_STEPS: x & _STEPS for x in what}
+
+
+def main_text(pages: DataFrame, threshold: float = 0.35, least_pages: int = 4, broadcast_rows: int = 500_000, spread: int = 64) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars."""
+    low = checkpoint(low_contents(pages, threshold, least_pages))
+    schema = "page_id long, url string, text string, n_chars long"
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+
+    def texts(b: pa.RecordBatch, table_of) -> pa.RecordBatch:
+        found = [extract(h, table_of(host), threshold) for host, h in zip(b.column("host").to_pylist(), b.column("html").to_pylist())]
+        return pa.record_batch([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if low.count() <= broadcast_rows:
+        by_host: dict[str, list[int]] = {}
+        for host, what in low.collect():
+            by_host.setdefault(host, []).append(what)
+        own_name = uuid.uuid4().hex
+        shared = pages.sparkSession.sparkContext.broadcast({h: np.array(sorted(x), dtype=np.int64) for h, x in by_host.items()})
+
+        def run(batches):
+            tables = memory((_table, own_name), dict)
+            for b in slices(batches):
+                for host in set(b.column("host").to_pylist()):
+                    if host not in tables and host in shared.value:
+                        tables[host] = _table(shared.value[host].tolist())
+                yield texts(b, tables.get)
+
+        return own.mapInArrow(run, schema)
+
+    # A host's pages are dealt to ``spread`` parts; in each its list comes once, before the pages.
+    blank = F.lit(None).cast("string")
+    part = F.pmod(F.xxhash64("html", "url", "page_id"), F.lit(spread)).cast("int")
+    rows = own.select("host", part.alias("part"), F.lit(1).alias("order"), "page_id", "url", "html", F.lit(None).cast("long").alias("what"))
+    lists = low.select("host", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"), F.lit(0).alias("order"), F.lit(None).cast("long").alias("page_id"), blank.alias("url"), blank.alias("html"), "what")
+    dealt = rows.unionByName(lists).repartition("host", "part").sortWithinPartitions("host", "part", "order")
+
+    def merged(batches):
+        now, table = None, {}
+        for b in slices(batches):
+            hosts, order, what = b.column("host").to_pylist(), b.column("order").to_pylist(), b.column("what").to_pylist()
+            tables, take = [], []
+            for k, host in enumerate(hosts):
+                if host != now:
+                    now, table = host, {}
+                if order[k] == 0:
+                    table[what[k] & ~_STEPS] = what[k] & _STEPS
+                else:
+                    take.append(k)
+                    tables.append(table)
+            if take:
+                given = iter(tables)
+                yield texts(b.take(pa.array(take)), lambda _: next(given))
+
+    return dealt.mapInArrow(merged, schema)

@@ -42,14 +42,24 @@ _CACHE = 100_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def recall_of(bands: int, rows: int, similarity: float) -> float:
+    """How likely two sets of that similarity agree in a band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
 def bands_for(threshold: float, recall: float, most: int = 200) -> tuple[int, int]:
-    """(bands, rows): the most rows, so the fewest false candidates, that reach the recall at the threshold."""
-    best = (most, 1)
+    """(bands, rows): the most rows, so the fewest false candidates, that reach the recall at the threshold with ``most`` hashes.
+
+    Raises ValueError where no choice reaches it.
+    """
+    best = None
     for rows in range(1, 33):
         for bands in range(1, most // rows + 1):
-            if 1 - (1 - threshold**rows) ** bands >= recall:
+            if recall_of(bands, rows, threshold) >= recall:
                 best = (bands, rows)
                 break
+    if best is None:
+        raise ValueError(f"{most} hashes reach a recall of {recall_of(most, 1, threshold):.4f} at {threshold}, not {recall}")
     return best
 
 

@@ -8,17 +8,22 @@ penalty. A document takes the language of the least mean cost of its words.
 The tables are learnt from a bounded sample: about ``per_language`` documents
 of each language by hash of their id, outside the held-out fold; of them, each
 language keeps its ``words`` most frequent words and ``grams`` most frequent
-n-grams of each order. Every document is scored on its whole text.
+n-grams of each order. None in place of a bound learns from, or keeps, all.
+A word or n-gram holds only the languages that have it, so tables grow with what
+was learnt and not with the number of languages squared. Every document is
+scored on its whole text.
 
 Defined cases: a null text or one without a letter gives ``und`` and score 0;
 so does every text if nothing could be learnt. Ties go to the first language by
-name. Rows with a null lang teach nothing. Repeated rows are scored alike, other
-columns are ignored.
+name. Rows with a null lang or text teach nothing. Repeated rows are scored
+alike; very long texts take time and memory in proportion to their length; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, slices
+from palimpsest.llm.common import checkpoint, fold, slices
 
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,10 +42,10 @@ _CACHE = 200_000
 
 @dataclass
 class Tables:
-    """Languages in order; for each known word (order 0) and n-gram the costs by language."""
+    """Languages in order; for each known word (order 0) and n-gram the costs of the languages that have it."""
 
     languages: list[str]
-    costs: dict[int, dict[str, list[float]]]
+    costs: dict[int, dict[str, dict[int, float]]]
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -49,35 +54,41 @@ def ngrams(word: str, order: int) -> list[str]:
 
 
 class Scorer(dict):
-    """Rows of the cost matrix by word: first those of the known words, then, bounded, those of unseen ones."""
+    """Places of words in a sparse matrix of gains (the penalty less the cost): first the known words, then, bounded, unseen ones."""
 
     def __init__(self, tables: Tables, penalty: float):
         self.tables, self.penalty = tables, penalty
         self.reset()
-        self.matrix = np.zeros((len(self) + _CACHE + 1, len(tables.languages)), dtype=np.float32)
-        if self:
-            self.matrix[: len(self)] = list(tables.costs[0].values())
 
     def reset(self) -> None:
         """Forget the unseen words."""
         self.clear()
-        self.update(zip(self.tables.costs[0], range(len(self.tables.costs[0]))))
+        self.ends, self.language, self.gain = array("q", [0]), array("i"), array("d")
+        for word, costs in self.tables.costs[0].items():
+            self._add(word, costs)
 
-    def cost(self, word: str) -> list[float]:
-        """Costs of a word that is not known."""
+    def _add(self, word: str, costs: dict[int, float]) -> int:
+        at = self[word] = len(self)
+        self.language.extend(costs)
+        self.gain.extend([self.penalty - c for c in costs.values()])
+        self.ends.append(len(self.language))
+        return at
+
+    def cost(self, word: str) -> dict[int, float]:
+        """Costs of a word that is not known, for the languages that don't cost the penalty."""
         for order in ORDERS:
             get = self.tables.costs[order].get
             found = [c for g in ngrams(word, order) if (c := get(g)) is not None]
             if found:
-                return [sum(x) / len(found) for x in zip(*found)]
-        return [self.penalty] * len(self.tables.languages)
+                gains: dict[int, float] = {}
+                for c in found:
+                    for k, x in c.items():
+                        gains[k] = gains.get(k, 0.0) + self.penalty - x
+                return {k: self.penalty - x / len(found) for k, x in gains.items()}
+        return {}
 
     def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = self.cost(word)
-        return at
+        return self._add(word, self.cost(word))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
@@ -85,61 +96,74 @@ class Scorer(dict):
             return "und", 0.0
         if len(self) > len(self.tables.costs[0]) + _CACHE:
             self.reset()
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
-        mean = self.matrix[at].mean(axis=0, dtype=np.float64)
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        ends = np.frombuffer(self.ends, dtype=np.int64)
+        start, count = ends[at], ends[at + 1] - ends[at]
+        flat = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        if len(flat):
+            gains = np.bincount(np.frombuffer(self.language, dtype=np.int32)[flat], np.frombuffer(self.gain, dtype=np.float64)[flat], len(self.tables.languages))
+        else:
+            gains = np.zeros(len(self.tables.languages))
+        mean = self.penalty - gains / len(words)
         best = int(mean.argmin())
         odds = np.exp((mean[best] - mean) * np.log(10) * min(len(words), 50) ** 0.5)
         return self.tables.languages[best], float(1 / odds.sum())
 
 
-def train(docs: DataFrame, per_language: int = 1500, words: int = 20_000, grams: int = 5_000, penalty: float = 7.0) -> Tables:
-    """Counts words and n-grams of the sample in Spark and collects the bounded tables."""
+def train(docs: DataFrame, per_language: int | None = 1500, words: int | None = 20_000, grams: int | None = 5_000) -> Tables:
+    """Counts words and n-grams of the sample in Spark and collects the tables, which ``words`` and ``grams`` bound."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    sizes = own.groupBy("lang").count().withColumn("_share", F.lit(float(per_language)) / F.col("count"))
-    draw = (F.xxhash64(F.lit("language"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("_draw")
-    # One row for each language.
-    sample = own.select("*", draw).join(F.broadcast(sizes), "lang").filter("_draw < _share").select("lang", "text")
+    sample = own.select("lang", "text")
+    if per_language is not None:
+        sizes = own.groupBy("lang").count().withColumn("_share", F.lit(float(per_language)) / F.col("count"))
+        draw = (F.xxhash64(F.lit("language"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("_draw")
+        # One row for each language; where those are too many to broadcast, the planner won't.
+        sample = own.select("*", draw).join(sizes, "lang").filter("_draw < _share").select("lang", "text")
 
     def count(batches):
-        # One row for each n-gram and slice of the sample: bounded by per_language.
-        for b in slices(batches, 64):
+        # One row for each word and slice of the sample: bounded by per_language.
+        for b in slices(batches):
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 seen.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-            for lang, found in seen.items():
-                for order in (0, *ORDERS):
-                    c: Counter = Counter()
-                    for w, n in found.items():
-                        if order == 0:
-                            c[w] = n
-                        else:
-                            for g in ngrams(w, order):
-                                c[g] += n
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(c), pa.string()), pa.array([order] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
-                        names=["lang", "order", "gram", "n"],
-                    )
-
-    counts = sample.mapInArrow(count, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+            for lang, c in seen.items():
+                yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
+
+    def split(batches):
+        # N-grams are made from each distinct word once, with its count.
+        for b in slices(batches, 4096):
+            seen: Counter = Counter()
+            for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "gram", "n"))):
+                for order in ORDERS:
+                    for g in ngrams(word, order):
+                        seen[lang, order, g] += n
+            columns = list(zip(*seen)) or [[], [], []]
+            kinds = (pa.string(), pa.int32(), pa.string())
+            yield pa.record_batch([*[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(list(seen.values()), pa.int64())], names=["lang", "order", "gram", "n"])
+
+    whole = checkpoint(sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    parts = whole.mapInArrow(split, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    counts = parts.unionByName(whole.select("lang", F.lit(0).alias("order"), "gram", "n"))
     kind = W.partitionBy("lang", "order")
     kept = (
         counts.withColumn("total", F.sum("n").over(kind))
         .withColumn("place", F.row_number().over(kind.orderBy(F.desc("n"), "gram")))
-        .filter(F.col("place") <= F.when(F.col("order") == 0, words).otherwise(grams))
-        .filter("n > 1")
+        .filter(F.col("place") <= F.when(F.col("order") == 0, _least(words)).otherwise(_least(grams)))
         .select("lang", "order", "gram", (F.log10("total") - F.log10("n")).cast("float").alias("cost"))
     )
     found = kept.toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     place = {lang: k for k, lang in enumerate(languages)}
-    costs: dict[int, dict[str, list[float]]] = {o: {} for o in (0, *ORDERS)}
-    for lang, order, gram, cost in zip(*(found.column(c).to_pylist() for c in ("lang", "order", "gram", "cost"))):
-        if gram not in costs[order]:
-            costs[order][gram] = [penalty] * len(languages)
-        costs[order][gram][place[lang]] = cost
+    costs: dict[int, dict[str, dict[int, float]]] = {o: {} for o in (0, *ORDERS)}
+    for lang, order, gram, cost in sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "order", "gram", "cost")))):
+        costs[order].setdefault(gram, {})[place[lang]] = cost
     return Tables(languages, costs)
 
 
+def _least(bound: int | None) -> int:
+    return (1 << 31) - 1 if bound is None else bound
+
+
 def identify(docs: DataFrame, tables: Tables, penalty: float = 7.0) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # bounded by words and grams of each language

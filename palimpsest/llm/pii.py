@@ -1,25 +1,34 @@
 """Personal data by weak supervision.
 
 Base spans of four kinds (email, ip, card, phone) follow fixed patterns and
-always stay. Candidates of further forms (below) are kept where a final span
+always stay. Candidates of further forms (``EXTRA``: account numbers, secrets,
+names, IBANs, ...) come from wide generators and are kept where a final span
 classifier accepts them. For that, labelers of three sorts vote on every
-candidate, base or not: regex labelers (a stricter form, a checksum), gazetteer
-labelers (known endings, issuers, codes, names) and context labelers (words
-before it, characters beside it). Expectation-maximisation over the vote
-patterns of the whole corpus estimates how reliable each labeler is, without
-labels; a logistic classifier on votes and kind is then fitted to the
-posteriors. Patterns are counted in Spark: what reaches the driver is at most
-one row for each kind and vote pattern, whatever the corpus size.
+candidate, base or not: regex labelers (a stricter form, a checksum, a varied
+make-up), gazetteer labelers (known endings, issuers, codes, names) and context
+labelers (words just before, characters beside).
+
+1. Every candidate of every document becomes a row of (kind, votes, features).
+2. Expectation-maximisation over the counts of all vote patterns estimates,
+   without labels, how reliable each labeler is and how likely each pattern is
+   personal data. What reaches the driver is one row for each kind and pattern.
+3. A logistic classifier is fitted to these posteriors on features that the
+   votes don't cover as well: make-up, length, and the hashed words before and
+   after. It reads a sample, stratified by pattern and weighted back to the true
+   counts: ``max_rows`` candidates in all, yet at least ``LEAST`` of a pattern.
 
 Defined cases: a null text counts as empty and has no span; repeated rows give
-repeated rows; a corpus without candidates gives a model that accepts none;
-other columns are ignored.
+repeated rows; very long texts take time in proportion to their length; of
+candidates that overlap the first, then the longest, counts, and none that
+overlaps a base span; an empty table or one without candidates gives a model
+that accepts none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import checkpoint, slices
 
 # The kinds in their order, and the characters of an address's local part.
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("iban", "local_phone", "name", "national_id", "obscured_email")
+EXTRA = ("iban", "local_phone", "name", "national_id", "obscured_email", "account", "secret", "birth_date")
 KINDS = BASE + EXTRA
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
@@ -49,26 +58,52 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _OBSCURED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
-_TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora")
-_NAME = re.compile(r"(?<!\w)(?:%s)\.? ([A-Z][a-zà-ÿ]{1,30})(?: ([A-Z][a-zà-ÿ]{1,30}))?(?!\w)" % "|".join(_TITLES))
-
-# Gazetteers.
-_ENDINGS = frozenset("com org net edu gov mil int info biz io co de fr es it uk us eu ch at nl be pl pt se no dk fi ie ca au nz in jp".split())
-_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "81", "82", "86", "91")
-_FIRST = frozenset("Anna Anne Ben Carlos Carmen Clara David Elena Emma Felix Hans Jack James Jan Jean John Jose Juan Julia Karl Laura Lena Louis Luis Maria Marie Mark Martin Mary Max Michael Paul Peter Pierre Robert Sarah Sofia Sophie Thomas Tom William".split())
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9_])[0-9]{4}(?:[ -]?[0-9]){4,20}+(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}")
+_BIRTH = re.compile(r"(?<![0-9/.-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])")
+_TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Mme", "Señor", "Señora", "Don", "Doña")
+
+# Gazetteers: generic endings of domains (those of countries are any two letters), given names, calling codes.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name pro mobi app dev xyz online site shop blog cloud eus cat asia".split())
+_FIRST = frozenset(
+    "Alice Anna Anne Antonio Ben Carlos Carmen Charles Clara Claire Daniel David Elena Emma Felix Francisco Frank George Hans Helen Henry Isabel Jack James Jan Jean Jennifer Johann John Jose Juan Julia Jürgen Karl "
+    "Klaus Laura Lena Linda Louis Lucia Luis Maria Marie Mark Martin Mary Max Michael Michel Monica Olivia Pablo Patricia Paul Pedro Peter Philippe Pierre Rafael Richard Robert Sarah Sofia Sophie Stefan Susan Thomas Tom Ursula "
+    "Victor William Wolfgang".split()
+)
+_NAME = re.compile(r"(?<!\w)(?:(?:%s)\.? (?:[A-Z][a-zà-ÿ]{1,30})(?: [A-Z][a-zà-ÿ]{1,30})?|(?:%s)(?: [A-Z][a-zà-ÿ]{1,30}){1,2})(?!\w)" % ("|".join(_TITLES), "|".join(sorted(_FIRST))))
+_TITLED = re.compile(r"(?:%s)\.? " % "|".join(_TITLES))
+_ZONES_1, _ZONES_2 = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_ZONES_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+_PREFIXES = ("sk-", "sk_", "pk_", "AKIA", "ASIA", "ghp_", "gho_", "xox", "eyJ", "AIza", "glpat-")
 _NEAR = {
-    "email": ("mail", "contact", "write", "@"),
-    "ip": ("ip", "server", "host", "address", "client"),
-    "card": ("card", "visa", "credit", "pay", "karte"),
-    "phone": ("tel", "phone", "call", "fax", "mobil"),
-    "iban": ("iban", "account", "konto", "bank"),
-    "local_phone": ("tel", "phone", "call", "fax", "mobil"),
-    "name": ("dear", "by", "from", "sincerely", "patient", "client"),
-    "national_id": ("ssn", "social", "security", "id"),
-    "obscured_email": ("mail", "contact", "write", "reach"),
+    "email": frozenset(("mail", "e-mail", "email", "contact", "write", "correo", "courriel")),
+    "ip": frozenset(("ip", "server", "host", "address", "client", "adresse")),
+    "card": frozenset(("card", "visa", "credit", "pay", "karte", "carte", "tarjeta")),
+    "phone": frozenset(("tel", "phone", "call", "fax", "mobile", "telefon", "móvil")),
+    "iban": frozenset(("iban", "account", "konto", "bank", "compte", "cuenta")),
+    "local_phone": frozenset(("tel", "phone", "call", "fax", "mobile", "telefon", "móvil")),
+    "name": frozenset(("dear", "by", "from", "sincerely", "patient", "client", "von", "par", "por")),
+    "national_id": frozenset(("ssn", "social", "security", "id")),
+    "obscured_email": frozenset(("mail", "e-mail", "email", "contact", "write", "reach")),
+    "account": frozenset(("account", "card", "konto", "nr", "no", "number", "compte", "cuenta", "visa", "credit")),
+    "secret": frozenset(("token", "key", "secret", "password", "passwd", "pwd", "bearer", "apikey", "api_key", "auth", "credential")),
+    "birth_date": frozenset(("born", "birth", "dob", "geboren", "né", "née", "nacido", "nacida", "geb")),
 }
-_AGAINST = ("version", "license", "isbn", "serial", "order", "token", "sha", "total", "invoice", "ticket")
-LABELERS = ("strict", "gazetteer", "near", "against", "beside")
+_AGAINST = frozenset("version license licence isbn issn serial order sha sha1 sha256 md5 commit checksum total invoice ticket release doi page".split())
+LABELERS = ("strict", "gazetteer", "near", "against", "beside", "varied")
+
+# Features of the span classifier: votes, kind, length, share of digits, make-up, hashed words before and after.
+_WORDS = 128
+_AT_KIND = 2 * len(LABELERS)
+_AT_LENGTH = _AT_KIND + len(KINDS)
+_AT_DIGITS = _AT_LENGTH + 8
+_AT_VARIED = _AT_DIGITS + 5
+_AT_BEFORE = _AT_VARIED + 4
+_AT_AFTER = _AT_BEFORE + _WORDS
+WIDTH = _AT_AFTER + _WORDS
+#: Candidates of each vote pattern that the classifier reads at least (all, if there are fewer).
+LEAST = 8
+_LAST_WORDS = re.compile(r"[^\W_][\w-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -116,31 +151,47 @@ def extra_candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[
     """Candidates of the further forms that overlap no base span and no earlier candidate."""
     found = []
     if _DIGIT.search(text):
-        found += [(m.start(), "iban", m.end()) for m in _IBAN.finditer(text)]
-        if "-" in text or "." in text:
-            found += [(m.start(), "local_phone", m.end()) for m in _LOCAL_PHONE.finditer(text)]
-        if "-" in text:
-            found += [(m.start(), "national_id", m.end()) for m in _NATIONAL.finditer(text)]
+        for pattern, kind in ((_IBAN, "iban"), (_LOCAL_PHONE, "local_phone"), (_NATIONAL, "national_id"), (_ACCOUNT, "account"), (_SECRET, "secret"), (_BIRTH, "birth_date")):
+            found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if kind != "birth_date" or _near(text, m.start(), kind)]
     if "(" in text or "[" in text:
         found += [(m.start(), "obscured_email", m.end()) for m in _OBSCURED.finditer(text)]
-    if any(t in text for t in _TITLES):
-        found += [(m.start(), "name", m.end()) for m in _NAME.finditer(text)]
+    found += [(m.start(), "name", m.end()) for m in _NAME.finditer(text)]
     if not found:
         return found
-    taken, kept, end = [(s, e) for s, _, e in base], [], 0
-    for s, kind, e in sorted(found):
-        if s >= end and not any(a < e and s < b for a, b in taken):
+    # Both lists by start; base spans may overlap each other, so the furthest end up to a place counts.
+    kept, end, k, reach = [], 0, 0, 0
+    for s, kind, e in sorted(found, key=lambda c: (c[0], -c[2], KINDS.index(c[1]))):
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][2])
+            k += 1
+        if s >= end and s >= reach:
             kept.append((s, kind, e))
             end = e
     return kept
 
 
+def _words_before(text: str, start: int) -> list[str]:
+    return [w.lower() for w in _LAST_WORDS.findall(text[max(0, start - 40) : start])[-3:]]
+
+
+def _near(text: str, start: int, kind: str) -> bool:
+    return not _NEAR[kind].isdisjoint(_words_before(text, start))
+
+
+def _varied(s: str) -> int:
+    """1 for a make-up of many different characters, -1 for repeats or a counting sequence, else 0."""
+    marks = [c for c in s if c.isalnum()]
+    if len(set(marks)) <= 2 or (s.isdigit() and s in "01234567890123456789"):
+        return -1
+    return 1 if len(set(marks)) >= min(len(marks), 10) * 0.5 else 0
+
+
 def _strict(kind: str, s: str) -> int:
     if kind == "email":
         local, _, domain = s.partition("@")
         return 1 if local[0] not in ".-%+" and ".." not in local and domain.rpartition(".")[2].isalpha() else -1
     if kind == "ip":
-        return 1 if all(p == str(int(p)) for p in s.split(".")) and not s.startswith(("0.", "255.")) else -1
+        return 1 if all(p == (p.lstrip("0") or "0") for p in s.split(".")) and not s.startswith(("0.", "255.")) else -1
     if kind == "card":
         return 1 if len(_digits(s)) in (13, 15, 16, 19) and len(set(s)) > 2 else -1
     if kind == "phone":
@@ -152,59 +203,81 @@ def _strict(kind: str, s: str) -> int:
         return 1 if _digits(s)[0] in "23456789" else -1
     if kind == "national_id":
         return 1 if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" else -1
+    if kind == "account":
+        return 1 if len(_digits(s)) in (13, 15, 16, 19) else -1 if len(_digits(s)) < 10 else 0
+    if kind == "secret":
+        letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
+        return 1 if letters >= 4 and digits >= 4 and "/" not in s and s.count("-") + s.count("_") <= 3 else -1
+    if kind == "birth_date":
+        parts = [int(x) for x in re.split(r"[./-]", s)]
+        year, rest = (parts[0], parts[1:]) if parts[0] > 31 else (parts[2], parts[:2])
+        return 1 if 1900 <= year <= 2025 and min(rest) >= 1 and min(rest) <= 12 and max(rest) <= 31 else -1
     return 1 if kind == "obscured_email" or s.count(" ") == 2 else 0
 
 
 def _gazetteer(kind: str, s: str) -> int:
     if kind in ("email", "obscured_email"):
-        return 1 if re.split(r"[^A-Za-z]+", s.rstrip(")] "))[-1].lower() in _ENDINGS else -1
-    if kind == "card":
-        return 1 if s[0] in "3456" else -1
+        ending = re.split(r"[^A-Za-z]+", s.rstrip(")] "))[-1].lower()
+        return 1 if ending in _ENDINGS or len(ending) == 2 else -1
+    if kind in ("card", "account"):
+        return 1 if s[0] in "3456" else -1 if kind == "card" else 0
     if kind == "phone":
-        return 1 if _digits(s).startswith(_CODES) else -1
+        d = _digits(s)
+        return 1 if d[0] in _ZONES_1 or d[:2] in _ZONES_2 or d[:2] in _ZONES_3 else -1
     if kind == "name":
-        return 1 if any(w in _FIRST for w in s.split(" ")) else 0
+        return 1 if any(w in _FIRST for w in s.split(" ")) or _TITLED.match(s) else 0
+    if kind == "secret":
+        return 1 if s.startswith(_PREFIXES) else 0
     return 0
 
 
 def votes(text: str, span: tuple[int, str, int]) -> tuple[int, ...]:
     """Each labeler's vote: 1 for, -1 against, 0 none."""
     start, kind, end = span
-    before = text[max(0, start - 32) : start].lower()
     clean = lambda c: not (c.isalnum() or c in "_@")
     beside = (start == 0 or clean(text[start - 1])) and (end == len(text) or clean(text[end]))
+    s = text[start:end]
     return (
-        _strict(kind, text[start:end]),
-        _gazetteer(kind, text[start:end]),
-        1 if any(w in before for w in _NEAR[kind]) else 0,
-        -1 if any(w in before for w in _AGAINST) else 0,
+        _strict(kind, s),
+        _gazetteer(kind, s),
+        1 if _near(text, start, kind) else -1 if kind == "secret" else 0,  # a secret's form alone says little
+        0 if _AGAINST.isdisjoint(_words_before(text, start)) else -1,
         1 if beside else -1,
+        _varied(s),
     )
 
 
+def _bucket(words: list[str]) -> int:
+    return zlib.crc32(words[0].lower().encode("utf-8", "surrogatepass")) % (_WORDS - 1) + 1 if words else 0
+
+
+def features(text: str, span: tuple[int, str, int], vote: tuple[int, ...]) -> list[int]:
+    """Indices of the indicators of a candidate; beyond the votes its kind, length, make-up and the words beside it."""
+    start, kind, end = span
+    s = text[start:end]
+    out = [2 * k + (v < 0) for k, v in enumerate(vote) if v]
+    out += [_AT_KIND + KINDS.index(kind), _AT_LENGTH + min(7, len(s).bit_length()), _AT_DIGITS + 4 * sum(map(str.isdigit, s)) // len(s), _AT_VARIED + 4 * len(set(s)) // (len(s) + 1)]
+    out.append(_AT_BEFORE + _bucket(_LAST_WORDS.findall(text[max(0, start - 40) : start])[-1:]))
+    out.append(_AT_AFTER + _bucket(_LAST_WORDS.findall(text[end : end + 40])[:1]))
+    return out
+
+
 @dataclass
 class SpanModel:
-    """Log-odds: a weight for each labeler's vote for, its vote against, and each kind."""
+    """A weight of log-odds for each indicator, and what expectation-maximisation says of each labeler."""
 
     weights: np.ndarray
     reliability: dict[str, float]
 
-    def accepts(self, kind: str, vote: tuple[int, ...], threshold: float) -> bool:
-        z = float(self.weights @ _vector(kind, vote))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold
+    def probability(self, indicators: list[int]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights[indicators].sum(), -30, 30))))
 
 
-def _vector(kind: str, vote: tuple[int, ...]) -> np.ndarray:
-    x = np.zeros(2 * len(LABELERS) + len(KINDS))
-    for k, v in enumerate(vote):
-        x[2 * k] = v > 0
-        x[2 * k + 1] = v < 0
-    x[2 * len(LABELERS) + KINDS.index(kind)] = 1
-    return x
+Pattern = tuple[str, tuple[int, ...], int]
 
 
-def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 100) -> tuple[np.ndarray, dict[str, float]]:
-    """Posterior that each pattern is personal data, and each labeler's estimated accuracy.
+def expectation_maximisation(patterns: list[Pattern], rounds: int = 200) -> tuple[np.ndarray, dict[str, float]]:
+    """Posterior that each pattern (kind, votes, count) is personal data, and each labeler's estimated accuracy.
 
     A labeler votes for with one probability where the span is personal data and
     with another where it is not; each kind has a prior of its own. It starts
@@ -213,7 +286,7 @@ def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], r
     counts = np.array([n for *_, n in patterns], dtype=float)
     v = np.array([vote for _, vote, _ in patterns])
     kinds = np.array([KINDS.index(k) for k, *_ in patterns])
-    posterior = np.clip(0.5 + 0.2 * v.sum(axis=1), 0.05, 0.95)
+    posterior = np.clip(0.5 + 0.15 * v.sum(axis=1), 0.05, 0.95)
     table = np.zeros((2, len(LABELERS), 3))
     for _ in range(rounds):
         for side, p in enumerate((1 - posterior, posterior)):
@@ -227,10 +300,10 @@ def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], r
         for j in range(len(LABELERS)):
             score = score + np.log(table[1, j, v[:, j] + 1] / table[0, j, v[:, j] + 1])
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - posterior).max() < 1e-6:
-            posterior = new
-            break
+        settled = np.abs(new - posterior).max() < 1e-6
         posterior = new
+        if settled:
+            break
     accuracy = {}
     for j, name in enumerate(LABELERS):
         right = (counts * np.where(v[:, j] > 0, posterior, np.where(v[:, j] < 0, 1 - posterior, 0))).sum()
@@ -239,51 +312,82 @@ def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], r
     return posterior, accuracy
 
 
-def fit(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 40) -> SpanModel:
-    """The span classifier: logistic regression on votes and kind against the posteriors, by Newton steps."""
-    width = 2 * len(LABELERS) + len(KINDS)
-    if not patterns:
-        w = np.zeros(width)
-        w[2 * len(LABELERS) :] = -5
-        return SpanModel(w, {})
-    patterns = sorted(patterns)
-    posterior, accuracy = expectation_maximisation(patterns)
-    x = np.array([_vector(k, v) for k, v, _ in patterns])
-    n = np.array([c for *_, c in patterns], dtype=float)
-    n = np.minimum(n, 1000 * np.log1p(n))
-    w = np.zeros(width)
+def fit_classifier(rows: list[list[int]], weight: np.ndarray, goal: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Logistic regression of indicators against soft labels, by damped Newton steps; the penalty is half the squared weights."""
+    x = np.zeros((len(rows), WIDTH))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    w = np.zeros(WIDTH)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(width)
-        w = w - np.clip(np.linalg.solve(hessian, x.T @ (n * (p - posterior)) + w), -2, 2)
-    return SpanModel(w, accuracy)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(WIDTH)
+        step = np.clip(np.linalg.solve(hessian, x.T @ (weight * (p - goal)) + w), -2, 2)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
-def train(docs: DataFrame) -> SpanModel:
-    """Counts vote patterns over every candidate of every document and fits the model."""
+def fit(patterns: list[Pattern], sample: list[tuple[str, tuple[int, ...], list[int]]]) -> SpanModel:
+    """Expectation-maximisation over all patterns, then the classifier over the sampled candidates (kind, votes, indicators)."""
+    if not patterns or not sample:
+        w = np.zeros(WIDTH)
+        w[_AT_KIND:_AT_LENGTH] = -5
+        return SpanModel(w, {})
+    patterns, sample = sorted(patterns), sorted(sample)
+    posterior, accuracy = expectation_maximisation(patterns)
+    of = {(k, v): (p, n) for (k, v, n), p in zip(patterns, posterior)}
+    drawn = Counter((k, v) for k, v, _ in sample)
+    weight = np.array([of[k, v][1] / drawn[k, v] for k, v, _ in sample], dtype=float)
+    goal = np.array([of[k, v][0] for k, v, _ in sample])
+    return SpanModel(fit_classifier([r for *_, r in sample], weight, goal), accuracy)
 
-    def count(batches):
-        seen: Counter = Counter()
+
+_VOTES, _MARKS = "array<int>", "array<int>"
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Every candidate, base or not, of every document: kind, votes, marks (indicators), draw."""
+
+    def run(batches):
         for b in slices(batches):
+            rows = []
             for text in b.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     for span in base + extra_candidates(text, base):
-                        seen[span[1], votes(text, span)] += 1
-        yield pa.record_batch(
-            [pa.array([k for k, _ in seen], pa.string()), pa.array([list(v) for _, v in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())],
-            names=["kind", "votes", "n"],
-        )
-
-    # One row at most for each kind and pattern: 9 * 3**5 rows.
-    rows = docs.select("text").mapInArrow(count, "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
-    return fit([(r.kind, tuple(r.votes), r.n) for r in rows])
+                        vote = votes(text, span)
+                        draw = hashlib.blake2b(f"{span[0]}:{len(text)}:{text[span[0]:span[2]]}".encode("utf-8", "surrogatepass"), digest_size=4).digest()
+                        rows.append((span[1], list(vote), features(text, span, vote), int.from_bytes(draw, "little") / 2**32))
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "votes", "marks", "draw"])
+
+    return docs.select("text").mapInArrow(run, f"kind string, votes {_VOTES}, marks {_MARKS}, draw double")
+
+
+def train(docs: DataFrame, max_rows: int = 20_000) -> SpanModel:
+    """Counts the vote patterns of every candidate of every document and fits the model."""
+    spark = docs.sparkSession
+    found = checkpoint(candidates(docs))
+    # One row at most for each kind and pattern.
+    counts = [(r.kind, tuple(r.votes), r.n) for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()]
+    if not counts:
+        return fit([], [])
+    each = max(LEAST, max_rows // len(counts))
+    shares = spark.createDataFrame([(k, list(v), min(1.0, each / n)) for k, v, n in sorted(counts)], f"kind string, votes {_VOTES}, share double")
+    # As many rows as there are patterns. The draw is by content, so reruns agree; copies are drawn together.
+    drawn = found.join(F.broadcast(shares), ["kind", "votes"]).filter("draw < share").select("kind", "votes", "marks", "draw").groupBy("kind", "votes", "marks").agg(F.min("draw").alias("draw"))
+    # At least one row of each pattern, the one of the least draw, whatever the shares left.
+    first = found.groupBy("kind", "votes").agg(F.min_by("marks", F.struct("draw", "marks")).alias("marks")).withColumn("draw", F.lit(-1.0))
+    rows = drawn.unionByName(first).orderBy("draw", "kind", "votes", "marks").limit(max(max_rows, LEAST * len(counts)) + len(counts)).collect()
+    return fit(counts, [(r.kind, tuple(r.votes), list(r.marks)) for r in rows])
 
 
 def spans(text: str, model: SpanModel, threshold: float = 0.9) -> tuple[list, list]:
     """(base spans, all spans), each by start."""
     base = base_spans(text)
-    more = [s for s in extra_candidates(text, base) if model.accepts(s[1], votes(text, s), threshold)]
+    more = [s for s in extra_candidates(text, base) if model.probability(features(text, s, votes(text, s))) >= threshold]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1]))) if more else base
 
 
@@ -292,24 +396,25 @@ def _join(found: list) -> str:
 
 
 def find(docs: DataFrame, model: SpanModel | None = None, threshold: float = 0.9) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans that the method adds)."""
     model = model or train(docs)
 
     def run(batches):
         for b in slices(batches):
-            counts, digests, joined = [], [], []
+            counts, digests, joined, added = [], [], [], []
             for text in b.column("text").to_pylist():
                 base, every = spans(text or "", model, threshold)
                 c = Counter(k for _, k, _ in base)
                 counts.append([c[k] for k in BASE])
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
                 joined.append(_join(every))
+                added.append(len(every) - len(base))
             yield pa.record_batch(
-                [b.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(joined, pa.string())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [b.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(added, pa.int64())],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact_text(text: str, found: list) -> str:

@@ -115,7 +115,7 @@ def test_top_k(spark, scale):
         if q % 20 == 0:
             best = sorted((-max(-(1 << 62), min(1 << 62, sum(x * y for x, y in zip(a, b)))), i) for i, b in clean if i != q)[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    got = topk.search(df, candidate_block=32, query_block=4)
+    got = topk.search(df, candidate_block=32, query_group=5)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.search(df.limit(0)).count() == 0
 
