@@ -74,8 +74,15 @@ def has_extension(name: Column, allowed: tuple[str, ...] = ("docx", "pdf")) -> C
     return F.contains(name, F.lit(".")) & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*allowed)
 
 
+def request_estimate(prompt: Column, most: int = 8192) -> Column:
+    """What a request may cost: words times 1.3 and the reply's bound, rounded down."""
+    return F.floor(F.size(F.regexp_extract_all(prompt, F.lit(r"\S+"), F.lit(0))) * F.lit(1.3) + F.lit(most)).cast("int")
+
+
 def human_size(n: Column) -> Column:
-    return F.when(F.coalesce(n, F.lit(0)) == 0, "").when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576, 1), F.lit(" MB")))
+    """Size in KB or MB with one decimal; nothing for nothing."""
+    shown = lambda unit, name: F.concat(F.format_string("%.1f", F.floor(n * 10 / unit + 0.5) / 10), F.lit(name))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").when(n < 1048576, shown(1024, " KB")).otherwise(shown(1048576, " MB"))
 
 
 def splice(text: Column, start: Column, end: Column, put: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
@@ -14,13 +15,13 @@ _HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,con
 
 
 def chunk_detections(chunks: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS) -> DataFrame:
-    """The model's grounded detections of each chunk; pattern hits of a chunk whose call fails or whose reply is an error.
+    """The model's grounded detections of each chunk; pattern hits of a chunk whose call fails, or whose reply is an error or spoilt.
 
     A chunk is sent once: both cases are one projection of its reply.
     """
     answers = model.ask(chunks.withColumn("prompt", model.prompt_for_chunk(template, F.col("text"))), client)
     is_error = F.coalesce(F.try_variant_get(F.try_parse_json(model.reply_json(F.col("reply"))), "$.error", "variant").isNotNull(), F.lit(False))
-    replaced = F.when(F.col("error").isNull() & ~is_error, model.replacements_in(F.col("reply")))
+    replaced = F.when(F.col("error").isNull() & ~is_error & ~model.spoilt_reply(F.col("reply"), F.col("text")), model.replacements_in(F.col("reply")))
     hits = F.filter(entities.hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
     by_pattern = F.transform(hits, lambda h: F.struct(h["seq"].cast("long"), h["original"], h["placeholder"], h["category"], F.lit(entities.PATTERN_CONFIDENCE), F.lit(entities.PATTERN_REASON)).cast(_HIT))
     by_model = F.transform(
@@ -33,8 +34,26 @@ def chunk_detections(chunks: DataFrame, template: str, client: model.Client = mo
     return entities.grounded(found).drop("text")
 
 
-def classify(docs: DataFrame, template: str, client: model.Client = model.silent, size: str = "max", patterns=PATTERNS) -> DataFrame:
-    """Detections of patterns in whole documents and of the model in their chunks, reconciled."""
+def classify(docs: DataFrame, template: str, client: model.Client = model.silent, size: str = "max", patterns=PATTERNS, paragraphs: DataFrame | None = None) -> DataFrame:
+    """Detections of patterns in whole documents and of the model in their chunks, reconciled.
+
+    ``paragraphs``, detections of an earlier phase in the same columns, come first of all.
+    """
     names = ("doc_id", "seq", "original", "placeholder", "category", "confidence", "reason")
     by_chunk = chunk_detections(chunking.chunk_documents(docs, size), template, client, patterns)
-    return entities.reconcile(entities.detect(docs, patterns).select(*names).unionByName(by_chunk.select(*names)))
+    found = entities.detect(docs, patterns).select(*names).unionByName(by_chunk.select(*names))
+    if paragraphs is not None:
+        found = found.unionByName(paragraphs.withColumn("seq", F.col("seq") - _CHUNK_STRIDE).select(*names))
+    return entities.reconcile(found)
+
+
+def classify_or_patterns(docs: DataFrame, template: str, client: model.Client = model.silent, **parameters) -> DataFrame:
+    """What ``classify`` finds, with ``status``; where it can't even be run, all pattern hits as they are, and why."""
+    try:
+        found = classify(docs, template, client, **parameters).withColumn("status", F.lit("classified"))
+        found.schema  # noqa: B018 - a plan that can't be made fails here
+        return found
+    except Exception as e:  # noqa: BLE001 - what fails is told in the rows
+        hits = entities.detect(docs, parameters.get("patterns", PATTERNS))
+        order = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
+        return hits.withColumn("group_seq", F.col("seq")).withColumn("ord", order).withColumn("status", F.lit(f"patterns only: {e}"))

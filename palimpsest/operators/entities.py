@@ -15,11 +15,29 @@ _STRIDE = 1_000_000_000
 PATTERN_CONFIDENCE, PATTERN_REASON = 0.8, "Detected by pattern matching"
 
 
+def _gate(text: Column, category: str, pattern: str) -> Column | None:
+    """A cheap test that every text with a hit of a catalogue pattern passes; None for other patterns."""
+    if (category, pattern) not in _CATALOGUE:
+        return None
+    mark = "@" if category == "EMAIL" else "%" if pattern.endswith("%") else pattern.lstrip("\\")[0]
+    if mark in "@%$£€":
+        return F.contains(text, F.lit(mark))
+    return F.rlike(text, F.lit(r"\p{Nd}")) if category in ("DATE", "PERCENTAGE", "PHONE") else None
+
+
+_CATALOGUE = {(c, x) for c, _, x in PATTERNS}
+
+
 def hits_in(text: Column, patterns=PATTERNS) -> Column:
-    """Every hit of every pattern in a text, as a list of (seq, original, placeholder, category)."""
+    """Every hit of every pattern in a text, as a list of (seq, original, placeholder, category).
+
+    A pattern of the catalogue runs only over texts that hold the mark or digit it needs.
+    """
 
     def hits(k: int, category: str, placeholder: str, pattern: str):
         found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
+        if (gate := _gate(text, category, pattern)) is not None:
+            found = F.when(gate, found).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE) + i).alias("seq"), m.alias("original"), F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category")))
 
     return F.concat(*[hits(k, c, p, x) for k, (c, p, x) in enumerate(patterns)])
@@ -50,22 +68,31 @@ def grounded(replies: DataFrame) -> DataFrame:
 def best_of_each(detections: DataFrame) -> DataFrame:
     """Of detections equal but for case and outer white space the most confident, the first of equal ones.
 
-    ``group_seq`` is the first appearance of the group.
+    ``group_seq`` is the first appearance of the group. Rows are dealt by document, so the steps after this one
+    need no further shuffle.
     """
     key = F.lower(strip(F.col("original")))
     row = F.struct("original", "placeholder", "category", "confidence", "reason", "seq")
     return (
-        detections.groupBy("doc_id", key.alias("_key"))
+        detections.repartition("doc_id")
+        .groupBy("doc_id", key.alias("_key"))
         .agg(F.max_by(row, F.struct(F.col("confidence"), -F.col("seq"))).alias("w"), F.min("seq").alias("group_seq"))
         .select("doc_id", "w.*", "group_seq")
     )
 
 
 def maximal(detections: DataFrame) -> DataFrame:
-    """Without those whose text is part of another detection's text in the same document."""
-    other = detections.select(F.col("doc_id").alias("_doc"), F.col("original").alias("_other"))
-    inside = (F.col("doc_id") == F.col("_doc")) & F.contains("_other", F.col("original")) & (F.col("_other") != F.col("original"))
-    return detections.join(other, inside, "left_anti")
+    """Without those whose text is part of another detection's text in the same document.
+
+    The distinct texts of a document are joined by a separator; a text that is part of another one occurs there
+    more than once. So each detection is read once and compared with one string, and no row meets another.
+    """
+    rest = [c for c in detections.columns if c != "doc_id"]
+    rows = detections.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    joined = F.concat(F.lit("\x00"), F.array_join(F.array_distinct(F.transform("_rows", lambda r: r["original"])), "\x00"), F.lit("\x00"))
+    once = lambda r: F.length("_all") - F.length(F.replace(F.col("_all"), r["original"], F.lit(""))) <= F.length(r["original"])
+    kept = rows.withColumn("_all", joined).select("doc_id", F.filter("_rows", once).alias("_rows"))
+    return kept.select("doc_id", F.explode("_rows").alias("_row")).select("doc_id", "_row.*")
 
 
 def longest_first(detections: DataFrame) -> DataFrame:
@@ -78,5 +105,9 @@ def reconcile(detections: DataFrame) -> DataFrame:
     return longest_first(maximal(best_of_each(detections)))
 
 
+def of_category(detections: DataFrame, category: str) -> DataFrame:
+    return detections.filter(F.col("category") == category)
+
+
 def counts_by_category(detections: DataFrame) -> DataFrame:
     return detections.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import has_extension
+
 
 def by_name(names: DataFrame, mapping: DataFrame) -> DataFrame:
     """(…, name) with the content of the same name; null where there is none."""
     return names.join(mapping.select("name", "content"), "name", "left")
 
 
+def with_files(mapping: DataFrame, files: DataFrame) -> DataFrame:
+    """The mapping's (name, …) that a file was given for, as ``pdf_`` and the name, of an allowed sort; others are dropped.
+
+    ``files`` (key, file_name, content).
+    """
+    given = files.filter(has_extension(F.col("file_name")) & F.startswith("key", F.lit("pdf_")))
+    return mapping.join(given.select(F.substr("key", F.lit(5)).alias("name"), "file_name", "content"), "name")
+
+
 def unfilled(names: DataFrame, mapping: DataFrame) -> DataFrame:
     return names.join(mapping.select("name"), "name", "left_anti")
 
@@ -38,6 +49,9 @@ def sequences(originals: DataFrame, paragraphs: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("original", "\n"), folded), lambda x: x != "")
     parts = originals.withColumn("_lines", lines).filter(F.size("_lines") > 1).select("doc_id", "original_id", F.size("_lines").alias("n"), F.posexplode("_lines").alias("pos", "line"))
     own = paragraphs.select("doc_id", "seq", folded(F.col("text")).alias("t"))
-    hits = parts.join(own, "doc_id").filter(F.contains("t", F.col("line"))).withColumn("start", F.col("seq") - F.col("pos"))
-    runs = hits.groupBy("doc_id", "original_id", "start", "n").agg(F.countDistinct("pos").alias("k")).filter("k = n")
+    # Only first lines meet all paragraphs of their document; the others meet the one that they would stand in.
+    starts = parts.filter("pos = 0").join(own, "doc_id").filter(F.contains("t", F.col("line"))).select("doc_id", "original_id", "n", F.col("seq").alias("start"))
+    rest = starts.join(parts.filter("pos > 0").select("doc_id", "original_id", "pos", "line"), ["doc_id", "original_id"]).withColumn("seq", F.col("start") + F.col("pos"))
+    hits = rest.join(own, ["doc_id", "seq"]).filter(F.contains("t", F.col("line")))
+    runs = hits.groupBy("doc_id", "original_id", "start", "n").agg(F.countDistinct("pos").alias("k")).filter("k = n - 1")
     return runs.groupBy("doc_id", "original_id").agg(F.min("start").alias("start"))

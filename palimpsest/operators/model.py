@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+import time
+from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +27,77 @@ def silent(prompt: str) -> str:
     return '{"replacements": []}'
 
 
+class RateLimited(Exception):
+    """What a client raises when its service asks it to slow down."""
+
+
+#: Parts of a message by which a failure counts as a matter of rate. Fixed values.
+RATE_MARKS = ("rate_limit", "429", "quota")
+
+
+def request_tokens(prompt: str, most: int = 8192) -> int:
+    """What a request may cost: words times 1.3 and the reply's bound, rounded down."""
+    return int(len(prompt.split()) * 1.3 + most)
+
+
+@dataclass
+class Limiter:
+    """At most so many requests and tokens in a window; one for each worker, which gets a share of the whole allowance."""
+
+    requests: int = 450
+    tokens: int = 81_000
+    seconds: float = 60.0
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    _past: deque = field(default_factory=deque)
+
+    def wait(self, tokens: int) -> None:
+        """Returns when a request of so many tokens fits; one above the whole allowance goes when nothing else is in the window."""
+        while True:
+            now = self.clock()
+            while self._past and self._past[0][0] <= now - self.seconds:
+                self._past.popleft()
+            if not self._past or (len(self._past) < self.requests and sum(n for _, n in self._past) + tokens < self.tokens):
+                return
+            self.sleep(self._past[0][0] + self.seconds - now)
+
+    def record(self, tokens: int) -> None:
+        self._past.append((self.clock(), tokens))
+
+
+@dataclass
+class Retrying:
+    """A client that keeps to a limit, waits a random moment before each call and tries again where the rate or the connection failed.
+
+    Waits double from ``least`` to ``longest`` seconds. Any other failure is raised at once.
+    """
+
+    client: Client
+    attempts: int = 5
+    least: float = 2.0
+    longest: float = 60.0
+    jitter: tuple[float, float] = (0.2, 0.6)
+    most_tokens: int = 8192
+    limiter: Limiter = field(default_factory=Limiter)
+    sleep: Callable[[float], None] = time.sleep
+
+    def __call__(self, prompt: str) -> str:
+        for attempt in range(self.attempts):
+            self.limiter.wait(request_tokens(prompt, self.most_tokens))
+            self.sleep(random.uniform(*self.jitter))
+            try:
+                reply = self.client(prompt)
+            except Exception as e:  # noqa: BLE001 - sorted out below
+                again = isinstance(e, (RateLimited, ConnectionError)) or any(m in str(e).lower() for m in RATE_MARKS)
+                if not again or attempt + 1 == self.attempts:
+                    raise
+                self.sleep(min(self.longest, max(self.least, 2.0**attempt)))
+                continue
+            self.limiter.record(len(reply.split()) + len(prompt.split()))
+            return reply
+        raise RateLimited("no attempt was allowed")
+
+
 def prompt_for_chunk(template: str, text: Column) -> Column:
     """The template with doubled braces single and {text_chunk} filled in."""
     plain = template.replace("{text_chunk}", "\x00").replace("{{", "{").replace("}}", "}")
@@ -36,27 +111,40 @@ def prompt_for_context(template: str, fields: dict[str, Column], source: Column,
     return F.replace(out, F.lit("{source_text}"), F.substring(source, 1, most))
 
 
-def _with(rows: DataFrame, *names: str) -> StructType:
-    return StructType([*rows.schema.fields, *[StructField(n, StringType()) for n in names]])
+def _added(rows: DataFrame, names: tuple[str, ...], compute: Callable[[list], list[list]], source: str) -> DataFrame:
+    """Rows with string columns added that Python computes from one column; columns of those names are replaced."""
+    rest = rows.drop(*names) if source not in names else rows.select(*[c for c in rows.columns if c not in names or c == source])
+    columns = rest.columns
+    at = columns.index(source)
+    kept = [k for k, c in enumerate(columns) if c not in names]
+    schema = StructType([*[rest.schema.fields[k] for k in kept], *[StructField(n, StringType()) for n in names]])
+
+    def run(batches):
+        for b in batches:
+            made = compute(b.column(at).to_pylist())
+            yield pa.record_batch([*[b.column(k) for k in kept], *[pa.array(x, pa.string()) for x in made]], names=[*[columns[k] for k in kept], *names])
+
+    return rest.mapInArrow(run, schema)
 
 
 def ask(prompts: DataFrame, client: Client = silent) -> DataFrame:
-    """Adds ``reply`` and ``error`` to rows with a ``prompt``; a failing call is an error of its row."""
-    names = prompts.columns
+    """Adds ``reply`` and ``error`` to rows with a ``prompt``; a failing call is an error of its row.
 
-    def run(batches):
-        for b in batches:
-            replies, errors = [], []
-            for p in b.column(names.index("prompt")).to_pylist():
-                try:
-                    replies.append(client(p))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - any failure belongs to its row
-                    replies.append(None)
-                    errors.append(str(e))
-            yield pa.record_batch([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, "reply", "error"])
+    Columns of these names are replaced.
+    """
+
+    def called(given: list) -> list[list]:
+        replies, errors = [], []
+        for p in given:
+            try:
+                replies.append(client(p))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001 - any failure belongs to its row
+                replies.append(None)
+                errors.append(str(e))
+        return [replies, errors]
 
-    return prompts.mapInArrow(run, _with(prompts, "reply", "error"))
+    return _added(prompts, ("reply", "error"), called, "prompt")
 
 
 def reply_json(reply: Column) -> Column:
@@ -73,51 +161,60 @@ def replacements_in(reply: Column) -> Column:
     return F.when(reply_json(reply) == "", None).when(broken & found["replacements"].isNull(), None).otherwise(F.coalesce(found["replacements"], F.array().cast(f"array<{REPLACEMENT}>")))
 
 
-_KEYED = re.compile(r'"extracted_content"\s*:\s*"((?:[^"\\]|\\.)*)"', re.DOTALL)
+def spoilt_reply(reply: Column, text: Column) -> Column:
+    """Whether a reply's list holds an item that is no object, or one whose original stands in the text but whose placeholder is null."""
+    items = F.try_variant_get(F.try_parse_json(F.regexp_extract(reply_json(reply), r"(?s)(\{.*\})", 1)), "$.replacements", "array<variant>")
+
+    def bad(item: Column) -> Column:
+        original = F.coalesce(F.try_variant_get(item, "$.original", "string"), F.lit(""))
+        null = F.coalesce(F.is_variant_null(F.try_variant_get(item, "$.placeholder", "variant")), F.lit(False))
+        return ~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")) | ((original != "") & F.contains(text, original) & null)
+
+    return F.coalesce(F.exists(items, bad), F.lit(False))
+
+
+# The key of an extraction reply, and what ends its text where the reply is broken.
+_KEY = "extracted_content"
+_ENDS = ('", "reasoning"', '","reasoning"', '"}')
+_KEYED = re.compile(rf'"{_KEY}"\s*:\s*"((?:[^"\\]|\\.)*)"', re.DOTALL)
+_OPENED = re.compile(rf'"{_KEY}"[^:]*:[^"]*"')
+_ESCAPES = (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"))
 
 
 def extracted_content(reply: str | None) -> str | None:
-    """The content of an extraction reply: as JSON, else by its key, else from the key's mark on; None if there is none."""
+    """The content of an extraction reply: as JSON, else by its key, else from the key on to one of ``_ENDS``; None if there is none.
+
+    A reply in a fence is no JSON, so of its forms only an object is understood, by its key.
+    """
     if not reply:
         return None
-    body = m[1] if (m := re.search(r"```(?:json)?\s*(.*?)```", reply, re.DOTALL)) else reply
     try:
-        found = json.loads(body.strip())
+        found = json.loads(reply)
     except ValueError:
         found = 0
-    if isinstance(found, dict):
-        x = found.get("extracted_content", "")
-        return x if isinstance(x, str) and x else None
     if isinstance(found, list):
-        if found and isinstance(found[0], dict):
-            x = found[0].get("extracted_content", "")
-            return x if isinstance(x, str) and x else None
         if found and isinstance(found[0], str):
             return "\n\n".join(found) if all(isinstance(x, str) for x in found) else None
-        return str(found)
-    if m := _KEYED.search(body):
+        if not (found and isinstance(found[0], dict)):
+            return str(found)
+        found = found[0]
+    if isinstance(found, dict):
+        x = found.get(_KEY)
+        return x if isinstance(x, str) and x else None
+    if m := _KEYED.search(reply):
         text = m[1]
-        for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-            text = text.replace(a, b)
+        for written, meant in _ESCAPES:
+            text = text.replace(written, meant)
         return text or None
-    mark = body.find('"extracted_content": "')
-    if mark < 0:
+    if not (m := _OPENED.search(reply)):
         return None
-    rest = body[mark + len('"extracted_content": "') :]
-    ends = [k for k in (rest.find('",'), rest.find('"}'), rest.find('"\n')) if k >= 0]
-    return rest[: min(ends)].replace('\\"', '"') if ends else None
+    cut = min((k for end in _ENDS if (k := reply.find(end, m.end())) >= 0), default=-1)
+    return reply[m.end() : cut].replace('\\"', '"') or None if cut >= 0 else None
 
 
 def contents(replies: DataFrame) -> DataFrame:
-    """Adds ``content``, normalised, to rows with a ``reply``."""
-    names = replies.columns
-
-    def run(batches):
-        for b in batches:
-            got = [extracted_content(r) for r in b.column(names.index("reply")).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(got, pa.string())], names=[*names, "content"])
-
-    return replies.mapInArrow(run, _with(replies, "content")).withColumn("content", normal_text(F.col("content")))
+    """Adds ``content``, normalised, to rows with a ``reply``; a column of that name is replaced."""
+    return _added(replies, ("content",), lambda given: [[extracted_content(r) for r in given]], "reply").withColumn("content", normal_text(F.col("content")))
 
 
 def resolve_parsed(parsed: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 SEQUENCES = ("body", "cell", "header_cell")
 
 
+@lru_cache(maxsize=4096)
 def _folded(text: str) -> tuple[str, list[int]]:
     """The letters and digits in small letters, and the place of each in the text."""
     out, places = [], []
@@ -30,18 +32,25 @@ def _folded(text: str) -> tuple[str, list[int]]:
 
 
 def span_of(original: str, text: str) -> tuple[int, int] | None:
-    """Where the original stands in a text: white space aside, then all but letters and digits aside, then its longest common block."""
-    words = original.split()
-    if words and (m := re.search(r"\s*".join(map(re.escape, words)), text)):
-        return m.span()
+    """Where the original stands in a text: white space aside, then all but letters and digits aside, then its longest common block.
+
+    A match with white space aside is one of letters and digits too, and a common block of more than 0.7 of the
+    original holds its middle; so most texts without a match are told by two searches.
+    """
     needle, _ = _folded(original)
     hay, places = _folded(text)
-    if needle and (k := hay.find(needle)) >= 0:
-        return places[k], places[k + len(needle) - 1] + 1
-    block = difflib.SequenceMatcher(None, original, text).find_longest_match(0, len(original), 0, len(text))
-    if original and block.size / len(original) > 0.7:
-        return block.b, block.b + block.size
-    return None
+    at = hay.find(needle) if needle else -1
+    if at >= 0 or not needle:
+        words = original.split()
+        if words and (m := re.search(r"\s*".join(map(re.escape, words)), text)):
+            return m.span()
+    if at >= 0:
+        return places[at], places[at + len(needle) - 1] + 1
+    n = len(original)
+    if not original or original[-(-3 * n // 10) : 7 * n // 10] not in text:
+        return None
+    block = difflib.SequenceMatcher(None, original, text).find_longest_match(0, n, 0, len(text))
+    return (block.b, block.b + block.size) if block.size / n > 0.7 else None
 
 
 def put(runs: list[str], start: int, end: int, new: str) -> list[str]:

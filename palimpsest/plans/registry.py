@@ -98,7 +98,12 @@ def reconciled_entities(spark, sf_dir):
     return entities.reconcile(entities.detect(letters(spark, sf_dir))).select("doc_id", "original", "placeholder", "category", "ord")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {_quoted(c)}, {_quoted(d)}, {_quoted(p)}, {len(x)})" for k, (c, d, p, x) in enumerate(CATEGORIES)) + ") t(ord, category, description, placeholder, n_patterns)")
+@query("""SELECT * FROM (VALUES (0, 'DATE', 'Specific dates', '{{DATE}}', 6), (1, 'CURRENCY', 'Currency amounts', '{{CURRENCY_AMOUNT}}', 7), (2, 'CUSTOMER_NAME', 'Customer names', '{{CUSTOMER_NAME}}', 1),
+  (3, 'PERCENTAGE', 'Specific percentages', '{{PERCENTAGE}}', 3), (4, 'CLIENT_PARAGRAPH', 'Whole paragraphs about a client', '{{CLIENT_PARAGRAPH}}', 0), (5, 'CLIENT_GOAL', 'Goals of a client', '{{CLIENT_GOAL}}', 0),
+  (6, 'CLIENT_INSIGHT', 'Observations about a client', '{{CLIENT_INSIGHT}}', 0), (7, 'CLIENT_ADVICE', 'Advice for a client', '{{CLIENT_ADVICE}}', 0), (8, 'INVESTMENT_DETAIL', 'Holdings and funds', '{{INVESTMENT_DETAIL}}', 0),
+  (9, 'ALLOCATION', 'Allocations and budget items', '{{ALLOCATION}}', 0), (10, 'RISK_STATEMENT', 'Risk warnings for a client', '{{RISK_STATEMENT}}', 0), (11, 'MEETING_SUMMARY', 'Notes of meetings', '{{MEETING_SUMMARY}}', 0),
+  (12, 'ADDRESS', 'Addresses', '{{ADDRESS}}', 0), (13, 'PHONE', 'Phone numbers', '{{PHONE_NUMBER}}', 1), (14, 'EMAIL', 'Email addresses', '{{EMAIL}}', 1), (15, 'ACCOUNT_NUMBER', 'Account numbers', '{{ACCOUNT_NUMBER}}', 0)
+  ) t(ord, category, description, placeholder, n_patterns)""")
 def category_schema(spark, sf_dir):
     """The category dimension without its patterns."""
     return spark.createDataFrame([(k, c, d, p, len(x)) for k, (c, d, p, x) in enumerate(CATEGORIES)], "ord int, category string, description string, placeholder string, n_patterns int")
@@ -229,15 +234,47 @@ def rate_windows(spark, sf_dir):
     return contexts.rate_windows(own, ["user_id"], 86400, 2, 100).select("user_id", F.col("id").alias("event_id"), "ts", "tokens", F.col("requests_before").cast("long"), F.coalesce("tokens_before", F.lit(0)).cast("long").alias("tokens_before"), "limited")
 
 
-@query()
+#: Texts with their words and estimate; those above the limit of a medium chunk in sentences, numbered from 1.
+_DUCK_SENTENCES = """d AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS words FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')),
+e AS (SELECT *, CAST(floor(len(words) * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n FROM d),
+whole AS (SELECT doc_id, 0 AS chunk_index, text, 0 AS start_position, CAST(length(text) AS INTEGER) AS end_position, n AS token_count FROM e WHERE n <= 548)"""
+
+
+@query(f"""WITH RECURSIVE {_DUCK_SENTENCES},
+cut AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01')) AS t, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01'), 1) AS k FROM e WHERE n > 548),
+stripped AS (SELECT doc_id, k, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM cut),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, t, regexp_extract_all(t, '\\S+') AS words FROM stripped WHERE t <> ''),
+sized AS (SELECT *, len(words) AS w, CAST(floor(len(words) * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s),
+-- Where each sentence goes: the chunk that is open or the next one; one above the limit takes chunks of its own.
+placed(doc_id, i, chunk, free, tokens) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM sized)
+  UNION ALL
+  SELECT p.doc_id, z.i, CASE WHEN z.n > 548 THEN p.free WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.free - 1 ELSE p.free END,
+    CASE WHEN z.n > 548 THEN p.free + (z.w + 547) // 548 WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.free ELSE p.free + 1 END,
+    CASE WHEN z.n > 548 THEN -1 WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.tokens + z.n ELSE z.n END
+  FROM placed p JOIN sized z ON z.doc_id = p.doc_id AND z.i = p.i + 1),
+j AS (SELECT z.*, p.chunk FROM placed p JOIN sized z USING (doc_id, i)),
+packed AS (SELECT doc_id, chunk, string_agg(t, ' ' ORDER BY i) AS text, min(place) AS a, max(place + length(t) + 1) AS b, sum(n) AS tokens FROM j WHERE n <= 548 GROUP BY ALL),
+pieces AS (SELECT doc_id, chunk + k AS chunk, array_to_string(words[k * 548 + 1 : k * 548 + 548], ' ') AS text, place + length(array_to_string(words[1 : k * 548], ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END AS a,
+  place + length(array_to_string(words[1 : k * 548 + 548], ' ')) + 1 AS b, len(words[k * 548 + 1 : k * 548 + 548]) AS tokens FROM (SELECT *, unnest(range((w + 547) // 548)) AS k FROM j WHERE n > 548)),
+base AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM (SELECT * FROM packed UNION ALL SELECT * FROM pieces)),
+lapped AS (SELECT doc_id, chunk, CASE WHEN before IS NULL THEN text ELSE array_to_string(list_reverse(list_reverse(regexp_extract_all(before, '\\S+'))[1:76]), ' ') || ' ' || text END AS text, a, b, tokens, before IS NULL AS first FROM base)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, text, CAST(a AS INTEGER) AS start_position, CAST(b AS INTEGER) AS end_position,
+  CAST(CASE WHEN first THEN tokens ELSE floor(len(regexp_extract_all(text, '\\S+')) * CAST(1.3 AS DOUBLE)) END AS INTEGER) AS token_count FROM lapped UNION ALL SELECT * FROM whole""")
 def chunks(spark, sf_dir):
-    """Medium chunks with overlap."""
+    """Medium chunks with overlap."""
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "medium", overlap=100)
 
 
-@query()
+@query(f"""WITH {_DUCK_SENTENCES},
+-- A word alone counts 1, so a chunk has as many words as its limit.
+k AS (SELECT *, unnest(range((len(words) + 547) // 548)) AS k FROM e WHERE n > 548),
+parts AS (SELECT doc_id, k, words[k * 548 + 1 : k * 548 + 548] AS own, array_to_string(words[1 : k * 548], ' ') AS before FROM k)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(own, ' ') AS text, CAST(length(before) + CASE WHEN k > 0 THEN 1 ELSE 0 END AS INTEGER) AS start_position,
+  CAST(length(before) + CASE WHEN k > 0 THEN 1 ELSE 0 END + length(array_to_string(own, ' ')) + 1 AS INTEGER) AS end_position, CAST(len(own) AS INTEGER) AS token_count FROM parts
+UNION ALL SELECT * FROM whole""")
 def word_chunks(spark, sf_dir):
-    """C3."""
+    """C3, C5."""
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "medium", preserve_sentences=False)
 
 
