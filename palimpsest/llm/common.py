@@ -28,8 +28,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+
+    Its files go with the last reference to it where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 

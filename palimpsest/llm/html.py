@@ -45,6 +45,7 @@ import html as entities
 import re
 import uuid
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,6 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
-_BLANK = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+")
 
 
@@ -85,7 +85,7 @@ class Node:
     def __init__(self, tag: str, sign: str, up: Node | None, hidden: bool = False, structure: bool = False, article: bool = False, named: bool = False):
         self.tag, self.sign, self.up = tag, sign, up
         self.hidden, self.structure, self.article, self.named = hidden, structure, article, named
-        self.key = _key(f"{up.key if up else 0}/{sign}")
+        self.key = _path_key(up.key if up else 0, sign)
         self.items: list = []
 
 
@@ -169,11 +169,22 @@ def parse(html: str) -> Node:
     return root
 
 
+@lru_cache(maxsize=50_000)
+def _path_key(above: int, sign: str) -> int:
+    return _key(f"{above}/{sign}")
+
+
 def _key(path: str) -> int:
     """A number for a path or text; its last seven bits are free for a composite."""
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & ~_STEPS
 
 
+def _folded(text: str) -> str:
+    """Every run of white space as one blank, at the ends too."""
+    folded = " ".join(text.split())
+    return (" " if text[:1].isspace() else "") + folded + (" " if folded and text[-1].isspace() else "")
+
+
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """Texts that a reader sees, in order, each with the element that holds it and the number of its block.
 
@@ -183,7 +194,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
 
     def flush(ends: bool) -> None:
         nonlocal line
-        s = _BLANK.sub(" ", entities.unescape("".join(text))) if text else ""
+        s = _folded(entities.unescape("".join(text))) if text else ""
         text.clear()
         if s.strip():
             out.append((stack[-1][0], s, line))
@@ -211,7 +222,7 @@ def _joined(texts: list[tuple[str, int]]) -> str:
     lines: dict[int, str] = {}
     for text, line in texts:
         lines[line] = lines.get(line, "") + text
-    return "\n\n".join(_BLANK.sub(" ", x).strip() for x in lines.values())
+    return "\n\n".join(" ".join(x.split()) for x in lines.values())
 
 
 def _largest(found: list[tuple[Node, str, int]]) -> list[tuple[str, int]]:
@@ -356,7 +367,7 @@ def tree_entries(html: str | None) -> set[tuple[int, int, int]]:
             sign = "#text" if isinstance(x, str) else x.sign
             if (not isinstance(x, str) or x.strip()) and (not signs or signs[-1] != sign):
                 signs.append(sign)
-        out.add((node.key, 0, _key(" ".join(signs))))
+        out.add((node.key, 0, _path_key(0, " ".join(signs))))
     for node, text, _, place in judged(root):
         if place != STRUCTURE:
             out.add((node.key, 1, _content(node, text)))

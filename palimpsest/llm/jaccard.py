@@ -20,7 +20,9 @@ to m (times m / ``block``), though each of its pairs is verified.
 Defined cases: a text with fewer than five words has one shingle, all its
 words; a text without words but with marks has one, the text itself; null and
 empty texts and rows with a null id are alone (class of their own id, no link).
-Rows that repeat a document are copies of it. Other columns are ignored.
+Rows that repeat a document are copies of it. Rows with one id and different texts
+are documents of their own, each in its own text class. Very long texts are one set
+like others. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import checkpoint, long_lists, memory, slices
@@ -211,6 +214,11 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     documents have them. ``n_links`` counts the other documents of similarity
     ``threshold`` or more, copies included; ``n_text_links`` the other text classes.
     """
+    return _similar(docs, threshold, recall, words, block, wide).drop("node", "text_hash")
+
+
+def _similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, words: int = 5, block: int = 1024, wide: int = 32) -> DataFrame:
+    """Adds to ``similar_documents`` the group's node, of its own for each group (null: alone), and a hash of the text."""
     bands, rows = bands_for(threshold, recall)
     signer = Signer(bands, rows)
 
@@ -222,13 +230,18 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0
                 keys.append(_key(s) if len(s) else None)
                 sizes.append(len(s))
                 signs.append(signer(s) if len(s) else np.zeros(0, np.int64))
-            yield pa.record_batch([b.column("doc_id"), pa.array(keys, pa.binary()), long_lists(signs, pa.int64())], names=["doc_id", "k", "bands"])
-
-    signed = checkpoint(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, k binary, bands array<long>"))
-    members = signed.select("doc_id", "k")
-    classes = checkpoint(
-        signed.filter("k is not null and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    )
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(keys, pa.binary()), long_lists(signs, pa.int64())], names=["doc_id", "text_hash", "k", "bands"])
+
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = checkpoint(hashed.mapInArrow(sign, "doc_id long, text_hash long, k binary, bands array<long>"))
+    members = signed.select("doc_id", "text_hash", "k")
+    classes = signed.filter("k is not null and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("real"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.withColumn("cid", F.col("real")))
+    # Classes are nodes by their least id. Where an id has several texts it may be that of several classes: the others get nodes of their own.
+    shared = bool(classes.groupBy("real").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
+    if shared:
+        place = F.row_number().over(W.partitionBy("real").orderBy("k"))
+        classes = checkpoint(classes.withColumn("place", place).withColumn("cid", F.when(F.col("place") == 1, F.col("real")).otherwise(F.xxhash64(F.lit("node"), "k"))).drop("place"))
 
     # Candidate graph: each member of a bucket with the least member of it.
     banded = classes.select("cid", F.posexplode("bands").alias("band", "hash"))
@@ -251,11 +264,11 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     vast = placed.filter(F.col("n") > most).select("cid")
     vast = tasks(banded.join(vast, "cid").join(buckets, ["band", "hash"]).select("cid", F.col("hash").alias("key"), "band", "n"))
     work = narrow.unionByName(vast).groupBy("cid").agg(F.collect_list(F.struct("key", "band", "i", "j", "side")).alias("tasks"))
-    work = work.join(classes.select("cid", "n_copies", "bands", "k"), "cid")
+    work = work.join(classes.select("cid", "real", "n_copies", "bands", "k"), "cid")
 
     found = (
-        docs.select(F.col("doc_id").alias("cid"), "text")
-        .join(work, "cid")
+        docs.select(F.col("doc_id").alias("real"), "text")
+        .join(work, "real")
         .select("cid", "text", "k", "n_copies", "bands", F.explode("tasks").alias("task"))
         .select("cid", "text", "k", "n_copies", "bands", "task.*")
     )
@@ -281,22 +294,41 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     links = checkpoint(links.filter("texts > 0"))
     groups = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("cid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    known = classes.select("k", "cid", "n_copies").join(counts, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    known = classes.select("k", "cid", "real", "n_copies").join(counts, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    known = known.withColumn("node", F.coalesce("root", "cid"))
+    if shared:
+        known = known.join(known.groupBy("node").agg(F.min("real").alias("least")), "node")
+    else:
+        known = known.withColumn("least", F.col("node"))
     own = F.col("doc_id")
     return members.join(known, "k", "left").select(
         "doc_id",
-        F.coalesce("root", "cid", own).alias("class_id"),
-        F.coalesce("cid", own).alias("text_class"),
+        F.coalesce("least", own).alias("class_id"),
+        F.coalesce("real", own).alias("text_class"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("n_copies", F.lit(1)) - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"),
+        "node",
+        "text_hash",
     )
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents with the least id of each group of similar ones, in the columns of ``docs``.
+    """The document with the least id of each group of similar ones, in the columns of ``docs``.
 
-    Rows that repeat a kept id stay once; rows with a null id all stay.
+    Of several texts with that id in one group that of the least hash stays; rows that repeat it stay once. Texts
+    without a shingle stay once for each id; rows with a null id all stay.
     """
-    keep = similar_documents(docs, **parameters).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    found = _similar(docs, **parameters).filter("doc_id is not null")
+    # One row for each group: minima combine before the shuffle, so a group of any size meets as few rows.
+    alone = F.when(F.col("node").isNull(), F.col("doc_id"))
+    keep = found.groupBy("node", alone.alias("alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.text_hash").alias("_hash")).distinct()
+    own = docs.join(keep, (docs["doc_id"] == keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_hash"]), "left_semi")
+    own = own.withColumn(_spare(docs), F.xxhash64("text")).dropDuplicates(["doc_id", _spare(docs)]).drop(_spare(docs))
+    return own.unionByName(docs.filter("doc_id is null"))
+
+
+def _spare(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"_hash_{k}") not in taken)

@@ -14,7 +14,9 @@ is made from a bounded sample of them (``SAMPLE`` documents, 8 chunks each); it
 affects their size alone.
 
 Defined cases: a null text counts as empty (192 blanks); repeated rows give
-repeated rows; an empty table gives an empty result; other columns are ignored.
+repeated rows, each with its own doc_id, null ones too; very long texts are one
+image of more rows; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -154,11 +156,27 @@ def chunk_store(docs: DataFrame, words: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
+def checked(store: DataFrame, words: bytes) -> DataFrame:
+    """The store, every chunk unpacked once and compared with its digest."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor(**_zstd(words)).decompress
+        for b in slices(batches, 512):
+            for d, packed in zip(b.column("digest").to_pylist(), b.column("packed").to_pylist()):
+                if digest(unpack(packed)) != d:
+                    raise ValueError(f"chunk {d.hex()} is damaged")
+            yield b
+
+    return store.mapInArrow(run, "digest binary, packed binary")
+
+
 def reconstruct(lists: DataFrame, store: DataFrame, words: bytes) -> DataFrame:
     """(media_key, media) of the distinct lists (media_key, digests), every image verified."""
     parts = lists.select("media_key", F.size("digests").alias("of"), F.posexplode("digests").alias("seq", "digest"))
     # Sorted by image within a partition, the chunks of an image are read one after the other.
-    parts = parts.join(store, "digest").select("media_key", "of", "seq", "packed").repartition("media_key").sortWithinPartitions("media_key", "seq")
+    parts = parts.join(checked(store, words), "digest").select("media_key", "of", "seq", "packed").repartition("media_key").sortWithinPartitions("media_key", "seq")
 
     def run(batches):
         import zstandard

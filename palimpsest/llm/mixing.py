@@ -15,7 +15,9 @@ spread evenly; only sums by shard and by source meet in one place.
 
 Defined cases: a null text has size 0 and nothing is taken of it; a null source
 is a source of its own, last in order; rows that repeat an id count as documents
-of their own; an empty table gives an empty result; other columns are ignored.
+of their own; documents of one draw and id are in the order of their sizes; very
+long texts are one row like others; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,10 +153,12 @@ def mix(
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as many times as its taken words make up its size, rounded.
 
-    Documents of which less than half is taken, or that have no word, are left out. Rows that repeat an id
-    count together.
+    Documents of which less than half is taken, or that have no word, are left out. Rows that repeat an id count
+    together; rows with a null id are one such group. Columns of any name come back as they were.
     """
-    plan = mix(docs, **parameters).filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    plan = plan.select(F.col("doc_id").alias("_mixed_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_mixed_times")).filter("_mixed_times > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mixed_id"])).filter(word_count(F.col("text")) > 0)
-    return joined.withColumn("_mixed_copy", F.explode(F.sequence(F.lit(1), F.col("_mixed_times")))).select(*docs.columns)
+    plan = mix(docs, **parameters).filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    plan = plan.select(F.col("doc_id").alias("id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
+    # The rows travel as one struct, so no column of theirs can clash with one of the plan's.
+    rows = docs.filter(word_count(docs["text"]) > 0).select(docs["doc_id"].alias("own"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    joined = rows.join(plan, rows["own"].eqNullSafe(plan["id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -14,7 +14,10 @@ Texts part into units, runs of white space with what follows, that no piece
 crosses; a bounded memory of units' ids spares most of them the pass.
 
 Defined cases: a null text gives null ids and a null decoded text, an empty one
-no id; repeated rows give repeated rows; other columns are ignored.
+no id; ties of scores go to the leftmost merge; very long texts take time in
+proportion to their length and memory for their ids; repeated rows give repeated
+rows; an empty table gives an empty result; other columns are ignored. A model of
+another sort, or one that changes the text first, is refused (``check_sort``).
 """
 
 from __future__ import annotations
@@ -34,6 +37,59 @@ _UNIT = re.compile("▁+[^▁]*")
 _MEMORY = 250_000
 
 
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol-buffer message: whole numbers and byte strings."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+        elif kind == 2:
+            n = varint()
+            yield key >> 3, data[at : at + n]
+            at += n
+        else:
+            n = 8 if kind == 1 else 4
+            yield key >> 3, data[at : at + n]
+            at += n
+
+
+def check_sort(serialized: bytes) -> None:
+    """Raises ValueError for a model file that this encoder would read wrongly.
+
+    It must be of the BPE sort, put a blank before the text, keep repeated blanks and change no character.
+    """
+    # The fields of the format (trainer 2: sort 3, 2 is BPE; normaliser 3: rules 2, leading blank 3, single blanks 4, marks blanks 5).
+    message = dict(_fields(serialized))
+    trainer, rules = dict(_fields(message.get(2, b""))), dict(_fields(message.get(3, b"")))
+    faults = []
+    if trainer.get(3, 1) != 2:
+        faults.append("not of the BPE sort")
+    if rules.get(2):
+        faults.append("has rules that change characters")
+    if not rules.get(3, 1):
+        faults.append("puts no blank before the text")
+    if rules.get(4, 1):
+        faults.append("makes repeated blanks one")
+    if not rules.get(5, 1):
+        faults.append("doesn't mark blanks")
+    if faults:
+        raise ValueError("piece model " + ", ".join(faults))
+
+
 class PieceModel:
     """Pieces, scores and merges of a SentencePiece model file of the BPE sort with byte fallback."""
 
@@ -41,6 +97,7 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_sort(sp.serialized_model_proto())
         self.names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.bytes = {i: int(self.names[i][3:5], 16) for i in range(len(self.names)) if sp.is_byte(i)}
         self.byte_ids = {b: i for i, b in self.bytes.items()}

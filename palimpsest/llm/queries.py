@@ -92,7 +92,7 @@ WITH entries(list, kind, key, action, since) AS (VALUES {", ".join(f"('{a}','{b}
 dated AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, key ORDER BY since) AS valid_to FROM entries),
 valid AS (SELECT list, kind, key, action = 'allow' AS allows, since AS valid_from, valid_to FROM dated WHERE action <> 'remove'),
 captures AS ({_CAPTURES}),
-labels AS (SELECT *, string_split(host, '.') AS l FROM captures),
+labels AS (SELECT *, string_split(regexp_replace(host, '[.]+$', ''), '.') AS l FROM captures),
 asked AS (
   SELECT DISTINCT host, fetched_at, 'host' AS kind, array_to_string(l[k:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS k FROM labels)
   UNION SELECT DISTINCT host, fetched_at, 'label', unnest(l) FROM labels),

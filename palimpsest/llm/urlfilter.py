@@ -9,14 +9,18 @@ interval, finds the active entries. The most specific one decides, hosts before
 labels, longer before shorter; if allowing and blocking ones are equally
 specific, blocking wins.
 
-Both sides are shuffled on the key, so the lists may have any size; a key that
-a third of the captures ask for is a skewed join, which adaptive execution
-splits, and the counts by capture are summed before they are shuffled.
+Most keys that captures ask for ("com") are in no list. So the lists' keys, where
+they are ``known_keys`` at most, are broadcast first and only keys that are listed
+go on. Both sides are then shuffled on the key, so the lists may have any size; a
+listed key that a third of the captures ask for is a skewed join, which adaptive
+execution splits, and the counts by capture are summed before they are shuffled.
 
 Defined cases: a null url or fetch time is matched by nothing and not blocked;
 entries with a null field are ignored; of several actions for an entry at one
-time, remove comes first, then allow, then add; repeated captures give repeated
-rows; other columns are ignored.
+time, remove comes first, then allow, then add; a host with closing dots is
+judged without them; a very long host asks for as many keys as it has labels;
+repeated captures give repeated rows; an empty table gives an empty result, an
+empty list blocks nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import checkpoint
 from palimpsest.llm.html import host_of
 
 #: The lists that the query applies: (list, kind, entry, action, since).
@@ -69,6 +74,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def keys_of(host: Column) -> Column:
     """Keys of a host: its suffixes of two labels or more and its labels, as (kind, key) structs."""
+    host = F.regexp_replace(host, r"\.+$", "")  # a host's closing dot says nothing
     labels = F.split(host, r"\.")
     count = F.size(labels)
     starts = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array(F.lit(1)))
@@ -77,11 +83,14 @@ def keys_of(host: Column) -> Column:
     return F.when(host != "", F.concat(suffixes, singles))
 
 
-def judge(captures: DataFrame, entries: DataFrame, fetched: str = "fetched_at") -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, fetched: str = "fetched_at", known_keys: int = 1_000_000) -> DataFrame:
     """One row per capture: page_id, url, host, fetched_at, n_active, lists, blocked."""
     own = captures.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col(fetched).alias("fetched_at"))
     asked = own.filter("fetched_at is not null").select("host", "fetched_at").distinct().withColumn("k", F.explode(keys_of(F.col("host")))).select("host", "fetched_at", "k.*")
     valid = intervals(entries)
+    known = checkpoint(valid.select("kind", "key").distinct())
+    if known.count() <= known_keys:
+        asked = asked.join(F.broadcast(known), ["kind", "key"], "left_semi")
     inside = (asked["fetched_at"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (asked["fetched_at"] < valid["valid_to"]))
     active = asked.join(valid, (asked["kind"] == valid["kind"]) & (asked["key"] == valid["key"]) & inside).select(
         "host", "fetched_at", "list", "allows", F.struct((asked["kind"] == "host").alias("h"), F.length(asked["key"]).alias("n"), (~F.col("allows")).alias("b")).alias("rank")
