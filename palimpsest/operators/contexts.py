@@ -17,12 +17,6 @@ def scan(elements: DataFrame, pattern: str = PLACEHOLDER) -> DataFrame:
     return elements.select("doc_id", F.explode(placeholders(F.col("text"), pattern)).alias("name")).distinct()
 
 
-def scan_places(elements: DataFrame, pattern: str = PLACEHOLDER) -> DataFrame:
-    """(doc_id, placeholder_name, place): where each name comes first, by element and place in it."""
-    named = elements.select("doc_id", "seq", F.posexplode(placeholders(F.col("text"), pattern)).alias("at", "placeholder_name"))
-    return named.groupBy("doc_id", "placeholder_name").agg(F.min(F.col("seq").cast("long") * 1_000_000 + F.col("at")).alias("place"))
-
-
 def _joined(frame) -> F.Column:
     return F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(frame), "\n")
 

@@ -68,14 +68,12 @@ def grounded(replies: DataFrame) -> DataFrame:
 def best_of_each(detections: DataFrame) -> DataFrame:
     """Of detections equal but for case and outer white space the most confident, the first of equal ones.
 
-    ``group_seq`` is the first appearance of the group. Rows are dealt by document, so the steps after this one
-    need no further shuffle.
+    ``group_seq`` is the first appearance of the group.
     """
     key = F.lower(strip(F.col("original")))
     row = F.struct("original", "placeholder", "category", "confidence", "reason", "seq")
     return (
-        detections.repartition("doc_id")
-        .groupBy("doc_id", key.alias("_key"))
+        detections.groupBy("doc_id", key.alias("_key"))
         .agg(F.max_by(row, F.struct(F.col("confidence"), -F.col("seq"))).alias("w"), F.min("seq").alias("group_seq"))
         .select("doc_id", "w.*", "group_seq")
     )
@@ -100,9 +98,18 @@ def longest_first(detections: DataFrame) -> DataFrame:
     return detections.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.length("original")), "group_seq")))
 
 
-def reconcile(detections: DataFrame) -> DataFrame:
+def distinct_maximal(detections: DataFrame, dealt: bool = False) -> DataFrame:
+    """The best of each group of equal detections, without those that are part of another.
+
+    Detections are dealt by document once, which both steps need and a later order by document too; ``dealt`` says
+    that they lie so already.
+    """
+    return maximal(best_of_each(detections if dealt else detections.repartition("doc_id")))
+
+
+def reconcile(detections: DataFrame, dealt: bool = False) -> DataFrame:
     """The detections that a document's substitution uses, in their order."""
-    return longest_first(maximal(best_of_each(detections)))
+    return longest_first(distinct_maximal(detections, dealt))
 
 
 def of_category(detections: DataFrame, category: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Whole files in, whole files out: rebuilding and filling documents held in a binary column.
 
-Files are rows (doc_id, content). What is put into a file comes from a table and meets it by a cogroup on its id, so
-one file and what belongs to it is one group; nothing is sent to all executors. A file that can't be read or written
-gives a row with its error and no content.
+Files are rows (doc_id, content). What is put into a file comes from a table, as one list for each id, and is joined
+to it; nothing is sent to all executors and a model is asked once for each place. A file that can't be read or
+written gives a row with its error and no content.
 """
 
 from __future__ import annotations
@@ -14,48 +14,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import PLACEHOLDER_NO_DIGITS, preview
+from palimpsest.functions.text import PLACEHOLDER, PLACEHOLDER_NO_DIGITS
 from palimpsest.operators import contexts, matching, model
 from palimpsest.operators.rebuild import rebuild
 from palimpsest.sources import docx
+from palimpsest.sources.batches import slices
 
-_REBUILT = "doc_id long, content binary, applied int, failed array<string>, success boolean, error string"
-_FILLED = "doc_id long, content binary, found int, filled int, unfilled array<string>, success boolean, error string"
+_KINDS = {"binary": pa.binary(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_REBUILT = {"content": "binary", "applied": "int", "failed": "array<string>"}
+_FILLED = {"content": "binary", "found": "int", "filled": "int", "unfilled": "array<string>"}
 #: Parts that the plain filler reads and writes, and those of the filler by context.
 PLAIN_PARTS, CONTEXT_PARTS = ("body", "cell", "header", "footer"), ("body", "cell")
 
 
-def _per_file(files: DataFrame, given: DataFrame, work: Callable[[bytes, list[dict]], list], failed: list, schema: str) -> DataFrame:
-    """``work`` on each file's bytes and its given rows; ``failed`` is the result where it raises, with the error last."""
-    spark_schema = files.sparkSession.createDataFrame([], schema).schema
-    names = spark_schema.names
+def _per_file(files: DataFrame, given: DataFrame, work: Callable[[bytes, list[dict]], tuple], failed: tuple, columns: dict[str, str]) -> DataFrame:
+    """doc_id, what ``work`` makes of each file's bytes and its given rows, success, error; ``failed`` where it raises."""
+    lists = given.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in given.columns if c != "doc_id"])).alias("given"))
+    names = ["doc_id", *columns, "success", "error"]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, own = [], right.to_pylist()
-        for doc, content in zip(left.column("doc_id").to_pylist(), left.column("content").to_pylist()):
-            try:
-                rows.append([doc, *work(content, own), True, None])
-            except Exception as e:  # noqa: BLE001 - any damage belongs to its file
-                rows.append([doc, *failed, False, f"{type(e).__name__}: {e}"])
-        columns = list(zip(*rows)) or [[] for _ in names]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-        types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for doc, content, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "content", "given"))):
+                try:
+                    rows.append((doc, *work(content, own or []), True, None))
+                except Exception as e:  # noqa: BLE001 - any damage belongs to its file
+                    rows.append((doc, *failed, False, f"{type(e).__name__}: {e}"))
+            kinds = [pa.int64(), *[_KINDS[k] for k in columns.values()], pa.bool_(), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(names), kinds)], names=names)
 
-    return files.select("doc_id", "content").groupBy("doc_id").cogroup(given.groupBy("doc_id")).applyInArrow(run, schema)
+    schema = "doc_id long, " + ", ".join(f"{n} {k}" for n, k in columns.items()) + ", success boolean, error string"
+    return files.select("doc_id", "content").join(lists, "doc_id", "left").mapInArrow(run, schema)
 
 
 def rebuild_files(files: DataFrame, replacements: DataFrame) -> DataFrame:
     """Each file with its replacements (doc_id, ord, original, placeholder) applied, longest first, as a new file."""
 
-    def work(content: bytes, own: list[dict]) -> list:
+    def work(content: bytes, own: list[dict]) -> tuple:
         document = docx.Document(content)
         pairs = [(r["original"], r["placeholder"]) for r in sorted(own, key=lambda r: r["ord"])]
         runs, applied, failed = rebuild(document.paragraphs, pairs)
-        return [document.written(runs), applied, failed]
+        return document.written(runs), applied, failed
 
     given = replacements.select(*[F.col(c).alias(c) for c in ("doc_id", "ord", "original", "placeholder")])
-    return _per_file(files, given, work, [None, 0, []], _REBUILT)
+    return _per_file(files, given, work, (None, 0, []), _REBUILT)
 
 
 def filled_runs(runs: list[str], name: str, content: str) -> list[str] | None:
@@ -103,30 +105,74 @@ def fill_files(files: DataFrame, mapping: DataFrame, pattern: str = PLACEHOLDER_
     known = mapping.filter("name is not null and content is not null").groupBy("name").agg(F.min("content").alias("put"))
     given = placeholder_names(files, pattern).join(known, "name", "left").select("doc_id", "name", "put")
 
-    def work(content: bytes, own: list[dict]) -> list:
+    def work(content: bytes, own: list[dict]) -> tuple:
         rows = sorted(own, key=lambda r: r["name"])
         made, filled = _fill(content, [(r["name"], r["put"]) for r in rows if r["put"] is not None], PLAIN_PARTS)
-        return [made, len(rows), len(filled), [r["name"] for r in rows if r["name"] not in filled]]
-
-    return _per_file(files, given, work, [None, 0, 0, []], _FILLED)
+        return made, len(rows), len(filled), [r["name"] for r in rows if r["name"] not in filled]
+
+    return _per_file(files, given, work, (None, 0, 0, []), _FILLED)
+
+
+def _contexts(content: bytes) -> list[tuple[str, int, str, str, str, str]]:
+    """(name, place, before, after, heading, paragraph) of each name's first place in a file, the body before tables."""
+    rows = list(docx.parse(content, blanks=True))
+    body = [r for r in rows if r[2] == "paragraph"]
+    heads = [(k, r[1]) for k, r in enumerate(body) if "Heading" in (r[7] or "")]
+    last = heads[-1][1] if heads else "Document Start"
+    found: dict[str, tuple] = {}
+
+    def add(text: str, before: list[str], after: list[str], heading: str) -> None:
+        for name in _NAMED.findall(text):
+            if name not in found:
+                found[name] = (name, len(found), "\n".join(before)[-contexts.WIDTH :], "\n".join(after)[: contexts.WIDTH], heading, text)
+
+    texts, at, heading = [r[1] for r in body], 0, last
+    for k, text in enumerate(texts):
+        while at < len(heads) and heads[at][0] < k:
+            heading = heads[at][1]
+            at += 1
+        add(text, texts[max(0, k - contexts.NEAR) : k], texts[k + 1 : k + 1 + contexts.NEAR], heading)
+    cells: dict[tuple[int, int], dict[int, list[str]]] = {}
+    for r in rows:
+        if r[2] == "table_cell":
+            cells.setdefault((r[4], r[5]), {}).setdefault(r[6], []).append(r[1])
+    for (table, line), row in cells.items():
+        order = sorted(row)
+        text_of = {c: "\n".join(row[c]) for c in order}
+        above, below = cells.get((table, line - 1)), cells.get((table, line + 1))
+        for place, c in enumerate(order):
+            left = [text_of[x] for x in order[max(0, place - 2) : place]][::-1]
+            right = [text_of[x] for x in order[place + 1 : place + 3]]
+            up = ["\n".join(above[max(above)])] if above else []
+            down = ["\n".join(below[min(below)])] if below else []
+            for k, text in enumerate(row[c]):
+                add(text, row[c][:k] + left + up, row[c][k + 1 :] + right + down, last)
+    return list(found.values())
+
+
+_NAMED = re.compile(PLACEHOLDER)
+_CONTEXT = "doc_id long, placeholder_name string, place int, before_text string, after_text string, section_heading string, full_paragraph string"
 
 
 def file_contexts(files: DataFrame) -> DataFrame:
     """(doc_id, placeholder_name, place, before_text, after_text, section_heading, full_paragraph): first places, the body before tables.
 
-    A name in a table has the document's last heading. ``place`` orders the names of a file.
+    What ``contexts`` says of tables of paragraphs and cells; of a file it is found where the file is read, without a
+    shuffle. A name in a table has the document's last heading. ``place`` orders the names of a file.
     """
-    own = docx.elements(files.select(F.col("doc_id").cast("string").alias("path"), "content"), blanks=True).filter("error is null")
-    own = own.withColumn("doc_id", F.col("path").cast("long"))
-    body = own.filter("element_type = 'paragraph'").select("doc_id", "seq", "text", "style_name")
-    cells = own.filter("element_type = 'table_cell'").select("doc_id", "seq", "table_index", "row_index", "cell_index", "paragraph_index", "text")
-    places = contexts.scan_places(own.filter(F.col("element_type").isin("paragraph", "table_cell")))
-    last = body.filter(F.contains("style_name", F.lit("Heading"))).groupBy("doc_id").agg(F.max_by(F.coalesce("text", F.lit("")), "seq").alias("last_heading"))
-    in_body = contexts.paragraph_contexts(body).withColumn("rank", F.lit(0))
-    in_cells = contexts.cell_contexts(cells).join(last, "doc_id", "left").withColumn("section_heading", F.coalesce("last_heading", F.lit("Document Start"))).withColumn("rank", F.lit(1))
-    columns = ["doc_id", "placeholder_name", "rank", "before_text", "after_text", "section_heading", "full_paragraph"]
-    first = contexts.first_of_each(in_body.select(*columns).unionByName(in_cells.select(*columns)), "placeholder_name", "rank").drop("rank")
-    return first.join(places, ["doc_id", "placeholder_name"])
+
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for doc, content in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist()):
+                try:
+                    rows += [(doc, *r) for r in _contexts(content)]
+                except Exception:  # noqa: BLE001 - filling tells the error
+                    continue
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=[x.split(" ")[0] for x in _CONTEXT.split(", ")])
+
+    return files.select("doc_id", "content").mapInArrow(run, _CONTEXT)
 
 
 def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: model.Client = model.silent, prefixes: bool = True) -> DataFrame:
@@ -141,26 +187,19 @@ def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: mode
     usable = sources.filter("success and coalesce(text, '') <> ''").select("ord", "name", F.col("text").alias("content"))
     names = around.select(F.col("placeholder_name").alias("name")).distinct()
     matched = matching.by_prefix(names, usable) if prefixes else matching.by_name(names, usable).filter("content is not null")
-    asked = around.join(matched.select(F.col("name").alias("placeholder_name"), F.col("content").alias("source_text")), "placeholder_name")
+    asked = around.join(matched.select(F.col("name").alias("placeholder_name"), F.col("content").alias("source_text")), "placeholder_name", "left")
     fields = {c: F.col(c) for c in ("placeholder_name", "section_heading", "before_text", "after_text", "full_paragraph")}
-    prompts = asked.select("doc_id", "placeholder_name", "place", model.prompt_for_context(template, fields, F.col("source_text")).alias("prompt"))
-    replies = model.contents(model.ask(prompts, client)).select("doc_id", "placeholder_name", "place", F.nullif(F.col("content"), F.lit("")).alias("put"))
-    given = around.select("doc_id", "placeholder_name").join(replies, ["doc_id", "placeholder_name"], "left").withColumn("asked", F.col("place").isNotNull())
-    given = given.select("doc_id", F.col("placeholder_name").alias("name"), "place", "put", "asked")
-
-    def work(content: bytes, own: list[dict]) -> list:
-        rows = sorted((r for r in own if r["put"] is not None), key=lambda r: r["place"])
-        made, filled = _fill(content, [(r["name"], r["put"]) for r in rows], CONTEXT_PARTS)
-        return [made, len(own), len(filled), sorted(r["name"] for r in own if r["name"] not in filled)]
-
-    done = _per_file(files, given, work, [None, 0, 0, []], _FILLED)
-    told = given.groupBy("doc_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("put").isNotNull(), F.struct("name", preview(F.col("put"), always=not prefixes)))))).alias("details"),
-        F.array_sort(F.collect_list(F.when(F.col("asked") & F.col("put").isNull(), F.concat(F.lit("no content for "), F.col("name"))))).alias("errors"),
-    )
+    prompt = F.when(F.col("source_text").isNotNull(), model.prompt_for_context(template, fields, F.col("source_text")))
+    replies = model.contents(model.ask(asked.select("doc_id", "placeholder_name", "place", prompt.alias("prompt")), client))
+    given = replies.select("doc_id", F.col("placeholder_name").alias("name"), "place", F.col("prompt").isNotNull().alias("asked"), F.nullif(F.col("content"), F.lit("")).alias("put"))
+
+    def work(content: bytes, own: list[dict]) -> tuple:
+        rows = sorted(own, key=lambda r: r["place"])
+        made, filled = _fill(content, [(r["name"], r["put"]) for r in rows if r["put"] is not None], CONTEXT_PARTS)
+        details = {r["name"]: r["put"][:100] + ("..." if not prefixes or len(r["put"]) > 100 else "") for r in rows if r["put"] is not None}
+        return made, len(rows), len(filled), sorted(r["name"] for r in rows if r["name"] not in filled), list(details.items()), [f"no content for {r['name']}" for r in rows if r["asked"] and r["put"] is None]
+
+    done = _per_file(files, given, work, (None, 0, 0, [], [], []), {**_FILLED, "details": "map<string,string>", "errors": "array<string>"})
     # One row in all: the sources that could not be read.
     unread = sources.filter("not success").agg(F.array_sort(F.collect_list(F.concat(F.lit("not read: "), F.col("name"), F.lit(": "), F.coalesce("error", F.lit(""))))).alias("unread"))
-    return done.join(told, "doc_id", "left").join(F.broadcast(unread)).select(
-        *done.columns, "details", F.concat("unread", F.coalesce("errors", F.array().cast("array<string>"))).alias("errors")
-    )
-
+    return done.join(F.broadcast(unread)).withColumn("errors", F.concat("unread", "errors")).drop("unread")

@@ -128,7 +128,7 @@ def _added(rows: DataFrame, names: tuple[str, ...], compute: Callable[[list], li
 
 
 def ask(prompts: DataFrame, client: Client = silent) -> DataFrame:
-    """Adds ``reply`` and ``error`` to rows with a ``prompt``; a failing call is an error of its row.
+    """Adds ``reply`` and ``error`` to rows with a ``prompt``; a failing call is an error of its row, a null prompt is no call.
 
     Columns of these names are replaced.
     """
@@ -136,6 +136,10 @@ def ask(prompts: DataFrame, client: Client = silent) -> DataFrame:
     def called(given: list) -> list[list]:
         replies, errors = [], []
         for p in given:
+            if p is None:
+                replies.append(None)
+                errors.append(None)
+                continue
             try:
                 replies.append(client(p))
                 errors.append(None)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.batches import slices
+
 #: Parts whose paragraphs may be matched as a sequence.
 SEQUENCES = ("body", "cell", "header_cell")
 
@@ -120,22 +122,22 @@ def rebuild_documents(paragraphs: DataFrame, replacements: DataFrame) -> DataFra
     """Rows (doc_id, part, grp, seq, text, applied, failed) after substitution.
 
     ``paragraphs`` (doc_id, part, grp, seq, runs), ``replacements`` (doc_id, ord,
-    original, placeholder). A document is one task's group, as its fold is sequential.
+    original, placeholder). A document with its replacements is one row for the fold, which is sequential; many
+    documents share a batch.
     """
     schema = "doc_id long, part string, grp int, seq int, text string, applied int, failed array<string>"
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(left.to_pylist(), key=lambda r: (r["part"], r["grp"], r["seq"]))
-        pairs = [(r["original"], r["placeholder"]) for r in sorted(right.to_pylist(), key=lambda r: r["ord"])]
-        runs, applied, failed = rebuild([(r["part"], r["grp"], r["seq"], r["runs"] or []) for r in rows], pairs)
-        return pa.table(
-            {
-                "doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.string()),
-                "grp": pa.array([r["grp"] for r in rows], pa.int32()), "seq": pa.array([r["seq"] for r in rows], pa.int32()),
-                "text": pa.array(["".join(x) for x in runs], pa.string()), "applied": pa.array([applied] * len(rows), pa.int32()),
-                "failed": pa.array([failed] * len(rows), pa.list_(pa.string())),
-            }
-        )
-
-    replacements = replacements.select(*[F.col(c).alias(c) for c in ("doc_id", "ord", "original", "placeholder")])  # both may come from one table
-    return paragraphs.groupBy("doc_id").cogroup(replacements.groupBy("doc_id")).applyInArrow(run, schema)
+    given = replacements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "original", "placeholder"))).alias("given"))
+    own = paragraphs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "grp", "seq", "runs"))).alias("own"))
+
+    def run(batches):
+        for b in slices(batches):
+            out: list[list] = [[] for _ in range(7)]
+            for doc, rows, pairs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "own", "given"))):
+                runs, applied, failed = rebuild([(r["part"], r["grp"], r["seq"], r["runs"] or []) for r in rows], [(r["original"], r["placeholder"]) for r in pairs or []])
+                for r, new in zip(rows, runs):
+                    for column, x in zip(out, (doc, r["part"], r["grp"], r["seq"], "".join(new), applied, failed)):
+                        column.append(x)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds)], names=[x.split(" ")[0] for x in schema.split(", ")])
+
+    return own.join(given, "doc_id", "left").mapInArrow(run, schema)

@@ -10,6 +10,7 @@ import json
 import re
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,12 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("c_custkey").alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.*")
 
 
+def rebuilt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt files, kept on disk: filling reads them for their names and again to write them."""
+    made = files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir))
+    return made.select("doc_id", "content").persist(StorageLevel.DISK_ONLY)
+
+
 def reread(made: DataFrame, *rest: str) -> DataFrame:
     """(doc_id, part, seq, text, …) of the paragraphs of files, as read from their bytes."""
     read = docx.elements(made.select(F.col("doc_id").cast("string").alias("path"), "content"), blanks=True)
@@ -95,7 +102,7 @@ def rebuilt_files(spark, sf_dir):
 @query(f"WITH {_DUCK_CUSTOMER_FILES} SELECT doc_id, part, seq, replace(text, '{{{{CUSTOMER_NAME}}}}', 'Ann & Co <1>') AS text, 2 AS found, 1 AS filled, 'SEGMENT' AS unfilled FROM rebuilt")
 def filled_files(spark, sf_dir):
     """Rebuilt files filled from a mapping table as bytes and read again."""
-    rebuilt = files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir)).select("doc_id", "content")
+    rebuilt = rebuilt_templates(spark, sf_dir)
     content = spark.createDataFrame([("CUSTOMER_NAME", "Ann & Co <1>"), ("UNUSED", "x")], "name string, content string")
     return reread(files.fill_files(rebuilt, content).withColumn("unfilled", F.array_join("unfilled", "|")), "found", "filled", "unfilled")
 
@@ -115,7 +122,7 @@ _SOURCES = ((0, "CUSTOMER", "a client", True, None), (1, "SEG", "a market", True
   2 AS found, 2 AS filled, 'CUSTOMER_NAME: a client' AS detail, 'not read: OTHER: no such file' AS told FROM rebuilt""")
 def smart_filled_files(spark, sf_dir):
     """Rebuilt files filled by context, names matched by prefix."""
-    rebuilt = files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir)).select("doc_id", "content")
+    rebuilt = rebuilt_templates(spark, sf_dir)
     sources = spark.createDataFrame(list(_SOURCES), "ord int, name string, text string, success boolean, error string")
     made = files.smart_fill(rebuilt, sources, "{placeholder_name}\n{source_text}\n{section_heading}\n{before_text}", extracting)
     return reread(made.withColumn("detail", F.col("details")["CUSTOMER_NAME"]).withColumn("told", F.array_join("errors", "|")), "found", "filled", "detail", "told")
@@ -125,7 +132,7 @@ def smart_filled_files(spark, sf_dir):
   2 AS found, 1 AS filled, 'CUSTOMER_NAME: own text...' AS detail FROM rebuilt""")
 def smart_filled_by_name(spark, sf_dir):
     """The form without prefixes, whose previews always end in an ellipsis."""
-    rebuilt = files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir)).select("doc_id", "content")
+    rebuilt = rebuilt_templates(spark, sf_dir)
     sources = spark.createDataFrame([(0, "CUSTOMER_NAME", "own text", True, None), (1, "SEG", "a market", True, None)], "ord int, name string, text string, success boolean, error string")
     made = files.smart_fill(rebuilt, sources, "{placeholder_name}\n{source_text}", extracting, prefixes=False)
     return reread(made.withColumn("detail", F.col("details")["CUSTOMER_NAME"]), "found", "filled", "detail")

@@ -42,8 +42,10 @@ _LETTER = """concat('Dear Mr Alan ', CASE c_custkey % 3 WHEN 0 THEN 'Marsh' WHEN
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters, dealt by doc_id: detection runs in all tasks however few files the orders are, and reconciling needs no other shuffle."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(F.col("o_orderkey").alias("doc_id"), F.expr(_LETTER).alias("text"))
+    made = joined.select(F.col("o_orderkey").alias("doc_id"), F.expr(_LETTER).alias("text"))
+    return made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 _DUCK_LETTERS = f"letters AS (SELECT o_orderkey AS doc_id, {_LETTER.replace('AS STRING', 'AS VARCHAR')} AS text FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -75,14 +77,14 @@ PLAIN = tuple(x for x in PATTERNS if x[0] in ("PERCENTAGE", "EMAIL"))
 def entity_counts(spark, sf_dir):
     """F7, A2, J1, A1 over documents, and E with the patterns of PLAIN only; ``all_entity_counts`` has all."""
     found = entities.detect(table(spark, sf_dir, "documents"), PLAIN)
-    return entities.counts_by_category(entities.maximal(entities.best_of_each(found)))
+    return entities.counts_by_category(entities.distinct_maximal(found))
 
 
 @query()
 def all_entity_counts(spark, sf_dir):
     """E with all patterns, F7, A2, J1, A1 over documents; no SQL, as DuckDB reads some patterns otherwise."""
     found = entities.detect(table(spark, sf_dir, "documents"))
-    return entities.counts_by_category(entities.maximal(entities.best_of_each(found)))
+    return entities.counts_by_category(entities.distinct_maximal(found))
 
 
 @query(f"WITH {_DUCK_LETTERS}, {_duck_hits('letters')} SELECT doc_id, seq, original, placeholder, category FROM hits")
@@ -95,7 +97,7 @@ def letter_entities(spark, sf_dir):
 SELECT doc_id, original, placeholder, category, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, group_seq) AS INTEGER) AS ord FROM maximal""")
 def reconciled_entities(spark, sf_dir):
     """A2, J1, O1, O5, P1."""
-    return entities.reconcile(entities.detect(letters(spark, sf_dir))).select("doc_id", "original", "placeholder", "category", "ord")
+    return entities.reconcile(entities.detect(letters(spark, sf_dir)), dealt=True).select("doc_id", "original", "placeholder", "category", "ord")
 
 
 @query("""SELECT * FROM (VALUES (0, 'DATE', 'Specific dates', '{{DATE}}', 6), (1, 'CURRENCY', 'Currency amounts', '{{CURRENCY_AMOUNT}}', 7), (2, 'CUSTOMER_NAME', 'Customer names', '{{CUSTOMER_NAME}}', 1),
@@ -283,7 +285,7 @@ def rebuilt_letters(spark, sf_dir):
     """Letters with their detections replaced."""
     found = letters(spark, sf_dir)
     paragraphs = found.select("doc_id", F.lit("body").alias("part"), F.lit(0).alias("grp"), F.posexplode(F.split("text", r"(?<=\.) ")).alias("seq", "t")).select("doc_id", "part", "grp", "seq", F.array("t").alias("runs"))
-    return rebuild.rebuild_documents(paragraphs, entities.reconcile(entities.detect(found)))
+    return rebuild.rebuild_documents(paragraphs, entities.reconcile(entities.detect(found), dealt=True))
 
 
 @query("""WITH p AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, trim(regexp_replace(m.text, '\\s+', ' ', 'g')) AS t FROM

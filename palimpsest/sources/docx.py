@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.batches import slices
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 ELEMENTS = (
@@ -120,7 +122,7 @@ def elements(docs: DataFrame, blanks: bool = False) -> DataFrame:
     """The elements of every file (path, content); a file that can't be read gives one row with its error."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
                     rows = [(path, *e, None) for e in parse(content, blanks)]
@@ -146,7 +148,7 @@ def properties(docs: DataFrame) -> DataFrame:
     wanted = {"title": "title", "creator": "author", "created": "created", "modified": "modified", "subject": "subject", "keywords": "keywords"}
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 found, images, has, error = dict.fromkeys(wanted.values(), ""), 0, [False, False], None
                 try:
@@ -174,7 +176,7 @@ def pages_text(docs: DataFrame, reader: Callable[[bytes], Iterator[str]]) -> Dat
     """(path, text, page_count, success, error) by a reader of page texts, as for PDF files; empty pages are left out of the text."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
                     pages = [p or "" for p in reader(content)]

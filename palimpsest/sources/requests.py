@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.model import resolve_parsed
 from palimpsest.sources import docx
+from palimpsest.sources.batches import slices
 
 # The files that a listing shows where there is no folder to list.
 DEMO_FILES = (("Report.docx", 713_317), ("Annual Update.docx", 2_637_121))
@@ -59,7 +60,7 @@ def parsed(files: DataFrame, parser: Callable[[bytes], str] | None = None) -> Da
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 given = error = None
@@ -74,7 +75,7 @@ def parsed(files: DataFrame, parser: Callable[[bytes], str] | None = None) -> Da
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, kinds)], names=["path", "content", "given", "error"])
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, status, errors = [], [], []
             for content, given, error in zip(*(b.column(c).to_pylist() for c in ("content", "given", "error"))):
                 state, text = "parsed", given

@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.batches import slices
+
 
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
@@ -50,7 +52,7 @@ def save_files(files: DataFrame, folder: str, fallback: str | None = None) -> Da
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
                 path = warning = error = None
