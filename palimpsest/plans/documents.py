@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import classify, entities, files, matching
 from palimpsest.plans.registry import _DUCK_LETTERS, _DUCK_MAXIMAL, _duck_hits, letters, mapping, query, table
-from palimpsest.sources import docx, requests, sinks
+from palimpsest.sources import docx, pdf, requests, sinks
 
 
 def scripted(prompt: str) -> str:
@@ -209,3 +209,17 @@ def sorted_names(spark, sf_dir):
     found = entities.detect(letters(spark, sf_dir))
     two = entities.of_category(found, "DATE").unionByName(entities.of_category(found, "EMAIL"))
     return two.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(T.first_placeholder(F.col("placeholder")))), ",").alias("names"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'Account (of) ' || c_name || chr(10) || 'Balance: £5 – 10' || chr(10) || chr(10) || 'Page ' || c_custkey END AS text,
+  CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 3 END AS page_count, c_custkey % 5 <> 0 AS success, CASE WHEN c_custkey % 5 = 0 THEN 'no PDF file' END AS error FROM customer WHERE c_name IS NOT NULL""")
+def pdf_pages(spark, sf_dir):
+    """Files of three pages, the middle one blank, read; a damaged one tells its error."""
+
+    def run(batches):
+        for b in batches:
+            made = [b"damaged" if k % 5 == 0 else pdf.made([f"Account (of) {n}\nBalance: £5 – 10", "", f"Page {k}"]) for k, n in zip(b.column("c_custkey").to_pylist(), b.column("c_name").to_pylist())]
+            yield pa.record_batch([b.column("c_custkey").cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+
+    own = table(spark, sf_dir, "customer").filter("c_name is not null").select("c_custkey", "c_name").mapInArrow(run, "path string, content binary")
+    return docx.pages_text(own, pdf.pages).select(F.col("path").cast("long").alias("doc_id"), "text", "page_count", "success", "error")

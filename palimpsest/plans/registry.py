@@ -114,7 +114,7 @@ def category_schema(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview, substr(text, 1, 100) || '...' AS preview_always,
   CAST(floor(len(regexp_extract_all(text, '\\S+')) * CAST(1.3 AS DOUBLE)) AS INTEGER) AS tokens, substr(text, 1, 15000) AS cut, '{{' || upper(lang) || '}}' AS tag FROM documents""")
 def text_expressions(spark, sf_dir):
-    """P3, P3b, P15, P16, O4, P22."""
+    """P3, P3b, P15, O4, P22."""
     x = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(x).alias("preview"), T.preview(x, always=True).alias("preview_always"), T.token_estimate(x).alias("tokens"), F.substring(x, 1, 15000).alias("cut"), T.tag(F.upper("lang")).alias("tag"))
 
@@ -179,7 +179,7 @@ def prefix_match(spark, sf_dir):
 
 @query(f"WITH {_DUCK_NAMES} SELECT n.name, x.content FROM names n LEFT JOIN mapping x USING (name)")
 def name_match(spark, sf_dir):
-    """J2, J4, J9."""
+    """J2, J4."""
     return matching.by_name(contexts.scan(templates(spark, sf_dir)).select("name").distinct(), mapping(spark))
 
 
@@ -191,7 +191,7 @@ def unfilled_names(spark, sf_dir):
 
 @query(f"WITH {_DUCK_TEMPLATES} SELECT doc_id, replace(replace(text, '{{{{PART}}}}', 'costs $1 and {{{{ECO}}}}'), '{{{{ECO}}}}', 'eco') AS filled FROM templates")
 def filled_templates(spark, sf_dir):
-    """A fold in mapping order; content brings in a later name."""
+    """P19, the fold of R8: in mapping order; content brings in a later name."""
     return templates(spark, sf_dir).select("doc_id", T.fill(F.col("text"), [("{{PART}}", F.lit("costs $1 and {{ECO}}")), ("{{ECO}}", F.lit("eco"))]).alias("filled"))
 
 
