@@ -103,4 +103,42 @@ found AS (SELECT host, fetched_at, count(*) AS n_active, bool_or(NOT allows AND
                  coalesce(string_agg(DISTINCT list, ',' ORDER BY list) FILTER (WHERE NOT allows), '') AS lists FROM ranked GROUP BY ALL)
 SELECT page_id, url, host, fetched_at, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, coalesce(blocked, false) AS blocked
 FROM captures LEFT JOIN found USING (host, fetched_at)""",
+    # Every quotient of every party ranked: a brute-force restatement of the apportionment, by source and by shard.
+    "op8_mixing": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NOT NULL AS has_source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR))) AS draw FROM documents),
+n AS (SELECT greatest(1, (count(*) + 4095) // 4096) AS shards FROM d),
+p AS (SELECT d.*, CAST('0x' || substr(draw, 1, 12) AS BIGINT) % shards AS shard FROM d, n),
+sources AS (SELECT source, has_source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY has_source DESC, source) AS place FROM p GROUP BY source, has_source),
+weighed AS (SELECT *, CAST([5, 2, 1][(place - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most, CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS wanted FROM sources),
+ratios AS (SELECT *, most / weight AS ratio FROM weighed),
+levels AS (SELECT *, (wanted - coalesce(sum(most) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
+common AS (SELECT (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, place LIMIT 1) AS level),
+aims AS (SELECT l.source, l.has_source, l.source_size, CASE WHEN c.level IS NULL THEN most ELSE least(most, c.level * weight) END AS target FROM levels l, common c),
+blocks AS (SELECT *, unnest(range(CAST(ceil(source_size * 2 / 64) AS BIGINT))) AS seat FROM aims),
+won AS (SELECT source, has_source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, source, has_source, seat) AS rank FROM blocks WHERE target > 0)
+  WHERE rank <= (SELECT floor(sum(target) / 64) FROM aims) GROUP BY ALL),
+seats AS (SELECT a.*, least(coalesce(quota, 0) * 64, source_size * 2) AS words FROM aims a LEFT JOIN won USING (source, has_source)),
+shards AS (SELECT source, has_source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM p GROUP BY ALL),
+ranked AS (SELECT source, has_source, shard, row_number() OVER (PARTITION BY source, has_source ORDER BY CAST(shard_size AS DOUBLE) / (2 * seat + 1) DESC, shard, seat) AS rank FROM (SELECT *, unnest(range(shard_size * 2)) AS seat FROM shards)),
+given AS (SELECT r.source, r.has_source, shard, count(*) AS words FROM ranked r JOIN seats s USING (source, has_source) WHERE rank <= s.words GROUP BY ALL),
+placed AS (SELECT p.*, s.source_size, s.target, h.shard_size, coalesce(g.words, 0) AS words, sum(size) OVER (PARTITION BY p.source, p.has_source, p.shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ends
+  FROM p JOIN seats s USING (source, has_source) JOIN shards h USING (source, has_source, shard) LEFT JOIN given g USING (source, has_source, shard))
+SELECT doc_id, CASE WHEN has_source THEN source END AS source, size, source_size, target,
+  CAST(greatest(0, least(ends, words) - (ends - size)) + greatest(0, least(ends + shard_size, words) - (ends - size + shard_size)) AS BIGINT) AS taken FROM placed""",
+    # All classes that share a shingle are compared on their full sets; no band is looked at.
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL AND text <> ''),
+cut AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [chr(1) || text] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) END)) AS s FROM d),
+keyed AS (SELECT doc_id, s, md5(array_to_string(s, chr(2))) AS k FROM cut),
+classes AS (SELECT k, min(doc_id) AS cid, count(*) AS n, any_value(s) AS s FROM keyed GROUP BY k),
+parts AS (SELECT cid, len(s) AS size, unnest(s) AS x FROM classes),
+common AS (SELECT a.cid AS u, b.cid AS v, a.size AS p, b.size AS q, count(*) AS met FROM parts a JOIN parts b ON a.x = b.x AND a.cid < b.cid AND least(a.size, b.size) >= 0.8 * greatest(a.size, b.size) GROUP BY ALL),
+half AS (SELECT u, v FROM common WHERE met >= 0.8 * (p + q - met)),
+links AS (SELECT u, v FROM half UNION ALL SELECT v, u FROM half),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+roots AS (SELECT u AS cid, least(u, min(v)) AS root FROM reach GROUP BY u),
+counted AS (SELECT u AS cid, count(*) AS texts, CAST(sum(n) AS BIGINT) AS docs FROM links JOIN classes ON cid = v GROUP BY u)
+SELECT o.doc_id, coalesce(root, c.cid, o.doc_id) AS class_id, coalesce(c.cid, o.doc_id) AS text_class, coalesce(n, 1) AS n_copies, coalesce(n, 1) - 1 + coalesce(docs, 0) AS n_links, coalesce(texts, 0) AS n_text_links
+FROM documents o LEFT JOIN keyed USING (doc_id) LEFT JOIN classes c ON c.k = keyed.k LEFT JOIN counted USING (cid) LEFT JOIN roots r ON r.cid = c.cid""",
 }
