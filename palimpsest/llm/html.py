@@ -13,12 +13,13 @@ What a page itself says of a place is evidence that scales the composite to the
 content's importance (``importance``):
 
 - inside an article mark (article, main, role=main) it lacks less of 1;
-- outside the marks of a page that has some, or below a name of boilerplate
-  (notices, menus, widgets), it counts half, and where the tree has not seen the
-  node often enough to tell, it is held to be shared;
+- outside the marks of a page that has some, or below a name in which boilerplate
+  is a word (widgets, shares, related), it counts half, and where the tree has not
+  seen the node often enough to tell, it is held to be shared;
 - below structure of boilerplate (navigation, headers, footers, asides, forms,
-  elements named just as adverts or comments) it counts 0.3. A form that holds
-  an article mark or most of a page's text is the page, and no evidence.
+  elements whose whole name is that of a menu, sidebar or notice, or names an advert
+  or comments), or where both of the above speak against it, it counts 0.3. A form
+  that holds an article mark or most of a page's text is the page, and no evidence.
 
 Contents of less importance than ``threshold`` are removed from each page: a
 branch goes only when all that stands below it goes. Scripts, styles and what no
@@ -67,8 +68,15 @@ _NOISE = re.compile(
     r"footers?|site-header|page-header|masthead|comments?|commentlist|respond|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|related|recommended|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-#: Names, on their own, of what differs from page to page and still is no main text: here no importance counts.
-_NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist comment-list respond disqus disqus_thread replies".split())
+#: Whole names of what is no main text wherever it stands, and, outside an article, of a page's head.
+_WHOLE = frozenset(
+    "sidebar sidebars side-bar menu menus main-menu nav navbar navigation breadcrumb breadcrumbs footer site-footer page-footer notice notices cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr banner banners "
+    "sponsor sponsored promo promotion newsletter subscribe signup login popup modal".split()
+)
+_HEADS = frozenset("header site-header page-header masthead".split())
+#: Words that say the same at either end of a longer name (user-comments, ad-slot), and words beside them that take it back (ad-free).
+_NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist respond disqus replies".split())
+_BUT = frozenset("no has with is free open closed on off enabled disabled".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+|[^>]*+)>|([^<]++|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -152,9 +160,13 @@ def parse(html: str) -> Node:
                     role = value.lower()
         hidden = tag in HIDDEN
         structure = not hidden and (tag in BOILERPLATE or role in _ROLES or (tag == "header" and not marks))
-        named = not hidden and not structure and bool(names and tag not in ("body", "html", "article", "main") and _NOISE.search(names))
-        if named and not _NEVER.isdisjoint(names.lower().split()):
-            structure, named = True, False
+        named = False
+        if names and not hidden and not structure and tag not in ("body", "html", "main"):
+            if _NOISE.search(names):
+                structure = _named_structure(names.lower().split(), tag == "article")
+                named = not structure and tag != "article"
+            elif not marks and tag != "article":
+                structure = not _HEADS.isdisjoint(names.lower().split())
         if not block and not hidden and not structure and not named:
             continue
         sign = tag + "".join("." + _NUMBER.sub("#", x) for x in sorted(names.split())) + (f"[{role}]" if role else "")
@@ -169,6 +181,17 @@ def parse(html: str) -> Node:
     return root
 
 
+def _named_structure(names: list[str], article: bool) -> bool:
+    """Whether a class or id says by itself that an element is no main text; of an article only that it is an advert or comment."""
+    for name in names:
+        words = re.split("[-_]+", name)
+        if (words[0] in _NEVER or words[-1] in _NEVER) and _BUT.isdisjoint((words[0], words[-1])):
+            return True
+        if not article and name in _WHOLE:
+            return True
+    return False
+
+
 @lru_cache(maxsize=50_000)
 def _path_key(above: int, sign: str) -> int:
     return _key(f"{above}/{sign}")
@@ -310,7 +333,8 @@ def judged(root: Node) -> list[tuple[Node, str, int, int]]:
     out = []
     for n, t, line in found:
         structure, inside, named = state[n]
-        place = STRUCTURE if structure else DOUBTFUL if named or (any_inside and not inside) else INSIDE if inside else PLAIN
+        outside = any_inside and not inside
+        place = STRUCTURE if structure or (named and outside) else DOUBTFUL if named or outside else INSIDE if inside else PLAIN
         out.append((n, t, line, place))
     return out
 

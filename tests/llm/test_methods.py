@@ -307,3 +307,17 @@ def test_stages_and_pipeline(spark, tmp_path):
     assert {x.doc_id for x in out} <= set(range(40)) and all(x.round_trip for x in out)
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_names_that_say_enough_and_those_that_do_not(spark):
+    art = "<article><h1>T {k}</h1><p>Own {k}</p>{x}</article>"
+    for inside, stays in (("<div class='user-comments'><p>me {k}</p></div>", False), ("<article class='comment-body'><p>me {k}</p></article>", False), ("<div class='ad-slot'>buy {k}</div>", False),
+                          ("<div class='notice'>We note {k}</div>", False), ("<div class='ad-free'>me {k}</div>", True), ("<div class='related-work'>me {k}</div>", True)):
+        rows = [(k, "http://h.example/", (art.replace("{x}", inside)).replace("{k}", str(k))) for k in range(6)]
+        got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all((len(t.split("\n\n")) == 3) == stays for t in got.values()), inside
+    for outside in ("<div class='sidebar'>S {k}</div>", "<div class='my-widget'>W {k}</div>", "<div id='header'>H {k}</div>", "<div class='cookie-banner'>C {k}</div>"):
+        rows = [(k, "http://h.example/", (outside + art.replace("{x}", "")).replace("{k}", str(k))) for k in range(6)]
+        got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: f"T {k}\n\nOwn {k}" for k in range(6)}, outside
+    assert html.extract("<div class='sidebar'>Side</div><div class='content'><p>Long text of it</p></div>") == "Long text of it"
