@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.model import resolve_parsed
+from palimpsest.operators.model import Client, Limiter, Retrying, resolve_parsed
 from palimpsest.sources import docx
 from palimpsest.sources.batches import slices
 
@@ -33,6 +33,11 @@ class Settings:
         got = {f.name: spark.conf.get(f"spark.palimpsest.{f.name}", None) for f in fields(cls)}
         return cls(**{f.name: type(f.default)(got[f.name]) for f in fields(cls) if got[f.name] is not None})
 
+    def client(self, client: Client, workers: int = 1) -> Retrying:
+        """A client that keeps to these settings, with its share of the allowance where ``workers`` ask at once."""
+        share = Limiter(max(1, self.requests_per_minute // workers), max(1, self.tokens_per_minute // workers))
+        return Retrying(client, attempts=self.attempts, most_tokens=self.reply_tokens, limiter=share)
+
 
 def mapping_of(spark: SparkSession, request: str) -> DataFrame:
     """(ord, name, content) of a request's mapping, a JSON object, in its order; what is no object gives no row."""

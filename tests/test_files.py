@@ -82,6 +82,8 @@ def test_requests(spark):
     assert requests.mapping_of(spark, "[1").count() == 0
     spark.conf.set("spark.palimpsest.attempts", "3")
     assert requests.Settings.of(spark).attempts == 3 and requests.Settings.of(spark).chunk_size == "max"
+    client = requests.Settings(requests_per_minute=100, tokens_per_minute=900).client(str.upper, workers=4)
+    assert (client.limiter.requests, client.limiter.tokens, client.attempts) == (25, 225, 5)
     assert all(r.mock for r in requests.listing_or_demo(spark, "/no/such/folder/").collect())
 
 
