@@ -328,8 +328,11 @@ def fit_classifier(rows: list[list[int]], weight: np.ndarray, goal: np.ndarray,
     return w
 
 
-def fit(patterns: list[Pattern], sample: list[tuple[str, tuple[int, ...], list[int]]]) -> SpanModel:
-    """Expectation-maximisation over all patterns, then the classifier over the sampled candidates (kind, votes, indicators)."""
+def fit(patterns: list[Pattern], sample: list[tuple[str, tuple[int, ...], list[int], int]]) -> SpanModel:
+    """Expectation-maximisation over all patterns, then the classifier over sampled candidates (kind, votes, indicators, count).
+
+    The sample of a pattern stands for all of it: counts are scaled to the pattern's own.
+    """
     if not patterns or not sample:
         w = np.zeros(WIDTH)
         w[_AT_KIND:_AT_LENGTH] = -5
@@ -337,10 +340,12 @@ def fit(patterns: list[Pattern], sample: list[tuple[str, tuple[int, ...], list[i
     patterns, sample = sorted(patterns), sorted(sample)
     posterior, accuracy = expectation_maximisation(patterns)
     of = {(k, v): (p, n) for (k, v, n), p in zip(patterns, posterior)}
-    drawn = Counter((k, v) for k, v, _ in sample)
-    weight = np.array([of[k, v][1] / drawn[k, v] for k, v, _ in sample], dtype=float)
-    goal = np.array([of[k, v][0] for k, v, _ in sample])
-    return SpanModel(fit_classifier([r for *_, r in sample], weight, goal), accuracy)
+    drawn: Counter = Counter()
+    for k, v, _, c in sample:
+        drawn[k, v] += c
+    weight = np.array([of[k, v][1] * c / drawn[k, v] for k, v, _, c in sample], dtype=float)
+    goal = np.array([of[k, v][0] for k, v, _, _ in sample])
+    return SpanModel(fit_classifier([r for _, _, r, _ in sample], weight, goal), accuracy)
 
 
 _VOTES, _MARKS = "array<int>", "array<int>"
@@ -376,12 +381,13 @@ def train(docs: DataFrame, max_rows: int = 20_000) -> SpanModel:
         return fit([], [])
     each = max(LEAST, max_rows // len(counts))
     shares = spark.createDataFrame([(k, list(v), min(1.0, each / n)) for k, v, n in sorted(counts)], f"kind string, votes {_VOTES}, share double")
-    # As many rows as there are patterns. The draw is by content, so reruns agree; copies are drawn together.
-    drawn = found.join(F.broadcast(shares), ["kind", "votes"]).filter("draw < share").select("kind", "votes", "marks", "draw").groupBy("kind", "votes", "marks").agg(F.min("draw").alias("draw"))
-    # At least one row of each pattern, the one of the least draw, whatever the shares left.
-    first = found.groupBy("kind", "votes").agg(F.min_by("marks", F.struct("draw", "marks")).alias("marks")).withColumn("draw", F.lit(-1.0))
+    # As many rows as there are patterns. The draw is by content, so reruns agree; copies are drawn together and counted.
+    drawn = found.join(F.broadcast(shares), ["kind", "votes"]).filter("draw < share").groupBy("kind", "votes", "marks").agg(F.min("draw").alias("draw"), F.count("*").alias("n"))
+    # The row of the least draw of each pattern stands for it where the share drew none.
+    first = found.groupBy("kind", "votes").agg(F.min_by("marks", F.struct("draw", "marks")).alias("marks")).select("kind", "votes", "marks", F.lit(-1.0).alias("draw"), F.lit(0).cast("long").alias("n"))
     rows = drawn.unionByName(first).orderBy("draw", "kind", "votes", "marks").limit(max(max_rows, LEAST * len(counts)) + len(counts)).collect()
-    return fit(counts, [(r.kind, tuple(r.votes), list(r.marks)) for r in rows])
+    met = {(r.kind, tuple(r.votes)) for r in rows if r.n}
+    return fit(counts, [(r.kind, tuple(r.votes), list(r.marks), r.n or 1) for r in rows if r.n or (r.kind, tuple(r.votes)) not in met])
 
 
 def spans(text: str, model: SpanModel, threshold: float = 0.9) -> tuple[list, list]:
@@ -396,25 +402,26 @@ def _join(found: list) -> str:
 
 
 def find(docs: DataFrame, model: SpanModel | None = None, threshold: float = 0.9) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans that the method adds)."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added (of them those that the method adds)."""
     model = model or train(docs)
 
     def run(batches):
         for b in slices(batches):
-            counts, digests, joined, added = [], [], [], []
+            counts, digests, joined, every_n, added = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 base, every = spans(text or "", model, threshold)
                 c = Counter(k for _, k, _ in base)
                 counts.append([c[k] for k in BASE])
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
                 joined.append(_join(every))
+                every_n.append(len(every))
                 added.append(len(every) - len(base))
             yield pa.record_batch(
-                [b.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(added, pa.int64())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                [b.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(every_n, pa.int64()), pa.array(added, pa.int64())],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redact_text(text: str, found: list) -> str:

@@ -321,3 +321,13 @@ def test_names_that_say_enough_and_those_that_do_not(spark):
         got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got == {k: f"T {k}\n\nOwn {k}" for k in range(6)}, outside
     assert html.extract("<div class='sidebar'>Side</div><div class='content'><p>Long text of it</p></div>") == "Long text of it"
+
+
+@with_tables
+def test_span_model_reads_a_sample_as_the_whole(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    whole, part = pii.train(docs), pii.train(docs, max_rows=1)
+    a, b = ([r.spans for r in pii.find(docs, m).orderBy("doc_id").collect()] for m in (whole, part))
+    assert sum(x != y for x, y in zip(a, b)) <= 0.05 * len(a)
+    found = pii.find(docs, whole).agg(F.sum("n_added"), F.sum("n_spans")).first()
+    assert found[0] > 0 and found[1] > found[0]

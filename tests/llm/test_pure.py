@@ -77,7 +77,7 @@ def test_span_model_and_redaction():
     for (c, t), n in zip(found, (500, 500, 400, 400, 1, 300)):
         for s in c + pii.base_spans(t):
             rows.append((s[1], pii.votes(t, s), pii.features(t, s, pii.votes(t, s)), n))
-    model = pii.fit([(k, v, n) for k, v, _, n in rows], [(k, v, x) for k, v, x, _ in rows])
+    model = pii.fit([(k, v, n) for k, v, _, n in rows], [(k, v, x, 1) for k, v, x, _ in rows])
     assert pii.spans(texts[0], model)[1] != [] and pii.spans(texts[2], model)[1] == []
     likely = [model.probability(x) for _, _, x, _ in rows if pii.KINDS.index("secret") + pii._AT_KIND in x]
     assert len(likely) == 2 and likely[0] > likely[1]  # named a token; named a commit
