@@ -90,7 +90,8 @@ def maximal(detections: DataFrame) -> DataFrame:
     joined = F.concat(F.lit("\x00"), F.array_join(F.array_distinct(F.transform("_rows", lambda r: r["original"])), "\x00"), F.lit("\x00"))
     once = lambda r: F.length("_all") - F.length(F.replace(F.col("_all"), r["original"], F.lit(""))) <= F.length(r["original"])
     kept = rows.withColumn("_all", joined).select("doc_id", F.filter("_rows", once).alias("_rows"))
-    return kept.select("doc_id", F.explode("_rows").alias("_row")).select("doc_id", "_row.*")
+    # The longest text always stays, so no list is empty; the outer form spares a test of that, which would filter twice.
+    return kept.select("doc_id", F.explode_outer("_rows").alias("_row")).select("doc_id", "_row.*")
 
 
 def longest_first(detections: DataFrame) -> DataFrame:

@@ -91,3 +91,21 @@ def test_properties(spark):
     own = spark.createDataFrame([("a", docx.made([["x"]], header=" ")), ("b", b"broken")], "path string, content binary")
     got = {r.path: r for r in docx.properties(own).collect()}
     assert got["a"].has_headers and not got["a"].has_footers and got["a"].error is None and got["b"].error
+
+
+def test_written_files_are_found_and_read(spark, tmp_path):
+    from palimpsest.streaming import folder
+
+    at = str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"f{k}.docx", docx.made([[f"text {k}"]])) for k in range(3)], "name string, content binary")
+    assert sinks.save_files(rows, at).filter("error is null").count() == 3
+    assert {(r.name, r.size > 0) for r in docx.listing(spark, at).collect()} == {(f"f{k}.docx", True) for k in range(3)}
+    read = docx.elements(docx.files(spark, at).select("path", "content"))
+    assert {r.text for r in read.collect()} == {f"text {k}" for k in range(3)}
+    assert {(r.text, r.status) for r in requests.parsed(docx.files(spark, at)).collect()} == {(f"text {k}", "local") for k in range(3)}
+    # The same operators over the folder as a stream.
+    stream = docx.elements(folder.dropped_files(spark, at).select("path", "content"))
+    query = stream.writeStream.format("memory").queryName("dropped").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.text for r in spark.table("dropped").collect()} == {f"text {k}" for k in range(3)}
+    assert sinks.write_files(rows, str(tmp_path / "packed")).count() == 3
