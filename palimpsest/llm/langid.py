@@ -110,14 +110,16 @@ class Scorer(dict):
         return self.tables.languages[best], float(1 / odds.sum())
 
 
-def train(docs: DataFrame, per_language: int | None = 1500, words: int | None = 20_000, grams: int | None = 5_000) -> Tables:
+def train(docs: DataFrame, per_language: int | None = 1500, words: int | None = 20_000, grams: int | None = 5_000, known_languages: int = 100_000) -> Tables:
     """Counts words and n-grams of the sample in Spark and collects the tables, which ``words`` and ``grams`` bound."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     sample = own.select("lang", "text")
     if per_language is not None:
-        sizes = own.groupBy("lang").count().withColumn("_share", F.lit(float(per_language)) / F.col("count"))
+        # One row for each language: as many as are known are broadcast, so no text is shuffled by its language.
+        sizes = checkpoint(own.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("_share")))
+        if sizes.count() <= known_languages:
+            sizes = F.broadcast(sizes)
         draw = (F.xxhash64(F.lit("language"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("_draw")
-        # One row for each language; where those are too many to broadcast, the planner won't.
         sample = own.select("*", draw).join(sizes, "lang").filter("_draw < _share").select("lang", "text")
 
     def count(batches):
