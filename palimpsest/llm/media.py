@@ -156,27 +156,11 @@ def chunk_store(docs: DataFrame, words: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
-def checked(store: DataFrame, words: bytes) -> DataFrame:
-    """The store, every chunk unpacked once and compared with its digest."""
-
-    def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor(**_zstd(words)).decompress
-        for b in slices(batches, 512):
-            for d, packed in zip(b.column("digest").to_pylist(), b.column("packed").to_pylist()):
-                if digest(unpack(packed)) != d:
-                    raise ValueError(f"chunk {d.hex()} is damaged")
-            yield b
-
-    return store.mapInArrow(run, "digest binary, packed binary")
-
-
 def reconstruct(lists: DataFrame, store: DataFrame, words: bytes) -> DataFrame:
-    """(media_key, media) of the distinct lists (media_key, digests), every image verified."""
+    """(media_key, media) of the distinct lists (media_key, digests), every chunk and every image verified."""
     parts = lists.select("media_key", F.size("digests").alias("of"), F.posexplode("digests").alias("seq", "digest"))
     # Sorted by image within a partition, the chunks of an image are read one after the other.
-    parts = parts.join(checked(store, words), "digest").select("media_key", "of", "seq", "packed").repartition("media_key").sortWithinPartitions("media_key", "seq")
+    parts = parts.join(store, "digest").select("media_key", "of", "seq", "digest", "packed").repartition("media_key").sortWithinPartitions("media_key", "seq")
 
     def run(batches):
         import zstandard
@@ -192,13 +176,15 @@ def reconstruct(lists: DataFrame, store: DataFrame, words: bytes) -> DataFrame:
 
         for b in slices(batches, 512):
             keys, files = [], []
-            for key, count, packed in zip(*(b.column(c).to_pylist() for c in ("media_key", "of", "packed"))):
+            for key, count, name, packed in zip(*(b.column(c).to_pylist() for c in ("media_key", "of", "digest", "packed"))):
                 if key != now:
                     if now is not None:
                         keys.append(now)
                         files.append(whole())
                     now, of, held = key, count, []
                 held.append(unpack(packed))
+                if digest(held[-1]) != name:
+                    raise ValueError(f"chunk {name.hex()} is damaged")
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(files, pa.binary())], names=["media_key", "media"])
         if now is not None:
             yield pa.record_batch([pa.array([now], pa.binary()), pa.array([whole()], pa.binary())], names=["media_key", "media"])

@@ -264,9 +264,12 @@ def test_models_of_another_sort_are_refused():
 
 def test_damaged_chunks_are_found(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
-    store = media.chunk_store(docs, b"").withColumn("digest", F.lit(b"0" * 16))
+    lists = media.chunk_lists(docs).select("media_key", "digests")
+    good = media.chunk_store(docs, b"")
+    assert media.reconstruct(lists, good, b"").count() == 1
+    other = media.chunk_store(docs.withColumn("text", F.lit("other text")), b"").select("packed")
     with pytest.raises(Exception, match="damaged"):
-        media.checked(store, b"").collect()
+        media.reconstruct(lists, good.select("digest").crossJoin(other), b"").collect()
 
 
 def test_a_dictionary_changes_sizes_only(spark):
