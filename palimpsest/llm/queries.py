@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import html, jaccard, langid, media, mixing, pieces, pii, quality, topk, urlfilter
+from palimpsest.llm import html, jaccard, langid, media, mixing, phrases, pieces, pii, quality, topk, urlfilter
 
 #: Where the vocabulary file of the pieces lies; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
+    "op12_phrases": op12_phrases,
 }
 
 _CAPTURES = r"""
@@ -125,6 +130,21 @@ placed AS (SELECT p.*, s.source_size, s.target, h.shard_size, coalesce(g.words,
   FROM p JOIN seats s USING (source, has_source) JOIN shards h USING (source, has_source, shard) LEFT JOIN given g USING (source, has_source, shard))
 SELECT doc_id, CASE WHEN has_source THEN source END AS source, size, source_size, target,
   CAST(greatest(0, least(ends, words) - (ends - size)) + greatest(0, least(ends + shard_size, words) - (ends - size + shard_size)) AS BIGINT) AS taken FROM placed""",
+    # Every phrase of every piece counted as text: no list, no level.
+    "op12_phrases": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+lengths(k) AS (VALUES (1), (2), (3), (4)),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, lengths) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(w[: cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(w[cut + 1 :], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, n, array_to_string(w[i : i + n - 1], ' ') AS phrase, max(a) AS around FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c)) GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN parts p ON p.lang = s.lang AND p.n = s.k AND p.phrase = s.phrase WHERE p.around IS NULL OR CAST(100 AS HUGEINT) * around < CAST(80 AS HUGEINT) * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang)
+QUALIFY rank <= 2000""",
     # All classes that share a shingle are compared on their full sets; no band is looked at.
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL AND text <> ''),
