@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import html, jaccard, langid, media, mixing, phrases, pieces, pii, quality, topk, urlfilter
+from palimpsest.llm import ann, hardneg, html, jaccard, langid, media, mixing, phrases, pieces, pii, quality, topk, urlfilter
 
 #: Where the vocabulary file of the pieces lies; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,10 +60,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -75,7 +84,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_phrases": op12_phrases,
+    "op13_neighbours": op13_neighbours,
 }
 
 _CAPTURES = r"""
@@ -130,6 +141,14 @@ placed AS (SELECT p.*, s.source_size, s.target, h.shard_size, coalesce(g.words,
   FROM p JOIN seats s USING (source, has_source) JOIN shards h USING (source, has_source, shard) LEFT JOIN given g USING (source, has_source, shard))
 SELECT doc_id, CASE WHEN has_source THEN source END AS source, size, source_size, target,
   CAST(greatest(0, least(ends, words) - (ends - size)) + greatest(0, least(ends + shard_size, words) - (ends - size + shard_size)) AS BIGINT) AS taken FROM placed""",
+    # The full join: a brute-force restatement.
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS vec_id, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
     # Every phrase of every piece counted as text: no list, no level.
     "op12_phrases": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
