@@ -47,25 +47,36 @@ from palimpsest.llm.common import checkpoint_dir, delete
 LONGEST = 4
 #: Bits of a place for the number of a phrase in its block and of a block in its task; the task has the rest.
 _PHRASE_BITS, _BLOCK_BITS = 22, 21
-_BLOCK = "block long, lang string, words array<string>, n array<long>, seq binary, tail binary"
-_LEVEL = "block long, lang string, w binary, wid binary, own binary, loc binary, left array<long>, right array<long>, n array<long>"
+#: Phrases in a row of a block's list, and a row group's rows and bytes: what a task holds at once.
+_CHUNK = 1 << 15
+_STORED = {"compression": "zstd", "parquet.block.size": 1 << 24, "parquet.block.row.count.limit": 64, "parquet.page.size.row.check.min": 1}
+# A block is a row of its own (chunk -1) and rows of its list of phrases; the list of words is that of the first level.
+_BLOCK = "block long, lang string, chunk int, size int, seq binary, tail binary, words array<string>, n array<long>"
+_LEVEL = "block long, lang string, chunk int, size int, w binary, wid binary, tail binary, loc binary, left array<long>, right array<long>, n array<long>"
 
 # What ends a piece, as bytes; a tab is a space.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _CUT = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class _Builder:
     """The block of one language that is being filled."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.seq, self.tail = array("i"), array("i")
 
     def add(self, words: list[bytes], own: int) -> None:
-        number = self.number
         start = len(self.seq)
-        self.seq.extend([number.setdefault(w, len(number)) for w in words])
+        self.seq.extend(map(self.number.__getitem__, words))
         self.tail.extend(range(start + own, start + len(words)))
         self.seq.append(-1)
 
@@ -76,9 +87,22 @@ class _Builder:
         return np.bincount(seq[own & (seq >= 0)], minlength=len(self.number))
 
 
-def blocks(docs: DataFrame, block_words: int = 1 << 21) -> DataFrame:
-    """Blocks of word numbers: block, lang, words, n (occurrences of each word), seq (-1 ends a piece), tail (places not counted)."""
-    piece = min(block_words, 1 << 20)
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+
+def _rows(schema: str, block: int, lang: str, state: list[np.ndarray], lists: list, size: int) -> dict[str, pa.Array]:
+    """The row of a block (its arrays as bytes) and those of its lists, as columns of Arrow."""
+    columns = [c.split(" ") for c in schema.split(", ")]
+    chunks = range(0, size, _CHUNK)
+    values = [[block], [lang], [-1], [size], *[[a.tobytes()] for a in state], *[[None] for _ in lists]]
+    for column, more in zip(values, [[block] * len(chunks), [lang] * len(chunks), list(range(len(chunks))), [size] * len(chunks), *[[None] * len(chunks) for _ in state], *[[x[at : at + _CHUNK] for at in chunks] for x in lists]]):
+        column += more
+    return {name: pa.array(x, _KINDS[kind]) for (name, kind), x in zip(columns, values)}
+
+
+def blocks(docs: DataFrame, block_words: int = 1 << 20) -> DataFrame:
+    """Blocks of word numbers: block, lang, seq (-1 ends a piece), tail (places not counted); words and n (occurrences of each word) in rows of their own."""
+    piece = min(block_words, 1 << 20)  # so a block has less than 2**22 words
 
     def run(batches):
         task, made, open_, held = TaskContext.get().partitionId(), 0, {}, 0
@@ -86,10 +110,10 @@ def blocks(docs: DataFrame, block_words: int = 1 << 21) -> DataFrame:
         def closed(lang: str) -> pa.RecordBatch:
             nonlocal made
             b = open_.pop(lang)
-            row = [(task << _BLOCK_BITS) | made], [lang], [[w.decode("utf-8") for w in b.number]], [b.counts()], [b.seq.tobytes()], [b.tail.tobytes()]
+            seq, tail = np.frombuffer(b.seq, dtype=np.int32), np.frombuffer(b.tail, dtype=np.int32)
+            columns = _rows(_BLOCK, (task << _BLOCK_BITS) | made, lang, [seq, tail], [[w.decode("utf-8") for w in b.number], b.counts()], len(b.number))
             made += 1
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array(x, t) for x, t in zip(row, kinds)], names=[x.split(" ")[0] for x in _BLOCK.split(", ")])
+            return pa.record_batch(list(columns.values()), names=list(columns))
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text")):
@@ -120,26 +144,22 @@ def blocks(docs: DataFrame, block_words: int = 1 << 21) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, _BLOCK)
 
 
-def _extended(positions: np.ndarray, phrase: np.ndarray, ids: np.ndarray, w: np.ndarray, wid: np.ndarray, own: np.ndarray, k: int) -> tuple:
-    """Lists of the phrases of k + 1 words: (loc by position, left, right, n).
+def _extended(block: pa.Table, positions: np.ndarray, phrase: np.ndarray, ids: np.ndarray, w: np.ndarray, wid: np.ndarray, tail: np.ndarray, k: int) -> pa.Table:
+    """A block with the lists of its phrases of k + 1 words.
 
     ``positions`` are those where frequent phrases of k words begin, in order; ``phrase`` their numbers in ``ids``.
     """
-    loc = np.full(len(w), -1, dtype=np.int32)
+    loc, own = np.full(len(w), -1, dtype=np.int32), np.ones(len(w), dtype=bool)
+    own[tail] = False
     # The merge of two sorted lists, s and s + 1, is a test of neighbours in one.
     both = np.flatnonzero(positions[1:] == positions[:-1] + 1)
     at = positions[both]
     key = phrase[both].astype(np.int64) * max(1, len(wid)) + w[at + k]
     met, number = np.unique(key, return_inverse=True)
     loc[at] = number
-    n = np.bincount(number, weights=own[at], minlength=len(met)).astype(np.int64)
-    return loc, ids[met // max(1, len(wid))], wid[met % max(1, len(wid))], n
-
-
-def _row(block: int, lang: str, w, wid, own, loc, left, right, n) -> pa.Table:
-    values = [block], [lang], [w.astype(np.int32).tobytes()], [wid.astype(np.int64).tobytes()], [own.astype(np.uint8).tobytes()], [loc.tobytes()], [left], [right], [n]
-    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.table([pa.array(x, t) for x, t in zip(values, kinds)], names=[x.split(" ")[0] for x in _LEVEL.split(", ")])
+    n = np.bincount(number[own[at]], minlength=len(met))
+    lists = [ids[met // max(1, len(wid))], wid[met % max(1, len(wid))], n]
+    return pa.table(_rows(_LEVEL, block["block"][0].as_py(), block["lang"][0].as_py(), [w, wid, tail, loc], lists, len(met)))
 
 
 def _ids(known: pa.Table, size: int) -> np.ndarray:
@@ -151,34 +171,32 @@ def _ids(known: pa.Table, size: int) -> np.ndarray:
 
 def _pairs(block: pa.Table, known: pa.Table) -> pa.Table:
     """Level 2 of one block, from its frequent words."""
-    seq, words = np.frombuffer(block["seq"][0].as_py(), dtype=np.int32), len(block["words"][0])
+    seq, words = np.frombuffer(block["seq"][0].as_py(), dtype=np.int32), block["size"][0].as_py()
     ids = _ids(known, words)
     frequent = np.flatnonzero(ids)
     local = np.full(words + 1, -1, dtype=np.int32)  # the last one is for -1
     local[frequent] = np.arange(len(frequent), dtype=np.int32)
-    w, wid, own = local[seq], ids[frequent], np.ones(len(seq), dtype=np.uint8)
-    own[np.frombuffer(block["tail"][0].as_py(), dtype=np.int32)] = 0
+    w, wid = local[seq], ids[frequent]
     positions = np.flatnonzero(w >= 0)
-    return _row(block["block"][0].as_py(), block["lang"][0].as_py(), w, wid, own, *_extended(positions, w[positions], wid, w, wid, own, 1))
+    return _extended(block, positions, w[positions], wid, w, wid, np.frombuffer(block["tail"][0].as_py(), dtype=np.int32), 1)
 
 
 def _longer(k: int):
     def step(block: pa.Table, known: pa.Table) -> pa.Table:
         """Level k + 1 of one block, from its frequent phrases of k words."""
-        get = lambda name, kind: np.frombuffer(block[name][0].as_py(), dtype=kind)
-        w, wid, own, loc = get("w", np.int32), get("wid", np.int64), get("own", np.uint8), get("loc", np.int32)
-        ids = _ids(known, len(block["left"][0]))
+        w, wid, tail, loc = (np.frombuffer(block[name][0].as_py(), dtype=kind) for name, kind in (("w", np.int32), ("wid", np.int64), ("tail", np.int32), ("loc", np.int32)))
+        ids = _ids(known, block["size"][0].as_py())
         positions = np.flatnonzero(loc >= 0)
         positions = positions[ids[loc[positions]] > 0]
-        return _row(block["block"][0].as_py(), block["lang"][0].as_py(), w, wid, own, *_extended(positions, loc[positions], ids, w, wid, own, k))
+        return _extended(block, positions, loc[positions], ids, w, wid, tail, k)
 
     return step
 
 
 def _known(level: DataFrame, least: int, *key: str) -> DataFrame:
     """The frequent phrases at each of their places: lang, key, at, f, id (one of their places, plus 1)."""
-    rows = level.select("block", "lang", F.posexplode(F.arrays_zip(*key, "n")).alias("idx", "x"))
-    rows = rows.select("lang", *[F.col("x")[c].alias(c) for c in key], (F.shiftleft("block", _PHRASE_BITS) + F.col("idx")).alias("at"), F.col("x")["n"].alias("n"))
+    rows = level.filter("chunk >= 0").select("block", "chunk", "lang", F.posexplode(F.arrays_zip(*key, "n")).alias("idx", "x"))
+    rows = rows.select("lang", *[F.col("x")[c].alias(c) for c in key], (F.shiftleft("block", _PHRASE_BITS) + F.col("chunk") * _CHUNK + F.col("idx")).alias("at"), F.col("x")["n"].alias("n"))
     same = W.partitionBy("lang", *key)
     return rows.withColumn("f", F.sum("n").over(same)).filter(F.col("f") >= least).withColumn("id", F.min("at").over(same) + 1).drop("n")
 
@@ -187,12 +205,13 @@ def _met(level: DataFrame, known: DataFrame, step) -> DataFrame:
     """The next level: each block with its own frequent phrases."""
     back = known.select(F.shiftright("at", _PHRASE_BITS).alias("block"), F.col("at").bitwiseAND((1 << _PHRASE_BITS) - 1).alias("idx"), "id")
 
+    empty = pa.table({c.split(" ")[0]: pa.array([], _KINDS[c.split(" ")[1]]) for c in _LEVEL.split(", ")})
+
     def run(key: tuple, block: pa.Table, own: pa.Table) -> pa.Table:
-        if not block.num_rows or not own.num_rows:
-            return pa.table({x.split(" ")[0]: pa.array([], t) for x, t in zip(_LEVEL.split(", "), (pa.int64(), pa.string(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 3))})
-        return step(block, own)
+        return step(block, own) if block.num_rows and own.num_rows else empty
 
-    return level.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, _LEVEL)
+    state = level.filter("chunk < 0").select([c for c in level.columns if c not in ("words", "left", "right", "n")])
+    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, _LEVEL)
 
 
 def frequent(docs: DataFrame, least: int, block_words: int, at: str) -> list[DataFrame]:
@@ -200,11 +219,11 @@ def frequent(docs: DataFrame, least: int, block_words: int, at: str) -> list[Dat
     spark = docs.sparkSession
 
     def stored(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        rows.write.options(**_STORED).parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
     level, out = stored(blocks(docs, block_words), "blocks"), []
-    stored(level.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
+    stored(level.filter("chunk >= 0").groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
     for k in range(1, LONGEST + 1):
         key = ("words",) if k == 1 else ("left", "right")
         known = stored(_known(level, least, *key), f"known{k}")
@@ -260,7 +279,7 @@ def candidates(levels: list[DataFrame]) -> DataFrame:
     return two.unionByName(three).unionByName(four)
 
 
-def mine(docs: DataFrame, least: int = 30, keep: int = 2000, covered: int = 80, block_words: int = 1 << 21) -> DataFrame:
+def mine(docs: DataFrame, least: int = 30, keep: int = 2000, covered: int = 80, block_words: int = 1 << 20) -> DataFrame:
     """The first ``keep`` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
     Candidates are phrases of 2 to 4 words that stand ``least`` times; one that a longer candidate covers in
