@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
-from palimpsest.operators import chunking, entities, model
+from palimpsest.operators import chunking, entities, lanes, model
+from palimpsest.sources.shared import stored
 
 #: Detections of a chunk come after those of the whole document, chunk after chunk.
 _CHUNK_STRIDE = 1_000_000_000_000
 _HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,confidence:double,reason:string>"
 
 
-def chunk_detections(chunks: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS) -> DataFrame:
+def chunk_detections(chunks: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS, **calls) -> DataFrame:
     """The model's grounded detections of each chunk; pattern hits of a chunk whose call fails, or whose reply is an error or spoilt.
 
-    A chunk is sent once: both cases are one projection of its reply.
+    Equal chunks are sent once, when this is called; ``calls`` are parameters of ``lanes.answered``. Both cases are one
+    projection of the reply.
     """
-    answers = model.ask(chunks.withColumn("prompt", model.prompt_for_chunk(template, F.col("text"))), client)
+    prompts = chunks.withColumn("prompt", model.prompt_for_chunk(template, F.col("text")))
+    answers = model.ask(prompts, client) if client is model.silent else lanes.answered(prompts, client, **calls)
     is_error = F.coalesce(F.try_variant_get(F.try_parse_json(model.reply_json(F.col("reply"))), "$.error", "variant").isNotNull(), F.lit(False))
     replaced = F.when(F.col("error").isNull() & ~is_error & ~model.spoilt_reply(F.col("reply"), F.col("text")), model.replacements_in(F.col("reply")))
     hits = F.filter(entities.hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
@@ -34,26 +38,32 @@ def chunk_detections(chunks: DataFrame, template: str, client: model.Client = mo
     return entities.grounded(found).drop("text")
 
 
-def classify(docs: DataFrame, template: str, client: model.Client = model.silent, size: str = "max", patterns=PATTERNS, paragraphs: DataFrame | None = None) -> DataFrame:
+def classify(docs: DataFrame, template: str, client: model.Client = model.silent, size: str = "max", patterns=PATTERNS, paragraphs: DataFrame | None = None, **calls) -> DataFrame:
     """Detections of patterns in whole documents and of the model in their chunks, reconciled.
 
     ``paragraphs``, detections of an earlier phase in the same columns, come first of all.
     """
     names = ("doc_id", "seq", "original", "placeholder", "category", "confidence", "reason")
-    by_chunk = chunk_detections(chunking.chunk_documents(docs, size), template, client, patterns)
+    by_chunk = chunk_detections(chunking.chunk_documents(docs, size), template, client, patterns, **calls)
     found = entities.detect(docs, patterns).select(*names).unionByName(by_chunk.select(*names))
     if paragraphs is not None:
         found = found.unionByName(paragraphs.withColumn("seq", F.col("seq") - _CHUNK_STRIDE).select(*names))
     return entities.reconcile(found)
 
 
-def classify_or_patterns(docs: DataFrame, template: str, client: model.Client = model.silent, **parameters) -> DataFrame:
-    """What ``classify`` finds, with ``status``; where it can't even be run, all pattern hits as they are, and why."""
+def classify_or_patterns(docs: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS, **parameters) -> DataFrame:
+    """What ``classify`` finds, run and stored here, with ``status``; where the run fails, all pattern hits as they are, and why.
+
+    Patterns that the engine does not understand are left out and named in the status; those left keep their places in
+    the order of detections.
+    """
+    good, bad = entities.usable_patterns(docs.sparkSession, patterns)
+    skipped = "".join(f"; pattern of {category} skipped: {why}" for category, _, why in bad)
     try:
-        found = classify(docs, template, client, **parameters).withColumn("status", F.lit("classified"))
-        found.schema  # noqa: B018 - a plan that can't be made fails here
-        return found
+        found = stored(classify(docs, template, client, patterns=good, **parameters), "classified")
+        return found.withColumn("status", F.lit("classified" + skipped))
     except Exception as e:  # noqa: BLE001 - what fails is told in the rows
-        hits = entities.detect(docs, parameters.get("patterns", PATTERNS))
+        hits = entities.detect(docs, good)
         order = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
-        return hits.withColumn("group_seq", F.col("seq")).withColumn("ord", order).withColumn("status", F.lit(f"patterns only: {e}"))
+        why = e.getCondition() if isinstance(e, PySparkException) and e.getCondition() else type(e).__name__
+        return hits.withColumn("group_seq", F.col("seq")).withColumn("ord", order).withColumn("status", F.lit(f"patterns only: {why}{skipped}"))

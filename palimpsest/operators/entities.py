@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from palimpsest.functions.text import normal_placeholder, strip
 #: Unicode classes, case ignored: as the patterns are meant.
 FLAGS = "(?iU)"
 _STRIDE = 1_000_000_000
+_HITS = "array<struct<seq:int,original:string,placeholder:string,category:string>>"
 PATTERN_CONFIDENCE, PATTERN_REASON = 0.8, "Detected by pattern matching"
 
 
@@ -26,21 +28,43 @@ def _gate(text: Column, category: str, pattern: str) -> Column | None:
 
 
 _CATALOGUE = {(c, x) for c, _, x in PATTERNS}
+#: Patterns that the engine follows one call deeper for each word, in a form with the same matches that it follows in a
+#: loop. A word before white space ends at a boundary anyway, so only the last one is tested twice.
+_LOOPED = {x: x.replace(r"(?:\s+[A-Z][a-z]+)+\b", r"(?:\s+[A-Z][a-z]+\b)++") for _, _, x in PATTERNS}
+
+
+def usable_patterns(spark: SparkSession, patterns=PATTERNS) -> tuple[list[tuple[int, str, str, str]], list[tuple[str, str, str]]]:
+    """Patterns that the engine of the executors understands, each with its place, and (category, pattern, message) of the others.
+
+    Each is compiled by the expression that will run it, over an empty text, without a job.
+    """
+    good, bad = [], []
+    for k, (category, placeholder, pattern) in enumerate(patterns):
+        try:
+            spark.sql("SELECT regexp_extract_all('', :p, 0)", args={"p": FLAGS + pattern}).collect()
+            good.append((k, category, placeholder, pattern))
+        except PySparkException as e:
+            bad.append((category, pattern, e.getCondition() or str(e)))
+    return good, bad
 
 
 def hits_in(text: Column, patterns=PATTERNS) -> Column:
     """Every hit of every pattern in a text, as a list of (seq, original, placeholder, category).
 
-    A pattern of the catalogue runs only over texts that hold the mark or digit it needs.
+    A pattern of the catalogue runs only over texts that hold the mark or digit it needs. ``patterns`` are
+    (category, placeholder, pattern), or (place, category, placeholder, pattern) where some of a list are left out.
     """
+    placed = [x if len(x) == 4 else (k, *x) for k, x in enumerate(patterns)]
+    if not placed:
+        return F.array().cast(_HITS)
 
     def hits(k: int, category: str, placeholder: str, pattern: str):
-        found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(FLAGS + _LOOPED.get(pattern, pattern)), F.lit(0))
         if (gate := _gate(text, category, pattern)) is not None:
             found = F.when(gate, found).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE) + i).alias("seq"), m.alias("original"), F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category")))
 
-    return F.concat(*[hits(k, c, p, x) for k, (c, p, x) in enumerate(patterns)])
+    return F.concat(*[hits(*x) for x in placed])
 
 
 def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:

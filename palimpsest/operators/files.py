@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import PLACEHOLDER, PLACEHOLDER_NO_DIGITS
-from palimpsest.operators import contexts, matching, model
+from palimpsest.operators import contexts, lanes, matching, model
 from palimpsest.operators.rebuild import rebuild
 from palimpsest.sources import docx
 from palimpsest.sources.batches import slices
@@ -24,6 +24,7 @@ _KINDS = {"binary": pa.binary(), "int": pa.int32(), "array<string>": pa.list_(pa
 _REBUILT = {"content": "binary", "applied": "int", "failed": "array<string>"}
 _FILLED = {"content": "binary", "found": "int", "filled": "int", "unfilled": "array<string>"}
 #: Parts that the plain filler reads and writes, and those of the filler by context.
+TOLD = 64_000  # characters of messages on unread sources that a file's row holds
 PLAIN_PARTS, CONTEXT_PARTS = ("body", "cell", "header", "footer"), ("body", "cell")
 
 
@@ -175,13 +176,14 @@ def file_contexts(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(run, _CONTEXT)
 
 
-def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: model.Client = model.silent, prefixes: bool = True) -> DataFrame:
+def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: model.Client = model.silent, prefixes: bool = True, **calls) -> DataFrame:
     """Each file with its placeholders filled by what the client finds for them in their source's text.
 
     ``sources`` (ord, name, text, success, error) are read documents by placeholder name or, with ``prefixes``, by what
     names begin with. ``template`` has {placeholder_name}, {section_heading}, {before_text}, {after_text}, {full_paragraph}
     and {source_text}. Result: doc_id, content, found, filled, unfilled, success, error, details (name: first 100
-    characters, with an ellipsis where something is cut, always without ``prefixes``), errors.
+    characters, with an ellipsis where something is cut, always without ``prefixes``), errors. The client is asked once
+    for each distinct prompt, when this is called; ``calls`` are parameters of ``lanes.answered``.
     """
     around = file_contexts(files)
     usable = sources.filter("success and coalesce(text, '') <> ''").select("ord", "name", F.col("text").alias("content"))
@@ -190,7 +192,8 @@ def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: mode
     asked = around.join(matched.select(F.col("name").alias("placeholder_name"), F.col("content").alias("source_text")), "placeholder_name", "left")
     fields = {c: F.col(c) for c in ("placeholder_name", "section_heading", "before_text", "after_text", "full_paragraph")}
     prompt = F.when(F.col("source_text").isNotNull(), model.prompt_for_context(template, fields, F.col("source_text")))
-    replies = model.contents(model.ask(asked.select("doc_id", "placeholder_name", "place", prompt.alias("prompt")), client))
+    prompts = asked.select("doc_id", "placeholder_name", "place", prompt.alias("prompt"))
+    replies = model.contents(model.ask(prompts, client) if client is model.silent else lanes.answered(prompts, client, **calls))
     given = replies.select("doc_id", F.col("placeholder_name").alias("name"), "place", F.col("prompt").isNotNull().alias("asked"), F.nullif(F.col("content"), F.lit("")).alias("put"))
 
     def work(content: bytes, own: list[dict]) -> tuple:
@@ -200,6 +203,10 @@ def smart_fill(files: DataFrame, sources: DataFrame, template: str, client: mode
         return made, len(rows), len(filled), sorted(r["name"] for r in rows if r["name"] not in filled), list(details.items()), [f"no content for {r['name']}" for r in rows if r["asked"] and r["put"] is None]
 
     done = _per_file(files, given, work, (None, 0, 0, [], [], []), {**_FILLED, "details": "map<string,string>", "errors": "array<string>"})
-    # One row in all: the sources that could not be read.
-    unread = sources.filter("not success").agg(F.array_sort(F.collect_list(F.concat(F.lit("not read: "), F.col("name"), F.lit(": "), F.coalesce("error", F.lit(""))))).alias("unread"))
+    # One row in all, of a checked size: the sources that could not be read, or how many they are.
+    told = F.concat(F.lit("not read: "), F.col("name"), F.lit(": "), F.coalesce("error", F.lit("")))
+    size, n = sources.filter("not success").agg(F.sum(F.length(told)), F.count("*")).first()
+    if (size or 0) > TOLD:
+        return done.withColumn("errors", F.concat(F.array(F.lit(f"{n} sources not read")), "errors"))
+    unread = sources.filter("not success").agg(F.array_sort(F.collect_list(told)).alias("unread"))
     return done.join(F.broadcast(unread)).withColumn("errors", F.concat("unread", "errors")).drop("unread")

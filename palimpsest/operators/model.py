@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import random
 import re
+import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,27 +44,68 @@ def request_tokens(prompt: str, most: int = 8192) -> int:
 
 @dataclass
 class Limiter:
-    """At most so many requests and tokens in a window; one for each worker, which gets a share of the whole allowance."""
+    """At most so many requests and tokens in a window. Threads of a process share one; ``lanes`` makes it one for each process.
+
+    A request holds what it may cost from the moment it is let go, and what it has cost once that is recorded.
+    """
 
     requests: int = 450
     tokens: int = 81_000
     seconds: float = 60.0
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    _past: deque = field(default_factory=deque)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def wait(self, tokens: int) -> None:
-        """Returns when a request of so many tokens fits; one above the whole allowance goes when nothing else is in the window."""
-        while True:
+    def __post_init__(self):
+        self._past: deque[list] = deque()
+        self._met: set = set()
+        self._lock = threading.Lock()
+
+    def __getstate__(self) -> dict:
+        # What a limiter has seen belongs to its process.
+        return {k: v for k, v in self.__dict__.items() if k not in ("_past", "_met", "_lock")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def share(self, lanes: int) -> Limiter:
+        """A limiter with one lane's part of the allowance."""
+        return Limiter(max(1, self.requests // lanes), max(1, self.tokens // lanes), self.seconds, self.clock, self.sleep, self.name)
+
+    def remember(self, calls: dict[object, tuple[float, int]]) -> None:
+        """Counts calls made elsewhere, each once, by a name: how many seconds ago and what it cost."""
+        with self._lock:
             now = self.clock()
-            while self._past and self._past[0][0] <= now - self.seconds:
-                self._past.popleft()
-            if not self._past or (len(self._past) < self.requests and sum(n for _, n in self._past) + tokens < self.tokens):
-                return
-            self.sleep(self._past[0][0] + self.seconds - now)
+            self._past.extend([now - ago, tokens] for name, (ago, tokens) in calls.items() if name not in self._met)
+            self._met = set(calls)
+            self._past = deque(sorted(self._past, key=lambda h: h[0]))
 
-    def record(self, tokens: int) -> None:
-        self._past.append((self.clock(), tokens))
+    def spend(self) -> None:
+        """Counts the whole allowance as used just now."""
+        self._past.extend([self.clock(), 0] for _ in range(self.requests))
+
+    def wait(self, tokens: int) -> list:
+        """Returns, with what stands for it, when a request of so many tokens fits; one above the whole allowance goes when nothing else is in the window."""
+        while True:
+            with self._lock:
+                now = self.clock()
+                while self._past and self._past[0][0] <= now - self.seconds:
+                    self._past.popleft()
+                if not self._past or (len(self._past) < self.requests and sum(n for _, n in self._past) + tokens < self.tokens):
+                    held = [now, tokens]
+                    self._past.append(held)
+                    return held
+                rest = self._past[0][0] + self.seconds - now
+            self.sleep(rest)
+
+    def record(self, tokens: int, held: list | None = None) -> None:
+        """What a request, the last one if none is named, has cost."""
+        with self._lock:
+            if held is None and self._past:
+                held = self._past[-1]
+            if held is not None:
+                held[1] = tokens
 
 
 @dataclass
@@ -81,19 +124,23 @@ class Retrying:
     limiter: Limiter = field(default_factory=Limiter)
     sleep: Callable[[float], None] = time.sleep
 
+    def with_limiter(self, limiter: Limiter) -> Retrying:
+        return replace(self, limiter=limiter)
+
     def __call__(self, prompt: str) -> str:
         for attempt in range(self.attempts):
-            self.limiter.wait(request_tokens(prompt, self.most_tokens))
+            held = self.limiter.wait(request_tokens(prompt, self.most_tokens))
             self.sleep(random.uniform(*self.jitter))
             try:
                 reply = self.client(prompt)
             except Exception as e:  # noqa: BLE001 - sorted out below
                 again = isinstance(e, (RateLimited, ConnectionError)) or any(m in str(e).lower() for m in RATE_MARKS)
+                self.limiter.record(len(prompt.split()), held)
                 if not again or attempt + 1 == self.attempts:
                     raise
                 self.sleep(min(self.longest, max(self.least, 2.0**attempt)))
                 continue
-            self.limiter.record(len(reply.split()) + len(prompt.split()))
+            self.limiter.record(len(reply.split()) + len(prompt.split()), held)
             return reply
         raise RateLimited("no attempt was allowed")
 

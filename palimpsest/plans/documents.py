@@ -10,7 +10,6 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import classify, entities, files, matching
 from palimpsest.plans.registry import _DUCK_LETTERS, _DUCK_MAXIMAL, _duck_hits, letters, mapping, query, table
 from palimpsest.sources import docx, pdf, requests, sinks
+from palimpsest.sources.shared import stored
 
 
 def scripted(prompt: str) -> str:
@@ -49,6 +49,11 @@ def scripted_classification(spark, sf_dir):
     return found.select("doc_id", "original", "placeholder", "category", "confidence", "ord", "status")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small table dealt to all tasks, as what is made of them is far larger than they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file (doc_id, content) for each customer: two paragraphs of several runs, a table, a header."""
 
@@ -61,7 +66,7 @@ def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.record_batch([b.column("c_custkey"), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     own = table(spark, sf_dir, "customer").filter("c_name is not null and c_mktsegment is not null")
-    return own.select("c_custkey", "c_name", "c_mktsegment").mapInArrow(run, "doc_id long, content binary")
+    return dealt(own.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").mapInArrow(run, "doc_id long, content binary")
 
 
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +78,13 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rebuilt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rebuilt files, kept on disk: filling reads them for their names and again to write them."""
-    made = files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir))
-    return made.select("doc_id", "content").persist(StorageLevel.DISK_ONLY)
+    """The rebuilt files, stored: filling reads them for their names and again to write them."""
+    return stored(files.rebuild_files(customer_files(spark, sf_dir), _replaced(spark, sf_dir)).select("doc_id", "content"), "templates")
 
 
 def reread(made: DataFrame, *rest: str) -> DataFrame:
-    """(doc_id, part, seq, text, …) of the paragraphs of files, as read from their bytes."""
+    """(doc_id, part, seq, text, …) of the paragraphs of files, as read from their bytes. The files are stored, so they are made once."""
+    made = stored(made.select("doc_id", "content", *rest), "files")
     read = docx.elements(made.select(F.col("doc_id").cast("string").alias("path"), "content"), blanks=True)
     read = read.select(F.col("path").cast("long").alias("doc_id"), F.col("element_type").alias("part"), "seq", "text")
     return read.join(made.select("doc_id", *rest), "doc_id") if rest else read
@@ -221,5 +226,6 @@ def pdf_pages(spark, sf_dir):
             made = [b"damaged" if k % 5 == 0 else pdf.made([f"Account (of) {n}\nBalance: £5 – 10", "", f"Page {k}"]) for k, n in zip(b.column("c_custkey").to_pylist(), b.column("c_name").to_pylist())]
             yield pa.record_batch([b.column("c_custkey").cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
 
-    own = table(spark, sf_dir, "customer").filter("c_name is not null").select("c_custkey", "c_name").mapInArrow(run, "path string, content binary")
+    own = table(spark, sf_dir, "customer").filter("c_name is not null").select("c_custkey", "c_name")
+    own = dealt(own, "c_custkey").mapInArrow(run, "path string, content binary")
     return docx.pages_text(own, pdf.pages).select(F.col("path").cast("long").alias("doc_id"), "text", "page_count", "success", "error")
