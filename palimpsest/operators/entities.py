@@ -103,9 +103,22 @@ def best_of_each(detections: DataFrame) -> DataFrame:
     )
 
 
-def maximal(detections: DataFrame) -> DataFrame:
+def maximal(detections: DataFrame, in_row: int = 32_000) -> DataFrame:
     """Without those whose text is part of another detection's text in the same document.
 
+    Documents whose detections hold ``in_row`` characters at most are compared in one row each; those of larger ones
+    meet in a join (``inside_others``), which splits a document over tasks.
+    """
+    size = F.sum(F.length("original") + 1).over(W.partitionBy("doc_id"))
+    sized = detections.withColumn("_size", size)
+    large = sized.filter(F.col("_size") > in_row).drop("_size")
+    kept = large.join(inside_others(large), ["doc_id", "original"], "left_anti").select(detections.columns)
+    return _maximal_in_rows(sized.filter(F.col("_size") <= in_row).drop("_size")).select(detections.columns).unionByName(kept)
+
+
+def _maximal_in_rows(detections: DataFrame) -> DataFrame:
+    """``maximal`` with a row for each document.
+
     The distinct texts of a document are joined by a separator; a text that is part of another one occurs there
     more than once. So each detection is read once and compared with one string, and no row meets another.
     """
@@ -118,6 +131,35 @@ def maximal(detections: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.explode_outer("_rows").alias("_row")).select("doc_id", "_row.*")
 
 
+#: Characters of a gram by which texts meet.
+GRAM = 4
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, none of a shorter one."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, F.lit(n))))
+
+
+def inside_others(detections: DataFrame) -> DataFrame:
+    """(doc_id, original): texts that are part of another text of the same document.
+
+    A text is looked for by its rarest gram in the document, or by itself where it is no longer than a gram; those
+    that hold the gram are compared with it. Counting, choosing and meeting are joins on document and gram.
+    """
+    texts = detections.select("doc_id", "original").distinct()
+    grams = texts.select("doc_id", "original", F.explode(_grams(F.col("original"), GRAM)).alias("gram"))
+    counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(counts, ["doc_id", "gram"]).groupBy("doc_id", "original").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    # Shorter texts are few kinds: a document's lengths of such texts are at most GRAM - 1.
+    short = texts.filter(F.length("original") < GRAM)
+    lengths = short.groupBy("doc_id").agg(F.collect_set(F.length("original")).alias("lengths"))
+    parts = texts.join(lengths, "doc_id").select("doc_id", "original", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains("lengths", n), _grams(F.col("original"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)])))).alias("gram"))
+    asked = rarest.unionByName(short.withColumn("gram", F.col("original")))
+    met = asked.join(grams.unionByName(parts).withColumnRenamed("original", "around"), ["doc_id", "gram"])
+    return met.filter((F.col("around") != F.col("original")) & F.contains("around", F.col("original"))).select("doc_id", "original").distinct()
+
+
 def longest_first(detections: DataFrame) -> DataFrame:
     """Adds ``ord``: longest originals first, then first appearance."""
     return detections.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.length("original")), "group_seq")))

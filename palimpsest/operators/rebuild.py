@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.sources.batches import slices
+from palimpsest.sources.shared import stored
 
 #: Parts whose paragraphs may be matched as a sequence.
 SEQUENCES = ("body", "cell", "header_cell")
+#: Letters and digits of a seed.
+GRAM = 6
 
 
 @lru_cache(maxsize=4096)
@@ -93,23 +96,53 @@ def sequence_at(original: str, texts: list[str]) -> tuple[int, int] | None:
     return None
 
 
-def rebuild(paragraphs: list[tuple[str, int, int, list[str]]], replacements: list[tuple[str, str]]) -> tuple[list[list[str]], int, list[str]]:
-    """(runs of each paragraph, number applied, originals not found). paragraphs: (part, group, seq, runs); replacements in order given, longest first here."""
+def seeds_of(original: str) -> list[str] | None:
+    """What a paragraph's letters and digits must hold, one of them at least, for the original to match there; None if that can't be said.
+
+    Each of the three ways to match implies that the original's middle stands in the paragraph, white space, marks and
+    case aside. The lines of a sequence stand whole, so their longest one serves.
+    """
+    n = len(original)
+    seeds = [_folded(original[-(-3 * n // 10) : 7 * n // 10])[0]]
+    lines = [x for x in original.split("\n") if x.strip()]
+    if len(lines) > 1:
+        seeds.append(max((_folded(x)[0] for x in lines), key=len))
+    if any(len(s) < GRAM for s in seeds):
+        return None
+    return [s[(len(s) - GRAM) // 2 :][:GRAM] for s in seeds]
+
+
+def rebuild(paragraphs: list[tuple[str, int, int, list[str]]], replacements: list[tuple[str, str]], near: dict[int, set[int]] | None = None) -> tuple[list[list[str]], int, list[str]]:
+    """(runs of each paragraph, number applied, originals not found). paragraphs: (part, group, seq, runs); replacements in order given, longest first here.
+
+    ``near`` names, for each replacement by its place, the paragraphs that can match it as they are; one that is not
+    named can match any. A paragraph that has changed is tried with all that follow.
+    """
     runs, applied, failed = [list(p[3]) for p in paragraphs], 0, []
     groups: dict[tuple[str, int], list[int]] = {}
     for k, (part, group, *_) in enumerate(paragraphs):
         groups.setdefault((part, group), []).append(k)
-    for original, new in sorted(replacements, key=lambda r: -len(r[0])):
+    of = {k: key for key, own in groups.items() for k in own}
+    changed: set[int] = set()
+    for place, (original, new) in sorted(enumerate(replacements), key=lambda r: -len(r[1][0])):
+        tried = groups
+        if near is not None and place in near:
+            tried = {}
+            for k in sorted(near[place] | changed):
+                tried.setdefault(of[k], []).append(k)
         hit = False
-        for (part, _), own in groups.items():
+        for key, own in tried.items():
             found = False
             for k in own:
-                if (changed := replace_in(runs[k], original, new)) is not None:
-                    runs[k], found = changed, True
-            if not found and part in SEQUENCES and (at := sequence_at(original, ["".join(runs[k]) for k in own])):
+                if (made := replace_in(runs[k], original, new)) is not None:
+                    runs[k], found = made, True
+                    changed.add(k)
+            if not found and key[0] in SEQUENCES and (at := sequence_at(original, ["".join(runs[k]) for k in groups[key]])):
                 first, n = at
                 for j in range(n):
-                    runs[own[first + j]] = [new] if j == 0 else [""]
+                    k = groups[key][first + j]
+                    runs[k] = [new] if j == 0 else [""]
+                    changed.add(k)
                 found = True
             hit |= found
         applied += hit
@@ -118,26 +151,78 @@ def rebuild(paragraphs: list[tuple[str, int, int, list[str]]], replacements: lis
     return runs, applied, failed
 
 
-def rebuild_documents(paragraphs: DataFrame, replacements: DataFrame) -> DataFrame:
+_PARAGRAPH = "struct<part:string,grp:int,seq:int>"
+
+
+def candidate_pairs(paragraphs: DataFrame, replacements: DataFrame) -> DataFrame:
+    """(doc_id, ord, seeded, near): the paragraphs (part, grp, seq) that each replacement can match.
+
+    A replacement's seeds meet the paragraphs' runs of ``GRAM`` letters and digits in a join on document and seed, so
+    a document's pairs are found in as many tasks as there are; ``seeded`` is false, and ``near`` empty, for one that any
+    paragraph may match.
+    """
+
+    def sown(batches):
+        for b in slices(batches):
+            rows = []
+            for doc, ord_, original in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ord", "original"))):
+                seeds = seeds_of(original or "")
+                rows += [(doc, ord_, s) for s in set(seeds)] if seeds else [(doc, ord_, None)]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "ord", "seed"])
+
+    def grown(batches):
+        for b in slices(batches):
+            for doc, part, grp, seq, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "grp", "seq", "runs"))):
+                folded = _folded("".join(runs or []))[0]
+                grams = list({folded[k : k + GRAM] for k in range(len(folded) - GRAM + 1)})
+                n = len(grams)
+                yield pa.record_batch(
+                    [pa.array([doc] * n, pa.int64()), pa.array(grams, pa.string()), pa.array([{"part": part, "grp": grp, "seq": seq}] * n, pa.struct([("part", pa.string()), ("grp", pa.int32()), ("seq", pa.int32())]))],
+                    names=["doc_id", "seed", "paragraph"],
+                )
+
+    seeds = replacements.select("doc_id", F.col("ord").cast("int").alias("ord"), "original").mapInArrow(sown, "doc_id long, ord int, seed string")
+    grams = paragraphs.select("doc_id", "part", "grp", "seq", "runs").mapInArrow(grown, f"doc_id long, seed string, paragraph {_PARAGRAPH}")
+    met = seeds.join(grams, ["doc_id", "seed"], "left")
+    return met.groupBy("doc_id", "ord").agg(F.bool_and(F.col("seed").isNotNull()).alias("seeded"), F.collect_set("paragraph").alias("near"))
+
+
+def rebuild_documents(paragraphs: DataFrame, replacements: DataFrame, direct: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, part, grp, seq, text, applied, failed) after substitution.
 
-    ``paragraphs`` (doc_id, part, grp, seq, runs), ``replacements`` (doc_id, ord,
-    original, placeholder). A document with its replacements is one row for the fold, which is sequential; many
-    documents share a batch.
+    ``paragraphs`` (doc_id, part, grp, seq, runs), ``replacements`` (doc_id, ord, original, placeholder). A document
+    with its replacements is one row for the fold, which is sequential; many documents share a batch. Where a document
+    has more than ``direct`` pairs of a paragraph and a replacement, Spark finds those that can match before
+    (``candidate_pairs``), and the fold tries no others. The replacements are stored, so they are found once.
     """
     schema = "doc_id long, part string, grp int, seq int, text string, applied int, failed array<string>"
+    replacements = stored(replacements.select("doc_id", F.col("ord").cast("int").alias("ord"), "original", "placeholder"), "replacements")
+    sizes = paragraphs.groupBy("doc_id").agg(F.count("*").alias("n")).join(replacements.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id")
+    large = sizes.filter(F.col("n") * F.col("m") > direct).select("doc_id")
     given = replacements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "original", "placeholder"))).alias("given"))
     own = paragraphs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "grp", "seq", "runs"))).alias("own"))
+    rows = own.join(given, "doc_id", "left")
+    if large.isEmpty():
+        rows = rows.withColumn("pairs", F.lit(None).cast(f"array<struct<ord:int,near:array<{_PARAGRAPH}>>>"))
+    else:
+        large = stored(large, "large")
+        pairs = candidate_pairs(paragraphs.join(large, "doc_id", "left_semi"), replacements.join(large, "doc_id", "left_semi")).filter("seeded")
+        rows = rows.join(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "near")).alias("pairs")), "doc_id", "left")
 
     def run(batches):
         for b in slices(batches):
             out: list[list] = [[] for _ in range(7)]
-            for doc, rows, pairs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "own", "given"))):
-                runs, applied, failed = rebuild([(r["part"], r["grp"], r["seq"], r["runs"] or []) for r in rows], [(r["original"], r["placeholder"]) for r in pairs or []])
+            for doc, rows, given_, pairs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "own", "given", "pairs"))):
+                own_, given_, near = [(r["part"], r["grp"], r["seq"], r["runs"] or []) for r in rows], given_ or [], None
+                if pairs:
+                    at, place = {p[:3]: k for k, p in enumerate(own_)}, {r["ord"]: k for k, r in enumerate(given_)}
+                    near = {place[x["ord"]]: {at[p["part"], p["grp"], p["seq"]] for p in x["near"]} for x in pairs}
+                runs, applied, failed = rebuild(own_, [(r["original"], r["placeholder"]) for r in given_], near)
                 for r, new in zip(rows, runs):
                     for column, x in zip(out, (doc, r["part"], r["grp"], r["seq"], "".join(new), applied, failed)):
                         column.append(x)
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return own.join(given, "doc_id", "left").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -117,3 +117,22 @@ def test_names_of_many_words_end(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.original) for r in entities.detect(d).filter("category = 'CUSTOMER_NAME'").collect())
     assert got == sorted((k, m[0]) for k, t in enumerate(texts) for m in re.finditer(pattern, t, re.IGNORECASE))
+
+
+def test_a_large_document_meets_in_a_join(spark):
+    """Both ways to find maximal texts agree, and the texts of one document lie in many tasks."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(d, k, "".join(draw.choices("ab c.é", k=draw.choice([1, 2, 3, 4, 6, 9, 14]))), "{{P}}", "C", 0.8, "") for d in (1, 2) for k in range(300)]
+    d = entities.best_of_each(spark.createDataFrame(rows, "doc_id long, seq long, original string, placeholder string, category string, confidence double, reason string"))
+    d = d.filter("original <> ''")
+    get = lambda x: sorted((r.doc_id, r.original, r.seq) for r in x.collect())
+    own = {i: {r.original for r in d.filter(F.col("doc_id") == i).collect()} for i in (1, 2)}
+    want = {(i, t) for i in own for t in own[i] if not any(t in o and t != o for o in own[i])}
+    direct = get(entities.maximal(d))
+    assert {x[:2] for x in direct} == want
+    assert get(entities.maximal(d, in_row=0)) == direct
+    many = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("number "), F.col("id").cast("string"), F.lit(" of many")).alias("original"))
+    spread = entities.inside_others(many.unionByName(many.limit(50).select("doc_id", F.substring("original", 1, 9).alias("original"))))
+    assert 10 <= spread.count() <= 50
