@@ -59,7 +59,8 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _OBSCURED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9_])[0-9]{4}(?:[ -]?[0-9]){4,20}+(?![A-Za-z0-9_])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}")
+# Any opaque token: long words are candidates too, and it is for the labelers to tell them from secrets.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}")
 _BIRTH = re.compile(r"(?<![0-9/.-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])")
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Mme", "Señor", "Señora", "Don", "Doña")
 
@@ -71,6 +72,7 @@ _FIRST = frozenset(
     "Victor William Wolfgang".split()
 )
 _NAME = re.compile(r"(?<!\w)(?:(?:%s)\.? (?:[A-Z][a-zà-ÿ]{1,30})(?: [A-Z][a-zà-ÿ]{1,30})?|(?:%s)(?: [A-Z][a-zà-ÿ]{1,30}){1,2})(?!\w)" % ("|".join(_TITLES), "|".join(sorted(_FIRST))))
+_PAIR = re.compile(r"(?<!\w)[A-ZÀ-Þ][a-zà-ÿ]{1,30} [A-ZÀ-Þ][a-zà-ÿ]{1,30}(?!\w)")
 _TITLED = re.compile(r"(?:%s)\.? " % "|".join(_TITLES))
 _ZONES_1, _ZONES_2 = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _ZONES_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
@@ -82,14 +84,16 @@ _NEAR = {
     "phone": frozenset(("tel", "phone", "call", "fax", "mobile", "telefon", "móvil")),
     "iban": frozenset(("iban", "account", "konto", "bank", "compte", "cuenta")),
     "local_phone": frozenset(("tel", "phone", "call", "fax", "mobile", "telefon", "móvil")),
-    "name": frozenset(("dear", "by", "from", "sincerely", "patient", "client", "von", "par", "por")),
+    "name": frozenset(("dear", "sincerely", "patient", "client", "signed", "regards")),
     "national_id": frozenset(("ssn", "social", "security", "id")),
     "obscured_email": frozenset(("mail", "e-mail", "email", "contact", "write", "reach")),
     "account": frozenset(("account", "card", "konto", "nr", "no", "number", "compte", "cuenta", "visa", "credit")),
     "secret": frozenset(("token", "key", "secret", "password", "passwd", "pwd", "bearer", "apikey", "api_key", "auth", "credential")),
     "birth_date": frozenset(("born", "birth", "dob", "geboren", "né", "née", "nacido", "nacida", "geb")),
 }
-_AGAINST = frozenset("version license licence isbn issn serial order sha sha1 sha256 md5 commit checksum total invoice ticket release doi page".split())
+_AGAINST = frozenset("version license licence isbn issn serial order sha sha1 sha256 md5 hash digest commit checksum total invoice ticket release doi page".split())
+#: Kinds whose form alone says little, so that the lack of a word beside them speaks against them.
+_OPAQUE = ("secret", "account", "name")
 LABELERS = ("strict", "gazetteer", "near", "against", "beside", "varied")
 
 # Features of the span classifier: votes, kind, length, share of digits, make-up, hashed words before and after.
@@ -149,20 +153,26 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def extra_candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Candidates of the further forms that overlap no base span and no earlier candidate."""
-    found = []
+    found = [(m.start(), "secret", m.end()) for m in _SECRET.finditer(text)]
     if _DIGIT.search(text):
-        for pattern, kind in ((_IBAN, "iban"), (_LOCAL_PHONE, "local_phone"), (_NATIONAL, "national_id"), (_ACCOUNT, "account"), (_SECRET, "secret"), (_BIRTH, "birth_date")):
+        for pattern, kind in ((_IBAN, "iban"), (_LOCAL_PHONE, "local_phone"), (_NATIONAL, "national_id"), (_ACCOUNT, "account"), (_BIRTH, "birth_date")):
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if kind != "birth_date" or _near(text, m.start(), kind)]
     if "(" in text or "[" in text:
         found += [(m.start(), "obscured_email", m.end()) for m in _OBSCURED.finditer(text)]
     found += [(m.start(), "name", m.end()) for m in _NAME.finditer(text)]
-    if not found:
-        return found
-    # Both lists by start; base spans may overlap each other, so the furthest end up to a place counts.
+    kept = _apart(found, base)
+    # Two capitalised words are a name where nothing more is known of them; so they don't hide what is.
+    pairs = [(m.start(), "name", m.end()) for m in _PAIR.finditer(text)]
+    return sorted(kept + _apart(pairs, sorted(base + kept))) if pairs else kept
+
+
+def _apart(found: list[tuple[int, str, int]], taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Of the found spans, by start and then length, those that overlap no earlier one and none that is taken."""
+    # Both lists by start; taken spans may overlap each other, so the furthest end up to a place counts.
     kept, end, k, reach = [], 0, 0, 0
     for s, kind, e in sorted(found, key=lambda c: (c[0], -c[2], KINDS.index(c[1]))):
-        while k < len(base) and base[k][0] < e:
-            reach = max(reach, base[k][2])
+        while k < len(taken) and taken[k][0] < e:
+            reach = max(reach, taken[k][2])
             k += 1
         if s >= end and s >= reach:
             kept.append((s, kind, e))
@@ -204,7 +214,10 @@ def _strict(kind: str, s: str) -> int:
     if kind == "national_id":
         return 1 if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" else -1
     if kind == "account":
-        return 1 if len(_digits(s)) in (13, 15, 16, 19) else -1 if len(_digits(s)) < 10 else 0
+        # As long as a card's number, but its check digit is wrong: the strongest sign against.
+        return 0 if not 12 <= len(_digits(s)) <= 19 else 1 if luhn(_digits(s)) else -1
+    if kind == "name":
+        return 1 if _TITLED.match(s) or s.count(" ") == 2 else 0 if s.partition(" ")[0] in _FIRST else -1
     if kind == "secret":
         letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
         return 1 if letters >= 4 and digits >= 4 and "/" not in s and s.count("-") + s.count("_") <= 3 else -1
@@ -212,20 +225,20 @@ def _strict(kind: str, s: str) -> int:
         parts = [int(x) for x in re.split(r"[./-]", s)]
         year, rest = (parts[0], parts[1:]) if parts[0] > 31 else (parts[2], parts[:2])
         return 1 if 1900 <= year <= 2025 and min(rest) >= 1 and min(rest) <= 12 and max(rest) <= 31 else -1
-    return 1 if kind == "obscured_email" or s.count(" ") == 2 else 0
+    return 1
 
 
 def _gazetteer(kind: str, s: str) -> int:
     if kind in ("email", "obscured_email"):
         ending = re.split(r"[^A-Za-z]+", s.rstrip(")] "))[-1].lower()
         return 1 if ending in _ENDINGS or len(ending) == 2 else -1
-    if kind in ("card", "account"):
-        return 1 if s[0] in "3456" else -1 if kind == "card" else 0
+    if kind == "card":
+        return 1 if s[0] in "3456" else -1
     if kind == "phone":
         d = _digits(s)
         return 1 if d[0] in _ZONES_1 or d[:2] in _ZONES_2 or d[:2] in _ZONES_3 else -1
     if kind == "name":
-        return 1 if any(w in _FIRST for w in s.split(" ")) or _TITLED.match(s) else 0
+        return 1 if any(w in _FIRST for w in s.split(" ")) or _TITLED.match(s) else -1
     if kind == "secret":
         return 1 if s.startswith(_PREFIXES) else 0
     return 0
@@ -240,9 +253,9 @@ def votes(text: str, span: tuple[int, str, int]) -> tuple[int, ...]:
     return (
         _strict(kind, s),
         _gazetteer(kind, s),
-        1 if _near(text, start, kind) else -1 if kind == "secret" else 0,  # a secret's form alone says little
+        1 if _near(text, start, kind) else -1 if kind in _OPAQUE else 0,
         0 if _AGAINST.isdisjoint(_words_before(text, start)) else -1,
-        1 if beside else -1,
+        0 if kind in EXTRA else 1 if beside else -1,  # the generators of the further forms ask for it themselves
         _varied(s),
     )
 
@@ -279,26 +292,27 @@ Pattern = tuple[str, tuple[int, ...], int]
 def expectation_maximisation(patterns: list[Pattern], rounds: int = 200) -> tuple[np.ndarray, dict[str, float]]:
     """Posterior that each pattern (kind, votes, count) is personal data, and each labeler's estimated accuracy.
 
-    A labeler votes for with one probability where the span is personal data and
-    with another where it is not; each kind has a prior of its own. It starts
-    from a majority of the votes.
+    In each kind a labeler votes for with one probability where the span is personal data and with another where it
+    is not; what is strong evidence on one kind may say nothing on another. Each kind has a prior of its own. It
+    starts from a majority of the votes.
     """
     counts = np.array([n for *_, n in patterns], dtype=float)
     v = np.array([vote for _, vote, _ in patterns])
     kinds = np.array([KINDS.index(k) for k, *_ in patterns])
+    own = np.eye(len(KINDS))[kinds]
     posterior = np.clip(0.5 + 0.15 * v.sum(axis=1), 0.05, 0.95)
-    table = np.zeros((2, len(LABELERS), 3))
+    table = np.zeros((2, len(KINDS), len(LABELERS), 3))
     for _ in range(rounds):
         for side, p in enumerate((1 - posterior, posterior)):
             for value in (-1, 0, 1):
                 # Pseudo-counts: labelers are better than chance.
                 lean = 2.0 + 2.0 * (value == (1 if side else -1))
-                table[side, :, value + 1] = ((v == value) * (p * counts)[:, None]).sum(axis=0) + lean
-            table[side] /= table[side].sum(axis=1, keepdims=True)
-        prior = np.array([((posterior * counts)[kinds == k].sum() + 1) / (counts[kinds == k].sum() + 2) for k in range(len(KINDS))])
+                table[side, :, :, value + 1] = own.T @ ((v == value) * (p * counts)[:, None]) + lean
+            table[side] /= table[side].sum(axis=2, keepdims=True)
+        prior = ((own.T @ (posterior * counts)) + 1) / (own.T @ counts + 2)
         score = np.log(prior[kinds] / (1 - prior[kinds]))
         for j in range(len(LABELERS)):
-            score = score + np.log(table[1, j, v[:, j] + 1] / table[0, j, v[:, j] + 1])
+            score = score + np.log(table[1, kinds, j, v[:, j] + 1] / table[0, kinds, j, v[:, j] + 1])
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         settled = np.abs(new - posterior).max() < 1e-6
         posterior = new

@@ -35,14 +35,15 @@ def plain_posteriors(patterns, rounds=200):
     for _ in range(rounds):
         chance = {}
         for side in (0, 1):
-            for j in range(len(pii.LABELERS)):
-                got = {v: 2 + 2 * (v == (1 if side else -1)) + sum(x[2] * (p[x] if side else 1 - p[x]) for x in patterns if x[1][j] == v) for v in votes}
-                chance[side, j] = {v: got[v] / sum(got.values()) for v in votes}
+            for kind in pii.KINDS:
+                for j in range(len(pii.LABELERS)):
+                    got = {v: 2 + 2 * (v == (1 if side else -1)) + sum(x[2] * (p[x] if side else 1 - p[x]) for x in patterns if x[0] == kind and x[1][j] == v) for v in votes}
+                    chance[side, kind, j] = {v: got[v] / sum(got.values()) for v in votes}
         new = {}
         for x in patterns:
             same = [y for y in patterns if y[0] == x[0]]
             prior = (sum(y[2] * p[y] for y in same) + 1) / (sum(y[2] for y in same) + 2)
-            z = math.log(prior / (1 - prior)) + sum(math.log(chance[1, j][v] / chance[0, j][v]) for j, v in enumerate(x[1]))
+            z = math.log(prior / (1 - prior)) + sum(math.log(chance[1, x[0], j][v] / chance[0, x[0], j][v]) for j, v in enumerate(x[1]))
             new[x] = 1 / (1 + math.exp(-max(-30, min(30, z))))
         settled = max(abs(new[x] - p[x]) for x in patterns) < 1e-6
         p = new
