@@ -13,6 +13,8 @@ What a page itself says of a place is evidence that scales the composite to the
 content's importance (``importance``):
 
 - inside an article mark (article, main, role=main) it lacks less of 1;
+- below a name that begins with a word for adverts or comments but goes on with another
+  one (ad-hoc, comment-policy), inside an article mark, it counts as it is;
 - outside the marks of a page that has some, or below a name in which boilerplate
   is a word (widgets, shares, related), it counts half, and where the tree has not
   seen the node often enough to tell, it is held to be shared;
@@ -23,7 +25,7 @@ content's importance (``importance``):
 
 Contents of less importance than ``threshold`` are removed from each page: a
 branch goes only when all that stands below it goes. Scripts, styles and what no
-reader sees are no content at all.
+reader sees (hidden, display: none) are no content at all.
 
 Statistics are counts by (host, node, style or content): a host with any share
 of the pages meets in one place only as counts. Of the tree, only composites that
@@ -59,7 +61,7 @@ from palimpsest.llm.common import checkpoint, memory, slices
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style noscript template textarea title select button iframe object svg math canvas audio video xmp noembed noframes datalist".split())
+HIDDEN = frozenset("head script style noscript template textarea title select button iframe object svg canvas audio video xmp noembed noframes datalist".split())
 #: Elements that say by themselves that they are no main text.
 BOILERPLATE = frozenset("nav footer aside form menu dialog search fieldset".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -76,6 +78,12 @@ _WHOLE = frozenset(
 _HEADS = frozenset("header site-header page-header masthead".split())
 #: Words that say the same at either end of a longer name (user-comments, ad-slot), and words beside them that take it back (ad-free).
 _NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist respond disqus replies".split())
+#: What may follow such a word at the beginning of a name for it to say the same (ad-slot, comment-list); before other words (ad-hoc, comment-policy) it is a hint.
+_LAYOUT = frozenset(
+    "area areas author banner bar block body bottom box button code col column container content count counter cta div embed footer form frame group header holder horizontal image inline inner item items label layer left leaderboard link links "
+    "list main meta middle module native number outer overlay panel placeholder pos position rail rectangle region reply respond right row section sidebar slot slots small space square sticky thread threads title top tower unit units vertical "
+    "video view wide widget wrap wrapper wrappers zone".split()
+)
 _BUT = frozenset("no has with is free open closed on off enabled disabled".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+|[^>]*+)>|([^<]++|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -83,16 +91,17 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 _NUMBER = re.compile(r"\d+")
+_UNSEEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 
 
 class Node:
     """An element: its signature, its path's key, its children and texts in order."""
 
-    __slots__ = ("tag", "sign", "key", "items", "hidden", "structure", "article", "named", "up")
+    __slots__ = ("tag", "sign", "key", "items", "hidden", "structure", "article", "named", "hint", "up")
 
-    def __init__(self, tag: str, sign: str, up: Node | None, hidden: bool = False, structure: bool = False, article: bool = False, named: bool = False):
+    def __init__(self, tag: str, sign: str, up: Node | None, hidden: bool = False, structure: bool = False, article: bool = False, named: bool = False, hint: bool = False):
         self.tag, self.sign, self.up = tag, sign, up
-        self.hidden, self.structure, self.article, self.named = hidden, structure, article, named
+        self.hidden, self.structure, self.article, self.named, self.hint = hidden, structure, article, named, hint
         self.key = _path_key(up.key if up else 0, sign)
         self.items: list = []
 
@@ -158,20 +167,21 @@ def parse(html: str) -> Node:
                     names += " " + value
                 elif name == "role":
                     role = value.lower()
-        hidden = tag in HIDDEN
+        hidden = tag in HIDDEN or (bool(m[3]) and ("hidden" in m[3] or "none" in m[3]) and tag not in ("html", "body") and bool(_UNSEEN.search(m[3])))
         structure = not hidden and (tag in BOILERPLATE or role in _ROLES or (tag == "header" and not marks))
-        named = False
+        named = hint = False
         if names and not hidden and not structure and tag not in ("body", "html", "main"):
             if _NOISE.search(names):
-                structure = _named_structure(names.lower().split(), tag == "article")
-                named = not structure and tag != "article"
+                said = _named_structure(names.lower().split(), tag == "article")
+                structure, hint = bool(said), said is None
+                named = not structure and not hint and tag != "article"
             elif not marks and tag != "article":
                 structure = not _HEADS.isdisjoint(names.lower().split())
-        if not block and not hidden and not structure and not named:
+        if not block and not hidden and not structure and not named and not hint:
             continue
         sign = tag + "".join("." + _NUMBER.sub("#", x) for x in sorted(names.split())) + (f"[{role}]" if role else "")
         article = tag in ("article", "main") or role == "main"
-        node = Node(tag, sign, top, hidden, structure, article, named)
+        node = Node(tag, sign, top, hidden, structure, article, named, hint)
         top.items.append(node)
         if m[3].endswith("/") and not block:
             continue
@@ -181,15 +191,18 @@ def parse(html: str) -> Node:
     return root
 
 
-def _named_structure(names: list[str], article: bool) -> bool:
-    """Whether a class or id says by itself that an element is no main text; of an article only that it is an advert or comment."""
+def _named_structure(names: list[str], article: bool) -> bool | None:
+    """Whether a class or id says by itself that an element is no main text (of an article only that it is an advert or comment); None where it hints at it."""
+    hint = False
     for name in names:
         words = re.split("[-_]+", name)
-        if (words[0] in _NEVER or words[-1] in _NEVER) and _BUT.isdisjoint((words[0], words[-1])):
-            return True
+        if _BUT.isdisjoint((words[0], words[-1])):
+            if words[-1] in _NEVER or (words[0] in _NEVER and all(w in _LAYOUT or w in _NEVER or not w.isalpha() for w in words[1:])):
+                return True
+            hint |= words[0] in _NEVER
         if not article and name in _WHOLE:
             return True
-    return False
+    return None if hint and all(_NOISE.search(n) is None or re.split("[-_]+", n)[0] in _NEVER for n in names) else False
 
 
 @lru_cache(maxsize=50_000)
@@ -318,23 +331,23 @@ def judged(root: Node) -> list[tuple[Node, str, int, int]]:
             if node in marked:
                 marked.add(node.up)
     for strict in (True, False):
-        state: dict[Node, tuple[bool, bool, bool]] = {}  # structure, inside, named
+        state: dict[Node, tuple[bool, bool, bool, bool]] = {}  # structure, inside, named, hinted
         for node in every:
-            structure, inside, named = state[node.up] if node.up else (False, False, False)
+            structure, inside, named, hint = state[node.up] if node.up else (False, False, False, False)
             if node.structure and not (node.tag == "form" and (node in marked or 2 * sizes[node] > whole)):
                 structure = True
             if node.article and not (strict and named):
                 inside, named = True, False
             named = named or node.named
-            state[node] = structure, inside and not structure, named
+            state[node] = structure, inside and not structure, named, hint or node.hint
         any_inside = any(state[n][1] for n, *_ in found)
         if any_inside:
             break
     out = []
     for n, t, line in found:
-        structure, inside, named = state[n]
+        structure, inside, named, hint = state[n]
         outside = any_inside and not inside
-        place = STRUCTURE if structure or (named and outside) else DOUBTFUL if named or outside else INSIDE if inside else PLAIN
+        place = STRUCTURE if structure or ((named or hint) and outside) else DOUBTFUL if named or outside else INSIDE if inside and not hint else PLAIN
         out.append((n, t, line, place))
     return out
 

@@ -156,3 +156,17 @@ def test_quality_learns():
     assert min(model.score(quality.features(t)) for t in clean) > 0.5 > 0.3 > max(model.score(quality.features(t)) for t in junk)
     assert quality.fit([], np.zeros(0, int)).score(quality.features("x")) == pytest.approx(0.5)
     assert 0 <= model.score(quality.features(None)) <= 1
+
+
+def test_names_that_only_hint_keep_what_is_the_pages_own():
+    page = "<body><nav>Home</nav><article><h1>Networks</h1><section id='ad-hoc-networks'><p>Own text of a section.</p></section><div class='comment-policy'>How we moderate.</div><p>Let <math><mi>x</mi></math> be.</p>{}</article></body>"
+    want = "Networks\n\nOwn text of a section.\n\nHow we moderate.\n\nLet x be."
+    assert html.extract(page.format("")) == want
+    for gone in ("<div class='ad-slot-3'>Buy</div>", "<section id='comments'><p>First!</p></section>", "<div class='comment-list'>Second</div>", "<ul class='ad'><li>Buy</li></ul>", "<div class='reader-comments'>Third</div>",
+                 "<p hidden>unseen</p>", "<div class=x style='color:red; display: none'>unseen</div>"):
+        assert html.extract(page.format(gone)) == want
+    assert "seen" in html.extract(page.format("<p class='hidden-gems' style='display:block'>seen</p>"))
+    # Shared by the pages of a host, such a block goes.
+    found = [(n, t) for n, t, _, place in html.judged(html.parse(page.format(""))) if place == html.PLAIN]
+    assert [t for _, t in found] == ["Own text of a section.", "How we moderate."]
+    assert html.extract(page.format(""), {html._content(*found[1]): 20}) == want.replace("\n\nHow we moderate.", "")
