@@ -47,9 +47,10 @@ from palimpsest.llm.common import checkpoint_dir, delete
 LONGEST = 4
 #: Bits of a place for the number of a phrase in its block and of a block in its task; the task has the rest.
 _PHRASE_BITS, _BLOCK_BITS = 22, 21
-#: Phrases in a row of a block's list, and a row group's rows and bytes: what a task holds at once.
+#: Phrases in a row of a block's list.
 _CHUNK = 1 << 15
-_STORED = {"compression": "zstd", "parquet.block.size": 1 << 24, "parquet.block.row.count.limit": 64, "parquet.page.size.row.check.min": 1}
+#: Row groups of tables of blocks, whose rows are wide: what a task holds at once.
+_WIDE = {"parquet.block.size": 1 << 24, "parquet.block.row.count.limit": 64, "parquet.page.size.row.check.min": 1}
 # A block is a row of its own (chunk -1) and rows of its list of phrases; the list of words is that of the first level.
 _BLOCK = "block long, lang string, chunk int, size int, seq binary, tail binary, words array<string>, n array<long>"
 _LEVEL = "block long, lang string, chunk int, size int, w binary, wid binary, tail binary, loc binary, left array<long>, right array<long>, n array<long>"
@@ -218,18 +219,18 @@ def frequent(docs: DataFrame, least: int, block_words: int, at: str) -> list[Dat
     """For 1 to 4 words the frequent phrases: id, lang, f and word, or left (id of the phrase without its last word) and right (id of that word)."""
     spark = docs.sparkSession
 
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.options(**_STORED).parquet(f"{at}/{name}")
+    def stored(rows: DataFrame, name: str, **options) -> DataFrame:
+        rows.write.options(compression="zstd", **options).parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
-    level, out = stored(blocks(docs, block_words), "blocks"), []
+    level, out = stored(blocks(docs, block_words), "blocks", **_WIDE), []
     stored(level.filter("chunk >= 0").groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
     for k in range(1, LONGEST + 1):
         key = ("words",) if k == 1 else ("left", "right")
         known = stored(_known(level, least, *key), f"known{k}")
         out.append(known.filter(F.col("at") + 1 == F.col("id")).drop("at"))
         if k < LONGEST:
-            after = stored(_met(level, known, _pairs if k == 1 else _longer(k)), f"level{k + 1}")
+            after = stored(_met(level, known, _pairs if k == 1 else _longer(k)), f"level{k + 1}", **_WIDE)
         delete(spark, f"{at}/{'blocks' if k == 1 else f'level{k}'}")
         level = after
     out[0] = out[0].withColumnRenamed("words", "word")
