@@ -1,15 +1,25 @@
 """Token-bounded chunks of a text: sentences packed in order, words where a sentence is too long.
 
-Packing is a fold over a document's sentences, so it runs in Python, one
-document at a time, over Arrow batches; a document never leaves its task.
+Sentences are rows. Prefix sums by document give, for a chunk that begins at any
+sentence, the sentence at which the next one begins; the chain from the first
+sentence, a walk over whole numbers only, gives each sentence its chunk. A text is
+split where it lies and its sentences meet again by document and chunk, so no task
+holds more of a text than its rows, and no row meets another's.
+
+With a token counter of the caller's the walk has to count as it goes; then it runs
+in Python, a document at a time.
 """
 
 from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import CHUNK_TOKENS, PROMPT_TOKENS
 
@@ -95,9 +105,94 @@ def overlapped(chunks: list[tuple[str, int, int, int]], tokens: int, count=estim
     return out
 
 
-def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool = True, overlap: int = 0) -> DataFrame:
-    """The chunks of every document (doc_id, text)."""
+# White space and words as Python has them: four control characters more than the engine's own.
+_SPACE, _WORD = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?U){_WORD}+"), F.lit(0))
+
 
+def _tokens(words: Column) -> Column:
+    return F.floor(F.size(words) * F.lit(1.3)).cast("int")
+
+
+def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool = True, overlap: int = 0, count: Callable[[str], int] | None = None) -> DataFrame:
+    """The chunks of every document (doc_id, text); blank texts have none, repeated rows have theirs each, numbered alike.
+
+    ``count`` counts the tokens of a text; without it words times 1.3 are.
+    """
+    if count is not None:
+        return _counted(docs, size, preserve_sentences, overlap, count)
+    limit = CHUNK_TOKENS.get(size, CHUNK_TOKENS["max"]) - PROMPT_TOKENS
+    words = _words(F.col("text"))
+    own = docs.select("doc_id", "text").filter(F.rlike("text", F.lit(f"(?U){_WORD}"))).withColumn("n", _tokens(words))
+    whole = own.filter(F.col("n") <= limit).select("doc_id", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("start_position"), F.length("text").alias("end_position"), F.col("n").alias("token_count"))
+    long = own.filter(F.col("n") > limit)
+    base = _packed(long, limit) if preserve_sentences else _cut(long.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("t"), F.count("*").alias("copies"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("place")), limit)
+    line = W.partitionBy("doc_id", "h").orderBy("ord", "piece")
+    before = F.lag("text").over(line)
+    base = base.withColumn("chunk_index", F.row_number().over(line) - 1)
+    if overlap:
+        last = _words(before)
+        joined = F.concat(F.array_join(F.slice(last, F.greatest(F.lit(1), F.size(last) - max(1, int(overlap / 1.3)) + 1), F.lit(max(1, int(overlap / 1.3)))), " "), F.lit(" "), F.col("text"))
+        base = base.withColumn("_joined", joined).withColumn("token_count", F.when(F.col("_joined").isNull(), F.col("token_count")).otherwise(_tokens(_words(F.col("_joined")))))
+        base = base.withColumn("text", F.coalesce("_joined", "text"))
+    each = base.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return whole.unionByName(each.select("doc_id", "chunk_index", "text", *[F.col(c).cast("int").alias(c) for c in ("start_position", "end_position", "token_count")]))
+
+
+def _packed(long: DataFrame, limit: int) -> DataFrame:
+    """Chunks (doc_id, h, ord, piece, text, start_position, end_position, token_count, copies) of texts above the limit."""
+    parts = long.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", rf"(?U)(?<=[.!?]){_SPACE}+|\n\n+")).alias("k", "t"))
+    parts = parts.withColumn("t", F.regexp_replace("t", f"(?U)^{_SPACE}+|{_SPACE}+$", "")).filter("t <> ''").repartition("doc_id", "h")
+    # Equal rows of one id share their sentences.
+    parts = parts.groupBy("doc_id", "h", "k").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
+    document = W.partitionBy("doc_id", "h")
+    line = document.orderBy("k")
+    parts = parts.withColumn("n", _tokens(_words(F.col("t"))).cast("long"))
+    parts = parts.select(
+        "doc_id", "h", "t", "n", "copies",
+        (F.row_number().over(line) - 1).alias("i"),
+        F.sum("n").over(line).alias("sum"),
+        (F.sum(F.length("t") + 1).over(line) - F.length("t") - 1).alias("place"),
+    )
+    # In falling order of sums a sentence asks for the last one before it whose sum is above what its chunk may reach.
+    asks = F.explode(F.array(F.struct(F.col("sum").alias("v"), F.lit(0).alias("asks")), F.struct((F.col("sum") - F.col("n") + F.greatest(F.col("n"), F.lit(limit))).alias("v"), F.lit(1).alias("asks")))).alias("e")
+    met = F.last(F.when(F.col("e.asks") == 0, F.col("i")), ignorenulls=True).over(document.orderBy(F.desc("e.v"), F.desc("e.asks")))
+    after = parts.select("doc_id", "h", "i", asks).withColumn("after", met).filter("e.asks = 1")
+    after = after.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("i", "after"))).alias("line"))
+    # The chain of the first sentence.
+    state = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.when(x["i"] == a["to"], F.struct(x["after"].alias("to"), F.array_append(a["starts"], x["i"]).alias("starts"))).otherwise(a)
+    starts = after.select("doc_id", "h", F.size("line").alias("m"), F.aggregate("line", state, step)["starts"].alias("s"))
+    spans = F.transform("s", lambda x, k: F.array_repeat(k, (F.coalesce(F.get("s", k + 1), F.col("m")) - x)))
+    chunks = starts.select("doc_id", "h", F.flatten(spans).alias("chunk_of"))
+    placed = parts.join(chunks, ["doc_id", "h"]).withColumn("ord", F.get("chunk_of", F.col("i"))).drop("chunk_of")
+
+    packed = placed.filter(F.col("n") <= limit).groupBy("doc_id", "h", "ord").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), " ").alias("text"),
+        F.min("place").alias("start_position"), F.max(F.col("place") + F.length("t") + 1).alias("end_position"), F.sum("n").alias("token_count"), F.max("copies").alias("copies"),
+    )
+    return packed.withColumn("piece", F.lit(0)).unionByName(_cut(placed.filter(F.col("n") > limit).select("doc_id", "h", "ord", "t", "place", "copies"), limit))
+
+
+def _cut(texts: DataFrame, limit: int) -> DataFrame:
+    """Chunks of as many words as there are tokens, as a word alone counts one; with no room at all each word is one, and an empty one comes first."""
+    rows = texts.withColumn("w", _words(F.col("t")))
+    step = max(1, limit)
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))
+    if limit < 1:
+        starts = F.concat(F.array(F.lit(-1)), starts)
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    rows = rows.select("doc_id", "h", "ord", "place", "copies", F.posexplode(F.transform(starts, lambda k: F.when(k < 0, F.array().cast("array<string>")).otherwise(F.slice("w", k + 1, F.lit(step))))).alias("piece", "own"))
+    line = W.partitionBy("doc_id", "h", "ord").orderBy("piece")
+    length = total(F.transform("own", lambda x: F.length(x) + 1))
+    ends = F.col("place") + F.sum(length).over(line)
+    return rows.select("doc_id", "h", "ord", "piece", F.array_join("own", " ").alias("text"), (ends - length).alias("start_position"), ends.alias("end_position"), F.size("own").cast("long").alias("token_count"), "copies")
+
+
+def _counted(docs: DataFrame, size: str, preserve_sentences: bool, overlap: int, count: Callable[[str], int]) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -105,7 +200,7 @@ def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool
                 rows = [
                     (d, k, *c)
                     for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
-                    for k, c in enumerate(chunk_text(t, size, preserve_sentences, overlap))
+                    for k, c in enumerate(chunk_text(t, size, preserve_sentences, overlap, count))
                 ]
                 kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
                 columns = list(zip(*rows)) or [[]] * 6

@@ -41,8 +41,8 @@ from palimpsest.sources.shared import new_table, read_or_none
 _STORED = "key string, reply string, error string, use string, lane int, worker string, at double, tokens long"
 #: Replies that a worker remembers for a lane that starts again.
 REMEMBERED = 10_000
-#: Prompts of a wave: what is asked before replies are stored.
-WAVE = 10_000
+#: Prompts of a wave, what is asked before replies are stored: where calls are rationed, and where they are not.
+WAVE, FREE_WAVE = 10_000, 500_000
 
 
 def in_order(items: Iterable, call: Callable, window: int) -> Iterator:
@@ -140,7 +140,7 @@ def serve(batches: Iterable[pa.RecordBatch], client: Client, use: str, lanes: in
 
 
 def answered(
-    prompts: DataFrame, client: Client = silent, store: str | None = None, lanes: int = 8, window: int = 3, allowance: Limiter | None = None, wave: int = WAVE
+    prompts: DataFrame, client: Client = silent, store: str | None = None, lanes: int = 8, window: int = 3, allowance: Limiter | None = None, wave: int | None = None
 ) -> DataFrame:
     """Adds ``reply`` and ``error`` to rows with a ``prompt``; the calls are made here, each distinct prompt once.
 
@@ -154,6 +154,7 @@ def answered(
     rows = prompts.drop("reply", "error").withColumn("_key", F.sha2("prompt", 256))
     at, use = store or new_table(spark, "replies"), uuid.uuid4().hex
     allowance = allowance or (client.limiter if isinstance(client, Retrying) else None)
+    wave = wave or (WAVE if allowance else FREE_WAVE)
     lanes = max(1, min(lanes, allowance.requests) if allowance else lanes)
 
     asked = new_table(spark, "prompts")

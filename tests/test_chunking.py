@@ -30,3 +30,27 @@ def test_small_is_degenerate():
 def test_overlap_takes_the_words_before():
     out = overlapped([("a b c", 0, 5, 3), ("d e", 6, 9, 2)], 2)
     assert out[1][0] == "c d e" and out[1][3] == estimate("c d e")
+
+
+def test_rows_give_the_chunks_of_the_walk(spark):
+    """The form in rows and the plain walk agree, for every size, with overlap, long sentences and odd white space."""
+    import random
+
+    from palimpsest.operators.chunking import chunk_documents
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abéß日x1", k=draw.randint(1, 7)))
+    texts = [None, "", " \n  ", "one", " kept as it is. \x1c", "x " * 900, "日本 " * 600 + ". End!"]
+    for _ in range(12):
+        sentences = [" ".join(word() for _ in range(draw.choice([1, 3, 12, 40, 90] if k % 9 else [700]))) + draw.choice([".", "!", "?", ""]) for k in range(draw.randint(1, 60))]
+        texts.append("".join(x + draw.choice([" ", "  ", "\n", "\n\n", "\n\n\n ", " ", "\x1d "]) for x in sentences))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(9, texts[9]), (9, texts[10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, preserve, overlap in (("medium", True, 0), ("medium", True, 100), ("small", True, 0), ("medium", False, 0), ("medium", False, 7), ("max", True, 3), ("other", True, 0)):
+        got = chunk_documents(docs, size, preserve, overlap)
+        assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "InArrow" not in plan
+        want = sorted((d, k, *c) for d, t in rows for k, c in enumerate(chunk_text(t, size, preserve, overlap)))
+        have = sorted(map(tuple, got.collect()))
+        assert len(have) == len(want) and [(a, b) for a, b in zip(have, want) if a != b][:1] == [], (size, preserve, overlap)
+    by_letters = chunk_documents(docs, "medium", count=len)
+    assert sorted(map(tuple, by_letters.collect())) == sorted((d, k, *c) for d, t in rows for k, c in enumerate(chunk_text(t, "medium", count=len)))
