@@ -113,3 +113,15 @@ def rendered_elements(spark, sf_dir):
     rows = table(spark, sf_dir, "part").filter("p_name is not null").select(F.floor(F.col("p_partkey") / 6).alias("doc_id"), place.alias("seq"), line.alias("line"))
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("full_text"))
+
+
+#: Where a rank file lies; a parameter of the operator.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def byte_pair_tokens(spark, sf_dir):
+    """Tokens of every text by the ranks of a file; tested against merging by brute force and a library."""
+    from palimpsest.functions import tokens
+
+    return tokens.counted(table(spark, sf_dir, "documents"), tokens.Counter(RANKS))
