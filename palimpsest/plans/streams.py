@@ -19,8 +19,12 @@ def streamed_rate_windows(spark, sf_dir):
     schema = "user_id bigint, event_id bigint, ts timestamp, tokens bigint"
     end = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").alias("ts")).filter("ts is not null")
     end.selectExpr("CAST(-1 AS bigint) AS user_id", "CAST(-1 AS bigint) AS event_id", "CAST(ts AS timestamp) + INTERVAL 1 DAY AS ts", "CAST(0 AS bigint) AS tokens").write.parquet(f"{at}/end")
-    known = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(known).parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "event_id", "CAST(ts AS timestamp) AS ts", "CAST(floor(value) AS bigint) AS tokens")
+    known = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A stream reads a folder; where the table is one file, of the folder it lies in.
+    lies = known.inputFiles()
+    one = len(lies) == 1 and lies[0].endswith("/events.parquet")
+    source = spark.readStream.schema(known.schema).option("pathGlobFilter", "events.parquet" if one else "*.parquet")
+    events = source.parquet(sf_dir if one else f"{sf_dir}/events.parquet").selectExpr("user_id", "event_id", "CAST(ts AS timestamp) AS ts", "CAST(floor(value) AS bigint) AS tokens")
     every = events.unionByName(spark.readStream.schema(schema).parquet(f"{at}/end")).selectExpr("user_id AS key", "ts", "event_id AS id", "tokens")
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
