@@ -186,7 +186,7 @@ def test_the_classifier_of_personal_data_rejects(spark):
         number = "4" + code(15, "0123456789")
         while pii.luhn(number):
             number = "4" + code(15, "0123456789")
-        texts.append(f"Some Words {code(18, 'abcdefghij')} stand with token = '{code(40, '0123456789abcdef')}' and {number} of Other Kind {k}")
+        texts.append(f"Some Words {code(18, 'abcdefghij')} stand with token = '{''.join(code(1, 'abcdef') + code(1, '0123456789') for _ in range(20))}' and {number} of Other Kind {k}")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = Counter(s.split(":")[0] for r in pii.find(docs).collect() for s in r.spans.split(",") if s and s.split(":")[0] in pii.EXTRA)
     assert found == {"secret": 200}
