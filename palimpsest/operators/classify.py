@@ -22,8 +22,9 @@ def chunk_detections(chunks: DataFrame, template: str, client: model.Client = mo
     Equal chunks are sent once, when this is called; ``calls`` are parameters of ``lanes.answered``. Both cases are one
     projection of the reply.
     """
-    prompts = chunks.withColumn("prompt", model.prompt_for_chunk(template, F.col("text")))
-    answers = model.ask(prompts, client) if client is model.silent else lanes.answered(prompts, client, **calls)
+    prompted = lambda d: d.withColumn("prompt", model.prompt_for_chunk(template, F.col("text")))
+    # What is asked and what is answered are two readings of the chunks, so they are stored.
+    answers = model.ask(prompted(chunks), client) if client is model.silent else lanes.answered(prompted(stored(chunks, "chunks")), client, **calls)
     is_error = F.coalesce(F.try_variant_get(F.try_parse_json(model.reply_json(F.col("reply"))), "$.error", "variant").isNotNull(), F.lit(False))
     replaced = F.when(F.col("error").isNull() & ~is_error & ~model.spoilt_reply(F.col("reply"), F.col("text")), model.replacements_in(F.col("reply")))
     hits = F.filter(entities.hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))

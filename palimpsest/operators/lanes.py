@@ -5,7 +5,7 @@ a lane is one task, so however many tasks made the prompts, no more lanes than t
 call at once, each with its share of the allowance. A lane keeps a bounded window
 of calls in flight and hands on replies in the order of its prompts.
 
-Replies are stored in waves, by the hash of the prompt, in a table of the shared
+Replies are stored in waves of prompts, by the hash of the prompt, in a table of the shared
 folder, and joined back to the rows. What is stored is never sent again: not for a
 second row with that prompt, not for a second use of the table, not when a later
 step is computed anew. A lost executor costs the calls of its lane in the wave that
@@ -160,19 +160,18 @@ def answered(
     asked = new_table(spark, "prompts")
     rows.filter("prompt is not null").groupBy(F.col("_key").alias("key")).agg(F.min("prompt").alias("prompt")).write.parquet(asked)
     asked = spark.read.parquet(asked)
-    while True:
-        known = read_or_none(spark, at)
-        left = asked if known is None else asked.join(known.filter(F.col("error").isNull() | (F.col("use") == use)).select("key"), "key", "left_anti")
-        left = left.orderBy("key").limit(wave)
-        if left.isEmpty():
-            break
+    known = read_or_none(spark, at)
+    left = asked if known is None else asked.join(known.filter("error is null").select("key"), "key", "left_anti")
+    waves = -(-left.count() // wave)
+    for turn in range(waves):
         past: dict[int, list] = {}
-        if known is not None and allowance is not None:
+        if allowance is not None and (known := read_or_none(spark, at)) is not None:
             # The calls of one window, no more than the allowance has requests.
             for r in known.filter(F.col("at") > time.time() - allowance.seconds).select("lane", "worker", "key", "at", "tokens").collect():
                 past.setdefault(r.lane % lanes, []).append((r.worker, r.key, r.at, r.tokens))
         served = partial(serve, client=client, use=use, lanes=lanes, window=window, allowance=allowance, past=past)
-        left.repartition(lanes).mapInArrow(served, _STORED).write.mode("append").parquet(at)
+        left.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == turn).repartition(lanes).mapInArrow(served, _STORED).write.mode("append").parquet(at)
+    known = read_or_none(spark, at)
     if known is None:
         return rows.withColumn("reply", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string")).drop("_key")
     last = known.withColumn("_place", F.row_number().over(W.partitionBy("key").orderBy(F.col("error").isNotNull(), F.desc("at")))).filter("_place = 1")
