@@ -126,7 +126,7 @@ _SOURCES = ((0, "CUSTOMER", "a client", True, None), (1, "SEG", "a market", True
 @query(f"""WITH {_DUCK_CUSTOMER_FILES} SELECT doc_id, part, seq, CASE WHEN part = 'header' THEN text ELSE replace(replace(text, '{{{{CUSTOMER_NAME}}}}', 'CUSTOMER_NAME: a client'), '{{{{SEGMENT}}}}', 'SEGMENT: a market') END AS text,
   2 AS found, 2 AS filled, 'CUSTOMER_NAME: a client' AS detail, 'not read: OTHER: no such file' AS told FROM rebuilt""")
 def smart_filled_files(spark, sf_dir):
-    """Rebuilt files filled by context, names matched by prefix."""
+    """Rebuilt files filled by context, names matched by prefix."""
     rebuilt = rebuilt_templates(spark, sf_dir)
     sources = spark.createDataFrame(list(_SOURCES), "ord int, name string, text string, success boolean, error string")
     made = files.smart_fill(rebuilt, sources, "{placeholder_name}\n{source_text}\n{section_heading}\n{before_text}", extracting)
@@ -162,7 +162,7 @@ def parsed_files(spark, sf_dir):
 
 @query("SELECT c_custkey AS doc_id, 'table[0]/row[0]/cell[1]' AS path, 'Segment ' || c_mktsegment AS text, 2 AS paragraphs, 1 AS tables, true AS has_headers, false AS has_footers FROM customer WHERE c_name IS NOT NULL AND c_mktsegment IS NOT NULL")
 def elements_by_path(spark, sf_dir):
-    """F4, P2, S8a, S8b, S8d, S8e, A7, A8, O3: one element of each file by its path, counts, flags of headers and footers."""
+    """One element of each file by its path, counts, flags of headers and footers."""
     own = customer_files(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "content")
     found = docx.elements(own).withColumn("at", T.element_path(F.col("element_type"), F.col("paragraph_index"), F.col("table_index"), F.col("row_index"), F.col("cell_index")))
     counts = found.groupBy("path").agg(F.count_if(F.col("element_type") == "paragraph").cast("int").alias("paragraphs"), F.countDistinct(F.when(F.col("table_index") >= 0, F.col("table_index"))).cast("int").alias("tables"))

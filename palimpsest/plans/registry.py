@@ -298,7 +298,7 @@ fold AS (
 last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) = 1)
 SELECT doc_id, 'body' AS part, 0 AS grp, CAST(k AS INTEGER) AS seq, texts[k + 1] AS text, CAST(applied AS INTEGER) AS applied, array_to_string(failed, '|') AS failed FROM (SELECT *, unnest(range(len(texts))) AS k FROM last)""")
 def rebuilt_letters(spark, sf_dir):
-    """Letters with their detections replaced."""
+    """Letters with their detections replaced."""
     found = letters(spark, sf_dir)
     paragraphs = found.select("doc_id", F.lit("body").alias("part"), F.lit(0).alias("grp"), F.posexplode(F.split("text", r"(?<=\.) ")).alias("seq", "t")).select("doc_id", "part", "grp", "seq", F.array("t").alias("runs"))
     return rebuild.rebuild_documents(paragraphs, entities.reconcile(entities.detect(found), dealt=True)).withColumn("failed", F.array_join("failed", "|"))
@@ -330,7 +330,7 @@ def model_replies(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_duck_chunks(2596)}
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, 0 AS found, CAST(NULL AS VARCHAR) AS error FROM base UNION ALL SELECT doc_id, 0, 0, NULL FROM whole""")
 def model_answers(spark, sf_dir):
-    """M1, P5: chunks sent to the default client, its reply parsed."""
+    """M1: chunks sent to the default client, its reply parsed."""
     chunks_ = chunking.chunk_documents(table(spark, sf_dir, "documents"), "max").withColumn("prompt", model.prompt_for_chunk('Reply as {{"replacements": []}}. Text: {text_chunk}', F.col("text")))
     return model.ask(chunks_, model.silent).select("doc_id", "chunk_index", F.size(model.replacements_in(F.col("reply"))).alias("found"), "error")
 

@@ -125,3 +125,50 @@ def byte_pair_tokens(spark, sf_dir):
     from palimpsest.functions import tokens
 
     return tokens.counted(table(spark, sf_dir, "documents"), tokens.Counter(RANKS))
+
+
+def _file(k: int, name: str, segment: str) -> bytes:
+    """A file with metadata, k modulo 3 pictures, a footer for even numbers, and a paragraph that is bold, italic or both in one of its runs."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    marks = ("<w:b/>" if k % 2 else "") + ("<w:i/>" if k % 5 == 0 else "")
+    foot = '<w:sectPr><w:footerReference w:type="default" r:id="rF"/></w:sectPr>' if k % 2 == 0 else ""
+    body = f'<w:p><w:r><w:t xml:space="preserve">Plain </w:t></w:r><w:r><w:rPr>{marks}</w:rPr><w:t>{segment}</w:t></w:r></w:p>{foot}'
+    links = "".join(f'<Relationship Id="i{n}" Type="{office}/image" Target="media/image{n}.png"/>' for n in range(k % 3)) + f'<Relationship Id="rF" Type="{office}/footer" Target="footer1.xml"/>'
+    core = f'<c:coreProperties xmlns:c="urn:core" xmlns:d="urn:dc"><d:title>{name}</d:title><d:creator>{segment}</d:creator></c:coreProperties>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{main}" xmlns:r="{office}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{package}">{links}</Relationships>')
+        if foot:
+            z.writestr("word/footer1.xml", f'<w:ftr xmlns:w="{main}"><w:p><w:r><w:t>Foot {k}</w:t></w:r></w:p></w:ftr>')
+        z.writestr("docProps/core.xml", core)
+    return out.getvalue()
+
+
+@query("""SELECT c_custkey AS doc_id, c_name AS title, c_mktsegment AS author, '' AS subject, CAST(c_custkey % 3 AS INTEGER) AS image_count, false AS has_headers, c_custkey % 2 = 0 AS has_footers,
+  c_custkey % 2 = 1 AS is_bold, c_custkey % 5 = 0 AS is_italic, 'Plain ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '|Foot ' || c_custkey ELSE '' END AS texts FROM customer WHERE c_name IS NOT NULL AND c_mktsegment IS NOT NULL""")
+def file_properties(spark, sf_dir):
+    """S8c (footers), S8d, S8e, A7, P18: metadata, pictures, footers and marks of runs of each file."""
+    import pyarrow as pa
+
+    from palimpsest.plans.documents import dealt
+    from palimpsest.sources import docx
+
+    def run(batches):
+        for b in batches:
+            made = [_file(*x) for x in zip(*(b.column(c).to_pylist() for c in ("c_custkey", "c_name", "c_mktsegment")))]
+            yield pa.record_batch([b.column("c_custkey").cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+
+    own = table(spark, sf_dir, "customer").filter("c_name is not null and c_mktsegment is not null").select("c_custkey", "c_name", "c_mktsegment")
+    files = dealt(own, "c_custkey").mapInArrow(run, "path string, content binary")
+    body = F.col("element_type") == "paragraph"
+    lines = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    marks = docx.elements(files).groupBy("path").agg(F.bool_or(body & F.col("is_bold")).alias("is_bold"), F.bool_or(body & F.col("is_italic")).alias("is_italic"), F.array_join(F.transform(lines, lambda x: x["text"]), "|").alias("texts"))
+    found = docx.properties(files).filter("error is null").join(marks, "path")
+    get = lambda k: F.col("metadata")[k].alias(k)
+    return found.select(F.col("path").cast("long").alias("doc_id"), get("title"), get("author"), get("subject"), "image_count", "has_headers", "has_footers", "is_bold", "is_italic", "texts")
