@@ -105,12 +105,13 @@ def overlapped(chunks: list[tuple[str, int, int, int]], tokens: int, count=estim
     return out
 
 
-# White space and words as Python has them: four control characters more than the engine's own.
-_SPACE, _WORD = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+# White space as Python has it. Named one by one the engine tests it far faster than as a class of Unicode.
+_BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE, _WORD = f"[{_BLANKS}]", f"[^{_BLANKS}]"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?U){_WORD}+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{_WORD}+"), F.lit(0))
 
 
 def _tokens(words: Column) -> Column:
@@ -126,7 +127,7 @@ def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool
         return _counted(docs, size, preserve_sentences, overlap, count)
     limit = CHUNK_TOKENS.get(size, CHUNK_TOKENS["max"]) - PROMPT_TOKENS
     words = _words(F.col("text"))
-    own = docs.select("doc_id", "text").filter(F.rlike("text", F.lit(f"(?U){_WORD}"))).withColumn("n", _tokens(words))
+    own = docs.select("doc_id", "text").filter(F.rlike("text", F.lit(_WORD))).withColumn("n", _tokens(words))
     whole = own.filter(F.col("n") <= limit).select("doc_id", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("start_position"), F.length("text").alias("end_position"), F.col("n").alias("token_count"))
     long = own.filter(F.col("n") > limit)
     base = _packed(long, limit) if preserve_sentences else _cut(long.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("t"), F.count("*").alias("copies"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("place")), limit)
@@ -144,8 +145,8 @@ def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool
 
 def _packed(long: DataFrame, limit: int) -> DataFrame:
     """Chunks (doc_id, h, ord, piece, text, start_position, end_position, token_count, copies) of texts above the limit."""
-    parts = long.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", rf"(?U)(?<=[.!?]){_SPACE}+|\n\n+")).alias("k", "t"))
-    parts = parts.withColumn("t", F.regexp_replace("t", f"(?U)^{_SPACE}+|{_SPACE}+$", "")).filter("t <> ''").repartition("doc_id", "h")
+    parts = long.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", rf"(?<=[.!?]){_SPACE}+|\n\n+")).alias("k", "t"))
+    parts = parts.withColumn("t", F.regexp_replace("t", f"^{_SPACE}+|{_SPACE}+$", "")).filter("t <> ''").repartition("doc_id", "h")
     # Equal rows of one id share their sentences.
     parts = parts.groupBy("doc_id", "h", "k").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     document = W.partitionBy("doc_id", "h")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
 from palimpsest.functions.text import normal_placeholder, strip
+from palimpsest.sources.shared import stored
 
 #: Unicode classes, case ignored: as the patterns are meant.
 FLAGS = "(?iU)"
@@ -103,14 +104,16 @@ def best_of_each(detections: DataFrame) -> DataFrame:
     )
 
 
-def maximal(detections: DataFrame, in_row: int = 32_000) -> DataFrame:
+def maximal(detections: DataFrame, in_row: int | None = None) -> DataFrame:
     """Without those whose text is part of another detection's text in the same document.
 
-    Documents whose detections hold ``in_row`` characters at most are compared in one row each; those of larger ones
-    meet in a join (``inside_others``), which splits a document over tasks.
+    A document's detections are compared in one row. With ``in_row``, for corpora of very large documents, only those
+    that hold so many characters at most are; those of larger ones meet in a join (``inside_others``), which splits a
+    document over tasks. Detections are stored then, as both ways read them.
     """
-    size = F.sum(F.length("original") + 1).over(W.partitionBy("doc_id"))
-    sized = detections.withColumn("_size", size)
+    if in_row is None:
+        return _maximal_in_rows(detections)
+    sized = stored(detections, "detections").withColumn("_size", F.sum(F.length("original") + 1).over(W.partitionBy("doc_id")))
     large = sized.filter(F.col("_size") > in_row).drop("_size")
     kept = large.join(inside_others(large), ["doc_id", "original"], "left_anti").select(detections.columns)
     return _maximal_in_rows(sized.filter(F.col("_size") <= in_row).drop("_size")).select(detections.columns).unionByName(kept)
