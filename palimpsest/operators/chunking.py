@@ -1,13 +1,11 @@
 """Token-bounded chunks of a text: sentences packed in order, words where a sentence is too long.
 
-Sentences are rows. Prefix sums by document give, for a chunk that begins at any
-sentence, the sentence at which the next one begins; the chain from the first
-sentence, a walk over whole numbers only, gives each sentence its chunk. A text is
-split where it lies and its sentences meet again by document and chunk, so no task
-holds more of a text than its rows, and no row meets another's.
-
-With a token counter of the caller's the walk has to count as it goes; then it runs
-in Python, a document at a time.
+A text is walked where it lies, in Python over Arrow batches, without a shuffle.
+
+For texts too large for that there is a form in rows. Sentences are rows then: prefix
+sums by document give, for a chunk that begins at any sentence, the sentence at which
+the next one begins; the chain from the first sentence, a walk over whole numbers
+only, gives each sentence its chunk, and sentences meet again by document and chunk.
 """
 
 from __future__ import annotations
@@ -118,13 +116,14 @@ def _tokens(words: Column) -> Column:
     return F.floor(F.size(words) * F.lit(1.3)).cast("int")
 
 
-def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool = True, overlap: int = 0, count: Callable[[str], int] | None = None) -> DataFrame:
+def chunk_documents(docs: DataFrame, size: str = "max", preserve_sentences: bool = True, overlap: int = 0, count: Callable[[str], int] | None = None, in_rows: bool = False) -> DataFrame:
     """The chunks of every document (doc_id, text); blank texts have none, repeated rows have theirs each, numbered alike.
 
-    ``count`` counts the tokens of a text; without it words times 1.3 are.
+    ``count`` counts the tokens of a text; without it words times 1.3 are. ``in_rows`` makes rows of sentences, for texts
+    whose walk one task should not make alone; for ordinary ones it takes several times as long.
     """
-    if count is not None:
-        return _counted(docs, size, preserve_sentences, overlap, count)
+    if count is not None or not in_rows:
+        return _walked(docs, size, preserve_sentences, overlap, count or estimate)
     limit = CHUNK_TOKENS.get(size, CHUNK_TOKENS["max"]) - PROMPT_TOKENS
     words = _words(F.col("text"))
     own = docs.select("doc_id", "text").filter(F.rlike("text", F.lit(_WORD))).withColumn("n", _tokens(words))
@@ -193,7 +192,7 @@ def _cut(texts: DataFrame, limit: int) -> DataFrame:
     return rows.select("doc_id", "h", "ord", "piece", F.array_join("own", " ").alias("text"), (ends - length).alias("start_position"), ends.alias("end_position"), F.size("own").cast("long").alias("token_count"), "copies")
 
 
-def _counted(docs: DataFrame, size: str, preserve_sentences: bool, overlap: int, count: Callable[[str], int]) -> DataFrame:
+def _walked(docs: DataFrame, size: str, preserve_sentences: bool, overlap: int, count: Callable[[str], int]) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):

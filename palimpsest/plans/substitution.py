@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
-from palimpsest.operators import classify, contexts, entities, lanes, rebuild
-from palimpsest.plans.registry import _DUCK_LETTERS, _DUCK_MAXIMAL, _DUCK_BEST, _duck_hits, letters, query, table
+from palimpsest.operators import chunking, classify, contexts, entities, lanes, rebuild
+from palimpsest.plans.registry import ORACLE_SQL, _DUCK_LETTERS, _DUCK_MAXIMAL, _DUCK_BEST, _duck_hits, letters, query, table
 
 
 @query("""WITH c AS (SELECT c_custkey AS doc_id, unnest([
@@ -172,3 +172,9 @@ def file_properties(spark, sf_dir):
     found = docx.properties(files).filter("error is null").join(marks, "path")
     get = lambda k: F.col("metadata")[k].alias(k)
     return found.select(F.col("path").cast("long").alias("doc_id"), get("title"), get("author"), get("subject"), "image_count", "has_headers", "has_footers", "is_bold", "is_italic", "texts")
+
+
+@query(ORACLE_SQL["chunks"])
+def chunks_in_rows(spark, sf_dir):
+    """The chunks of ``chunks`` from rows of sentences, without Python."""
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "medium", overlap=100, in_rows=True)

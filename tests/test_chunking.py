@@ -47,10 +47,11 @@ def test_rows_give_the_chunks_of_the_walk(spark):
     rows = [(k, t) for k, t in enumerate(texts)] + [(9, texts[9]), (9, texts[10])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for size, preserve, overlap in (("medium", True, 0), ("medium", True, 100), ("small", True, 0), ("medium", False, 0), ("medium", False, 7), ("max", True, 3), ("other", True, 0)):
-        got = chunk_documents(docs, size, preserve, overlap)
+        got = chunk_documents(docs, size, preserve, overlap, in_rows=True)
         assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "InArrow" not in plan
         want = sorted((d, k, *c) for d, t in rows for k, c in enumerate(chunk_text(t, size, preserve, overlap)))
         have = sorted(map(tuple, got.collect()))
         assert len(have) == len(want) and [(a, b) for a, b in zip(have, want) if a != b][:1] == [], (size, preserve, overlap)
+        assert size != "medium" or sorted(map(tuple, chunk_documents(docs, size, preserve, overlap).collect())) == want
     by_letters = chunk_documents(docs, "medium", count=len)
     assert sorted(map(tuple, by_letters.collect())) == sorted((d, k, *c) for d, t in rows for k, c in enumerate(chunk_text(t, "medium", count=len)))
