@@ -109,13 +109,14 @@ def maximal(detections: DataFrame, in_row: int | None = None) -> DataFrame:
 
     A document's detections are compared in one row. With ``in_row``, for corpora of very large documents, only those
     that hold so many characters at most are; those of larger ones meet in a join (``inside_others``), which splits a
-    document over tasks. Detections are stored then, as both ways read them.
+    document over tasks. Detections are stored then, as both ways read them. Joins are merges: detections compress so well
+    that Spark would take a table that doesn't fit the driver for one to send to all.
     """
     if in_row is None:
         return _maximal_in_rows(detections)
     sized = stored(detections, "detections").withColumn("_size", F.sum(F.length("original") + 1).over(W.partitionBy("doc_id")))
     large = sized.filter(F.col("_size") > in_row).drop("_size")
-    kept = large.join(inside_others(large), ["doc_id", "original"], "left_anti").select(detections.columns)
+    kept = large.join(inside_others(large).hint("merge"), ["doc_id", "original"], "left_anti").select(detections.columns)
     return _maximal_in_rows(sized.filter(F.col("_size") <= in_row).drop("_size")).select(detections.columns).unionByName(kept)
 
 
@@ -153,13 +154,13 @@ def inside_others(detections: DataFrame) -> DataFrame:
     texts = detections.select("doc_id", "original").distinct()
     grams = texts.select("doc_id", "original", F.explode(_grams(F.col("original"), GRAM)).alias("gram"))
     counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(counts, ["doc_id", "gram"]).groupBy("doc_id", "original").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    rarest = grams.join(counts.hint("merge"), ["doc_id", "gram"]).groupBy("doc_id", "original").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     # Shorter texts are few kinds: a document's lengths of such texts are at most GRAM - 1.
     short = texts.filter(F.length("original") < GRAM)
     lengths = short.groupBy("doc_id").agg(F.collect_set(F.length("original")).alias("lengths"))
-    parts = texts.join(lengths, "doc_id").select("doc_id", "original", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains("lengths", n), _grams(F.col("original"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)])))).alias("gram"))
+    parts = texts.join(lengths.hint("merge"), "doc_id").select("doc_id", "original", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains("lengths", n), _grams(F.col("original"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)])))).alias("gram"))
     asked = rarest.unionByName(short.withColumn("gram", F.col("original")))
-    met = asked.join(grams.unionByName(parts).withColumnRenamed("original", "around"), ["doc_id", "gram"])
+    met = asked.join(grams.unionByName(parts).withColumnRenamed("original", "around").hint("merge"), ["doc_id", "gram"])
     return met.filter((F.col("around") != F.col("original")) & F.contains("around", F.col("original"))).select("doc_id", "original").distinct()
 
 

@@ -122,3 +122,11 @@ def test_model_and_pattern_detections_are_united(spark):
     chunks = docs.filter("text is not null").withColumn("chunk_index", F.lit(0))
     by_chunk = {(r.doc_id, r.original) for r in classify.chunk_detections(chunks, "{text_chunk}", client).collect()}
     assert by_chunk == {(1, "Bob"), (1, "A@b.com"), (2, "c@d.com"), (3, "4%"), (4, "5%")}
+
+
+def test_detections_of_large_documents_are_never_broadcast(spark):
+    """Small tables too are merged, so nothing of a document goes through the driver."""
+    rows = [(1, "Customer#00012"), (1, "omer#0001"), (1, "12"), (1, "#"), (2, "omer#0001"), (2, "x")]
+    kept = entities.maximal(spark.createDataFrame(rows, "doc_id long, original string"), in_row=0)
+    assert sorted(map(tuple, kept.collect())) == [(1, "Customer#00012"), (2, "omer#0001"), (2, "x")]
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
