@@ -59,3 +59,14 @@ def test_pairs_found_by_seeds_lose_no_match(spark):
     assert rows(rebuild_documents(p, r, direct=0)) == want and any(x[5] > 3 for x in want)
     pairs = candidate_pairs(p, r).filter("seeded").collect()
     assert pairs and sum(len(x.near) for x in pairs) < 0.5 * 15 * len(pairs)
+
+
+def test_nothing_of_a_document_is_broadcast(spark):
+    from palimpsest.operators.rebuild import rebuild_documents
+
+    p = spark.createDataFrame([(1, "body", 0, 0, ["the balance ", "of account 7"]), (2, "body", 0, 0, ["none"])], "doc_id long, part string, grp int, seq int, runs array<string>")
+    r = spark.createDataFrame([(1, 0, "Balance-of-account", "{{B}}")], "doc_id long, ord int, original string, placeholder string")
+    for direct in (0, 1_000_000):
+        made = rebuild_documents(p, r, direct=direct)
+        assert sorted((x.doc_id, x.text, x.applied) for x in made.collect()) == [(1, "the {{B}} 7", 1), (2, "none", 0)]
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
