@@ -109,3 +109,35 @@ def test_written_files_are_found_and_read(spark, tmp_path):
     query.awaitTermination(120)
     assert {r.text for r in spark.table("dropped").collect()} == {f"text {k}" for k in range(3)}
     assert sinks.write_files(rows, str(tmp_path / "packed")).count() == 3
+
+
+def test_many_small_files_share_batches():
+    """A batch for each file would cost more than reading it."""
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    own = pa.record_batch([pa.array(map(str, range(100))), pa.array([docx.made([["a"], ["b"]])] * 99 + [b"broken"])], names=["path", "content"])
+    for read, rows in ((docx.elements, 199), (docx.properties, 100)):
+        made = list(read(Frame())([own]))
+        assert len(made) == 1 and made[0].num_rows == rows
+
+
+def test_elements_and_flags_read_a_file_once_each(spark):
+    import __spark_entry__
+
+    made = __spark_entry__.queries()["elements_by_path"](spark, "/root/testdata/sf0.001")
+    assert made.count() and made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
+
+
+def test_contexts_are_read_once(spark):
+    own = spark.createDataFrame([(1, docx.made([["{{A}}"]]))], "doc_id long, content binary")
+    sources = spark.createDataFrame([(0, "A", "text", True, None)], "ord int, name string, text string, success boolean, error string")
+    made = files.smart_fill(own, sources, "{placeholder_name}\n{source_text}", extracting)
+    # Filling, and the replies' contents; no reading of contexts.
+    assert made.first().details == {"A": "A: text"} and made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
