@@ -183,8 +183,13 @@ def reconcile(detections: DataFrame, dealt: bool = False) -> DataFrame:
     return longest_first(distinct_maximal(detections, dealt))
 
 
-def of_category(detections: DataFrame, category: str) -> DataFrame:
-    return detections.filter(F.col("category") == category)
+def of_category(detections: DataFrame, *categories: str) -> DataFrame:
+    return detections.filter(F.col("category").isin(*categories))
+
+
+def patterns_of(*categories: str) -> list[tuple[int, str, str, str]]:
+    """The catalogue's patterns of some categories, each with its place; all that ``of_category`` keeps of a detection comes from them."""
+    return [(k, *x) for k, x in enumerate(PATTERNS) if x[0] in categories]
 
 
 def counts_by_category(detections: DataFrame) -> DataFrame:
