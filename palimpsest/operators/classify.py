@@ -48,7 +48,8 @@ def classify(docs: DataFrame, template: str, client: model.Client = model.silent
     by_chunk = chunk_detections(chunking.chunk_documents(docs, size), template, client, patterns, **calls)
     found = entities.detect(docs, patterns).select(*names).unionByName(by_chunk.select(*names))
     if paragraphs is not None:
-        found = found.unionByName(paragraphs.withColumn("seq", F.col("seq") - _CHUNK_STRIDE).select(*names))
+        # Their tasks run first, so a failure there ends the run before the rest is worked.
+        found = paragraphs.withColumn("seq", F.col("seq") - _CHUNK_STRIDE).select(*names).unionByName(found)
     return entities.reconcile(found)
 
 

@@ -130,3 +130,20 @@ def test_detections_of_large_documents_are_never_broadcast(spark):
     kept = entities.maximal(spark.createDataFrame(rows, "doc_id long, original string"), in_row=0)
     assert sorted(map(tuple, kept.collect())) == [(1, "Customer#00012"), (2, "omer#0001"), (2, "x")]
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_two_categories_are_detected_in_one_pass(spark):
+    import __spark_entry__
+
+    made = __spark_entry__.queries()["sorted_names"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("regexp_extract_all") == len(entities.patterns_of("DATE", "EMAIL")) == 7
+
+
+def test_an_earlier_phase_comes_first(spark):
+    from palimpsest.operators import classify
+
+    docs = spark.createDataFrame([(1, "3%")], "doc_id long, text string")
+    earlier = entities.detect(docs).withColumn("reason", F.lit("earlier phase"))
+    plan = classify.classify(docs, "{text_chunk}", paragraphs=earlier)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("earlier phase") < plan.index("MapInArrow")
