@@ -55,3 +55,24 @@ def test_rows_give_the_chunks_of_the_walk(spark):
         assert size != "medium" or sorted(map(tuple, chunk_documents(docs, size, preserve, overlap).collect())) == want
     by_letters = chunk_documents(docs, "medium", count=len)
     assert sorted(map(tuple, by_letters.collect())) == sorted((d, k, *c) for d, t in rows for k, c in enumerate(chunk_text(t, "medium", count=len)))
+
+
+def test_rows_of_many_sentences_and_null_ids(spark):
+    """A text of many sentences, a row without an id and one repeated give the chunks of the walk."""
+    from palimpsest.operators.chunking import chunk_documents
+
+    texts = [(1, " ".join(f"w{k} x." for k in range(20_000))), (None, "one two three. " * 400), (2, "\u3000" + "a b. " * 700), (2, "\u3000" + "a b. " * 700)]
+    got = chunk_documents(spark.createDataFrame(texts, "doc_id long, text string"), "medium", overlap=100, in_rows=True)
+    want = [(d, k, *c) for d, t in texts for k, c in enumerate(chunk_text(t, "medium", overlap=100))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_white_space_and_words_are_all_characters():
+    """Each character is white space or of a word, as Python splits a text."""
+    import re
+
+    from palimpsest.operators.chunking import _BLANKS, _OTHERS, _TRIMMED
+
+    blank, other = re.compile(f"[{_BLANKS}]"), re.compile(f"[{_OTHERS}]".replace(r"\x{10ffff}", r"\U0010ffff"))
+    for c in map(chr, range(0x110000)):
+        assert bool(blank.match(c)) == c.isspace() == (c in _TRIMMED) != bool(other.match(c))
