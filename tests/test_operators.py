@@ -147,3 +147,35 @@ def test_an_earlier_phase_comes_first(spark):
     earlier = entities.detect(docs).withColumn("reason", F.lit("earlier phase"))
     plan = classify.classify(docs, "{text_chunk}", paragraphs=earlier)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("earlier phase") < plan.index("MapInArrow")
+
+
+def test_quick_patterns_match_as_the_catalogue_does(spark):
+    """Random texts of what patterns are made of: each pattern behind its gate finds what it finds as it is written."""
+    import random
+
+    from palimpsest.functions.catalog import PATTERNS
+
+    draw = random.Random(7)
+    bits = ["1", "23", "4,5", "678", ".", "..", ",", " ", "  ", " ", "%", "percent", "PerCent", "per cent", "percen", "USD", "uſd", "usD", "EUR", "euros", "pound", "pounds", "dollar", "p.a.", "per annum", "P.A", "annually", "/month", "per month",
+            "£", "$", "€", "¥", "m", "Million", "k", "K", "Mr", "Mr.", "Mrs", "ſr", "Miss", "Dr", " Al", " Bo", "January", "ſeptember", "May", "Sept", "Jan.", "st", "th", " of ", "Q1", "h2", "Q7", "1995", "2024", "/", "-", "+", "(", ")", "a", "é", "_", "x@y.de", "@", "b.c@d", ".com", "|", "٣", "٣٤", "\n", "ı", "İ",
+            "1/23/95", "1995-4-05", "3rd of May 1995", "ſeptember 4, 1995", "Dec. 25 2024", "+44 (20) 555-1234", "Mr Al Bo", "mıss İda Bo"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 40))) for _ in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    plain = F.array(*[F.regexp_extract_all("text", F.lit(entities.FLAGS + x), F.lit(0)) for _, _, x in PATTERNS])
+    quick = F.array(*[F.transform(entities.hits_in(F.col("text"), [x]), lambda h: h["original"]) for x in PATTERNS])
+    rows = docs.select("text", plain.alias("plain"), quick.alias("quick")).collect()
+    assert [r for r in rows if r.plain != r.quick][:1] == []
+    assert all(any(r.plain[k] for r in rows) for k in range(len(PATTERNS)))
+    # Gates name letters of ASCII: no other character is one of theirs, case ignored, but the long s.
+    beyond = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    assert spark.createDataFrame([(beyond,)], "t string").select(F.regexp_extract_all("t", F.lit("(?iU)[percntaumohusdglby]"), F.lit(0))).first()[0] == ["ſ"]
+
+
+def test_long_numbers_are_read_once(spark):
+    """A number of thousands of digits is no work of its length cubed."""
+    import time
+
+    docs = spark.createDataFrame([(1, "7" * 4000 + " percent per cent month USD 5 %")], "doc_id long, text string")
+    began = time.time()
+    found = {r.original for r in entities.detect(docs).collect() if r.category == "PERCENTAGE"}
+    assert found == {"5 %", "7" * 4000 + " percent"} and time.time() - began < 60
