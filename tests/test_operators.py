@@ -179,3 +179,16 @@ def test_long_numbers_are_read_once(spark):
     began = time.time()
     found = {r.original for r in entities.detect(docs).collect() if r.category == "PERCENTAGE"}
     assert found == {"5 %", "7" * 4000 + " percent"} and time.time() - began < 60
+
+
+def test_strip_takes_what_unicode_calls_white(spark):
+    """Trimmed ends are those of the pattern for white space; a text of blanks with an end is no work of its length squared."""
+    import time
+
+    ends = [chr(c) for c in (*range(0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [None, "", " ", "\r\n", "a 　b", *[x + " a" + y + "b\n" + x for x in ends for y in ends], *[f"{x}a{x} " for x in ends]]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert docs.filter(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    began = time.time()
+    assert spark.createDataFrame([("a" + " " * 200_000 + "b ",)], "t string").select(F.length(T.strip(F.col("t")))).first()[0] == 200_002
+    assert time.time() - began < 30
