@@ -16,26 +16,33 @@ _CHUNK_STRIDE = 1_000_000_000_000
 _HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,confidence:double,reason:string>"
 
 
-def chunk_detections(chunks: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS, **calls) -> DataFrame:
-    """The model's grounded detections of each chunk; pattern hits of a chunk whose call fails, or whose reply is an error or spoilt.
-
-    Equal chunks are sent once, when this is called; ``calls`` are parameters of ``lanes.answered``. Both cases are one
-    projection of the reply.
-    """
+def _chunk_hits(chunks: DataFrame, template: str, client: model.Client, patterns, calls: dict) -> DataFrame:
+    """(doc_id, chunk_index, text, hits): of each chunk the reply's detections, or its pattern hits where there is no good reply."""
     prompted = lambda d: d.withColumn("prompt", model.prompt_for_chunk(template, F.col("text")))
     # What is asked and what is answered are two readings of the chunks, so they are stored.
     answers = model.ask(prompted(chunks), client) if client is model.silent else lanes.answered(prompted(stored(chunks, "chunks")), client, **calls)
-    is_error = F.coalesce(F.try_variant_get(F.try_parse_json(model.reply_json(F.col("reply"))), "$.error", "variant").isNotNull(), F.lit(False))
-    replaced = F.when(F.col("error").isNull() & ~is_error & ~model.spoilt_reply(F.col("reply"), F.col("text")), model.replacements_in(F.col("reply")))
+    answers = model.good_replacements(answers, "_replaced")
     hits = F.filter(entities.hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
     by_pattern = F.transform(hits, lambda h: F.struct(h["seq"].cast("long"), h["original"], h["placeholder"], h["category"], F.lit(entities.PATTERN_CONFIDENCE), F.lit(entities.PATTERN_REASON)).cast(_HIT))
     by_model = F.transform(
-        replaced,
+        "_replaced",
         lambda r, i: F.struct(i.cast("long"), r["original"], r["placeholder"], F.coalesce(r["category"], F.lit("UNKNOWN")), F.coalesce(r["confidence"], F.lit(0.9)), F.coalesce(r["reason"], F.lit(""))).cast(_HIT),
     )
-    found = answers.withColumn("_replaced", replaced.isNotNull()).select("doc_id", "chunk_index", "text", F.explode(F.when(F.col("_replaced"), by_model).otherwise(by_pattern)).alias("hit"))
-    seq = (F.col("chunk_index").cast("long") + 1) * _CHUNK_STRIDE + F.col("hit.seq")
-    found = found.select("doc_id", "chunk_index", "text", seq.alias("seq"), "hit.original", "hit.placeholder", "hit.category", "hit.confidence", "hit.reason")
+    return answers.select("doc_id", "chunk_index", "text", F.when(F.col("_replaced").isNotNull(), by_model).otherwise(by_pattern).alias("hits"))
+
+
+def _chunk_seq(hit_seq):
+    return (F.col("chunk_index").cast("long") + 1) * _CHUNK_STRIDE + hit_seq
+
+
+def chunk_detections(chunks: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS, **calls) -> DataFrame:
+    """The model's grounded detections of each chunk; pattern hits of a chunk whose call fails, or whose reply is an error or spoilt.
+
+    Equal chunks are sent once, when this is called; ``calls`` are parameters of ``lanes.answered``. Both cases are one
+    projection of the reply.
+    """
+    found = _chunk_hits(chunks, template, client, patterns, calls).select("doc_id", "chunk_index", "text", F.explode("hits").alias("hit"))
+    found = found.select("doc_id", "chunk_index", "text", _chunk_seq(F.col("hit.seq")).alias("seq"), "hit.original", "hit.placeholder", "hit.category", "hit.confidence", "hit.reason")
     return entities.grounded(found).drop("text")
 
 
@@ -44,13 +51,15 @@ def classify(docs: DataFrame, template: str, client: model.Client = model.silent
 
     ``paragraphs``, detections of an earlier phase in the same columns, come first of all.
     """
-    names = ("doc_id", "seq", "original", "placeholder", "category", "confidence", "reason")
-    by_chunk = chunk_detections(chunking.chunk_documents(docs, size), template, client, patterns, **calls)
-    found = entities.detect(docs, patterns).select(*names).unionByName(by_chunk.select(*names))
+    by_chunk = _chunk_hits(chunking.chunk_documents(docs, size), template, client, patterns, calls)
+    by_chunk = by_chunk.withColumn("hits", entities.grounded_hits(F.col("hits"), F.col("text")))
+    moved = F.transform("hits", lambda h: h.withField("seq", _chunk_seq(h["seq"])))
+    found = entities.hit_lists(docs, patterns).unionByName(by_chunk.select("doc_id", moved.alias("hits")))
     if paragraphs is not None:
         # Their tasks run first, so a failure there ends the run before the rest is worked.
-        found = paragraphs.withColumn("seq", F.col("seq") - _CHUNK_STRIDE).select(*names).unionByName(found)
-    return entities.reconcile(found)
+        row = F.struct((F.col("seq").cast("long") - _CHUNK_STRIDE).alias("seq"), "original", "placeholder", "category", "confidence", "reason")
+        found = paragraphs.select("doc_id", F.array(row).alias("hits")).unionByName(found)
+    return entities.reconcile_lists(found)
 
 
 def classify_or_patterns(docs: DataFrame, template: str, client: model.Client = model.silent, patterns=PATTERNS, **parameters) -> DataFrame:

@@ -105,6 +105,16 @@ def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
     )
 
 
+def hit_lists(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
+    """``detect`` with the hits of a row as one list (doc_id, hits).
+
+    Lists are not tested for being empty: such a test would be made where they are, and run all patterns again.
+    """
+    kept = F.filter(hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
+    told = lambda h: F.struct(h["seq"].cast("long").alias("seq"), h["original"], h["placeholder"], h["category"], F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
+    return docs.select("doc_id", F.transform(kept, told).alias("hits"))
+
+
 def grounded(replies: DataFrame) -> DataFrame:
     """Model detections (with the chunk's text) whose original stands in the chunk, with their position there."""
     return (
@@ -114,6 +124,13 @@ def grounded(replies: DataFrame) -> DataFrame:
     )
 
 
+def grounded_hits(hits: Column, text: Column) -> Column:
+    """``grounded`` of a list of (seq, original, placeholder, category, confidence, reason) from one text, without positions."""
+    kept = F.filter(hits, lambda h: (F.coalesce(h["original"], F.lit("")) != "") & F.contains(text, h["original"]))
+    placeholder = lambda h: normal_placeholder(F.coalesce(h["placeholder"], F.lit("{{UNKNOWN}}")), F.coalesce(h["category"], F.lit("UNKNOWN")))
+    return F.transform(kept, lambda h: F.struct(h["seq"], h["original"], placeholder(h).alias("placeholder"), h["category"], h["confidence"], h["reason"]))
+
+
 def best_of_each(detections: DataFrame) -> DataFrame:
     """Of detections equal but for case and outer white space the most confident, the first of equal ones.
 
@@ -150,13 +167,15 @@ def _maximal_in_rows(detections: DataFrame) -> DataFrame:
     The distinct texts of a document are joined by a separator; a text that is part of another one occurs there
     more than once. So each detection is read once and compared with one string, and no row meets another.
     """
-    rest = [c for c in detections.columns if c != "doc_id"]
-    rows = detections.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-    joined = F.concat(F.lit("\x00"), F.array_join(F.array_distinct(F.transform("_rows", lambda r: r["original"])), "\x00"), F.lit("\x00"))
-    once = lambda r: F.length("_all") - F.length(F.replace(F.col("_all"), r["original"], F.lit(""))) <= F.length(r["original"])
-    kept = rows.withColumn("_all", joined).select("doc_id", F.filter("_rows", once).alias("_rows"))
     # The longest text always stays, so no list is empty; the outer form spares a test of that, which would filter twice.
-    return kept.select("doc_id", F.explode_outer("_rows").alias("_row")).select("doc_id", "_row.*")
+    return _maximal_lists(_listed(detections)).select("doc_id", F.explode_outer("hits").alias("_row")).select("doc_id", "_row.*")
+
+
+def _maximal_lists(lists: DataFrame) -> DataFrame:
+    """Lists (doc_id, hits) without those that are part of another of their list."""
+    joined = F.concat(F.lit("\x00"), F.array_join(F.array_distinct(F.transform("hits", lambda r: r["original"])), "\x00"), F.lit("\x00"))
+    once = lambda r: F.length("_all") - F.length(F.replace(F.col("_all"), r["original"], F.lit(""))) <= F.length(r["original"])
+    return lists.withColumn("_all", joined).select("doc_id", F.filter("hits", once).alias("hits"))
 
 
 #: Characters of a gram by which texts meet.
@@ -193,18 +212,63 @@ def longest_first(detections: DataFrame) -> DataFrame:
     return detections.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.length("original")), "group_seq")))
 
 
+def _listed(detections: DataFrame) -> DataFrame:
+    rest = [c for c in detections.columns if c != "doc_id"]
+    return detections.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("hits"))
+
+
+def _first_of_each(sorted_hits: str) -> Column:
+    """Of a sorted list the first of all with one key."""
+    return F.filter(sorted_hits, lambda x, i: (i == 0) | ~F.get(F.col(sorted_hits), i - 1)["k"].eqNullSafe(x["k"]))
+
+
+def distinct_maximal_lists(lists: DataFrame) -> DataFrame:
+    """``distinct_maximal`` with a row (doc_id, hits) for each document, its detections in their order (``longest_first``).
+
+    A document's hits are of one row when they are found, so they are compared there: as lists sorted by key, best first, and
+    by key, earliest first, whose heads pair up. No detection is a row of its own on the way.
+    """
+    rest = [f.name for f in lists.schema["hits"].dataType.elementType.fields]
+    key = lambda r: F.lower(strip(r["original"])).alias("k")
+    rows = lists.withColumn("_best", F.sort_array(F.transform("hits", lambda r: F.struct(key(r), r["confidence"].alias("c"), (-r["seq"]).alias("s"), r.alias("r"))), asc=False))
+    rows = rows.withColumn("_early", F.sort_array(F.transform("_best", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"))), asc=False))
+    best = F.zip_with(_first_of_each("_best"), _first_of_each("_early"), lambda x, y: F.struct((-F.length(x["r"]["original"])).alias("n"), (-y["s"]).alias("group_seq"), *[x["r"][c].alias(c) for c in rest]))
+    return _maximal_lists(rows.select("doc_id", best.alias("hits"))).withColumn("hits", F.sort_array("hits"))
+
+
+def _grouped(lists: DataFrame, dealt: bool) -> DataFrame:
+    """Lists with one row for each document."""
+    return (lists if dealt else lists.repartition("doc_id")).groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
+def _exploded(lists: DataFrame) -> DataFrame:
+    # The outer form spares a test for empty lists before, which would make the lists twice.
+    rows = lists.select("doc_id", F.posexplode_outer("hits").alias("_at", "_hit")).filter("_hit is not null")
+    return rows.select("doc_id", "_hit.*", (F.col("_at") + 1).alias("ord")).drop("n")
+
+
 def distinct_maximal(detections: DataFrame, dealt: bool = False) -> DataFrame:
     """The best of each group of equal detections, without those that are part of another.
 
     Detections are dealt by document once, which both steps need and a later order by document too; ``dealt`` says
     that they lie so already.
     """
-    return maximal(best_of_each(detections if dealt else detections.repartition("doc_id")))
+    return reconcile(detections, dealt).drop("ord")
 
 
 def reconcile(detections: DataFrame, dealt: bool = False) -> DataFrame:
     """The detections that a document's substitution uses, in their order."""
-    return longest_first(distinct_maximal(detections, dealt))
+    return _exploded(distinct_maximal_lists(_listed(detections if dealt else detections.repartition("doc_id"))))
+
+
+def reconciled_lists(lists: DataFrame, dealt: bool = False) -> DataFrame:
+    """``reconcile`` of ``hit_lists``, still with a list for each document."""
+    return distinct_maximal_lists(_grouped(lists, dealt))
+
+
+def reconcile_lists(lists: DataFrame, dealt: bool = False) -> DataFrame:
+    """``reconcile`` of ``hit_lists``."""
+    return _exploded(reconciled_lists(lists, dealt))
 
 
 def of_category(detections: DataFrame, *categories: str) -> DataFrame:

@@ -136,3 +136,33 @@ def test_a_large_document_meets_in_a_join(spark):
     many = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("number "), F.col("id").cast("string"), F.lit(" of many")).alias("original"))
     spread = entities.inside_others(many.unionByName(many.limit(50).select("doc_id", F.substring("original", 1, 9).alias("original"))))
     assert 10 <= spread.count() <= 50
+
+
+def test_each_wave_reads_only_its_prompts(spark):
+    """Waves lie in folders of their own that hold each prompt once, so many waves read no more than one."""
+    import glob
+
+    from palimpsest.sources.shared import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark)}/waves-*"))
+    prompts = spark.createDataFrame([(f"p{k % 50}",) for k in range(100)], "prompt string")
+    got = lanes.answered(prompts, str.upper, lanes=2, wave=7).collect()
+    assert sorted((r.prompt, r.reply) for r in got) == sorted((f"p{k % 50}", f"P{k % 50}") for k in range(100))
+    (made,) = set(glob.glob(f"{shared_dir(spark)}/waves-*")) - before
+    assert len(glob.glob(f"{made}/turn=*")) > 1 and spark.read.parquet(made).count() == 50
+
+
+def test_quick_calls_need_no_thread():
+    import threading
+
+    here, seen = threading.get_ident(), []
+
+    def call(k: int) -> int:
+        seen.append(threading.get_ident() == here)
+        if k % 100 == 50:
+            raise KeyError(k)
+        return -k
+
+    got = list(lanes.in_order(range(1000), call, 3))
+    assert [(i, r) for i, r, e in got] == [(k, None if k % 100 == 50 else -k) for k in range(1000)] and sum(isinstance(e, KeyError) for *_, e in got) == 10
+    assert sum(seen) > 500

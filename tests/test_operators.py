@@ -192,3 +192,19 @@ def test_strip_takes_what_unicode_calls_white(spark):
     began = time.time()
     assert spark.createDataFrame([("a" + " " * 200_000 + "b ",)], "t string").select(F.length(T.strip(F.col("t")))).first()[0] == 200_002
     assert time.time() - began < 30
+
+
+def test_lists_are_reconciled_as_rows_are(spark):
+    """Random detections: lists sorted in their row give what grouping, containment and ordering of rows give, in one aggregation."""
+    import random
+
+    draw = random.Random(11)
+    rows = [(d, k, draw.choice(["", " "]) + "".join(draw.choices("aAb c", k=draw.choice([1, 2, 3, 5]))) + draw.choice(["", "\t"]), f"{{{{P{k}}}}}", "C", draw.choice([0.5, 0.8, 0.9]), "") for d in range(60) for k in range(25)]
+    names = "doc_id long, seq long, original string, placeholder string, category string, confidence double, reason string"
+    d = spark.createDataFrame(rows, names).filter("original <> ''")
+    get = lambda x: sorted(map(tuple, x.select("doc_id", "ord", "original", "placeholder", "confidence", "seq", "group_seq").collect()))
+    want = get(entities.longest_first(entities.maximal(entities.best_of_each(d))))
+    lists = d.select("doc_id", F.array(F.struct(*[c for c in d.columns if c != "doc_id"])).alias("hits"))
+    assert get(entities.reconcile(d)) == want == get(entities.reconcile_lists(lists)) and len(want) > 200
+    plan = entities.reconcile_lists(lists)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Window" not in plan
