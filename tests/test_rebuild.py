@@ -70,3 +70,29 @@ def test_nothing_of_a_document_is_broadcast(spark):
         made = rebuild_documents(p, r, direct=direct)
         assert sorted((x.doc_id, x.text, x.applied) for x in made.collect()) == [(1, "the {{B}} 7", 1), (2, "none", 0)]
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_made_once(spark):
+    """What paragraphs and replacements are made of is stored as one row a document: the fold's plan joins and groups nothing."""
+    from palimpsest.operators.rebuild import rebuild_documents
+
+    p = spark.createDataFrame([(1, "body", 0, 0, ["Ann ", "Lee"]), (1, "body", 0, 1, ["x"]), (2, "body", 0, 0, ["Bo"])], "doc_id long, part string, grp int, seq int, runs array<string>")
+    lists = spark.createDataFrame([(1, [(1, "Ann Lee", "{{N}}"), (2, "Zoe", "{{Z}}")])], "doc_id long, given array<struct<ord:int,original:string,placeholder:string>>")
+    made = rebuild_documents(p, lists)
+    assert sorted((r.doc_id, r.seq, r.text, r.applied, r.failed) for r in made.collect()) == [(1, 0, "{{N}}", 1, ["Zoe"]), (1, 1, "x", 1, ["Zoe"]), (2, 0, "Bo", 0, [])]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_words_meet_white_space_as_the_pattern_says():
+    import random
+    import re
+
+    from palimpsest.operators.rebuild import _spaced
+
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choices(["a", "b", " ", "\t", "\x1c", "\xa0", "ab"], k=draw.randint(0, 12)))
+        words = ["".join(draw.choices("ab", k=draw.randint(1, 2))) for _ in range(draw.randint(1, 3))]
+        m = re.search(r"\s*".join(map(re.escape, words)), text)
+        assert _spaced(words, text) == (m.span() if m else None)
