@@ -141,3 +141,59 @@ def test_contexts_are_read_once(spark):
     made = files.smart_fill(own, sources, "{placeholder_name}\n{source_text}", extracting)
     # Filling, and the replies' contents; no reading of contexts.
     assert made.first().details == {"A": "A: text"} and made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_parts_that_do_not_change_are_taken_over_as_stored():
+    """A stored picture stays stored, a damaged one is still an error, and the file is one that zipfile reads."""
+    import io
+    import zipfile
+
+    import pytest
+
+    from palimpsest.sources import docx
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(docx.made([["Hello ", "Ann"]], [["x"]], "Top"))) as z, zipfile.ZipFile(out, "w") as to:
+        for name in z.namelist():
+            to.writestr(name, z.read(name), zipfile.ZIP_BZIP2 if name == "_rels/.rels" else zipfile.ZIP_DEFLATED)
+        to.writestr("word/media/bild é.png", b"picture " * 50, zipfile.ZIP_STORED)
+    content = out.getvalue()
+    plain = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(plain, "w", zipfile.ZIP_DEFLATED) as to:
+        for item in z.infolist():
+            if item.compress_type != zipfile.ZIP_BZIP2:
+                to.writestr(item, z.read(item))
+
+    def changed(content: bytes) -> zipfile.ZipFile:
+        d = docx.Document(content)
+        return zipfile.ZipFile(io.BytesIO(d.written([["Hello ", "Zoe"] if runs == ["Hello ", "Ann"] else runs for *_, runs in d.paragraphs])))
+
+    for given in (content, plain.getvalue()):
+        made, was = changed(given), zipfile.ZipFile(io.BytesIO(given))
+        assert made.testzip() is None and made.namelist() == was.namelist()
+        assert [n for n in made.namelist() if made.read(n) != was.read(n)] == ["word/document.xml"] and b"Zoe" in made.read("word/document.xml")
+    assert made.getinfo("word/media/bild é.png").compress_type == zipfile.ZIP_STORED
+    with pytest.raises(zipfile.BadZipFile):
+        changed(plain.getvalue().replace(b"picture picture", b"picture_picture", 1))
+
+
+def test_links_are_those_of_the_parsed_sections():
+    import io
+    import zipfile
+
+    from palimpsest.sources import docx
+
+    w, r = docx._W[1:-1], docx._R[1:-1]
+    link = lambda kind, k, sort="": f'<w:{kind}Reference {sort} r:id="{k}"/>'
+    first = "<w:p><w:pPr><w:sectPr>" + link("footer", "f1") + link("header", "h2", 'w:type="first"') + "<w:sectPrChange><w:sectPr>" + link("header", "h3") + "</w:sectPr></w:sectPrChange>" + link("header", "h1") + "</w:sectPr></w:pPr></w:p>"
+    xml = f'<w:document xmlns:w="{w}" xmlns:r="{r}"><w:body>{first}<w:sectPr>{link("header", "h1")}{link("footer", "none")}</w:sectPr></w:body></w:document>'.encode()
+    rels = "<R>" + "".join(f'<x Id="{k}" Target="{k}.xml"/>' for k in ("f1", "h1", "h2", "h3")) + "</R>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/_rels/document.xml.rels", rels)
+        z.writestr("word/document.xml", xml)
+        for k in ("f1", "h1", "h2", "h3"):
+            z.writestr(f"word/{k}.xml", "<a/>")
+    z = zipfile.ZipFile(io.BytesIO(out.getvalue()))
+    want = [("header", "word/h1.xml"), ("footer", "word/f1.xml"), ("header", "word/h3.xml")]
+    assert docx.linked_parts(z) == want == docx.linked_parts(z, links=docx._Edit(xml, "body").links)
