@@ -28,13 +28,14 @@ def _gate(text: Column, category: str, pattern: str) -> Column | None:
     mark = "@" if category == "EMAIL" else "%" if pattern.endswith("%") else pattern.lstrip("\\")[0]
     if mark in "@%$£€":
         return F.contains(text, F.lit(mark))
-    return F.rlike(text, F.lit(r"\p{Nd}")) if category in ("DATE", "PERCENTAGE", "PHONE") else None
+    return F.rlike(text, F.lit(r"\p{IsDigit}")) if category in ("DATE", "PERCENTAGE", "PHONE") else None
 
 
 _CATALOGUE = {(c, x) for c, _, x in PATTERNS}
-#: Letters that stand in every hit of the patterns with such an end. Only ſ is another form of one of them.
+#: Letters that stand in every hit of the patterns with such an end. Only ſ is another form of one of them. What one of several begins
+#: with is tested first, as most places are passed over by that.
 _NEEDED = {
-    "percent": "(?i)percent", r"per\s*cent": "(?i)cent", "|per month)": r"(?i)\.a\.|annu|month", "|euros?)": "(?i)u[sſ]d|gbp|eur|pound|dollar",
+    "percent": "(?i)percent", r"per\s*cent": "(?i)cent", "|per month)": r"(?i)(?=[.am])(?:\.a\.|annu|month)", "|euros?)": "(?i)(?=[ugepd])(?:u[sſ]d|gbp|eur|pound|dollar)",
 }
 
 

@@ -208,3 +208,15 @@ def test_lists_are_reconciled_as_rows_are(spark):
     assert get(entities.reconcile(d)) == want == get(entities.reconcile_lists(lists)) and len(want) > 200
     plan = entities.reconcile_lists(lists)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Window" not in plan
+
+
+def test_documents_are_dealt_before_detection(spark):
+    """One row group of documents is detected in as many tasks as there are, and the digit gate knows every digit."""
+    import __spark_entry__
+
+    made = __spark_entry__.queries()["all_entity_counts"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("regexp_extract_all") < plan.index("RepartitionByExpression")
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    two = spark.createDataFrame([(every,)], "t string").select(*[F.regexp_extract_all("t", F.lit(x), F.lit(0)).alias(n) for n, x in (("a", r"\p{Nd}"), ("b", r"\p{IsDigit}"), ("c", r"(?iU)\d"))]).first()
+    assert two.a == two.b == two.c and len(two.a) > 500
