@@ -29,6 +29,11 @@ def estimate(text: str) -> int:
     return int(len(text.split()) * 1.3)
 
 
+def always_whole(size: str = "max") -> int:
+    """Characters up to which a text is one chunk by the estimate whatever its words are, as no two of them touch."""
+    return 2 * int((CHUNK_TOKENS.get(size, CHUNK_TOKENS["max"]) - PROMPT_TOKENS) / 1.3) - 1
+
+
 class _Packer:
     """Collects pieces into chunks; positions advance by each piece's length and one."""
 

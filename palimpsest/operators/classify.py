@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
 from palimpsest.operators import chunking, entities, lanes, model
+from palimpsest.sources.batches import slices
 from palimpsest.sources.shared import stored
 
 #: Detections of a chunk come after those of the whole document, chunk after chunk.
 _CHUNK_STRIDE = 1_000_000_000_000
-_HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,confidence:double,reason:string>"
 
 
 def _chunk_hits(chunks: DataFrame, template: str, client: model.Client, patterns, calls: dict) -> DataFrame:
@@ -21,14 +22,53 @@ def _chunk_hits(chunks: DataFrame, template: str, client: model.Client, patterns
     prompted = lambda d: d.withColumn("prompt", model.prompt_for_chunk(template, F.col("text")))
     # What is asked and what is answered are two readings of the chunks, so they are stored.
     answers = model.ask(prompted(chunks), client) if client is model.silent else lanes.answered(prompted(stored(chunks, "chunks")), client, **calls)
+    return _answer_hits(answers, patterns).select("doc_id", "chunk_index", "text", "hits")
+
+
+def _answer_hits(answers: DataFrame, patterns) -> DataFrame:
+    """Answers (text, reply, error, …) with their ``hits``."""
     answers = model.good_replacements(answers, "_replaced")
-    hits = F.filter(entities.hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
-    by_pattern = F.transform(hits, lambda h: F.struct(h["seq"].cast("long"), h["original"], h["placeholder"], h["category"], F.lit(entities.PATTERN_CONFIDENCE), F.lit(entities.PATTERN_REASON)).cast(_HIT))
+    by_pattern = entities.hit_list(F.col("text"), patterns)
     by_model = F.transform(
         "_replaced",
-        lambda r, i: F.struct(i.cast("long"), r["original"], r["placeholder"], F.coalesce(r["category"], F.lit("UNKNOWN")), F.coalesce(r["confidence"], F.lit(0.9)), F.coalesce(r["reason"], F.lit(""))).cast(_HIT),
+        lambda r, i: F.struct(i.cast("long"), r["original"], r["placeholder"], F.coalesce(r["category"], F.lit("UNKNOWN")), F.coalesce(r["confidence"], F.lit(0.9)), F.coalesce(r["reason"], F.lit(""))).cast(entities.HIT),
     )
-    return answers.select("doc_id", "chunk_index", "text", F.when(F.col("_replaced").isNotNull(), by_model).otherwise(by_pattern).alias("hits"))
+    return answers.withColumn("hits", F.when(F.col("_replaced").isNotNull(), by_model).otherwise(by_pattern)).drop("_replaced")
+
+
+def _asked_where_they_lie(docs: DataFrame, template: str, client: model.Client, size: str) -> DataFrame:
+    """(doc_id, chunk_index, whole, text, reply, error): the parts of each document, its chunks asked where they are made.
+
+    A part that is ``whole`` is the text of its document; one without a chunk_index is no chunk. So a document of one chunk is one row.
+    """
+    call, short = model.chunk_caller(template, client), chunking.always_whole(size)
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string())
+
+    def parts(batch: pa.RecordBatch) -> list[list]:
+        ids, index, whole, own = [], [], [], []
+        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            if t is None:
+                continue
+            more, first = [], 0
+            if len(t) > short or t.isspace() or not t:
+                more = [c[0] for c in chunking.chunk_text(t, size)]
+                more, first = ([], 0) if more == [t] else (more, None)
+            ids.append(d)
+            index.append(first)
+            whole.append(True)
+            own.append(t)
+            if more:
+                ids += [d] * len(more)
+                index += range(len(more))
+                whole += [False] * len(more)
+                own += more
+        return [ids, index, whole, own, *call([None if k is None else t for k, t in zip(index, own)])]
+
+    def run(batches):
+        for b in slices(batches, 256):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts(b), kinds)], names=["doc_id", "chunk_index", "whole", "text", "reply", "error"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index int, whole boolean, text string, reply string, error string")
 
 
 def _chunk_seq(hit_seq):
@@ -49,12 +89,19 @@ def chunk_detections(chunks: DataFrame, template: str, client: model.Client = mo
 def classify(docs: DataFrame, template: str, client: model.Client = model.silent, size: str = "max", patterns=PATTERNS, paragraphs: DataFrame | None = None, **calls) -> DataFrame:
     """Detections of patterns in whole documents and of the model in their chunks, reconciled.
 
-    ``paragraphs``, detections of an earlier phase in the same columns, come first of all.
+    ``paragraphs``, detections of an earlier phase in the same columns, come first of all. Documents of a client that needs no lanes are
+    read once: patterns run where its replies are.
     """
-    by_chunk = _chunk_hits(chunking.chunk_documents(docs, size), template, client, patterns, calls)
+    in_place = client is model.silent
+    by_chunk = _answer_hits(_asked_where_they_lie(docs, template, client, size), patterns) if in_place else _chunk_hits(chunking.chunk_documents(docs, size), template, client, patterns, calls)
     by_chunk = by_chunk.withColumn("hits", entities.grounded_hits(F.col("hits"), F.col("text")))
     moved = F.transform("hits", lambda h: h.withField("seq", _chunk_seq(h["seq"])))
-    found = entities.hit_lists(docs, patterns).unionByName(by_chunk.select("doc_id", moved.alias("hits")))
+    if in_place:
+        none = F.array().cast(f"array<{entities.HIT}>")
+        by_document = F.when(F.col("whole"), entities.hit_list(F.col("text"), patterns)).otherwise(none)
+        found = by_chunk.select("doc_id", F.concat(by_document, F.when(F.col("chunk_index").isNull(), none).otherwise(moved)).alias("hits"))
+    else:
+        found = entities.hit_lists(docs, patterns).unionByName(by_chunk.select("doc_id", moved.alias("hits")))
     if paragraphs is not None:
         # Their tasks run first, so a failure there ends the run before the rest is worked.
         row = F.struct((F.col("seq").cast("long") - _CHUNK_STRIDE).alias("seq"), "original", "placeholder", "category", "confidence", "reason")

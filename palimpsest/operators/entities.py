@@ -14,7 +14,8 @@ from palimpsest.sources.shared import stored
 #: Unicode classes, case ignored: as the patterns are meant.
 FLAGS = "(?iU)"
 _STRIDE = 1_000_000_000
-_HITS = "array<struct<seq:int,original:string,placeholder:string,category:string>>"
+#: A detection in the list of its document.
+HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,confidence:double,reason:string>"
 PATTERN_CONFIDENCE, PATTERN_REASON = 0.8, "Detected by pattern matching"
 
 
@@ -35,7 +36,7 @@ _CATALOGUE = {(c, x) for c, _, x in PATTERNS}
 #: Letters that stand in every hit of the patterns with such an end. Only ſ is another form of one of them. What one of several begins
 #: with is tested first, as most places are passed over by that.
 _NEEDED = {
-    "percent": "(?i)percent", r"per\s*cent": "(?i)cent", "|per month)": r"(?i)(?=[.am])(?:\.a\.|annu|month)", "|euros?)": "(?i)(?=[ugepd])(?:u[sſ]d|gbp|eur|pound|dollar)",
+    "percent": "[pP][eE][rR][cC][eE][nN][tT]", r"per\s*cent": "[cC][eE][nN][tT]", "|per month)": r"(?i)(?=[.am])(?:\.a\.|annu|month)", "|euros?)": "(?i)(?=[ugepd])(?:u[sſ]d|gbp|eur|pound|dollar)",
 }
 
 
@@ -75,20 +76,21 @@ def usable_patterns(spark: SparkSession, patterns=PATTERNS) -> tuple[list[tuple[
 
 
 def hits_in(text: Column, patterns=PATTERNS) -> Column:
-    """Every hit of every pattern in a text, as a list of (seq, original, placeholder, category).
+    """Every hit of every pattern in a text, as a list of ``HIT``.
 
     A pattern of the catalogue runs, in its quick form, only over texts that hold the mark, digit or letters it needs. ``patterns`` are
     (category, placeholder, pattern), or (place, category, placeholder, pattern) where some of a list are left out.
     """
     placed = [x if len(x) == 4 else (k, *x) for k, x in enumerate(patterns)]
     if not placed:
-        return F.array().cast(_HITS)
+        return F.array().cast(f"array<{HIT}>")
 
     def hits(k: int, category: str, placeholder: str, pattern: str):
         found = F.regexp_extract_all(text, F.lit(FLAGS + _QUICK.get(pattern, pattern)), F.lit(0))
         if (gate := _gate(text, category, pattern)) is not None:
             found = F.when(gate, found).otherwise(F.array().cast("array<string>"))
-        return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE) + i).alias("seq"), m.alias("original"), F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category")))
+        told = (F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category"), F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
+        return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE).cast("long") + i).alias("seq"), m.alias("original"), *told))
 
     return F.concat(*[hits(*x) for x in placed])
 
@@ -101,7 +103,7 @@ def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
     """
     return (
         docs.select("doc_id", F.explode(hits_in(F.col("text"), patterns)).alias("hit"))
-        .select("doc_id", "hit.*", F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
+        .select("doc_id", "hit.*")
         .filter((F.col("original") != "") & ~F.startswith("original", F.lit("{{")))
     )
 
@@ -111,9 +113,12 @@ def hit_lists(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
 
     Lists are not tested for being empty: such a test would be made where they are, and run all patterns again.
     """
-    kept = F.filter(hits_in(F.col("text"), patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
-    told = lambda h: F.struct(h["seq"].cast("long").alias("seq"), h["original"], h["placeholder"], h["category"], F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
-    return docs.select("doc_id", F.transform(kept, told).alias("hits"))
+    return docs.select("doc_id", hit_list(F.col("text"), patterns).alias("hits"))
+
+
+def hit_list(text: Column, patterns=PATTERNS) -> Column:
+    """What ``detect`` finds in a text, as a list."""
+    return F.filter(hits_in(text, patterns), lambda h: (h["original"] != "") & ~F.startswith(h["original"], F.lit("{{")))
 
 
 def grounded(replies: DataFrame) -> DataFrame:
@@ -227,19 +232,26 @@ def distinct_maximal_lists(lists: DataFrame) -> DataFrame:
     """``distinct_maximal`` with a row (doc_id, hits) for each document, its detections in their order (``longest_first``).
 
     A document's hits are of one row when they are found, so they are compared there: as lists sorted by key, best first, and
-    by key, earliest first, whose heads pair up. No detection is a row of its own on the way.
+    by key, earliest first, whose heads pair up. No detection is a row of its own on the way. Lists without equal keys are not sorted by them.
     """
     rest = [f.name for f in lists.schema["hits"].dataType.elementType.fields]
     key = lambda r: F.lower(strip(r["original"])).alias("k")
-    rows = lists.withColumn("_best", F.sort_array(F.transform("hits", lambda r: F.struct(key(r), r["confidence"].alias("c"), (-r["seq"]).alias("s"), r.alias("r"))), asc=False))
+    differ = (F.size("hits") < 2) | (F.size(F.array_distinct(F.transform("hits", key))) == F.size("hits"))
+    alone = F.transform("hits", lambda r: F.struct((-F.length(r["original"])).alias("n"), r["seq"].alias("group_seq"), *[r[c].alias(c) for c in rest]))
+    rows = lists.withColumn("_best", F.when(~differ, F.sort_array(F.transform("hits", lambda r: F.struct(key(r), r["confidence"].alias("c"), (-r["seq"]).alias("s"), r.alias("r"))), asc=False)))
     rows = rows.withColumn("_early", F.sort_array(F.transform("_best", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"))), asc=False))
     best = F.zip_with(_first_of_each("_best"), _first_of_each("_early"), lambda x, y: F.struct((-F.length(x["r"]["original"])).alias("n"), (-y["s"]).alias("group_seq"), *[x["r"][c].alias(c) for c in rest]))
+    best = F.when(F.col("_best").isNull(), alone).otherwise(best)
     return _maximal_lists(rows.select("doc_id", best.alias("hits"))).withColumn("hits", F.sort_array("hits"))
 
 
 def _grouped(lists: DataFrame, dealt: bool) -> DataFrame:
-    """Lists with one row for each document."""
-    return (lists if dealt else lists.repartition("doc_id")).groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    """Lists with one row for each document.
+
+    They are dealt to all tasks: lists compress so well that Spark would gather them in a few, which grow with the input.
+    """
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (lists if dealt else lists.repartition(n, "doc_id")).groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def _exploded(lists: DataFrame) -> DataFrame:
