@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.catalog import PATTERNS
-from palimpsest.operators import chunking, entities, lanes, model
+from palimpsest.operators import chunking, entities, hits, lanes, model
 from palimpsest.sources.batches import slices
 from palimpsest.sources.shared import stored
 
@@ -29,20 +29,26 @@ def _answer_hits(answers: DataFrame, patterns) -> DataFrame:
     """Answers (text, reply, error, …) with their ``hits``."""
     answers = model.good_replacements(answers, "_replaced")
     by_pattern = entities.hit_list(F.col("text"), patterns)
-    by_model = F.transform(
-        "_replaced",
+    return answers.withColumn("hits", F.when(F.col("_replaced").isNotNull(), _model_hits(F.col("_replaced"))).otherwise(by_pattern)).drop("_replaced")
+
+
+def _model_hits(replaced: Column) -> Column:
+    """The replacements of a good reply as a list of ``entities.HIT``."""
+    return F.transform(
+        replaced,
         lambda r, i: F.struct(i.cast("long"), r["original"], r["placeholder"], F.coalesce(r["category"], F.lit("UNKNOWN")), F.coalesce(r["confidence"], F.lit(0.9)), F.coalesce(r["reason"], F.lit(""))).cast(entities.HIT),
     )
-    return answers.withColumn("hits", F.when(F.col("_replaced").isNotNull(), by_model).otherwise(by_pattern)).drop("_replaced")
 
 
-def _asked_where_they_lie(docs: DataFrame, template: str, client: model.Client, size: str) -> DataFrame:
-    """(doc_id, chunk_index, whole, text, reply, error): the parts of each document, its chunks asked where they are made.
+def _parts(docs: DataFrame, size: str, call=None) -> DataFrame:
+    """(doc_id, chunk_index, whole, text) of the parts of each document, with reply and error where there is a ``call`` for its chunks.
 
     A part that is ``whole`` is the text of its document; one without a chunk_index is no chunk. So a document of one chunk is one row.
     """
-    call, short = model.chunk_caller(template, client), chunking.always_whole(size)
+    short = chunking.always_whole(size)
+    schema = "doc_id long, chunk_index int, whole boolean, text string" + (", reply string, error string" if call else "")
     kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string())
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def parts(batch: pa.RecordBatch) -> list[list]:
         ids, index, whole, own = [], [], [], []
@@ -62,13 +68,27 @@ def _asked_where_they_lie(docs: DataFrame, template: str, client: model.Client,
                 index += range(len(more))
                 whole += [False] * len(more)
                 own += more
-        return [ids, index, whole, own, *call([None if k is None else t for k, t in zip(index, own)])]
+        return [ids, index, whole, own, *(call([None if k is None else t for k, t in zip(index, own)]) if call else ())]
 
     def run(batches):
         for b in slices(batches, 256):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts(b), kinds)], names=["doc_id", "chunk_index", "whole", "text", "reply", "error"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts(b), kinds)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index int, whole boolean, text string, reply string, error string")
+
+def _asked_in_lanes(docs: DataFrame, template: str, client: model.Client, size: str, patterns, calls: dict) -> DataFrame:
+    """(doc_id, whole, chunk_index, found, told) of the parts of each document, its chunks asked in lanes.
+
+    Parts are stored with what patterns find in whole ones, so each text is searched once: where a document is one chunk, that is its
+    pattern hits and those of a chunk without a good reply. Chunks of longer documents are searched only where they have no good reply.
+    """
+    prompt = F.when(F.col("chunk_index").isNotNull(), model.prompt_for_chunk(template, F.col("text")))
+    parts = stored(_parts(docs, size).withColumn("found", F.when(F.col("whole"), hits.found_in(F.col("text"), patterns))), "parts")
+    answers = model.good_replacements(lanes.answered(parts.withColumn("prompt", prompt), client, **calls).drop("prompt"), "_replaced")
+    told = entities.grounded_hits(_model_hits(F.col("_replaced")), F.col("text"))
+    own = F.when(F.col("whole"), F.col("found")).when(F.col("_replaced").isNull(), hits.found_in(F.col("text"), patterns))
+    return answers.select("doc_id", "whole", "chunk_index", own.alias("found"), told.alias("told"))
 
 
 def _chunk_seq(hit_seq):
@@ -92,19 +112,22 @@ def classify(docs: DataFrame, template: str, client: model.Client = model.silent
     ``paragraphs``, detections of an earlier phase in the same columns, come first of all. Documents of a client that needs no lanes are
     read once: patterns run where its replies are.
     """
-    in_place = client is model.silent
-    by_chunk = _answer_hits(_asked_where_they_lie(docs, template, client, size), patterns) if in_place else _chunk_hits(chunking.chunk_documents(docs, size), template, client, patterns, calls)
+    row = F.struct((F.col("seq").cast("long") - _CHUNK_STRIDE).alias("seq"), "original", "placeholder", "category", "confidence", "reason")
+    if client is not model.silent:
+        found = _asked_in_lanes(docs, template, client, size, patterns, calls)
+        if paragraphs is not None:
+            earlier = paragraphs.select("doc_id", F.lit(False).alias("whole"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast(hits.FOUND).alias("found"), F.array(row.cast(entities.HIT)).alias("told"))
+            found = earlier.unionByName(found)
+        return hits.reconcile_found(found, patterns, _CHUNK_STRIDE)
+    call = model.chunk_caller(template, client)
+    by_chunk = _answer_hits(_parts(docs, size, call), patterns)
     by_chunk = by_chunk.withColumn("hits", entities.grounded_hits(F.col("hits"), F.col("text")))
     moved = F.transform("hits", lambda h: h.withField("seq", _chunk_seq(h["seq"])))
-    if in_place:
-        none = F.array().cast(f"array<{entities.HIT}>")
-        by_document = F.when(F.col("whole"), entities.hit_list(F.col("text"), patterns)).otherwise(none)
-        found = by_chunk.select("doc_id", F.concat(by_document, F.when(F.col("chunk_index").isNull(), none).otherwise(moved)).alias("hits"))
-    else:
-        found = entities.hit_lists(docs, patterns).unionByName(by_chunk.select("doc_id", moved.alias("hits")))
+    none = F.array().cast(f"array<{entities.HIT}>")
+    by_document = F.when(F.col("whole"), entities.hit_list(F.col("text"), patterns)).otherwise(none)
+    found = by_chunk.select("doc_id", F.concat(by_document, F.when(F.col("chunk_index").isNull(), none).otherwise(moved)).alias("hits"))
     if paragraphs is not None:
         # Their tasks run first, so a failure there ends the run before the rest is worked.
-        row = F.struct((F.col("seq").cast("long") - _CHUNK_STRIDE).alias("seq"), "original", "placeholder", "category", "confidence", "reason")
         found = paragraphs.select("doc_id", F.array(row).alias("hits")).unionByName(found)
     return entities.reconcile_lists(found)
 

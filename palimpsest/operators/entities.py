@@ -13,7 +13,7 @@ from palimpsest.sources.shared import stored
 
 #: Unicode classes, case ignored: as the patterns are meant.
 FLAGS = "(?iU)"
-_STRIDE = 1_000_000_000
+STRIDE = 1_000_000_000
 #: A detection in the list of its document.
 HIT = "struct<seq:bigint,original:string,placeholder:string,category:string,confidence:double,reason:string>"
 PATTERN_CONFIDENCE, PATTERN_REASON = 0.8, "Detected by pattern matching"
@@ -75,24 +75,33 @@ def usable_patterns(spark: SparkSession, patterns=PATTERNS) -> tuple[list[tuple[
     return good, bad
 
 
+def placed(patterns) -> list[tuple[int, str, str, str]]:
+    """Patterns (category, placeholder, pattern) with their places; those that have them (some of a list) as they are."""
+    return [x if len(x) == 4 else (k, *x) for k, x in enumerate(patterns)]
+
+
+def found_by(text: Column, category: str, pattern: str, none: Column | None = None) -> Column:
+    """The texts that a pattern finds; ``none`` or null where its gate shows that there are none."""
+    found = F.regexp_extract_all(text, F.lit(FLAGS + _QUICK.get(pattern, pattern)), F.lit(0))
+    return found if (gate := _gate(text, category, pattern)) is None else F.when(gate, found).otherwise(none)
+
+
 def hits_in(text: Column, patterns=PATTERNS) -> Column:
     """Every hit of every pattern in a text, as a list of ``HIT``.
 
     A pattern of the catalogue runs, in its quick form, only over texts that hold the mark, digit or letters it needs. ``patterns`` are
     (category, placeholder, pattern), or (place, category, placeholder, pattern) where some of a list are left out.
     """
-    placed = [x if len(x) == 4 else (k, *x) for k, x in enumerate(patterns)]
-    if not placed:
+    every = placed(patterns)
+    if not every:
         return F.array().cast(f"array<{HIT}>")
 
     def hits(k: int, category: str, placeholder: str, pattern: str):
-        found = F.regexp_extract_all(text, F.lit(FLAGS + _QUICK.get(pattern, pattern)), F.lit(0))
-        if (gate := _gate(text, category, pattern)) is not None:
-            found = F.when(gate, found).otherwise(F.array().cast("array<string>"))
+        found = found_by(text, category, pattern, F.array().cast("array<string>"))
         told = (F.lit(placeholder).alias("placeholder"), F.lit(category).alias("category"), F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_REASON).alias("reason"))
-        return F.transform(found, lambda m, i: F.struct((F.lit(k * _STRIDE).cast("long") + i).alias("seq"), m.alias("original"), *told))
+        return F.transform(found, lambda m, i: F.struct((F.lit(k * STRIDE).cast("long") + i).alias("seq"), m.alias("original"), *told))
 
-    return F.concat(*[hits(*x) for x in placed])
+    return F.concat(*[hits(*x) for x in every])
 
 
 def detect(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
