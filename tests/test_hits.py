@@ -3,7 +3,7 @@
 import random
 
 import pyarrow as pa
-from palimpsest.operators import chunking, classify, entities, hits, model
+from palimpsest.operators import chunking, classify, entities, hits, model, rebuild
 from palimpsest.sources.batches import objects
 from pyspark.sql import functions as F
 
@@ -64,8 +64,36 @@ def test_a_text_is_searched_once(spark):
     assert "Union" not in plan and plan.count("MapInArrow") == 1 and made.count() > 20
 
 
+def test_documents_are_folded_where_they_are_reconciled(spark):
+    """In one go, or reconciled only where there are many pairs, the fold gives what it gives for replacements reconciled before."""
+    docs = documents(spark)
+    own = F.transform(F.split("text", r"(?<=\.) "), lambda t, k: F.struct(F.lit("body").alias("part"), F.lit(0).alias("grp"), k.alias("seq"), F.array(t).alias("runs")))
+    given = F.transform("hits", lambda h, i: F.struct((i + 1).alias("ord"), h["original"].alias("original"), h["placeholder"].alias("placeholder")))
+    paragraphs = docs.select("doc_id", own.alias("own")).select("doc_id", F.inline("own"))
+    want = sorted(map(repr, rebuild.rebuild_documents(paragraphs, entities.reconciled_lists(entities.hit_lists(docs)).select("doc_id", given.alias("given"))).collect()))
+    found = docs.select("doc_id", own.alias("own"), hits.found_in(F.col("text")).alias("found"))
+    for direct in (1_000_000, 20, 0):
+        assert sorted(map(repr, rebuild.rebuild_found(found, direct=direct).collect())) == want
+    plan = rebuild.rebuild_found(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan
+
+
 def test_columns_become_objects():
     column = pa.array([[["a", None], None, []], None, [["é"]]], pa.list_(pa.list_(pa.string())))
     assert objects(column) == column.to_pylist() and objects(column.slice(1)) == column.to_pylist()[1:]
     for own in (pa.array([1, None, 3]), pa.array([1, 2]), pa.array([1.5, float("inf")]), pa.array(["a", None]), pa.array([], pa.string()), pa.array([True, None])):
         assert objects(own) == own.to_pylist()
+
+
+def test_letters_and_blocks_are_found_as_by_brute_force():
+    import difflib
+
+    draw = random.Random(9)
+    for _ in range(3000):
+        text = "".join(draw.choices(["a", "B", " ", "ß", "É", "²", "-", "€", "Σ", "İ", "3"], k=draw.randint(0, 12)))
+        assert rebuild._letters(text) == "".join(c.lower() for c in text if c.isalnum())
+        o, t = ("".join(draw.choices("ab -", k=draw.randint(1, 14))) for _ in range(2))
+        block = difflib.SequenceMatcher(None, o, t).find_longest_match(0, len(o), 0, len(t))
+        if not rebuild._letters(o) or (rebuild._letters(o) not in rebuild._letters(t) and not rebuild._spaced(o.split() or [o], t)):
+            if rebuild._letters(o):
+                assert rebuild.span_of(o, t) == ((block.b, block.b + block.size) if block.size / len(o) > 0.7 else None)
